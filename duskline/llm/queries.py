@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, secrets, sharding, suffixdedup
+from . import bpe, hnsw, htmltext, langid, lattice, neardup, packing, secrets, sharding, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
 
@@ -27,6 +31,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -35,21 +43,36 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = hnsw.build_index(vectors)
+    return hnsw.nearest(index, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_order_minhash,
         op3_stratified_sharding,
         op4_bpe_round_trip,
+        op5_lattice_dedup,
         op6_secret_scan,
         op7_suffix_dedup,
+        op8_hnsw_neighbours,
         op9_language_id,
+        op10_consensus_html,
     )
 }
 
