@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline.llm import langid, packing, secrets, suffixdedup
+from duskline.llm import langid, neardup, packing, secrets, suffixdedup
 from duskline.llm.common import materialize
 
 #: Documents of which a smaller share of n-grams belongs to any one language are rejected as junk.
@@ -26,6 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decided.filter(good).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of exact and near copies."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out the passages that repeat."""
     return recount(suffixdedup.remove_repeats(docs))
@@ -47,6 +52,7 @@ def recount(docs: DataFrame) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_copies),
     ("suffix_dedup", passages),
     ("secrets", secret_spans),
     ("packing", pack),
