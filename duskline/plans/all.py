@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import basics, joins  # noqa: F401
+from . import basics, joins, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from duskline.functions import scalars as S
 from duskline.sources import tables as T
 
-from .registry import query
+from .registry import query, rnd
 
 BUSINESS = "(hour(ts) BETWEEN 9 AND 17 AND isodow(ts) <= 5)"
 
@@ -37,7 +37,7 @@ LOG_LINE = """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'too short' ELSE
 )
 def _(t):
     logs = T.parse_logs(t.spark.sql(LOG_LINE, events=t.events))
-    return logs.select(F.unix_timestamp("timestamp").alias("at"), "level", "source", "message", F.round("threat_score", 6).alias("threat_score"))
+    return logs.select(F.unix_timestamp("timestamp").alias("at"), "level", "source", "message", rnd("threat_score", 6).alias("threat_score"))
 
 
 @query("s09_decode_domain_event", "SELECT cast(request_id AS string) AS request_id, ip, round(risk_score, 6) AS risk_score, severity AS threat_level, epoch_us(ts) // 1000000 AS at FROM requests", "requests")
@@ -45,7 +45,7 @@ def _(t):
     r = t.requests
     value = F.to_json(F.struct(F.col("request_id").cast("string").alias("request_id"), "ip", "risk_score", F.col("severity").alias("threat_level"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms")))
     out = T.decode_domain_event(r.select(value.alias("value")), "threat")
-    return out.select("request_id", "ip", F.round("risk_score", 6).alias("risk_score"), "threat_level", F.unix_seconds("timestamp").alias("at"))
+    return out.select("request_id", "ip", rnd("risk_score", 6).alias("risk_score"), "threat_level", F.unix_seconds("timestamp").alias("at"))
 
 
 @query(
@@ -220,7 +220,7 @@ ENTROPY = "(SELECT -sum(n / tot * log2(n / tot)) FROM (SELECT count(*) AS n, sum
 
 @query("f01_shannon_entropy", f"WITH d AS (SELECT DISTINCT url FROM pages), ch AS (SELECT url, unnest(string_split(url, '')) AS c FROM d), n AS (SELECT url, c, count(*) AS k FROM ch GROUP BY ALL), s AS (SELECT *, sum(k) OVER (PARTITION BY url) AS tot FROM n) SELECT url, round(-sum(k / tot * log2(k / tot)), 6) AS entropy FROM s GROUP BY url")
 def _(t):
-    return t.pages.select("url").distinct().select("url", F.round(S.shannon_entropy("url"), 6).alias("entropy"))
+    return t.pages.select("url").distinct().select("url", rnd(S.shannon_entropy("url"), 6).alias("entropy"))
 
 
 @query("f02_count_chars", "SELECT doc_id, cast(len(regexp_extract_all(text, '[.,;!?]')) AS bigint) AS marks FROM documents")
@@ -248,17 +248,17 @@ def _(t):
 
 @query("f07_clamp_ratio_sigmoid", "SELECT event_id, round(greatest(0, least(1, value / 300)), 6) AS clamped, round(value / greatest(user_id - 5, 0.001), 6) AS ratio, round(1 / (1 + exp(-(value - 250) / 100)), 6) AS sig FROM events")
 def _(t):
-    return t.events.select("event_id", F.round(S.clamp01(F.col("value") / 300), 6).alias("clamped"), F.round(S.safe_ratio("value", (F.col("user_id") - 5).cast("double")), 6).alias("ratio"), F.round(S.sigmoid((F.col("value") - 250) / 100), 6).alias("sig"))
+    return t.events.select("event_id", rnd(S.clamp01(F.col("value") / 300), 6).alias("clamped"), rnd(S.safe_ratio("value", (F.col("user_id") - 5).cast("double")), 6).alias("ratio"), rnd(S.sigmoid((F.col("value") - 250) / 100), 6).alias("sig"))
 
 
 @query("f08_recency", "SELECT event_id, round(exp(-(epoch(TIMESTAMP '2024-02-01') - epoch(ts)) / 604800.0), 6) AS weight FROM events")
 def _(t):
-    return t.events.select("event_id", F.round(S.recency("ts", "2024-02-01", 604800), 6).alias("weight"))
+    return t.events.select("event_id", rnd(S.recency("ts", "2024-02-01", 604800), 6).alias("weight"))
 
 
 @query("f09_time_correlation", "SELECT event_id, round(greatest(0, 1 - abs(epoch(ts) - epoch(date_trunc('hour', ts))) / 300.0), 6) AS corr FROM events")
 def _(t):
-    return t.events.select("event_id", F.round(S.time_correlation("ts", F.date_trunc("hour", "ts")), 6).alias("corr"))
+    return t.events.select("event_id", rnd(S.time_correlation("ts", F.date_trunc("hour", "ts")), 6).alias("corr"))
 
 
 @query("f10_json_blob", "SELECT request_id FROM requests WHERE contains(lower(body), 'powershell') OR contains(lower(path), 'powershell')", "requests")
@@ -284,8 +284,8 @@ def _(t):
 def _(t):
     h, d = F.hour("ts"), F.weekday("ts")
     return t.events.groupBy("user_id").agg(
-        F.round(F.avg(h), 6).alias("hour_mean"), F.round(F.stddev_pop(h), 6).alias("hour_std"), F.count_distinct(h).alias("hours"),
-        F.round(F.avg(d), 6).alias("day_mean"), F.round(F.stddev_pop(d), 6).alias("day_std"), F.count_distinct(d).alias("days"),
+        rnd(F.avg(h), 6).alias("hour_mean"), rnd(F.stddev_pop(h), 6).alias("hour_std"), F.count_distinct(h).alias("hours"),
+        rnd(F.avg(d), 6).alias("day_mean"), rnd(F.stddev_pop(d), 6).alias("day_std"), F.count_distinct(d).alias("days"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from duskline.functions import scalars as S
 from duskline.operators import enrich as E
 
-from .registry import query
+from .registry import query, rnd
 
 
 @query(
@@ -39,12 +39,12 @@ INTEL_SQL = "greatest(coalesce(virustotal_score, 0), coalesce(abuseipdb_score, 0
     "concat_ws(',', CASE WHEN virustotal_score >= 60 THEN 'virustotal' END, CASE WHEN abuseipdb_score >= 60 THEN 'abuseipdb' END) AS tags FROM requests LEFT JOIN intel USING (ip)", "requests", "intel",
 )
 def _(t):
-    return E.enrich_threat_intel(t.requests, t.intel).select("request_id", F.round("intel_score", 6).alias("intel_score"), "reputation", F.array_join("intel_tags", ",").alias("tags"))
+    return E.enrich_threat_intel(t.requests, t.intel).select("request_id", rnd("intel_score", 6).alias("intel_score"), "reputation", F.array_join("intel_tags", ",").alias("tags"))
 
 
 @query("j04_ip_reputation", f"SELECT ip, round({INTEL_SQL}, 6)::double AS intel_score, CASE WHEN {INTEL_SQL} >= 80 THEN 'malicious' WHEN {INTEL_SQL} >= 40 THEN 'suspicious' ELSE 'clean' END AS reputation FROM (SELECT DISTINCT ip FROM requests) LEFT JOIN intel USING (ip)", "requests", "intel")
 def _(t):
-    return E.ip_reputation(t.requests, t.intel).withColumn("intel_score", F.round("intel_score", 6))
+    return E.ip_reputation(t.requests, t.intel).withColumn("intel_score", rnd("intel_score", 6))
 
 
 @query("j05_ioc_reputation", "SELECT request_id, CASE WHEN ip IN (SELECT ip FROM assets) THEN 0.1 WHEN ip IN (SELECT ip FROM intel WHERE virustotal_score > 50) THEN 0.9 ELSE 0.5 END::double AS reputation FROM requests", "requests", "assets", "intel")
@@ -59,7 +59,7 @@ def _(t):
 )
 def _(t):
     p = E.pair_within(t.requests.select("request_id", "ip", "ts", "path"), "ip", "ts", 300, "path")
-    return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"), F.round("gap_seconds", 3).alias("gap"))
+    return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"), rnd("gap_seconds", 3).alias("gap"))
 
 
 @query("j07_pair_users", "SELECT a.request_id AS a_id, b.request_id AS b_id FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000", "requests")
