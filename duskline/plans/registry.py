@@ -41,7 +41,7 @@ def rnd(col, digits: int = 5):
 
 
 def steady(sql: str) -> str:
-    """``round(x, n)`` in SQL as ``rnd`` has it, and 128-bit counts as 64-bit ones."""
+    """``round(x, n)`` in SQL as ``rnd`` has it, and conditional counts as Spark has them: 64-bit, never null."""
     out, at = [], 0
     for m in re.finditer(r"\bround\(", sql):
         if m.start() < at:
@@ -65,7 +65,7 @@ def steady(sql: str) -> str:
         while depth:
             depth += (text[i] == "(") - (text[i] == ")")
             i += 1
-        out += [text[at : m.start()], f"{text[m.start():i]}::bigint"]
+        out += [text[at : m.start()], f"coalesce({text[m.start():i]}, 0)::bigint"]
         at = i
     return "".join(out) + text[at:]
 
