@@ -119,7 +119,7 @@ def train_isolation(df: DataFrame, cols: list[str], key: str, trees: int = 50, s
     n = df.count()
     parts = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(trees, -(-n // sample))))).filter(F.col("_h") < trees)
 
-    def grow(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
         rng = np.random.default_rng(seed + int(k[0]))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import basics, detection, joins, reports, serieq  # noqa: F401
+from . import basics, detection, entities, joins, reports, serieq, streamq  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
