@@ -12,8 +12,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def with_lateness(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Drop rows that come later than ``delay`` after the newest event time."""
-    return stream.withWatermark(ts, delay)
+    """Drop rows that come later than ``delay`` after the newest event time (read as UTC if it has no zone)."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
 def tumbling_counts(stream: DataFrame, key: str, width: str = "1 minute", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -42,8 +42,9 @@ def dedupe_stream(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
 
 def join_threat_response(threats: DataFrame, responses: DataFrame, key: str = "request_id", bound: str = "10 minutes", how: str = "inner"):
     """Threats with the responses to the same request within the bound after them (columns ts and r_ts)."""
-    a = threats.withWatermark("ts", bound)
-    b = responses.select(F.col(key).alias("_k"), F.col("ts").alias("r_ts"), "action").withWatermark("r_ts", bound)
+    a = with_lateness(threats, "ts", bound)
+    b = responses.select(F.col(key).alias("_k"), F.col("ts").alias("r_ts"), "action")
+    b = with_lateness(b, "r_ts", bound)
     near = (F.col(key) == F.col("_k")) & (F.col("r_ts") >= F.col("ts")) & (F.col("r_ts") <= F.col("ts") + F.expr(f"INTERVAL {bound}"))
     return a.join(b, near, how).drop("_k")
 
@@ -104,14 +105,15 @@ def stream_ewma(stream: DataFrame, key: str = "user_id", alpha: float = 0.3) ->
 
 
 class BucketProcessor(StatefulProcessor):
-    """Token bucket per key: the state is tokens and the time of the last request; idle keys expire."""
+    """Token bucket per key: the state is tokens and the time of the last request; idle keys may expire."""
 
-    def __init__(self, limit: int, rate: float):
-        self.limit, self.rate = limit, rate
+    def __init__(self, limit: int, rate: float, expire: bool):
+        self.limit, self.rate, self.expire = limit, rate, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("tokens", LongType()), StructField("us", LongType())])
-        self.state = handle.getValueState("bucket", schema, ttlDurationMs=int(1000 * (self.limit / self.rate + 1)))
+        ttl = int(1000 * (self.limit / self.rate + 1)) if self.expire else None
+        self.state = handle.getValueState("bucket", schema, ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["us", "request_id"])
@@ -130,10 +132,17 @@ class BucketProcessor(StatefulProcessor):
         pass
 
 
-def stream_limit(stream: DataFrame, limit: int, rate: float) -> DataFrame:
-    """(key, request_id, allowed) for requests with columns key, request_id, us."""
+def stream_limit(stream: DataFrame, limit: int, rate: float, expire: bool = True) -> DataFrame:
+    """(key, request_id, allowed) for requests with columns key, request_id, us.
+
+    With ``expire``, state of keys that were idle for long enough to refill is dropped by processing time; that
+    suits a running stream, not a replay of old data.
+    """
     return stream.groupBy("key").transformWithStateInPandas(
-        BucketProcessor(limit, rate), "key string, request_id long, allowed boolean", outputMode="Append", timeMode="ProcessingTime"
+        BucketProcessor(limit, rate, expire),
+        "key string, request_id long, allowed boolean",
+        outputMode="Append",
+        timeMode="ProcessingTime" if expire else "None",
     )
 
 
