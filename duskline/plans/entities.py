@@ -83,12 +83,10 @@ def _(t):
     return K.frequency_pattern(t.requests, "ip", unit="hour").select("item", "windows", rnd("mean").alias("mean"), rnd("variance").alias("variance"), "pattern")
 
 
-BY_PATH = f"{FR}, {FP}".replace("SELECT ip AS item", "SELECT path AS item").replace("GROUP BY ip", "GROUP BY path")
-
-
-@query("k14_frequency_anomalies", f"WITH {BY_PATH} SELECT item, 'frequency_spike' AS kind, CASE WHEN d >= 50 THEN 'critical' WHEN d >= 20 THEN 'high' WHEN d >= 10 THEN 'medium' ELSE 'low' END AS severity FROM r JOIN t USING (item) WHERE d >= 1 AND pattern IN ('increasing', 'burst') UNION ALL SELECT item, 'burst_pattern', CASE WHEN 0.8 * risk >= 0.8 THEN 'critical' WHEN 0.8 * risk >= 0.6 THEN 'high' WHEN 0.8 * risk >= 0.4 THEN 'medium' ELSE 'low' END FROM r JOIN t USING (item) WHERE pattern = 'burst'", "requests")
+@query("k14_frequency_anomalies", "WITH n AS (SELECT 1.0 / count(*) AS share FROM requests) SELECT concat(path, '#', cast(request_id AS varchar)) AS item, 'rare_item' AS kind, CASE WHEN share < 0.0001 THEN 'critical' WHEN share < 0.001 THEN 'high' ELSE 'low' END AS severity FROM requests, n WHERE share <= 0.001 AND regexp_matches(path, '" + S.SUSPICIOUS_ITEM.replace("\\.php$|\\.asp$|", "").replace("|\\.env$", "") + "')", "requests")
 def _(t):
-    return K.frequency_anomalies(t.requests, "path", spike=1)
+    tagged = t.requests.withColumn("tagged", F.concat_ws("#", "path", F.col("request_id").cast("string")))
+    return K.frequency_anomalies(tagged, "tagged")
 
 
 @query("k15_sketch_risk", f"WITH {FR} SELECT round(greatest(max(risk), least(1, avg(risk) * 0.3 / 0.3)), 5) AS risk FROM r", "requests")
