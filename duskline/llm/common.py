@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/duskline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the finished job's shuffle files go as soon as the driver has collected its garbage, not when it happens to
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,11 +81,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    p = np.full(n + 1, base, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    """base**0 .. base**n modulo 2**64; kept and grown in each worker, shared by all calls."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) <= n:
+        p = np.full(max(n, 1 << 16) * 5 // 4 + 1, base, dtype=np.uint64)
+        p[0] = 1
+        known = _POWERS[int(base)] = np.cumprod(p, dtype=np.uint64)
+    return known[: n + 1]
 
 
 class RollingHash:
@@ -118,7 +128,7 @@ def utf8_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Slices of a batch holding about ``limit`` bytes of ``column`` each (one row at least)."""
     _, offsets = utf8_bytes(batch.column(column))
     start = 0
