@@ -203,6 +203,21 @@ def count_chars(col, char_class: str) -> Column:
     return F.regexp_count(c(col), F.lit(f"[{char_class}]"))
 
 
+def extract_matches(col, pattern: str, context: int = 20) -> Column:
+    """All matches as structs (matched, start, stop, context): places from 0, stop exclusive."""
+    text = c(col)
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+
+    def place(m: Column, i: Column) -> Column:
+        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+        low = F.greatest(start - context, F.lit(0))
+        around = F.substring(text, low + 1, start + F.length(m) + context - low)
+        return F.struct(m.alias("matched"), start.alias("start"), (start + F.length(m)).alias("stop"), around.alias("context"))
+
+    return F.transform(found, place)
+
+
 def parse_time(col) -> Column:
     """ISO text, or digits as epoch milliseconds; null if neither."""
     return F.when(c(col).rlike(r"^[0-9]{10,}$"), F.timestamp_millis(c(col).try_cast("bigint"))).otherwise(

@@ -215,9 +215,6 @@ def _(t):
     return t.requests.select("request_id", S.interpolate(F.lit("block {{ip}} for {{kind}} {{x}}"), F.create_map(F.lit("ip"), F.col("ip"), F.lit("kind"), F.col("event_type")), ["ip", "kind", "x"]).alias("step"))
 
 
-ENTROPY = "(SELECT -sum(n / tot * log2(n / tot)) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS tot FROM (SELECT unnest(string_split({x}, '')) AS ch) GROUP BY ch))"
-
-
 @query("f01_shannon_entropy", f"WITH d AS (SELECT DISTINCT url FROM pages), ch AS (SELECT url, unnest(string_split(url, '')) AS c FROM d), n AS (SELECT url, c, count(*) AS k FROM ch GROUP BY ALL), s AS (SELECT *, sum(k) OVER (PARTITION BY url) AS tot FROM n) SELECT url, round(-sum(k / tot * log2(k / tot)), 6) AS entropy FROM s GROUP BY url")
 def _(t):
     return t.pages.select("url").distinct().select("url", rnd(S.shannon_entropy("url"), 6).alias("entropy"))
@@ -228,6 +225,17 @@ def _(t):
     return t.documents.select("doc_id", S.count_chars("text", ".,;!?").cast("long").alias("marks"))
 
 
+@query(
+    "f03_extract_matches",
+    "WITH p AS (SELECT page_id, url, regexp_split_to_array(url, '[0-9]+') AS a, regexp_extract_all(url, '[0-9]+') AS m FROM pages), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p), "
+    "s AS (SELECT page_id, url, m[k] AS matched, (coalesce(list_sum(list_transform(a[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::int AS start FROM i) "
+    "SELECT page_id, matched, start, (start + length(matched))::int AS stop, substr(url, greatest(start - 3, 0) + 1, start + length(matched) + 3 - greatest(start - 3, 0)) AS context FROM s",
+)
+def _(t):
+    m = F.explode(S.extract_matches("url", "[0-9]+", 3)).alias("m")
+    return t.pages.select("page_id", m).select("page_id", "m.matched", "m.start", "m.stop", "m.context")
+
+
 @query("f04_content_hash", "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 16) AS short_id FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 16).alias("short_id"))

@@ -1,4 +1,4 @@
-"""Invariants, reference scenarios and file round trips."""
+"""Invariants, small scenarios and file round trips."""
 
 from __future__ import annotations
 
