@@ -9,7 +9,7 @@ from duskline.llm.packing import encoder
 def test_pipeline(spark, tmp_path):
     en = "the quick brown fox jumps over the lazy dog and runs away from the old house with".split()
     texts = [" ".join(en[(i * 7 + k * (i + 1)) % len(en)] + ("" if k % 3 else str(i)) for k in range(60)) for i in range(12)]
-    texts += [texts[0], None, "?? !!", "token=abcdefgh12 " + texts[1][::-1]]
+    texts += [texts[0], None, "?? !!", "token=abcdefgh12 " + " ".join(en[::-1] * 4)]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
