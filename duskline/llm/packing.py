@@ -47,9 +47,32 @@ class Capacity:
     rules: tuple[str, ...] = ("norm", "dot")
 
 
+def encoder(vocabulary: str):
+    """A function texts -> id lists without special tokens.
+
+    A ``.json`` file is read by tokenizers, a ``.tiktoken`` file by tiktoken. For the byte-level BPE given in both
+    forms the ids are the same (a test compares them); tiktoken takes about a third of the time.
+    """
+    if vocabulary.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(vocabulary)
+        tok.encode_special_tokens = True
+        return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    import public_tokenizers
+    import tiktoken
+
+    from .bpe import load_ranks
+
+    enc = tiktoken.Encoding(
+        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(vocabulary), special_tokens={}
+    )
+    return lambda texts: [enc.encode_ordinary(t) for t in texts]
+
+
 def tokenize_pieces(
     docs: DataFrame,
-    tokenizer_path: str,
+    vocabulary: str,
     capacity: int = 2048,
     end_id: int = 0,
     id_col: str = "doc_id",
@@ -62,17 +85,13 @@ def tokenize_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
+        encode = encoder(vocabulary)
         for pdf in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             texts = [t or "" for t in pdf["text"]]
             for lo in range(0, len(texts), 64):
-                encoded = tok.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)
-                for doc_id, e in zip(pdf["doc_id"].iloc[lo : lo + 64], encoded):
-                    ids = np.array([*e.ids, end_id], dtype="<u4")
+                for doc_id, e in zip(pdf["doc_id"].iloc[lo : lo + 64], encode(texts[lo : lo + 64])):
+                    ids = np.array([*e, end_id], dtype="<u4")
                     head = len(ids) % capacity or capacity
                     cuts = [0, *range(head, len(ids) + 1, capacity)]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -192,6 +211,6 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), rows_per_group: int = 50
     return placed.select(*keep, "_place.sequence_id", "_place.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, cap: Capacity = Capacity(), **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, cap: Capacity = Capacity(), **columns) -> DataFrame:
     """Tokenize, cut and pack all documents: one row per piece with its sequence and offset."""
-    return pack(materialize(tokenize_pieces(docs, tokenizer_path, cap.tokens, **columns), "pieces"), cap)
+    return pack(materialize(tokenize_pieces(docs, vocabulary, cap.tokens, **columns), "pieces"), cap)
