@@ -18,7 +18,9 @@ trigger content behind their start, so entries are first grouped by that
 content, and:
   1. an entry that occurs twice repeats in all its positions;
   2. an entry that occurs once needs its suffixes compared only if other entries
-     share its trigger content; those are the borders of repeats, few and short.
+     share its trigger content; those are the borders of repeats. They are compared in
+     blocks: one whose common core occurs once repeats nowhere, one whose bytes all
+     occur again repeats throughout, and only what is left is compared one by one.
 The comparison brings equal suffixes together by 128-bit fingerprints in a
 shuffle, where a lexicographic suffix array would put them side by side; only
 equality is needed, not which neighbour sorts first. So work and shuffle grow
@@ -43,7 +45,9 @@ from pyspark.sql import functions as F
 from .common import RollingHash, batches_of_bytes, materialize, mix64, utf8_bytes
 
 GRAM = 16
-WINDOW = 200
+WINDOW = 150
+SEGMENT = 2 << 20
+BLOCK = 25
 
 
 def sliding_min(v: np.ndarray, window: int) -> np.ndarray:
@@ -90,76 +94,92 @@ def with_text_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def parse(keyed: DataFrame, text_col: str, length: int, gram: int, window: int) -> DataFrame:
-    """One row per phrase occurrence: trigger content, entry fingerprint, text key, first and last start.
+    """One row per phrase occurrence: context, entry, text key, place.
 
     ``context`` is the hash of what every string of the phrase has behind its trigger, ``entry`` that of the
-    extended phrase.
+    extended phrase; ``place`` packs the first start, the last start and the trigger relative to it.
     """
 
     def run(batches):
         for batch in batches:
             for part in batches_of_bytes(batch, "_text"):
-                data, offsets = utf8_bytes(part.column("_text"))
-                text, first, last, trigger, rolling = phrases(data, offsets, length, gram, window)
-                if len(text) == 0:
-                    continue
-                context = rolling.of(trigger, length - window)
-                shape = ((trigger - first) * 65536 + (last - first)).astype(np.uint64)
-                entry = mix64(rolling.of(first, last - first + length) + shape)
+                whole, bounds = utf8_bytes(part.column("_text"))
                 key = part.column("_key").to_numpy(zero_copy_only=False)
-                base = offsets[text]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(context.view(np.int64)),
-                        pa.array(entry.view(np.int64)),
-                        pa.array(key[text]),
-                        pa.array((first - base).astype(np.int32)),
-                        pa.array((last - base).astype(np.int32)),
-                        pa.array((trigger - base).astype(np.int32)),
-                    ],
-                    ["context", "entry", "_key", "first", "last", "trigger"],
-                )
+                # a long text is parsed in segments of starts; a phrase that is cut there is compared as a border
+                for at in range(0, max(len(whole), 1), SEGMENT):
+                    long = len(whole) > 2 * SEGMENT and part.num_rows == 1
+                    data = whole[at : at + SEGMENT + length - 1] if long else whole
+                    offsets = np.array([0, len(data)]) if long else bounds
+                    text, first, last, trigger, rolling = phrases(data, offsets, length, gram, window)
+                    if len(text):
+                        context = rolling.of(trigger, length - window)
+                        shape = ((trigger - first) * 65536 + (last - first)).astype(np.uint64)
+                        entry = mix64(rolling.of(first, last - first + length) + shape)
+                        base = offsets[text] - (at if long else 0)
+                        place = (first - base) << 32 | (last - first) << 16 | (trigger - first)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(context.view(np.int64)),
+                                pa.array(entry.view(np.int64)),
+                                pa.array(key[text]),
+                                pa.array(place),
+                            ],
+                            ["context", "entry", "_key", "place"],
+                        )
+                    if not long:
+                        break
 
     source = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return source.mapInArrow(run, "context long, entry long, _key long, first int, last int, trigger int")
+    return source.mapInArrow(run, "context long, entry long, _key long, place long")
 
 
 def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, window: int) -> DataFrame:
     """(_key, spans array<struct<a,b>>): byte ranges of each text that repeat; may overlap, ordered."""
-    occurrences = materialize(parse(keyed, text_col, length, gram, window), "phrases")
-    where = F.struct("_key", "first", "last", "trigger")
+    parsed = materialize(parse(keyed, text_col, length, gram, window), "phrases")
+    again = parsed.groupBy("context").count().filter("count > 1").select("context")
+    occurrences = materialize(parsed.join(again, "context", "left_semi"), "phrases-shared")
     entries = occurrences.groupBy("context", "entry").agg(
-        F.count(F.lit(1)).alias("n"), F.min(where).alias("at")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "place")).alias("at")
     )
-    shared = (
-        entries.groupBy("context")
-        .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-        .filter(F.col("total") > 1)
-    )
-    entries = materialize(entries.join(shared, "context"), "entries")
-    once = (F.col("least") == 1) & (F.col("kinds") > 1)
+    entries = materialize(entries.select("context", "entry", "n", "at.*"), "entries")
+    mixed = entries.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     # borders: the entries whose suffixes must be compared one by one, each at one place in the corpus
-    borders = entries.filter(once).select("context", "entry", "n", "at.*")
-    places = borders.groupBy("_key").agg(F.collect_list(F.struct("context", "entry", "n", "first", "last", "trigger")).alias("_at"))
-    suffixes = border_suffixes(keyed.join(places, "_key"), text_col, length)
-    equal = suffixes.groupBy("context", "suffix").agg(
-        F.count(F.lit(1)).alias("kinds")
+    borders = entries.join(mixed.filter("kinds > 1 and least = 1").select("context"), "context", "left_semi")
+    places = borders.groupBy("_key").agg(F.collect_list(F.struct("context", "n", "place")).alias("_at"))
+    blocks = materialize(border_blocks(keyed.join(places, "_key"), text_col, length), "blocks")
+    # a block whose core occurs once repeats nowhere; one whose cover occurs again repeats all over
+    group = ["context", "core"]
+    alive = blocks.groupBy(*group).count().filter("count > 1").select(*group)
+    blocks = materialize(blocks.join(alive, group, "left_semi"), "blocks-shared")
+    covers = blocks.groupBy(*group, "cover").agg(F.count(F.lit(1)).alias("c"))
+    covered = blocks.filter("n = 1").join(covers.filter("c > 1").drop("c"), [*group, "cover"]).select(
+        "_key", F.col("start").alias("a"), (F.col("start") + F.size("suffixes") - 1).alias("b")
     )
+    mixed = covers.groupBy(*group).agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds"))
+    opened = blocks.join(mixed.filter("least = 1 and kinds > 1").select(*group), group, "left_semi")
+    suffixes = opened.select("context", "n", "_key", "start", F.posexplode("suffixes").alias("i", "suffix"))
+    suffixes = suffixes.select("context", "suffix", "n", "_key", (F.col("start") + F.col("i")).alias("start"))
+    suffixes = materialize(suffixes, "suffixes")
+    equal = suffixes.groupBy("context", "suffix").count().filter("count > 1").select("context", "suffix")
     # a suffix of an entry that occurs once and has an equal elsewhere: mark it at its own place
-    again = equal.filter(F.col("kinds") > 1).select("context", "suffix")
-    single = suffixes.filter(F.col("n") == 1).join(again, ["context", "suffix"]).select(
+    single = suffixes.filter("n = 1").join(equal, ["context", "suffix"]).select(
         "_key", F.col("start").alias("a"), F.col("start").alias("b")
     )
-    whole = (
-        occurrences.join(entries.filter(F.col("n") > 1).select("context", "entry"), ["context", "entry"])
-        .select("_key", F.col("first").alias("a"), F.col("last").alias("b"))
+    single = materialize(covered.unionByName(single), "border-marks")
+    first = F.shiftright("place", 32)
+    whole = occurrences.join(entries.filter("n > 1").select("context", "entry"), ["context", "entry"]).select(
+        "_key", first.cast("int").alias("a"), (first + F.shiftright("place", 16).bitwiseAND(F.lit(65535))).cast("int").alias("b")
     )
     marks = whole.unionByName(single).withColumn("b", F.col("b") + length)
     return marks.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
-def border_suffixes(texts: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(context, suffix, n, _key, start): the truncated suffixes of the given entries, by fingerprint."""
+def border_blocks(texts: DataFrame, text_col: str, length: int) -> DataFrame:
+    """(context, core, cover, n, _key, start, suffixes): blocks of up to BLOCK suffixes of the given entries.
+
+    Blocks are aligned to the trigger. ``core`` is the hash of what all strings of the block have in common,
+    ``cover`` that of all the block's bytes, ``suffixes`` those of the truncated suffixes from ``start`` on.
+    """
 
     def run(batches):
         for batch in batches:
@@ -170,26 +190,42 @@ def border_suffixes(texts: DataFrame, text_col: str, length: int) -> DataFrame:
                 flat = lists.flatten()
                 count = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
                 row = np.repeat(np.arange(len(count)), count)
-                f = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("context", "n", "first", "last", "trigger")}
-                span = f["last"] - f["first"] + 1
-                index = np.repeat(np.arange(len(span)), span)
-                start = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + f["first"][index]
-                whole = start + offsets[row[index]]
-                suffix = mix64(rolling.of(whole, length) + (f["trigger"][index] - start).astype(np.uint64))
+                f = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("context", "n", "place")}
+                first = (f["place"] >> 32) + offsets[row]
+                last = first + (f["place"] >> 16 & 65535)
+                trigger = first + (f["place"] & 65535)
+                low = (trigger - last) // BLOCK
+                blocks = (trigger - first) // BLOCK - low + 1
+                e = np.repeat(np.arange(len(first)), blocks)
+                k = np.arange(len(e)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + low[e]
+                top = trigger[e] - k * BLOCK  # the last start that the block may have
+                begin, end = np.maximum(first[e], top - BLOCK + 1), np.minimum(last[e], top)
+                size = end - begin + 1
+                core = mix64(rolling.of(top, length - BLOCK + 1) + k.astype(np.uint64))
+                shape = ((trigger[e] - begin) * 65536 + size).astype(np.uint64)
+                cover = mix64(rolling.of(begin, size - 1 + length) + shape)
+                b = np.repeat(np.arange(len(e)), size)
+                start = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size) + begin[b]
+                suffix = mix64(rolling.of(start, length) + (trigger[e[b]] - start).astype(np.uint64))
                 key = part.column("_key").to_numpy(zero_copy_only=False)
+                bounds = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(f["context"][index]),
-                        pa.array(suffix.view(np.int64)),
-                        pa.array(f["n"][index]),
-                        pa.array(key[row[index]]),
-                        pa.array(start.astype(np.int32)),
+                        pa.array(f["context"][e]),
+                        pa.array(core.view(np.int64)),
+                        pa.array(cover.view(np.int64)),
+                        pa.array(f["n"][e]),
+                        pa.array(key[row[e]]),
+                        pa.array((begin - offsets[row[e]]).astype(np.int32)),
+                        pa.ListArray.from_arrays(bounds, pa.array(suffix.view(np.int64))),
                     ],
-                    ["context", "suffix", "n", "_key", "start"],
+                    ["context", "core", "cover", "n", "_key", "start", "suffixes"],
                 )
 
     source = texts.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_at")
-    return source.mapInArrow(run, "context long, suffix long, n long, _key long, start int")
+    return source.mapInArrow(
+        run, "context long, core long, cover long, n long, _key long, start int, suffixes array<long>"
+    )
 
 
 def _merge(spans, size: int) -> list[tuple[int, int]]:
@@ -208,7 +244,7 @@ def mark_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM, window: int = WINDOW
 ) -> DataFrame:
     """All columns of ``docs`` with ``_spans``: the byte ranges that repeat (null if none)."""
-    if not 0 < gram < window <= length - gram:
+    if not (0 < gram < window <= min(length - gram, 65535) and length > BLOCK):
         raise ValueError("need gram < window <= length - gram")
     keyed = with_text_key(docs, id_col, text_col)
     spans = repeated_spans(keyed, text_col, length, gram, window)
@@ -237,7 +273,7 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = WINDOW
 ) -> DataFrame:
     """``docs`` with the repeated bytes cut out; a code point that is cut in part goes whole."""
 
@@ -257,6 +293,6 @@ def remove_repeats(
             out.append("".join(k.decode("utf-8", "ignore") for k in kept))
         return pd.Series(out, dtype=object)
 
-    marked = mark_repeats(docs, id_col, text_col, length)
+    marked = mark_repeats(docs, id_col, text_col, length, window=window)
     fresh = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
     return marked.withColumn(text_col, fresh).select(*docs.columns)
