@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import global_rank, materialize
 
+MOST_BROADCAST = 20_000
+
 
 def interleave(
     df: DataFrame, stratum: str, unique: list[Column], seed: int = 17, position: str = "position"
@@ -34,7 +36,10 @@ def interleave(
     shuffled = shuffled.withColumn("_s", F.when(has, F.concat(F.lit("="), F.col(stratum).cast("string"))).otherwise(""))
     ranked = global_rank(shuffled, [F.col("_s"), F.col("_u"), *unique], "_rank", "shard-rank")
     sizes = ranked.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_first"))
-    placed = ranked.join(sizes, "_s").withColumn(
+    sizes = materialize(sizes, "shard-sources")
+    # sources are usually few: then their counts go to the rows; many are joined by a shuffle
+    few = sizes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    placed = ranked.join(F.broadcast(sizes) if few else sizes, "_s").withColumn(
         "_f", (F.col("_rank") - F.col("_first") + F.lit(0.5)) / F.col("_n")
     )
     narrow = materialize(placed.drop("_rank", "_first", "_n"), "shard-fraction")
