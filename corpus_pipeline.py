@@ -16,6 +16,8 @@ from duskline.llm.common import materialize
 
 #: Documents of which a smaller share of n-grams belongs to any one language are rejected as junk.
 MIN_LANGUAGE_SCORE = 0.2
+#: Repeated strings of so many bytes are cut; about 50 words.
+PASSAGE_BYTES = 300
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out the passages that repeat."""
-    return recount(suffixdedup.remove_repeats(docs))
+    return recount(suffixdedup.remove_repeats(docs, length=PASSAGE_BYTES, window=PASSAGE_BYTES * 3 // 8))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def recount(docs: DataFrame) -> DataFrame:
