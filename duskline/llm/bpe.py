@@ -16,7 +16,7 @@ rows give repeated rows; an empty table gives none; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
 import pandas as pd
@@ -30,57 +30,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank; the least rank is found through three levels of 64-bit words."""
-
-    def __init__(self, n_ranks: int):
-        n0 = n_ranks // 64 + 1
-        n1 = n0 // 64 + 1
-        self.low = [0] * n0
-        self.mid = [0] * n1
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def fill(self, by_rank: dict[int, list[int]]) -> None:
-        for rank, positions in by_rank.items():
-            self.push(rank, positions[0])
-            self.buckets[rank] = positions
-            heapify(positions)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least (rank, position), or None."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        a = (b << 6) + (self.mid[b] & -self.mid[b]).bit_length() - 1
-        rank = (a << 6) + (self.low[a] & -self.low[a]).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
+_BIT = [1 << k for k in range(64)]
 
 
 class ByteBPE:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = 64 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = 192 << 20):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.n_ranks = max(ranks.values()) + 1
@@ -88,7 +44,10 @@ class ByteBPE:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_bytes = cache_bytes
         self.cached = 0
-        self._queue = RankQueue(self.n_ranks)
+        # the queue, empty between pre-tokens: positions by rank, and two levels of 64-bit words of the bitmap
+        self._buckets: dict[int, list[int]] = {}
+        self._low = [0] * (self.n_ranks // 64 + 1)
+        self._mid = [0] * (self.n_ranks // 4096 + 1)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: merge the pair of least rank, leftmost first, until none has a rank."""
@@ -96,35 +55,52 @@ class ByteBPE:
         whole = ranks.get(piece)
         if whole is not None:
             return (whole,)
-        n = len(piece)
-        after = list(range(1, n + 1))  # start of the next symbol
+        n, rank_of, bit = len(piece), ranks.get, _BIT
+        buckets, low, mid, top = self._buckets, self._low, self._mid, 0  # top: the third level, one integer
+        after = list(range(1, n + 1))  # start of the next symbol; -1 once merged away
         before = list(range(-1, n - 1))
-        first: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                first.setdefault(r, []).append(i)
-        queue = self._queue
-        queue.fill(first)
-        while (head := queue.pop()) is not None:
-            rank, i = head
-            j = after[i]
-            if j < 0 or j >= n:
-                continue  # stale: merged away, or nothing follows any more
-            k = after[j]
-            if ranks.get(piece[i:k]) != rank:
-                continue  # stale: the pair here is another one now
-            after[i], after[j] = k, -1
-            if k < n:
-                before[k] = i
-                r = ranks.get(piece[i : after[k]])
-                if r is not None:
-                    queue.push(r, i)
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:k])
+        pairs = [(rank_of(piece[i : i + 2]), i) for i in range(n - 1)]
+        while True:
+            for r, i in pairs:
                 if r is not None:
-                    queue.push(r, h)
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        a = r >> 6
+                        low[a] |= bit[r & 63]
+                        mid[a >> 6] |= bit[a & 63]
+                        top |= 1 << (a >> 6)
+            pairs = ()
+            while top:  # find first set, level by level
+                c = (top & -top).bit_length() - 1
+                a = (c << 6) + (mid[c] & -mid[c]).bit_length() - 1
+                rank = (a << 6) + (low[a] & -low[a]).bit_length() - 1
+                bucket = buckets[rank]
+                i = heappop(bucket)
+                if not bucket:
+                    del buckets[rank]
+                    low[a] ^= bit[rank & 63]
+                    if not low[a]:
+                        mid[c] ^= bit[a & 63]
+                        if not mid[c]:
+                            top ^= 1 << c
+                j = after[i]
+                if j < 0 or j >= n:
+                    continue  # stale: merged away, or nothing follows any more
+                k = after[j]
+                if rank_of(piece[i:k]) != rank:
+                    continue  # stale: the pair here is another one now
+                after[i], after[j] = k, -1
+                h = before[i]
+                if k < n:
+                    before[k] = i
+                    pairs = ((rank_of(piece[i : after[k]]), i), (rank_of(piece[h:k]) if h >= 0 else None, h))
+                elif h >= 0:
+                    pairs = ((rank_of(piece[h:k]), h),)
+                break
+            else:
+                break
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -158,13 +134,24 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_PER_WORKER: dict[tuple[str, str], ByteBPE] = {}
+
+
+def worker_bpe(ranks_path: str, pattern: str) -> ByteBPE:
+    """The codec of this Python worker, kept with its cache from task to task."""
+    key = (ranks_path, pattern)
+    if key not in _PER_WORKER:
+        _PER_WORKER[key] = ByteBPE(load_ranks(ranks_path), pattern)
+    return _PER_WORKER[key]
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text."""
 
     def run(batches):
-        bpe = ByteBPE(load_ranks(ranks_path), pattern)
+        bpe = worker_bpe(ranks_path, pattern)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [bpe.encode(t or "") for t in pdf["text"]]})
 
@@ -176,7 +163,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, data binary): the bytes that the ids of each row stand for."""
 
     def run(batches):
-        bpe = ByteBPE(load_ranks(ranks_path), "")
+        bpe = worker_bpe(ranks_path, "")
         for pdf in batches:
             data = [bpe.decode(ids.tolist()) if ids is not None else None for ids in pdf["ids"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": data})
@@ -191,7 +178,7 @@ def round_trip(
     import hashlib
 
     def run(batches):
-        bpe = ByteBPE(load_ranks(ranks_path), pattern)
+        bpe = worker_bpe(ranks_path, pattern)
         decimal = {i: str(i) for i in bpe.tokens}.__getitem__
         sha = hashlib.sha256
         for pdf in batches:
