@@ -144,50 +144,72 @@ def hash_rows(items: DataFrame, tables: int, codes: int) -> DataFrame:
     return items.select("item", "vector").mapInPandas(run, "cell long, is_base boolean, item long")
 
 
-def _first_meeting(x, y, ids_x, ids_y, lattice: LatticeHash, dim: int):
-    """The cell in which each pair of unit vectors is counted: of the first table where they meet."""
-    bx, px = lattice.cells(x)
-    by, py = lattice.cells(y)
+def first_meeting(x, y, i, j, low_is_x, dim: int) -> np.ndarray:
+    """The cell in which each pair (i, j) is counted: of the first table where the two vectors meet.
+
+    ``x`` and ``y`` are (base, probes) of all vectors. Where one probes the other's cell, the pair is counted in
+    the cell that is probed; if each probes the other's, in the one that the smaller id probes.
+    """
+    bx, px, by, py = x[0][i], x[1][i], y[0][j], y[1][j]
     both = bx == by
     x_probes = (px == by[:, :, None]).any(axis=2)
     y_probes = (py == bx[:, :, None]).any(axis=2)
     t = (both | x_probes | y_probes).argmax(axis=1)
     r = np.arange(len(t))
-    low_is_x = ids_x < ids_y
     low_probes = np.where(low_is_x, x_probes[r, t], y_probes[r, t])
     at_y = both[r, t] | np.where(low_is_x, low_probes, ~low_probes)
     return mix64(np.where(at_y, by[r, t], bx[r, t]) + np.uint64(dim))
 
 
-def link_block(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold: float, lattices, tables, codes):
-    """Links between two blocks of a bucket (or within one): per item its counted weight and forest edges."""
-    same = right is None
-    right = left if same else right
-    if len(left) == 0 or len(right) == 0:
-        return []
-    ux, x = unit_vectors(left["vector"])
-    uy, _ = (ux, x) if same else unit_vectors(right["vector"])
-    dim = x.shape[1]
+def link_cells(pdf: pd.DataFrame, threshold: float, tables: int, codes: int, lattices: dict[int, LatticeHash]):
+    """Counted links (rows a, b of ``pdf``) of all the cell blocks in a frame of one vector length.
+
+    Within a block (i, i) of a cell all rows meet; in a block (i, j) those of slice i meet those of slice j.
+    """
+    unit, _ = unit_vectors(pdf["vector"])
+    cell, bi, bj, part = (pdf[c].to_numpy() for c in ("cell", "i", "j", "slice"))
+    item, base = pdf["item"].to_numpy(), pdf["is_base"].to_numpy()
+    new = np.ones(len(cell), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+    starts = np.append(np.flatnonzero(new), len(cell))
+    left, right = [], []
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        if hi - lo < 2 or not base[lo:hi].any():
+            continue
+        if bi[lo] == bj[lo]:
+            xs = ys = np.arange(lo, hi)
+        else:
+            rows = np.arange(lo, hi)
+            xs, ys = rows[part[lo:hi] == bi[lo]], rows[part[lo:hi] == bj[lo]]
+        for at in range(0, len(xs), 512):
+            some = xs[at : at + 512]
+            a, b = np.nonzero(unit[some] @ unit[ys].T >= threshold - 1e-9)
+            a, b = some[a], ys[b]
+            ok = (base[a] | base[b]) & (item[a] != item[b])
+            if bi[lo] == bj[lo]:
+                ok &= a < b
+            left.append(a[ok])
+            right.append(b[ok])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    exact = np.concatenate(
+        [np.zeros(0), *((unit[a[k : k + 65536]] * unit[b[k : k + 65536]]).sum(axis=1) for k in range(0, len(a), 65536))]
+    )
+    a, b = a[exact >= threshold], b[exact >= threshold]
+    if not len(a):
+        return a, b
+    dim = unit.shape[1]
     lattice = lattices.setdefault(dim, LatticeHash(dim, tables, codes))
-    ids_x, ids_y = left["item"].to_numpy(), right["item"].to_numpy()
-    base_x, base_y = left["is_base"].to_numpy(), right["is_base"].to_numpy()
-    wx, wy = left["weight"].to_numpy(), right["weight"].to_numpy()
-    out = []
-    for lo in range(0, len(ux), 512):
-        c = ux[lo : lo + 512] @ uy.T
-        i, j = np.nonzero(c >= threshold - 1e-9)
-        i += lo
-        ok = (base_x[i] | base_y[j]) & (ids_x[i] != ids_y[j])
-        if same:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        exact = (ux[i] * uy[j]).sum(axis=1)
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        for at in range(0, len(i), 4096):
-            a, b = i[at : at + 4096], j[at : at + 4096]
-            mine = _first_meeting(ux[a], uy[b], ids_x[a], ids_y[b], lattice, dim).view(np.int64) == cell
-            out.append((ids_x[a[mine]], ids_y[b[mine]], wx[a[mine]], wy[b[mine]]))
-    return out
+    used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    cells = lattice.cells(unit[used])
+    pa_, pb_ = place[: len(a)], place[len(a) :]
+    mine = np.zeros(len(a), bool)
+    for k in range(0, len(a), 16384):
+        s = slice(k, k + 16384)
+        where = first_meeting(cells, cells, pa_[s], pb_[s], item[a[s]] < item[b[s]], dim)
+        mine[s] = where.view(np.int64) == cell[a[s]]
+    return a[mine], b[mine]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -217,6 +239,7 @@ def near_duplicates(
     tables: int = 8,
     codes: int = 2,
     block: int = 2000,
+    frame_rows: int = 20000,
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
@@ -245,26 +268,29 @@ def near_duplicates(
     met = met.select("cell", "is_base", "item", "slice", F.explode(pairs).alias("at"))
     met = met.join(items, "item").select("cell", "is_base", "item", "weight", "vector", "slice", "at.i", "at.j")
 
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = (int(k) for k in key)
-        if i == j:
-            found = link_block(pdf, None, cell, threshold, {}, tables, codes)
-        else:
-            found = link_block(
-                pdf[pdf["slice"] == i], pdf[pdf["slice"] == j], cell, threshold, {}, tables, codes
-            )
-        if not found:
-            return pd.DataFrame({"item": [], "links": [], "other": []}).astype("int64")
-        a, b, wa, wb = (np.concatenate(c) for c in zip(*found))
-        both = pd.DataFrame({"item": np.concatenate((a, b)), "links": np.concatenate((wb, wa))})
-        out = both.groupby("item", as_index=False)["links"].sum()
-        tree = forest(a, b)
-        edges = pd.DataFrame({"item": [x for x, _ in tree], "links": 0, "other": [y for _, y in tree]})
-        out["other"] = out["item"]
-        return pd.concat((out, edges), ignore_index=True).astype("int64")
+    # many small cells share a frame of bounded size
+    frames = counts.agg(F.sum(F.col("n") * F.ceil(F.col("n") / block))).first()[0] or 0
+    frame = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(int(frames) // frame_rows + 1))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lattices: dict[int, LatticeHash] = {}
+        size = pdf["vector"].map(len).to_numpy()
+        for dim in np.unique(size):
+            part = pdf[size == dim].sort_values(["cell", "i", "j", "item"]).reset_index(drop=True)
+            a, b = link_cells(part, threshold, tables, codes, lattices)
+            item, weight = part["item"].to_numpy(), part["weight"].to_numpy()
+            x, y = item[a], item[b]
+            both = pd.DataFrame({"item": np.concatenate((x, y)), "links": np.concatenate((weight[b], weight[a]))})
+            sums = both.groupby("item", as_index=False)["links"].sum()
+            sums["other"] = sums["item"]
+            tree = forest(x, y)
+            out += [sums, pd.DataFrame({"item": [p for p, _ in tree], "links": 0, "other": [q for _, q in tree]})]
+        return pd.concat(out, ignore_index=True).astype("int64")
 
     found = materialize(
-        met.groupBy("cell", "i", "j").applyInPandas(link, "item long, links long, other long"), "lattice-links"
+        met.withColumn("frame", frame).groupBy("frame").applyInPandas(link, "item long, links long, other long"),
+        "lattice-links",
     )
     labels = connected_components(found.filter("item <> other").select(F.col("item").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("item").agg(F.sum("links").alias("links"))
