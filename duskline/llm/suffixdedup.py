@@ -136,7 +136,8 @@ def parse(keyed: DataFrame, text_col: str, length: int, gram: int, window: int)
 def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, window: int) -> DataFrame:
     """(_key, spans array<struct<a,b>>): byte ranges of each text that repeat; may overlap, ordered."""
     parsed = materialize(parse(keyed, text_col, length, gram, window), "phrases")
-    again = parsed.groupBy("context").count().filter("count > 1").select("context")
+    # a table of its own, so that the join with a very common context can be split
+    again = materialize(parsed.groupBy("context").count().filter("count > 1").select("context"), "contexts")
     occurrences = materialize(parsed.join(again, "context", "left_semi"), "phrases-shared")
     entries = occurrences.groupBy("context", "entry").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "place")).alias("at")
