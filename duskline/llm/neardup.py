@@ -9,11 +9,14 @@ similarity. Candidates are verified by a banded alignment of their words:
 1 - edit distance / words of the longer >= 0.8.
 
 Equal word sequences are one node, so exact copies cost nothing further. In a
-bucket only links to its leader (of least hash) are verified; documents already
+bucket links to its leader (of least hash) are verified first; documents already
 in the leader's component need no link of their own. Those that the leader
-doesn't match go on without it: the bucket is split by a longer sample of k-mers
-and gets new leaders, round after round until none is left. So a bucket costs its
-size, not its square, and no candidate is dropped. No group of documents is
+doesn't match get new leaders in buckets split by longer samples of k-mers. That
+only orders the work: at the end every bucket that still holds several components
+is compared in full, slice against slice, across components. A pair is left out
+only if lengths or word counts show that it can't reach the similarity, so no
+candidate is dropped: the classes are the components of all pairs that share a
+bucket and align. No group of documents is
 gathered in one task.
 
 Defined cases: a null text or one without any character is alone in its class;
@@ -25,6 +28,7 @@ rows; extra columns are ignored. Nodes are 64-bit content hashes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,6 +40,7 @@ from .components import connected_components
 TABLES = 32
 SHINGLE = 5
 SIMILARITY = 0.8
+BINS = 128
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -267,6 +272,28 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         k = min(most, 2 * k)
 
 
+def most_edits(longer, similarity: float):
+    """The most edits that texts of ``longer`` words in the longer one may have."""
+    return np.floor((1 - similarity) * np.asarray(longer) + 1e-9).astype(np.int64)
+
+
+def may_align(a: np.ndarray, b: np.ndarray, most: int, gram: int = 3) -> bool:
+    """False if a and b share too few ``gram``-word strings for ``most`` edits, each of which changes ``gram`` of them."""
+    need = max(len(a), len(b)) - gram + 1 - gram * most
+    if need <= 0 or min(len(a), len(b)) < gram:
+        return True
+
+    def grams(w):
+        h = np.zeros(len(w) - gram + 1, np.uint64)
+        for j in range(gram):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - gram + 1 + j]
+        return np.unique(h, return_counts=True)
+
+    (x, nx), (y, ny) = grams(a), grams(b)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.where(y[at] == x, np.minimum(nx, ny[at]), 0).sum()) >= need
+
+
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``pairs(a, b)`` whose word sequences align to at least ``similarity``."""
 
@@ -277,9 +304,8 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
             for i in range(batch.num_rows):
                 x = np.frombuffer(wa[i].as_buffer(), "<u4")
                 y = np.frombuffer(wb[i].as_buffer(), "<u4")
-                longer = max(len(x), len(y))
-                most = int((1 - similarity) * longer + 1e-9)
-                keep[i] = edit_distance(x, y, most) <= most
+                most = int(most_edits(max(len(x), len(y)), similarity))
+                keep[i] = may_align(x, y, most) and edit_distance(x, y, most) <= most
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
@@ -310,6 +336,81 @@ def deeper_keys(words: DataFrame, tables: int, k: int, depth: int) -> DataFrame:
     return words.select("node", "words").mapInArrow(run, "node long, table int, deeper long")
 
 
+def profiles(words: DataFrame) -> DataFrame:
+    """(node, profile): how many words fall into each of ``BINS`` hash bins, 255 at most."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8_bytes(batch.column("words"))
+            w = np.frombuffer(data.tobytes(), "<u4").astype(np.uint64)
+            bins = (mix64(w) % np.uint64(BINS)).astype(np.int64)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 4)
+            counts = np.bincount(text * BINS + bins, minlength=batch.num_rows * BINS)
+            counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            blobs = [counts[i : i + BINS] for i in range(0, len(counts), BINS)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], ["node", "profile"])
+
+    return words.select("node", "words").mapInArrow(run, "node long, profile binary")
+
+
+def possible_pairs(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs of a frame's blocks that lie in different components and that lengths and profiles don't rule out.
+
+    In a block (i, i) all rows meet, in a block (i, j) those of slice i meet those of slice j.
+    """
+    pdf = pdf.sort_values(["bucket", "i", "j"], kind="stable")
+    bucket, i, j, part, node, comp, size = (
+        pdf[c].to_numpy() for c in ("bucket", "i", "j", "slice", "node", "component", "n_words")
+    )
+    n = len(pdf)
+    profile = np.frombuffer(b"".join(pdf["profile"]), np.uint8).reshape(n, BINS).astype(np.int16)
+    new = np.ones(n, bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    first = np.flatnonzero(new)
+    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    found, step, rows = [], 0, np.arange(n)
+    while len(rows):
+        step += 1
+        rows = rows[rows + step < end[rows]]
+        x, y = rows, rows + step
+        meet = (comp[x] != comp[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+        x, y = x[meet], y[meet]
+        longer = np.maximum(size[x], size[y])
+        most = most_edits(longer, similarity)
+        meet = longer - np.minimum(size[x], size[y]) <= most
+        x, y, most = x[meet], y[meet], most[meet]
+        apart = np.concatenate(
+            [np.abs(profile[x[k : k + 8192]] - profile[y[k : k + 8192]]).sum(1) for k in range(0, len(x), 8192)] or [[]]
+        )
+        meet = apart <= 2 * most  # an edit moves two words at most
+        found.append((x[meet], y[meet], apart[meet]))
+    x, y, apart = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in range(3))
+    out = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "apart": apart})
+    return out.drop_duplicates(["a", "b"])
+
+
+def residue(rows: DataFrame, words: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """(a, b, apart): the pairs of each bucket of ``rows(bucket, node, n_words, component)`` that may align across components."""
+    counts = rows.groupBy("bucket").count()
+    met = rows.join(counts, "bucket").withColumn("slices", F.ceil(F.col("count") / block).cast("int"))
+    met = met.withColumn("slice", F.pmod(F.xxhash64("node", "bucket"), F.col("slices")).cast("int"))
+    # block (i, j), i <= j, of a bucket meets in one task
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.col("slices") - 1),
+        lambda o: F.struct(F.least("slice", o).alias("i"), F.greatest("slice", o).alias("j")),
+    )
+    met = met.select("bucket", "node", "n_words", "component", "slice", F.explode(blocks).alias("at"))
+    counted = profiles(words.join(rows.select("node").distinct(), "node", "left_semi"))
+    met = met.join(materialize(counted, "omh-profiles"), "node").select("*", "at.i", "at.j").drop("at")
+    total = counts.agg(F.sum(F.col("count") * F.ceil(F.col("count") / block))).first()[0] or 0
+    frame = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(total // 8192 + 1))
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return possible_pairs(pdf, similarity)
+
+    return met.withColumn("frame", frame).groupBy("frame").applyInPandas(pairs, "a long, b long, apart long")
+
+
 def leaders_of(members: DataFrame) -> DataFrame:
     """Give each row of ``members(bucket, node, n_words, ...)`` its bucket's leader; drop lone rows and leaders."""
     chosen = members.groupBy("bucket").agg(
@@ -361,7 +462,7 @@ def near_duplicates(
     members = nodes.select(
         "node", "n_words", F.posexplode("keys").alias("table", "key")
     ).select(F.col("key").alias("bucket"), "node", "n_words", "table")
-    led = materialize(leaders_of(members), "omh-members")
+    led = shared = materialize(leaders_of(members), "omh-members")
     words = words_of(docs, text_col).join(led.select("node").union(led.select("leader")).distinct(), "node", "left_semi")
     words = materialize(words.dropDuplicates(["node"]), "omh-words")
     labels: DataFrame | None = None
@@ -395,6 +496,20 @@ def near_duplicates(
             break
         link(led)
         depth = min(2 * depth + 2, 62)
+    # whatever still lies apart in a bucket meets in full, the closest pair of two components first
+    mixed = materialize(unresolved(shared).select("bucket").distinct(), "omh-mixed")
+    if not mixed.isEmpty():
+        rows = shared.select("bucket", "node", "n_words").union(shared.select("bucket", "leader", "leader_words").distinct())
+        rows = rows.join(mixed, "bucket", "left_semi").join(labels, "node", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "node"))
+        pairs = residue(materialize(rows, "omh-mixed-rows"), words, similarity)
+        pairs = materialize(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "omh-possible")
+        apart = _with_components(pairs, labels, "a", "b").filter("_ca <> _cb")
+        closest = apart.groupBy(F.least("_ca", "_cb"), F.greatest("_ca", "_cb")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+        for ask in (lambda: closest.select("p.a", "p.b"), lambda: _with_components(pairs, labels, "a", "b").filter("_ca <> _cb")):
+            found = materialize(verify(ask(), words, similarity), "omh-links")
+            if not found.isEmpty():
+                labels = _merge(labels, found)
     rows = sketched.select("doc_id", "text_hash", "node").join(labels, "node", "left")
     rows = rows.withColumn("_class", F.coalesce("component", "node"))
     best = (

@@ -156,6 +156,42 @@ def test_near_duplicates(docs, corpus, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def check_classes(rows, texts, tables):
+    """Classes are the components of all pairs that share a bucket and align."""
+    packed, starts = neardup.word_hashes(pa.array(texts))
+    h, begin = neardup.kmers(packed, starts, neardup.SHINGLE)
+    keys = neardup.order_minhash(h, begin, tables)
+    seqs = [packed[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            most = int(0.2 * max(len(seqs[a]), len(seqs[b])) + 1e-9)
+            if want[a] != want[b] and (keys[a] == keys[b]).any() and neardup.edit_distance(seqs[a], seqs[b], most) <= most:
+                old, to = max(want[a], want[b]), min(want[a], want[b])
+                want = [to if w == old else w for w in want]
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(want))
+    return len(set(want))
+
+
+def template_group(rng, n):
+    """Copies of one template, each with some other words at places of its own."""
+    base = words(rng, 80)
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for at in rng.sample(range(80), rng.randrange(7, 15)):
+            text[at] = "x" + str(rng.randrange(10**6))
+        out.append(" ".join(text))
+    return out
+
+
+def test_no_candidate_of_a_bucket_is_dropped(spark):
+    texts = template_group(random.Random(8), 300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [check_classes(neardup.near_duplicates(df, tables=t, first_tables=1).collect(), texts, t) for t in (2, 6)]
+    assert found[0] > found[1]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
