@@ -16,8 +16,8 @@ from duskline.llm.common import materialize
 
 #: Documents of which a smaller share of n-grams belongs to any one language are rejected as junk.
 MIN_LANGUAGE_SCORE = 0.2
-#: Repeated strings of so many bytes are cut; about 50 words.
-PASSAGE_BYTES = 300
+#: Repeated strings of so many words are cut.
+PASSAGE_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out the passages that repeat."""
-    return recount(suffixdedup.remove_repeats(docs, length=PASSAGE_BYTES, window=PASSAGE_BYTES * 3 // 8))
+    return recount(suffixdedup.remove_repeated_passages(docs, words=PASSAGE_WORDS))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

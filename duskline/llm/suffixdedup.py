@@ -48,6 +48,8 @@ GRAM = 16
 WINDOW = 150
 SEGMENT = 2 << 20
 BLOCK = 25
+CODE = 6
+_WIDE_SPACES = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
 def sliding_min(v: np.ndarray, window: int) -> np.ndarray:
@@ -241,14 +243,62 @@ def _merge(spans, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word of UTF-8 texts: the runs between white space, as ``str.split`` has them."""
+    n = len(data)
+    inside = ~(((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 32)))
+    for space in _WIDE_SPACES:
+        at = np.flatnonzero(data[: n - len(space) + 1] == space[0]) if n >= len(space) else np.zeros(0, np.int64)
+        for k in range(1, len(space)):
+            at = at[data[at + k] == space[k]]
+        for k in range(len(space)):
+            inside[at + k] = False
+    bounds = np.zeros(n + 1, bool)
+    bounds[offsets] = True
+    start, stop = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | bounds[1:-1]
+    stop[:-1] &= ~inside[1:] | bounds[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def word_codes():
+    """A column function: each word of a text as ``CODE`` characters of its hash, so that words repeat as bytes do."""
+
+    @F.pandas_udf("string")
+    def code(text: pd.Series) -> pd.Series:
+        out = []
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], ["text"])
+        for part in batches_of_bytes(batch, "text"):
+            data, offsets = utf8_bytes(part.column("text"))
+            first, end = word_places(data, offsets)
+            h = RollingHash(data).of(first, end - first)
+            bits = h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6)) & np.uint64(63)
+            codes = (bits + np.uint64(48)).astype(np.uint8).tobytes().decode("ascii")
+            at = (np.searchsorted(first, offsets) * CODE).tolist()
+            out += [codes[a:b] for a, b in zip(at[:-1], at[1:])]
+        return pd.Series(out, dtype=object)
+
+    return code
+
+
 def mark_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM, window: int = WINDOW
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 400,
+    gram: int = GRAM,
+    window: int = WINDOW,
+    by_words: bool = False,
 ) -> DataFrame:
-    """All columns of ``docs`` with ``_spans``: the byte ranges that repeat (null if none)."""
+    """All columns of ``docs`` with ``_spans``: the byte ranges that repeat (null if none).
+
+    ``by_words``: the ranges are those of the text's word codes, and so is ``length``.
+    """
     if not (0 < gram < window <= min(length - gram, 65535) and length > BLOCK):
         raise ValueError("need gram < window <= length - gram")
     keyed = with_text_key(docs, id_col, text_col)
-    spans = repeated_spans(keyed, text_col, length, gram, window)
+    coded = keyed.withColumn(text_col, word_codes()(F.col(text_col))) if by_words else keyed
+    spans = repeated_spans(coded, text_col, length, gram, window)
     return keyed.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left").drop("_key")
 
 
@@ -297,3 +347,37 @@ def remove_repeats(
     marked = mark_repeats(docs, id_col, text_col, length, window=window)
     fresh = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
     return marked.withColumn(text_col, fresh).select(*docs.columns)
+
+
+def remove_repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51
+) -> DataFrame:
+    """``docs`` with each string of ``words`` words cut out that also starts anywhere else in the corpus.
+
+    The parse runs over word codes of ``CODE`` bytes each; a span that holds part of a code only is cut back to whole
+    words. White space between words does not count.
+    """
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(text, spans):
+            if t is None or s is None or not len(s):
+                out.append(t)
+                continue
+            data = t.encode("utf-8", "surrogatepass")
+            first, end = word_places(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            kept, at = [], 0
+            for a, b in _merge(s, CODE * len(first)):
+                a, b = -(-a // CODE), b // CODE
+                if b - a >= words:
+                    kept.append(data[at : first[a]])
+                    at = end[b - 1]
+            kept.append(data[at:])
+            out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
+        return pd.Series(out, dtype=object)
+
+    length = words * CODE
+    marked = mark_repeats(docs, id_col, text_col, length, window=length * 3 // 8, by_words=True)
+    fresh = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
+    return marked.withColumn(text_col, fresh).select(*docs.columns)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import public_tokenizers as P
 
 import corpus_pipeline
@@ -27,3 +29,24 @@ def test_pipeline(spark, tmp_path):
     encode = encoder(P.path("byte_bpe_50k.tiktoken"))
     assert {r.doc_id: r.length for r in seen["packing"]} == {i: len(encode([t])[0]) + 1 for i, t in clean.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_passages_are_judged_by_words(spark):
+    """51 short words that repeat are cut, 50 words that repeat are not, whatever their bytes."""
+    rng = random.Random(6)
+
+    def fill(n, size):
+        return " ".join("".join(rng.choice("abcdefghij\u00e9") for _ in range(size)) for _ in range(n))
+
+    short, under, long = fill(51, 3), fill(50, 12), fill(51, 20)
+    texts, want = [], []
+    for p in (short, under, long):
+        for gap in (" ", "\n", "\u00a0"):
+            a, b = fill(40, 6), fill(70, 6)
+            texts.append(a + gap + p + gap + b)
+            want.append(texts[-1] if p is under else a + gap + gap + b)
+    texts += [None, "", "  ", short.replace(" ", "\u2003  "), short + " x " + short]
+    want += [None, "", "  ", "", " x "]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in enumerate(want)}
