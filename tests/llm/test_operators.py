@@ -192,6 +192,23 @@ def test_no_candidate_of_a_bucket_is_dropped(spark):
     assert found[0] > found[1]
 
 
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.97), (0.85, 0.99), (0.9, 0.995)])
+def test_scattered_edits_become_candidates(similarity, least):
+    rng = np.random.default_rng(3)
+    n, pairs = 150, 400
+    a = rng.integers(1, 1 << 60, (pairs, n)).astype(np.uint64)
+    b = a.copy()
+    edits = round((1 - similarity) * n)
+    for row in b:
+        row[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 60, edits)
+    assert all(neardup.edit_distance(x, y, edits) <= edits for x, y in zip(a, b))
+    keys = [
+        neardup.order_minhash(*neardup.kmers(x.ravel(), np.arange(pairs + 1) * n, neardup.SHINGLE), neardup.TABLES)
+        for x in (a, b)
+    ]
+    assert (keys[0] == keys[1]).any(1).mean() >= least
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
