@@ -55,7 +55,14 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]+", least=24),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    # up to the END line; without one, the header and base64 lines that follow (line ends may be written \\n)
+    Rule(
+        "pem",
+        r"-----BEGIN (?P<of>(?:[A-Z]+ )?)PRIVATE KEY-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?P=of)PRIVATE KEY-----"
+        r"|(?:\s*\n[A-Za-z-]+: [^\r\n]*)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{24,})*(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,23}={0,2}(?=\s*(?:\n|\Z)))?)",
+        version=3,
+    ),
 )
 
 

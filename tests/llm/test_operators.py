@@ -345,6 +345,17 @@ def test_secrets(spark, docs, corpus, empty):
     assert secrets.scan_versions(empty.select("doc_id", "text")).count() == 0
 
 
+def test_the_body_of_a_private_key_goes_too(spark):
+    rng = random.Random(2)
+    lines = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(6)] + ["QUJDRA=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole, cut = "\n".join([begin, *lines, end]), "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "", *lines])
+    texts = [f"a {whole} b", f"a {cut}\nand then prose", f"{cut}\n{whole} c", "say " + whole.replace("\n", "\\n"), begin + " is a marker", whole.replace("\n", " ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["a [pem] b", "a [pem]\nand then prose", "[pem]\n[pem] c", "say [pem]", "[pem] is a marker", "[pem]"]
+
+
 def test_ledger_scans_only_what_is_new(spark):
     v = lambda *t: spark.createDataFrame(list(t), "path string, text string")
     ledger = secrets.BlobLedger(spark)
