@@ -13,19 +13,22 @@ of one trigger form a phrase, and the phrase with its right context of
 of the dictionary; the parse says where each entry occurs.
 
 Corpus order: the suffixes of the dictionary entries, truncated at ``length``
-bytes, stand for all text positions. Equal truncated suffixes must have the same
-trigger content behind their start, so entries are first grouped by that
-content, and:
-  1. an entry that occurs twice repeats in all its positions;
+bytes, stand for all text positions. Equal truncated suffixes have the same
+trigger content behind their start and the same distance to it, so entries are
+grouped by that content, and:
+  1. an entry that the parse holds twice repeats in all its positions;
   2. an entry that occurs once needs its suffixes compared only if other entries
-     share its trigger content; those are the borders of repeats. They are compared in
+     share its trigger content; those are the borders of repeats. Their suffixes go in
      blocks: one whose common core occurs once repeats nowhere, one whose bytes all
-     occur again repeats throughout, and only what is left is compared one by one.
-The comparison brings equal suffixes together by 128-bit fingerprints in a
-shuffle, where a lexicographic suffix array would put them side by side; only
-equality is needed, not which neighbour sorts first. So work and shuffle grow
-with the number of phrases (about 2 / window of the bytes), not with the number
-of suffixes, and no text is gathered anywhere.
+     occur again repeats throughout, and only what is left is put in order.
+The suffix array of what is left: within a core and a distance to the trigger,
+truncated suffixes differ only in the ``BLOCK`` - 1 bytes around the core, so these
+bytes are the sort key and no suffix is copied out. A range shuffle sorts them
+over all tasks, whatever the size of a group; a suffix repeats if it equals its
+neighbour in that order. Groups follow one another by hash, suffixes within a group
+by their bytes. Work and shuffle grow with the number of phrases (about 2 /
+window of the bytes), not with the number of suffixes, and no text is gathered
+anywhere.
 
 Nulls: a null text is empty. Texts shorter than ``length`` bytes are kept whole.
 Repeated rows are separate texts, so they repeat each other. Empty tables and
@@ -39,10 +42,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batches_of_bytes, materialize, mix64, utf8_bytes
+from .common import RollingHash, batches_of_bytes, materialize, mix64, shuffle_partitions, utf8_bytes
 
 GRAM = 16
 WINDOW = 150
@@ -150,24 +154,28 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, wind
     borders = entries.join(mixed.filter("kinds > 1 and least = 1").select("context"), "context", "left_semi")
     places = borders.groupBy("_key").agg(F.collect_list(F.struct("context", "n", "place")).alias("_at"))
     blocks = materialize(border_blocks(keyed.join(places, "_key"), text_col, length), "blocks")
-    # a block whose core occurs once repeats nowhere; one whose cover occurs again repeats all over
+    # a block whose core occurs once repeats nowhere; one whose bytes occur again repeats all over
     group = ["context", "core"]
     alive = blocks.groupBy(*group).count().filter("count > 1").select(*group)
-    blocks = materialize(blocks.join(alive, group, "left_semi"), "blocks-shared")
-    covers = blocks.groupBy(*group, "cover").agg(F.count(F.lit(1)).alias("c"))
-    covered = blocks.filter("n = 1").join(covers.filter("c > 1").drop("c"), [*group, "cover"]).select(
-        "_key", F.col("start").alias("a"), (F.col("start") + F.size("suffixes") - 1).alias("b")
+    blocks = materialize(blocks.join(materialize(alive, "cores"), group, "left_semi"), "blocks-shared")
+    covers = blocks.groupBy(*group, "lead", "outer").agg(F.count(F.lit(1)).alias("c"))
+    size = F.length("outer") - (BLOCK - 2)
+    covered = blocks.filter("n = 1").join(covers.filter("c > 1").drop("c"), [*group, "lead", "outer"]).select(
+        "_key", F.col("start").alias("a"), (F.col("start") + size - 1).alias("b")
     )
     mixed = covers.groupBy(*group).agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds"))
     opened = blocks.join(mixed.filter("least = 1 and kinds > 1").select(*group), group, "left_semi")
-    suffixes = opened.select("context", "n", "_key", "start", F.posexplode("suffixes").alias("i", "suffix"))
-    suffixes = suffixes.select("context", "suffix", "n", "_key", (F.col("start") + F.col("i")).alias("start"))
-    suffixes = materialize(suffixes, "suffixes")
-    equal = suffixes.groupBy("context", "suffix").count().filter("count > 1").select("context", "suffix")
-    # a suffix of an entry that occurs once and has an equal elsewhere: mark it at its own place
-    single = suffixes.filter("n = 1").join(equal, ["context", "suffix"]).select(
-        "_key", F.col("start").alias("a"), F.col("start").alias("b")
+    suffixes = opened.select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("i")).select(
+        *group,
+        (F.col("lead") - F.col("i")).alias("back"),
+        F.expr(f"substring(outer, i + 1, {BLOCK - 1})").alias("around"),
+        "n",
+        "_key",
+        (F.col("start") + F.col("i")).alias("start"),
     )
+    # a suffix of an entry that occurs once and has an equal beside it in the order: mark it at its own place
+    single = repeats_in_order(materialize(suffixes, "suffixes"), [*group, "back", "around"])
+    single = single.select("_key", F.col("start").alias("a"), F.col("start").alias("b"))
     single = materialize(covered.unionByName(single), "border-marks")
     first = F.shiftright("place", 32)
     whole = occurrences.join(entries.filter("n > 1").select("context", "entry"), ["context", "entry"]).select(
@@ -177,11 +185,43 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, wind
     return marks.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
+def repeats_in_order(suffixes: DataFrame, order: list[str]) -> DataFrame:
+    """(_key, start): the suffixes of single entries (n = 1) that equal a neighbour in the sort by ``order``."""
+
+    def run(batches):
+        held = None  # the row before, of which only the next one is not yet known
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            same = np.ones(rows.num_rows - 1, bool)
+            for c in order:
+                column = rows.column(c)
+                same &= pc.equal(column[:-1], column[1:]).to_numpy()
+            repeats = np.append(same, False)
+            repeats[1:] |= same
+            if held is not None:
+                repeats[0] |= before
+            held, before = rows.slice(rows.num_rows - 1), bool(repeats[-1])
+            yield from emit(rows.slice(0, rows.num_rows - 1), repeats[:-1])
+        if held is not None:
+            yield from emit(held, np.array([before]))
+
+    def emit(rows, repeats):
+        single = repeats & (rows.column("n").to_numpy() == 1)
+        yield from rows.select(["_key", "start"]).filter(pa.array(single)).combine_chunks().to_batches()
+
+    parts = shuffle_partitions(suffixes.sparkSession)
+    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "_key long, start int")
+
+
 def border_blocks(texts: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(context, core, cover, n, _key, start, suffixes): blocks of up to BLOCK suffixes of the given entries.
+    """(context, core, n, _key, start, lead, outer): blocks of up to BLOCK suffixes of the given entries.
 
     Blocks are aligned to the trigger. ``core`` is the hash of what all strings of the block have in common,
-    ``cover`` that of all the block's bytes, ``suffixes`` those of the truncated suffixes from ``start`` on.
+    ``outer`` the block's bytes without it, of which ``lead`` stand before it. The truncated suffix that starts at
+    the i-th of them is told from others of the core by lead - i and the BLOCK - 1 bytes of ``outer`` from i on.
     """
 
     def run(batches):
@@ -203,32 +243,32 @@ def border_blocks(texts: DataFrame, text_col: str, length: int) -> DataFrame:
                 k = np.arange(len(e)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + low[e]
                 top = trigger[e] - k * BLOCK  # the last start that the block may have
                 begin, end = np.maximum(first[e], top - BLOCK + 1), np.minimum(last[e], top)
-                size = end - begin + 1
-                core = mix64(rolling.of(top, length - BLOCK + 1) + k.astype(np.uint64))
-                shape = ((trigger[e] - begin) * 65536 + size).astype(np.uint64)
-                cover = mix64(rolling.of(begin, size - 1 + length) + shape)
-                b = np.repeat(np.arange(len(e)), size)
-                start = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size) + begin[b]
-                suffix = mix64(rolling.of(start, length) + (trigger[e[b]] - start).astype(np.uint64))
+                inner = length - BLOCK + 1
+                core = mix64(rolling.of(top, inner) + k.astype(np.uint64))
+                lead = top - begin
+                size = lead + end - top + BLOCK - 1
+                bounds = np.concatenate(([0], np.cumsum(size)))
+                at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+                at += np.repeat(begin, size) + np.where(at >= np.repeat(lead, size), inner, 0)
+                outer = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data[at].tobytes())]
+                )
                 key = part.column("_key").to_numpy(zero_copy_only=False)
-                bounds = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(f["context"][e]),
                         pa.array(core.view(np.int64)),
-                        pa.array(cover.view(np.int64)),
                         pa.array(f["n"][e]),
                         pa.array(key[row[e]]),
                         pa.array((begin - offsets[row[e]]).astype(np.int32)),
-                        pa.ListArray.from_arrays(bounds, pa.array(suffix.view(np.int64))),
+                        pa.array(lead.astype(np.int32)),
+                        outer,
                     ],
-                    ["context", "core", "cover", "n", "_key", "start", "suffixes"],
+                    ["context", "core", "n", "_key", "start", "lead", "outer"],
                 )
 
     source = texts.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_at")
-    return source.mapInArrow(
-        run, "context long, core long, cover long, n long, _key long, start int, suffixes array<long>"
-    )
+    return source.mapInArrow(run, "context long, core long, n long, _key long, start int, lead int, outer binary")
 
 
 def _merge(spans, size: int) -> list[tuple[int, int]]:
@@ -303,21 +343,26 @@ def mark_repeats(
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """Per document: bytes, removed bytes, removed runs, and the hash of what is left."""
+    """Per document: bytes, removed bytes, removed runs, the hash of what is left, and that as text.
+
+    In ``text`` a code point that is cut in part goes whole; the hash is of the bytes as they are.
+    """
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(text, spans):
             data = (t or "").encode("utf-8", "surrogatepass")
             runs = _merge(s, len(data))
-            kept, at = hashlib.sha256(), 0
+            kept, at = [], 0
             for a, b in runs:
-                kept.update(data[at:a])
+                kept.append(data[at:a])
                 at = b
-            kept.update(data[at:])
-            rows.append((len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kept.append(data[at:])
+            digest = hashlib.sha256(b"".join(kept)).hexdigest()
+            left = "".join(k.decode("utf-8", "ignore") for k in kept)
+            rows.append((len(data), sum(b - a for a, b in runs), len(runs), digest, left))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     marked = mark_repeats(docs.select(id_col, text_col), id_col, text_col, length)
     return marked.select(F.col(id_col).alias("doc_id"), cut(text_col, "_spans").alias("_d")).select("doc_id", "_d.*")
