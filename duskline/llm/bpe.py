@@ -9,7 +9,7 @@ of the pre-token, so a pre-token of a million bytes is encoded in one pass over
 its merges.
 
 Texts are rows; Spark spreads them, and each task keeps a bounded cache from
-pre-token to ids. Nulls: a null text encodes as an empty one (no ids). Repeated
+pre-token to ids. Nulls: a null text encodes as an empty one (no ids); a null id stays null. Repeated
 rows give repeated rows; an empty table gives none; extra columns are ignored.
 """
 
@@ -19,11 +19,13 @@ import base64
 from heapq import heappop, heappush
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches_of_bytes
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -152,11 +154,12 @@ def encode_documents(
 
     def run(batches):
         bpe = worker_bpe(ranks_path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [bpe.encode(t or "") for t in pdf["text"]]})
+        for batch in batches:
+            for part in batches_of_bytes(batch, "text"):
+                ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, ids array<int>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -164,11 +167,11 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches):
         bpe = worker_bpe(ranks_path, "")
-        for pdf in batches:
-            data = [bpe.decode(ids.tolist()) if ids is not None else None for ids in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": data})
+        for batch in batches:
+            data = [None if ids is None else bpe.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
 
 
 def round_trip(
@@ -181,16 +184,21 @@ def round_trip(
         bpe = worker_bpe(ranks_path, pattern)
         decimal = {i: str(i) for i in bpe.tokens}.__getitem__
         sha = hashlib.sha256
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                ids = bpe.encode(text or "")
-                rows.append(
-                    (len(ids), sha(",".join(map(decimal, ids)).encode()).hexdigest(), sha(bpe.decode(ids)).hexdigest())
+        for batch in batches:
+            for part in batches_of_bytes(batch, "text"):
+                n, of_ids, of_bytes = [], [], []
+                for text in part.column("text").to_pylist():
+                    ids = bpe.encode(text or "")
+                    n.append(len(ids))
+                    of_ids.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
+                    of_bytes.append(sha(bpe.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,28 +13,91 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_DATABASES: dict[str, str] = {}
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_OPEN: list[Intermediates] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only in local mode, where one machine does all, may it be unset: then it is a new temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _database(spark: SparkSession) -> str:
+    """The database of this process's intermediate tables, a folder in the shared folder."""
+    base = shared_dir(spark)
+    name = _DATABASES.setdefault(base, f"duskline_{uuid.uuid4().hex}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{base}/{name}'")
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to a table in the shared folder and read it back.
 
-    This cuts the lineage with a table that survives lost executors; the
-    table stays until the shared folder is cleaned.
+    This cuts the lineage with a table that survives lost executors. The table stays until it is discarded, the
+    ``Intermediates`` block around it ends, or ``release`` drops all.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/duskline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the finished job's shuffle files go as soon as the driver has collected its garbage, not when it happens to
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = f"{_database(spark)}.{re.sub(r'[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the job's shuffle files go when it ends
+    try:
+        df.write.format("parquet").saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.table(table)
+    _STORED[out] = table
+    if _OPEN:
+        _OPEN[-1].tables[table] = spark
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Drop the tables of frames that ``materialize`` returned and nothing needs any more."""
+    for df in frames:
+        table = _STORED.pop(df, None)
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+class Intermediates:
+    """A ``with`` block at whose end the tables written inside are dropped, except for those of kept frames."""
+
+    def __init__(self):
+        self.tables: dict[str, SparkSession] = {}
+        self.kept: set[str] = set()
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept.update(_STORED[df] for df in frames)
+
+    def __enter__(self) -> Intermediates:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _OPEN.remove(self)
+        for table, spark in self.tables.items():
+            if table not in self.kept or failure[0]:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            elif _OPEN:
+                _OPEN[-1].tables[table] = spark
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all intermediate tables of this process; results that are not written yet can't be read afterwards."""
+    name = _DATABASES.pop(shared_dir(spark), None)
+    if name:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

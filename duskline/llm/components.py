@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,21 +25,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
             pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
         least = both.groupBy("node").agg(F.min("other").alias("low"))
-        step = materialize(least.select("node", F.least("node", "low").alias("low")), "cc-step")
-        if labels is None:
-            labels = step.withColumnRenamed("low", "component")
-        else:
-            moved = step.select(F.col("node").alias("component"), "low")
-            labels = labels.join(moved, "component", "left").select(
+        step = materialize(least.select("node", F.least("node", "low").alias("component")), "cc-step")
+        if labels is not None:
+            moved = step.select(F.col("node").alias("component"), F.col("component").alias("low"))
+            further = labels.join(moved, "component", "left").select(
                 "node", F.coalesce("low", "component").alias("component")
             )
-            labels = materialize(labels, "cc-labels")
-        left = step.select(F.col("node").alias("a"), F.col("low").alias("a2"))
-        right = step.select(F.col("node").alias("b"), F.col("low").alias("b2"))
+            further = materialize(further, "cc-labels")
+            discard(labels)
+        left = step.select(F.col("node").alias("a"), F.col("component").alias("a2"))
+        right = step.select(F.col("node").alias("b"), F.col("component").alias("b2"))
         moved = pairs.join(left, "a").join(right, "b").filter("a2 <> b2")
-        pairs = materialize(
+        moved = materialize(
             moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges"
         )
+        discard(pairs)
+        pairs = moved
+        if labels is None:
+            labels = step
+        else:
+            discard(step)
+            labels = further
     if labels is None:
-        labels = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = materialize(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")), "cc-labels")
+    discard(pairs)
     return labels

@@ -1,6 +1,7 @@
 """Nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are dealt to shards of about ``shard_rows`` by hash of the id. Each shard
+Vectors are dealt to shards of about ``shard_rows`` by hash of the id. A shard grows
+with the table up to what a task can hold, so that a query descends few graphs. Each shard
 is one row of the index table: ids, vectors, and for every level of the graph its
 nodes and a flat array of neighbours (``width`` per node, -1 for none).
 Levels are drawn from the id's hash; each level is built from the top down,
@@ -208,15 +209,19 @@ def build_index(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 4096,
+    shard_rows: int | None = None,
     m: int = 16,
     beam: int = 64,
 ) -> DataFrame:
-    """The index table of all valid vectors, a row per shard, written to the shared folder."""
+    """The index table of all valid vectors, a row per shard, written to the shared folder.
+
+    By default a shard has 4096 rows, or a 64th of a larger table, but 65536 at most.
+    """
     rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim")
     )
-    shards = -(-rows.count() // shard_rows) or 1
+    n = rows.count()
+    shards = -(-n // (shard_rows or min(65536, max(4096, n // 64)))) or 1
 
     def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -241,7 +246,7 @@ def nearest(
     vector_col: str = "embedding",
     beam: int = 192,
     m: int = 16,
-    block_rows: int = 2048,
+    block_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each valid query, by exact distance."""
     q = queries.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(

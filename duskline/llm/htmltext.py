@@ -9,7 +9,9 @@ occurs on it, or by its own best container if none does.
 
 Blocks are the text runs between block-level tags. Character references are
 decoded, white space inside a block becomes one space, and blocks are joined in
-page order by a line feed; nothing is capped. Left out: menus, page headers,
+page order by a line feed; nothing is capped. A class or id marks furniture only if
+all its words do (``cookie-notice``, not ``notice-period``), inside an article only on
+grouping elements. Left out: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
 
 A null or empty page gives an empty text; a page without a container gives what
@@ -21,11 +23,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -36,15 +41,16 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names of the HTML standard by role here, and usual names of page furniture.
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg"}
+RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes", "template", "svg"}
+INLINE_FORM = {"button", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "body", "head", "article", "section", "main", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
     "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre",
     "figure", "figcaption", "address", "details", "summary", "center", "fieldset", "hgroup", "nav", "header", "footer",
-    "aside", "form", "select", "button", "menu", "dialog", "object", "optgroup", "option", "legend",
+    "aside", "form", "menu", "dialog", "object", "optgroup", "option", "legend",
 }
-SKIP = {"head", "nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "object"}
+SKIP = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "object"}
 FURNITURE = {
     "ad", "ads", "advert", "adverts", "advertisement", "promo", "promotion", "sponsor", "sponsored", "banner",
     "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "comment", "comments",
@@ -52,6 +58,15 @@ FURNITURE = {
     "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "login", "masthead",
     "topbar", "alert", "gdpr", "respond", "replies",
 }
+# Words that add nothing to the ones above in the name of a class or an id.
+NEUTRAL = {
+    "main", "site", "page", "global", "post", "posts", "article", "articles", "entry", "blog", "top", "bottom", "left",
+    "right", "primary", "secondary", "inner", "outer", "box", "block", "bar", "area", "list", "link", "links", "item",
+    "items", "container", "wrapper", "wrap", "section", "content", "panel", "group", "buttons", "button", "icons", "title",
+    "heading", "form", "text", "body", "row", "slot", "unit", "media", "header", "x", "id", "module", "overlay", "message",
+}
+#: Elements that pages use to group: inside an article only these are taken for furniture by their name alone.
+GROUPS = {"div", "section", "ul", "ol", "dl", "table", "center", "fieldset", "details", "span"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "menu", "menubar", "form"}
 CONTAINER = {"article", "section", "main", "div", "td", "body", "blockquote", "html"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -59,6 +74,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LISTS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "select"}
 
 
+@lru_cache(maxsize=4096)
+def is_furniture(label: str) -> bool:
+    """Whether a class or id names page furniture: with all its words, not with one among others."""
+    words = {w.lower() for w in WORD.findall(label) if not w.isdigit()}
+    return not FURNITURE.isdisjoint(words) and words <= FURNITURE | NEUTRAL
+
+
 class Page:
     """The block-level elements and text blocks of one page."""
 
@@ -89,10 +111,8 @@ class Page:
             if classes:
                 step += "." + ".".join(sorted(re.sub(r"\d+", "#", c) for c in classes))
             if name not in ("html", "body"):
-                for label in (*classes, a.get("id", "")):
-                    words = [w.lower() for w in WORD.findall(label)]
-                    if words and words[0] not in ("has", "no", "with", "without") and not FURNITURE.isdisjoint(words):
-                        skip = True
+                if not inside or name in GROUPS:
+                    skip = skip or any(map(is_furniture, (*classes, a.get("id", ""))))
                 if not inside and name != "article" and "header" in a.get("id", "").lower().split():
                     skip = True
                 skip = skip or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
@@ -157,6 +177,11 @@ class Page:
                     end = max(end, at)
                 pieces.append(" ")
                 continue
+            if name in INLINE_FORM:  # a control inside a block goes without cutting the block
+                done = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                at = done.end() if done else at
+                pieces.append(" ")
+                continue
             if name in VOID:
                 if name in ("br", "hr"):
                     pieces.append(" ")
@@ -268,7 +293,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     """All columns of ``pages`` but the html, with the main text."""
     hosted = pages.withColumn("_host", host_of(F.col(url_col)))
     winners = vote(hosted.select(F.col("_host").alias("host"), F.col(html_col).alias("html")))
-    joined = hosted.join(winners.select(F.col("host").alias("_host"), F.col("paths").alias("_paths")), "_host", "left")
+    # stored first, so that its size is known: a small table is broadcast and no page is shuffled, in the join with a
+    # large one the pages of a very common host can be split
+    winners = materialize(winners.select(F.col("host").alias("_host"), F.col("paths").alias("_paths")), "host-paths")
+    joined = hosted.join(winners, "_host", "left")
 
     @F.pandas_udf("string")
     def main_text(source: pd.Series, paths: pd.Series) -> pd.Series:

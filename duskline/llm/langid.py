@@ -7,9 +7,10 @@ count is corrected by the false-positive rate of that language's slice,
 (hits - n * fp) / (1 - fp), and the largest corrected count decides; ties go to
 the language first by name. The score is the corrected share of n-grams, 0 to 1.
 
-Learning: n-gram document counts over at most ``sample_per_lang`` labelled
-documents a language, chosen by hash, then the ``top_k`` most frequent n-grams of
-each language. Both are documented bounds, so what reaches the driver and is
+Learning: n-gram document counts over about ``sample_per_lang`` labelled documents a
+language (all, if it has fewer), chosen by a threshold on their hash, then the
+``top_k`` most frequent n-grams of each language, so one document is enough for a
+language to be learned. Both are documented bounds, so what reaches the driver and is
 broadcast is at most ``top_k`` times the number of languages. Prediction uses the
 text alone and covers whole texts.
 
@@ -99,7 +100,6 @@ def train(
     key_col: str = "doc_id",
     sample_per_lang: int = 2000,
     top_k: int = 4096,
-    min_docs: int = 2,
 ) -> BitmaskFilter:
     """Fit on a bounded, hash-chosen sample of the labelled rows (see the module's bounds)."""
     keys = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -110,7 +110,7 @@ def train(
     # a row is in the sample if its hash is among the least of its language: a threshold per language from counts
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(sample_per_lang)) / F.col("_n"))
-    chosen = keys.join(F.broadcast(counts), "lang").filter(
+    chosen = keys.join(counts, "lang").filter(
         F.col("_h") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
     )
 
@@ -121,7 +121,7 @@ def train(
                 yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64)})
 
     grams = chosen.select("lang", "text").mapInPandas(count, "lang string, gram long")
-    grams = grams.groupBy("lang", "gram").count().filter(F.col("count") >= min_docs)
+    grams = grams.groupBy("lang", "gram").count()
     top = grams.withColumn(
         "_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))
     ).filter(F.col("_r") <= top_k)

@@ -14,28 +14,34 @@ components. Equal vectors are one item with a weight. A bucket of more than
 no task holds a large bucket.
 
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing. Vectors of different length never meet. Repeated ids are separate rows
-of one id: their links are added. Empty tables give no rows.
-
-Recall: per table two vectors of cosine 0.95 meet with probability of about 0.55
-(more if they are nearer), so 8 tables find over 99.8 % of such pairs. ``codes``
-should grow with the logarithm of the table (random pairs share a cell with
-probability of 0.0365 ** codes), and ``tables`` with it.
+nothing. Vectors of different length never meet. Vectors of any finite size are
+scaled before their norm is taken. Repeated ids are separate rows: each has the
+links of its own vector. Empty tables give no rows; extra columns are ignored.
+Items are named by 64 bits of a hash of the vector's content.
+
+Random pairs share a cell with probability of about 0.0365 ** codes, so ``codes``
+grows with the logarithm of the number of distinct vectors, which keeps the meetings
+of a vector from growing with the table; per table two vectors of cosine 0.95 meet
+with probability of about 0.74 ** codes (more if they are nearer), so ``tables``
+grows with ``codes`` (see ``hash_shape``).
 """
 
 from __future__ import annotations
 
 from itertools import combinations, product
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import Intermediates, discard, materialize, mix64
 from .components import connected_components
 
 SCALE = 0.9
+#: A further code is used from each multiple of 1 / 0.0365 of so many vectors on.
+PER_CODE = 4000
 
 
 def shortest_vectors() -> np.ndarray:
@@ -106,9 +112,16 @@ class LatticeHash:
 
 
 def unit_vectors(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """Stacked unit vectors of equally long, valid vectors."""
+    """Stacked unit vectors of equally long, valid vectors; scaled first, so that no square overflows or vanishes."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    return x / np.linalg.norm(x, axis=1)[:, None], x
+    scaled = x / np.abs(x).max(axis=1)[:, None]
+    return scaled / np.linalg.norm(scaled, axis=1)[:, None], x
+
+
+def hash_shape(n: int, missed: float = 0.002) -> tuple[int, int]:
+    """(tables, codes) for ``n`` distinct vectors: at most the share ``missed`` of pairs of cosine 0.95 meets nowhere."""
+    codes = max(2, 1 + ceil(log(max(n, 1) / PER_CODE) / log(1 / 0.0365)))
+    return ceil(log(missed) / log(1 - 0.74**codes)), codes
 
 
 def valid(vector: str):
@@ -236,23 +249,36 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    tables: int = 8,
-    codes: int = 2,
+    tables: int | None = None,
+    codes: int | None = None,
     block: int = 2000,
     frame_rows: int = 20000,
 ) -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
+
+    ``tables`` and ``codes`` follow from the number of distinct vectors unless they are given.
+    """
+    with Intermediates() as made:
+        out, *used = _linked(vectors, id_col, vector_col, threshold, tables, codes, block, frame_rows)
+        made.keep(*used)
+    return out
+
+
+def _linked(vectors, id_col, vector_col, threshold, tables, codes, block, frame_rows) -> list[DataFrame]:
+    """The result of ``near_duplicates``, then the stored tables it is read from."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     good = rows.filter(valid("vector") & F.col("vec_id").isNotNull())
-    # equal vectors are one item, named by its least id
-    content = F.md5(F.concat_ws(",", F.col("vector").cast("array<string>")))
-    keyed = materialize(good.withColumn("content", content), "lattice-vectors")
-    sizes = keyed.groupBy("content").agg(F.min("vec_id").alias("item"), F.count(F.lit(1)).alias("weight"))
-    named = keyed.join(sizes, "content")
+    # equal vectors are one item
+    content = F.xxhash64(F.md5(F.concat_ws(",", F.col("vector").cast("array<string>"))))
+    keyed = good.withColumn("item", content)
     items = materialize(
-        named.filter(F.col("vec_id") == F.col("item")).dropDuplicates(["item"]).select("item", "weight", "vector"),
+        keyed.groupBy("item").agg(
+            F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.any_value("vector").alias("vector")
+        ),
         "lattice-items",
     )
+    shape = hash_shape(items.count())
+    tables, codes = tables or shape[0], codes or shape[1]
     cells = materialize(hash_rows(items, tables, codes), "lattice-cells")
     counts = cells.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("is_base").cast("int")).alias("stored")
@@ -266,7 +292,7 @@ def near_duplicates(
         lambda o: F.struct(F.least("slice", o).alias("i"), F.greatest("slice", o).alias("j")),
     )
     met = met.select("cell", "is_base", "item", "slice", F.explode(pairs).alias("at"))
-    met = met.join(items, "item").select("cell", "is_base", "item", "weight", "vector", "slice", "at.i", "at.j")
+    met = met.join(items.drop("least"), "item").select("cell", "is_base", "item", "weight", "vector", "slice", "at.i", "at.j")
 
     # many small cells share a frame of bounded size
     frames = counts.agg(F.sum(F.col("n") * F.ceil(F.col("n") / block))).first()[0] or 0
@@ -295,17 +321,23 @@ def near_duplicates(
     labels = connected_components(found.filter("item <> other").select(F.col("item").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("item").agg(F.sum("links").alias("links"))
     per_item = (
-        items.select("item", "weight")
+        items.select("item", "least", "weight")
         .join(links, "item", "left")
         .join(labels.withColumnRenamed("node", "item"), "item", "left")
         .select(
             "item",
+            "least",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "item").alias("component_id"),
+            F.coalesce("component", "item").alias("component"),
         )
     )
-    linked = named.select("vec_id", "item").join(per_item, "item").select("vec_id", "n_links", "component_id")
+    per_item = materialize(per_item, "lattice-per-item")
+    discard(cells, found)
+    named_by = materialize(per_item.groupBy("component").agg(F.min("least").alias("component_id")), "lattice-components")
+    per_item = materialize(per_item.join(named_by, "component").drop("component", "least"), "lattice-result")
+    linked = keyed.select("vec_id", "item").join(per_item, "item").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~(valid("vector") & F.col("vec_id").isNotNull())).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return [out, per_item]

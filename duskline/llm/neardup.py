@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batches_of_bytes, materialize, mix64, utf8_bytes
+from .common import Intermediates, RollingHash, batches_of_bytes, discard, materialize, mix64, utf8_bytes
 from .components import connected_components
 
 TABLES = 40
@@ -389,7 +389,7 @@ def possible_pairs(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return out.drop_duplicates(["a", "b"])
 
 
-def residue(rows: DataFrame, words: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+def residue(rows: DataFrame, words: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
     """(a, b, apart): the pairs of each bucket of ``rows(bucket, node, n_words, component)`` that may align across components."""
     counts = rows.groupBy("bucket").count()
     met = rows.join(counts, "bucket").withColumn("slices", F.ceil(F.col("count") / block).cast("int"))
@@ -441,7 +441,9 @@ def _merge(comp: DataFrame | None, found: DataFrame) -> DataFrame:
     moved = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     old = comp.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     new = joined.join(comp.select("node"), "node", "left_anti")
-    return materialize(old.unionByName(new.select("node", "component")), "omh-components")
+    out = materialize(old.unionByName(new.select("node", "component")), "omh-components")
+    discard(comp, joined)
+    return out
 
 
 def near_duplicates(
@@ -458,6 +460,14 @@ def near_duplicates(
     ``kept`` is true for the rows of the smallest doc_id of each class (of equal ids, of the least node). The links
     of the ``first_tables`` are verified first, as most of the others then join documents already connected.
     """
+    with Intermediates() as made:
+        rows, *used = _classified(docs, id_col, text_col, tables, shingle, similarity, first_tables)
+        made.keep(*used)
+    return rows
+
+
+def _classified(docs, id_col, text_col, tables, shingle, similarity, first_tables) -> list[DataFrame]:
+    """The result of ``near_duplicates``, then the stored tables it is read from."""
     sketched = materialize(sketch(docs, id_col, text_col, tables, shingle), "omh-sketch")
     nodes = sketched.filter(F.col("node").isNotNull() & (F.col("n_words") > 0)).dropDuplicates(["node"])
     members = nodes.select(
@@ -482,6 +492,7 @@ def near_duplicates(
         found = materialize(verify(pairs.distinct(), words, similarity), "omh-links")
         if labels is None or not found.isEmpty():
             labels = _merge(labels, found)
+        discard(found)
 
     link(led.filter(F.col("table") < first_tables))
     link(led.filter(F.col("table") >= first_tables))
@@ -492,7 +503,9 @@ def near_duplicates(
         asked = words.join(rest.select("node").distinct(), "node", "left_semi")
         deeper = deeper_keys(asked, tables, shingle, depth)
         rest = rest.join(deeper, ["node", "table"]).withColumn("bucket", F.xxhash64("bucket", "deeper")).drop("deeper")
-        led = materialize(leaders_of(rest), "omh-members")
+        before, led = led, materialize(leaders_of(rest), "omh-members")
+        if before is not shared:
+            discard(before)
         if led.isEmpty():
             break
         link(led)
@@ -503,6 +516,7 @@ def near_duplicates(
         rows = shared.select("bucket", "node", "n_words").union(shared.select("bucket", "leader", "leader_words").distinct())
         rows = rows.join(mixed, "bucket", "left_semi").join(labels, "node", "left")
         rows = rows.withColumn("component", F.coalesce("component", "node"))
+        discard(led)
         pairs = residue(materialize(rows, "omh-mixed-rows"), words, similarity)
         pairs = materialize(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "omh-possible")
         apart = _with_components(pairs, labels, "a", "b").filter("_ca <> _cb")
@@ -519,9 +533,10 @@ def near_duplicates(
         .agg(F.min(F.struct("doc_id", "node")).alias("b"), F.count(F.lit(1)).alias("class_size"))
     )
     # a table of its own, so that the join with a very large class can be split
-    rows = rows.join(materialize(best, "omh-best"), "_class", "left")
+    best = materialize(best, "omh-best")
+    rows = rows.join(best, "_class", "left")
     lone = F.col("_class").isNull()
-    return rows.select(
+    result = rows.select(
         "doc_id",
         "text_hash",
         "node",
@@ -529,13 +544,16 @@ def near_duplicates(
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (lone | (F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("node") == F.col("b.node")))).alias("kept"),
     )
+    return [result, sketched, labels, best]
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class left; repeated rows of it are left once."""
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "omh-classes")
-    kept = found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).count()
-    kept = materialize(kept, "omh-kept")
+    with Intermediates() as made:
+        found = near_duplicates(docs, id_col, text_col, **options)
+        kept = found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).count()
+        kept = materialize(kept, "omh-kept")
+        made.keep(kept)
     hashed = docs.withColumn("_h", F.xxhash64(text_col))
     same = hashed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
     out = hashed.join(kept, same, "left_semi")

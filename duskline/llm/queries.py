@@ -13,9 +13,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer tasks than there are cores, dealt over all of them; larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,8 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
 
 
 def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def op8_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).withColumn("held_out", langid.held_out())
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 

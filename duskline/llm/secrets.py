@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 FINDING = "struct<start:long,rank:int,end:long,kind:string,rule:string>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -64,6 +64,8 @@ RULES = (
         version=3,
     ),
 )
+#: The kinds of the base contract.
+BASE = tuple(r.kind for r in RULES[:3])
 
 
 def scanner(rules: tuple[Rule, ...]):
@@ -113,7 +115,9 @@ class BlobLedger:
         """All scans so far; None before the first."""
         try:
             return self.spark.read.schema(LEDGER).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def update(self, versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
@@ -132,9 +136,15 @@ class BlobLedger:
         scan_blobs(blobs.dropDuplicates(["blob"]), rules).write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """One row per scanned blob: all findings of the current rule versions, by start, then rule order."""
-        keys = F.array(*[F.lit(r.key) for r in rules])
-        rows = self.read().withColumn("findings", F.filter("findings", lambda f: F.array_contains(keys, f["rule"])))
+        """One row per scanned blob: all findings of the current rule versions, by start, then the order of ``rules``."""
+        rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
+        current = F.filter("findings", lambda f: F.map_contains_key(rank, f["rule"]))
+        ranked = F.transform(
+            current,
+            lambda f: F.struct(f["start"].alias("start"), rank[f["rule"]].alias("rank"), f["end"].alias("end"),
+                               f["kind"].alias("kind"), f["rule"].alias("rule")),
+        )
+        rows = self.read().withColumn("findings", ranked)
         return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
 
 
@@ -145,7 +155,8 @@ def scan_versions(
     ledger = ledger or BlobLedger(versions.sparkSession)
     ledger.update(versions, text_col, rules)
     paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop(text_col)
-    return paths.join(ledger.findings(rules), "blob", "left")
+    # a table of its own, so that the join with a blob of very many paths can be split
+    return paths.join(materialize(ledger.findings(rules), "secret-findings"), "blob", "left")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -154,7 +165,7 @@ def digest(found: DataFrame) -> DataFrame:
         ",", F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
     )
     fs = F.coalesce("findings", F.array().cast(f"array<{FINDING}>"))
-    base = F.filter(fs, lambda f: f["rank"] < 3)
+    base = F.filter(fs, lambda f: f["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter(fs, lambda f: f["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
@@ -172,7 +183,7 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: BlobLedger | None =
     columns = docs.columns
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs, text_col)
-    hit = ledger.findings().filter(F.size("findings") > 0)
+    hit = materialize(ledger.findings().filter(F.size("findings") > 0), "secret-findings")
     joined = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(
         hit.select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")), "_blob", "left"
     )

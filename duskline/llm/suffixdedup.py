@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batches_of_bytes, materialize, mix64, shuffle_partitions, utf8_bytes
+from .common import RollingHash, batches_of_bytes, discard, materialize, mix64, shuffle_partitions, utf8_bytes
 
 GRAM = 16
 WINDOW = 150
@@ -145,6 +145,7 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, wind
     # a table of its own, so that the join with a very common context can be split
     again = materialize(parsed.groupBy("context").count().filter("count > 1").select("context"), "contexts")
     occurrences = materialize(parsed.join(again, "context", "left_semi"), "phrases-shared")
+    discard(parsed, again)
     entries = occurrences.groupBy("context", "entry").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "place")).alias("at")
     )
@@ -157,7 +158,9 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, wind
     # a block whose core occurs once repeats nowhere; one whose bytes occur again repeats all over
     group = ["context", "core"]
     alive = blocks.groupBy(*group).count().filter("count > 1").select(*group)
-    blocks = materialize(blocks.join(materialize(alive, "cores"), group, "left_semi"), "blocks-shared")
+    alive = materialize(alive, "cores")
+    every, blocks = blocks, materialize(blocks.join(alive, group, "left_semi"), "blocks-shared")
+    discard(every, alive)
     covers = blocks.groupBy(*group, "lead", "outer").agg(F.count(F.lit(1)).alias("c"))
     size = F.length("outer") - (BLOCK - 2)
     covered = blocks.filter("n = 1").join(covers.filter("c > 1").drop("c"), [*group, "lead", "outer"]).select(
@@ -174,9 +177,11 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, wind
         (F.col("start") + F.col("i")).alias("start"),
     )
     # a suffix of an entry that occurs once and has an equal beside it in the order: mark it at its own place
-    single = repeats_in_order(materialize(suffixes, "suffixes"), [*group, "back", "around"])
+    suffixes = materialize(suffixes, "suffixes")
+    single = repeats_in_order(suffixes, [*group, "back", "around"])
     single = single.select("_key", F.col("start").alias("a"), F.col("start").alias("b"))
     single = materialize(covered.unionByName(single), "border-marks")
+    discard(blocks, suffixes)
     first = F.shiftright("place", 32)
     whole = occurrences.join(entries.filter("n > 1").select("context", "entry"), ["context", "entry"]).select(
         "_key", first.cast("int").alias("a"), (first + F.shiftright("place", 16).bitwiseAND(F.lit(65535))).cast("int").alias("b")

@@ -81,7 +81,7 @@ def test_packing(docs, corpus, empty):
     encode = packing.encoder(P.path("byte_bpe_50k.json"))
     want = Counter()
     for doc_id, text, *_ in corpus:
-        ids = np.array([*encode([text or ""])[0], 0], "<u4")
+        ids = np.array([*encode(text or ""), 0], "<u4")
         head = len(ids) % 512 or 512
         cuts = [0, *range(head, len(ids) + 1, 512)]
         want.update((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
@@ -89,6 +89,20 @@ def test_packing(docs, corpus, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.tiktoken"), cap).count() == 0
 
 
+def test_ids_are_those_of_tokenizers(spark):
+    """Added tokens too; and ids of documents stay as they are, null or beyond 2**53."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext", None, ""]
+    texts += ["".join(rng.choice(["the", " ", "é", "\n", "<|", "endoftext", "|>", "1", "😀", "'s"]) for _ in range(30)) for _ in range(60)]
+    rows = [(None if i == 3 else (1 << 53) + 1 + i, t) for i, t in enumerate(texts)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    ids = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert Counter((r.doc_id, r.length, r.ids_crc32) for r in got) == Counter((i, len(e), zlib.crc32(e.tobytes())) for (i, _), e in zip(rows, ids))
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_under_every_constraint(rule):
     rng = np.random.default_rng(1)
@@ -233,6 +247,30 @@ def test_sharding(docs, corpus, empty):
     assert sharding.shard_documents(empty, 4).count() == 0
 
 
+def test_sharding_order(spark):
+    """Shard and slot of every row against a plain sort; a hot source, ties, repeated rows and nulls."""
+    rows = [(i % 50 if i else None, f"t{i % 40}" if i % 7 else None, "hot" if i % 3 else ("b" if i % 2 else None)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = []
+    for i, t, s in rows:
+        crc = zlib.crc32((t or "").encode())
+        u = hashlib.md5("|".join(["17", *([] if i is None else [str(i)]), str(crc)]).encode()).hexdigest()
+        plain.append(("" if s is None else "=" + s, u, (i is not None, i or 0), crc))
+    plain.sort()
+    size, rank, order = Counter(p[0] for p in plain), Counter(), []
+    for p in plain:
+        order.append(((rank[p[0]] + 0.5) / size[p[0]], *p))
+        rank[p[0]] += 1
+    order.sort()
+    n = len(order)
+    want = Counter()
+    for at, (_, s, _, i, crc) in enumerate(order):
+        shard = at * 16 // n
+        want[(i[1] if i[0] else None, s, crc, shard, at - -(-shard * n // 16))] += 1
+    got = Counter((r.doc_id, "" if r.source is None else "=" + r.source, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(df).collect())
+    assert got == want
+
+
 # --- op4 ----------------------------------------------------------------------------------------
 
 
@@ -296,6 +334,36 @@ def test_lattice(spark, vectors):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lattice_with_repeated_ids_and_odd_sizes(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 32))
+    rows = [(5, a), (5, b), (7, a + 0.001), (8, b + 0.001), (5, a), (20, a * 1e200), (21, a * 1e-200), (22, np.full(32, 5e-324)), (23, np.ones(32))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumn("item", F.lit("x"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(df).collect())
+    ones = [(22, 1, 22, True), (23, 1, 22, False)]
+    assert got == [(5, 1, 5, True), (5, 4, 5, True), (5, 4, 5, True), (7, 4, 5, False), (8, 1, 5, False), (20, 4, 5, False), (21, 4, 5, False), *ones]
+
+
+def test_lattice_finds_planted_pairs(spark):
+    """Pairs of cosine 0.95 to 0.97 among some thousand vectors against brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(600, 64))
+    noise -= (noise * x[:600]).sum(1)[:, None] * x[:600]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    cos = rng.uniform(0.9505, 0.97, 600)[:, None]
+    x[1000:1600] = cos * x[:600] + np.sqrt(1 - cos**2) * noise
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95)) if i < j}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for shape in ({}, {"tables": 13, "codes": 3}):
+        got = lattice.near_duplicates(df, **shape).collect()
+        assert sum(r.n_links for r in got) / 2 >= 0.99 * len(want) and len(want) >= 600
+        assert sum(r.n_links for r in got) / 2 <= len(want)
+    shapes = [lattice.hash_shape(10**k) for k in range(3, 10)]
+    assert shapes == sorted(shapes) and shapes[0] == (8, 2)
+
+
 def test_decode_is_nearest():
     x = np.random.default_rng(1).normal(size=(200, 8)) * 2
     p = lattice.decode_e8(x)
@@ -434,6 +502,10 @@ def test_language_filter(spark):
     assert got[:3] == ["und"] * 3 and got[3] in ("en", "fr") and got[4] == "en"
     none = langid.train(df.limit(0))
     assert langid.predict(odd, none).filter("lang_pred <> 'und'").count() == 0
+    few = spark.createDataFrame([(1, "le renard brun", "fr"), (2, "the brown fox", "en"), (3, "the lazy dog", "en"), (3, "the lazy dog", "en")], "doc_id long, text string, lang string")
+    tiny = langid.train(few)
+    assert tiny.langs == ["en", "fr"] and tiny.decide("le renard")[0] == "fr"
+    assert langid.BitmaskFilter(["a", "b"], 16).finish().decide("word") == ("a", 0.0)
     f = model.hits(langid.ngrams("the quick"))
     assert f[model.langs.index("en")] > f[model.langs.index("fr")]
 
@@ -462,3 +534,37 @@ def test_html(spark):
     hosts = [r.h for r in df.select(htmltext.host_of(F.col("url")).alias("h")).collect()]
     assert hosts[0] == "a.example" and "" in hosts
     htmltext.Page("<a" * 3000 + "<p 'x" * 500)  # ends soon
+
+
+def test_names_that_only_sound_like_furniture(spark):
+    inner = "<h1>Title of it</h1><div class='social-science'><p>One, two.</p></div><section id='related-work'><p>Three, four.</p></section><p class='notice-period'>Five <button>press</button> six.</p><noscript><p>Seven.</p></noscript><p class='comment'>Eight.</p>"
+    junk = "<div class='comment-list'><p>Nine, nine, nine, nine.</p></div><ul class='share-buttons'><li>Ten</li></ul>"
+    rows = [(1, "http://c.example/", f"<html><body><nav><p>Menu, menu</p></nav><article>{inner}{junk}</article><div class='cookie-notice'>Eleven, of them.</div></body></html>")]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text
+    assert got == "Title of it\nOne, two.\nThree, four.\nFive six.\nSeven.\nEight."
+
+
+def test_the_host_decides_where_a_page_alone_would_err(spark):
+    """Most pages of a host show where the article is; a page whose sidebar outweighs its article follows them."""
+    page = "<html><body><div class='side'>{side}</div><div class='story'>{story}</div></body></html>"
+    text = "<p>" + "A sentence, with commas, of the story, goes on, and on. " * 6 + "</p>"
+    rows = [(i, "http://d.example/a", page.format(side="<p>Short.</p>", story=text)) for i in range(8)]
+    rows.append((8, "http://d.example/b", page.format(side=text * 3, story="<p>A short story, it is.</p>")))
+    rows.append((9, "http://e.example/b", page.format(side=text * 3, story="<p>A short story, it is.</p>")))
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[8] == "A short story, it is." and got[9] != got[8]
+
+
+def test_intermediate_tables_go(spark):
+    from duskline.llm import common
+
+    common.release(spark)
+    df = spark.range(5).withColumnRenamed("id", "n")
+    with common.Intermediates() as made:
+        a, b = common.materialize(df, "a"), common.materialize(df, "B-x")
+        made.keep(b)
+    assert b.count() == 5 and spark.sql(f"SHOW TABLES IN {common._database(spark)}").count() == 1
+    common.discard(b)
+    assert spark.sql(f"SHOW TABLES IN {common._database(spark)}").count() == 0
+    assert a is not None
+    common.release(spark)

@@ -26,8 +26,8 @@ def test_pipeline(spark, tmp_path):
     assert ids("secrets") == ids("near_duplicates") == ids("suffix_dedup")
     clean = {r.doc_id: r.text for r in seen["secrets"]}
     assert "token=abc" not in clean[15] and "[assign]" in clean[15]
-    encode = encoder(P.path("byte_bpe_50k.tiktoken"))
-    assert {r.doc_id: r.length for r in seen["packing"]} == {i: len(encode([t])[0]) + 1 for i, t in clean.items()}
+    encode = encoder(P.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.length for r in seen["packing"]} == {i: len(encode(t)) + 1 for i, t in clean.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
