@@ -321,3 +321,22 @@ def interpolate(template, values: Column, keys: list[str]) -> Column:
     for k in keys:
         out = F.replace(out, F.lit("{{" + k + "}}"), F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("{{" + k + "}}")))
     return out
+
+
+def content_hash(col) -> dict[str, Column]:
+    """SHA-256, SHA-512 and a short id of a text."""
+    c = F.col(col) if isinstance(col, str) else col
+    return {"sha256": F.sha2(c, 256), "sha512": F.sha2(c, 512), "short_id": F.substring(F.sha2(c, 256), 1, 16)}
+
+
+def payload_keys(col) -> Column:
+    """The keys of a JSON object."""
+    return F.json_object_keys(F.col(col) if isinstance(col, str) else col)
+
+
+def hash_quality(df, col: str, buckets: int = 1024):
+    """One row: collision rate of xxhash64 over the distinct values, and mean and variance of the bucket sizes."""
+    values = df.filter(F.col(col).isNotNull()).select(col, F.xxhash64(col).alias("_h"))
+    sizes = values.groupBy(F.pmod("_h", F.lit(buckets)).alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    rate = values.agg((1 - F.try_divide(F.count_distinct("_h"), F.count_distinct(col))).alias("collision_rate"))
+    return sizes.agg(F.var_pop("n").alias("bucket_variance"), F.avg("n").alias("bucket_mean")).crossJoin(F.broadcast(rate))  # one row each

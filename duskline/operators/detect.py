@@ -53,10 +53,15 @@ BANDS_HEURISTIC = [(0.85, "critical"), (0.65, "high"), (0.4, "medium")]
 ACTIONS = {"critical": "quarantine", "high": "block", "medium": "challenge", "low": "monitor", "minimal": "allow"}
 TIERS = [("monitor", 0.0, 0.3, 60), ("warn", 0.3, 0.5, 120), ("restrict", 0.5, 0.7, 300), ("block", 0.7, 0.85, 600), ("isolate", 0.85, 1.0, 900)]
 SOURCE_PATTERNS = [
-    ("reentrancy", r"\.call\s*[({]", "high"), ("tx_origin", r"tx\.origin", "medium"), ("timestamp", r"block\.timestamp|\bnow\b", "low"),
-    ("delegatecall", r"delegatecall", "high"), ("selfdestruct", r"selfdestruct|suicide", "critical"),
-    ("unchecked_send", r"\.send\s*\(", "medium"), ("weak_random", r"blockhash|block\.difficulty", "medium"), ("assembly", r"\bassembly\b", "low"),
-]
+    ("reentrancy", r"\.call\s*\(|\.send\s*\(|\.transfer\s*\(|external\s+.*\s+payable", "critical"),
+    ("integer_overflow", r"\+\s*=|-\s*=|\*\s*=|unchecked\s*\{", "high"),
+    ("timestamp_dependence", r"block\.timestamp|now\s|block\.number", "medium"),
+    ("tx_origin", r"tx\.origin", "high"),
+    ("unchecked_call", r"\.call\s*\([^)]*\)\s*;|\.delegatecall\s*\([^)]*\)\s*;", "high"),
+    ("access_control", r"onlyOwner|require\s*\(\s*msg\.sender\s*==|modifier\s+\w+\s*\(", "medium"),
+    ("suicide_function", r"selfdestruct\s*\(|suicide\s*\(", "critical"),
+    ("random_generation", r"blockhash\s*\(|block\.difficulty|keccak256\s*\(\s*abi\.encodePacked\s*\(\s*block\.", "high"),
+]
 
 
 def sigma_match(events: DataFrame, rules: DataFrame, text: str = "blob") -> DataFrame:
@@ -65,7 +70,7 @@ def sigma_match(events: DataFrame, rules: DataFrame, text: str = "blob") -> Data
     typed = F.col("rule_event_type").isNull() | (F.col("rule_event_type") == F.col("event_type"))
     words = F.forall("contains", lambda w: low.contains(F.lower(w)))
     r = rules.withColumnRenamed("event_type", "rule_event_type")
-    return events.join(F.broadcast(r), typed & words)  # a rule table: rows written by people
+    return events.join(r, typed & words)
 
 
 def read_sigma_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +99,7 @@ def signature_match(df: DataFrame, text: str, key: str, signatures=SIGNATURES) -
     """Rows (key, signature, category, severity, confidence, position, matched) of requests that match."""
     spark = df.sparkSession
     s = spark.createDataFrame(signatures, "signature string, pattern string, category string, severity string, fpr double")
-    hit = df.select(key, text).join(F.broadcast(s), F.expr(f"{text} RLIKE pattern"))
+    hit = df.select(key, text).join(s, F.expr(f"{text} RLIKE pattern"))
     found = F.regexp_substr(F.col(text), F.col("pattern"))
     return hit.select(
         key, "signature", "category", "severity", (1 - F.col("fpr")).alias("confidence"),
@@ -111,7 +116,7 @@ def pattern_match(df: DataFrame, text: str, key: str, patterns, least_confidence
     p = spark.createDataFrame(patterns, "pattern_id string, pattern string, category string, severity string, confidence double")
     p = p.filter(F.col("confidence") >= least_confidence)
     distinct = df.select(text).distinct()
-    hits = distinct.join(F.broadcast(p), F.expr(f"{text} RLIKE pattern"))
+    hits = distinct.join(p, F.expr(f"{text} RLIKE pattern"))
     hits = hits.withColumn("matched", F.explode(F.expr(f"regexp_extract_all({text}, pattern, 0)")))
     return df.select(key, text).join(hits, text).select(key, "pattern_id", "category", "severity", "confidence", "matched")
 
@@ -163,7 +168,7 @@ def scan_sources(df: DataFrame, key: str, source: str) -> DataFrame:
     spark = df.sparkSession
     p = spark.createDataFrame(SOURCE_PATTERNS, "family string, pattern string, severity string")
     lines = df.select(key, F.posexplode(F.split(source, "\n")).alias("line", "code"))
-    return lines.join(F.broadcast(p), F.expr("code RLIKE pattern")).select(key, (F.col("line") + 1).alias("line"), "family", "severity")
+    return lines.join(p, F.expr("code RLIKE pattern")).select(key, (F.col("line") + 1).alias("line"), "family", "severity")
 
 
 def scan_source_rules(df: DataFrame, key: str, source: str) -> DataFrame:
@@ -296,13 +301,13 @@ def response_tier(df: DataFrame, score: str, session: str, ts: str, tie: str) ->
 def plan_playbooks(alerts: DataFrame, playbooks: DataFrame) -> DataFrame:
     """Ordered steps of the playbooks whose trigger (event type, least risk and confidence) an alert meets."""
     hit = (F.col("event_type") == F.col("trigger_type")) & (F.col("risk_score") >= F.col("min_risk")) & (F.col("confidence") >= F.col("min_confidence"))
-    return alerts.join(F.broadcast(playbooks), hit).select("request_id", "playbook_id", F.posexplode("steps").alias("position", "step"))
+    return alerts.join(playbooks, hit).select("request_id", "playbook_id", F.posexplode("steps").alias("position", "step"))
 
 
 def route_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, channel): channels of the rules whose severity an alert reaches."""
     r = rules.select(severity_rank("severity").alias("_least"), F.explode("channels").alias("channel"))
-    return alerts.join(F.broadcast(r), severity_rank("severity") >= F.col("_least")).select("request_id", "channel").distinct()
+    return alerts.join(r, severity_rank("severity") >= F.col("_least")).select("request_id", "channel").distinct()
 
 
 def indicator_risk(df: DataFrame, key: str, severity: str) -> DataFrame:
@@ -315,3 +320,119 @@ def user_reputation(requests: DataFrame, user: str = "user_id") -> DataFrame:
     g = requests.groupBy(user).agg(F.avg("risk_score").alias("risk"), F.count_if(F.col("status_code") == 401).alias("failed"), F.count_distinct("session_id").alias("sessions"))
     score = F.greatest(F.lit(0.0), 1 - F.col("risk") - F.least(F.lit(0.3), F.col("failed") * 0.05))
     return g.withColumn("reputation", score).withColumn("tier", F.when(F.col("reputation") >= 0.9, "trusted").when(F.col("reputation") >= 0.6, "normal").otherwise("suspicious"))
+
+
+# --- scans of requests and alerts ---------------------------------------------------------------
+
+
+def payload_scan(col: Column) -> Column:
+    """Whether a payload holds one of the keyword rules."""
+    return col.rlike(PAYLOAD)
+
+
+def literal_match(df: DataFrame, literals: DataFrame, key: str, columns=("path", "user_agent", "body")) -> DataFrame:
+    """(key, lit, position): the literals that occur in the joined columns, and where first."""
+    text = df.select(key, F.concat_ws(" ", *columns).alias("_text"))
+    hit = text.join(literals, F.col("_text").contains(F.col("lit")))
+    return hit.select(key, "lit", F.expr("instr(_text, lit)").alias("position"))
+
+
+def validate_requests(path: Column, headers: Column, body: Column) -> Column:
+    """Path, headers and body by ``validation_score`` with weights .3, .2 and .5, 1 at most."""
+    return F.least(F.lit(1.0), validation_score(path) * 0.3 + validation_score(headers) * 0.2 + validation_score(body) * 0.5)
+
+
+# What marks an attack that two requests may share.
+SHARED_MARKS = ("1=1", "<script", "../")
+
+
+def shared_attack_patterns(df: DataFrame, key: str, entity: str, text: str) -> DataFrame:
+    """(a_id, b_id): pairs of requests of one entity that share an attack mark, each pair once."""
+    marks = F.array_compact(F.array(*[F.when(F.col(text).contains(m), F.lit(m)) for m in SHARED_MARKS]))
+    r = df.select(key, entity, F.explode(marks).alias("_mark"))  # only requests with a mark meet
+    a, b = r.toDF("a_id", entity, "_mark"), r.toDF("b_id", entity, "_mark")
+    return a.join(b, [entity, "_mark"]).filter("a_id < b_id").select("a_id", "b_id").distinct()
+
+
+def zscore_request(df: DataFrame, baseline: DataFrame, by: str, size: str, latency: str) -> DataFrame:
+    """Z-scores of size (from 3 on 0.3) and latency (from 2.5 on 0.2) against a baseline of ``by``, and their score.
+
+    ``baseline`` has (by, size_mean, size_std, latency_mean, latency_std); a spread of zero gives no score.
+    """
+    z = lambda c, n: F.try_divide(F.col(c) - F.col(f"{n}_mean"), F.col(f"{n}_std"))
+    out = df.join(baseline, by).withColumn("size_z", z(size, "size")).withColumn("latency_z", z(latency, "latency"))
+    big = F.coalesce(F.abs("size_z") > 3, F.lit(False))
+    slow = F.coalesce(F.abs("latency_z") > 2.5, F.lit(False))
+    score = F.when(big, 0.3).otherwise(0.0) + F.when(slow, 0.2).otherwise(0.0)
+    return out.withColumn("zscore_risk", score).drop("size_mean", "size_std", "latency_mean", "latency_std")
+
+
+# Base threat by algorithm, successors, and weights of the overall risk.
+CRYPTO_THREAT = {"rsa": 0.9, "ecc": 0.9, "dh": 0.9, "ecdh": 0.9, "aes": 0.5, "sha256": 0.3, "sha512": 0.2}
+CRYPTO_TARGET = {
+    "rsa": ("lattice_based_kem", "code_based_kem"), "dh": ("lattice_based_kem", "code_based_kem"),
+    "ecc": ("lattice_based_kem", "isogeny_based_kem"), "ecdh": ("lattice_based_kem", "isogeny_based_kem"),
+    "ecdsa": ("lattice_based_signatures", "hash_based_signatures"), "rsa_signatures": ("lattice_based_signatures", "hash_based_signatures"),
+}
+
+
+def crypto_risk(df: DataFrame, algorithm="algorithm", bits="key_size", criticality="criticality", years="break_years") -> DataFrame:
+    """Threat level by algorithm and key size, the algorithm to move to, urgency and overall risk of each entry."""
+    a, b, c, y = F.lower(F.col(algorithm)), F.col(bits), F.col(criticality), F.col(years)
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in CRYPTO_THREAT.items() for x in kv])[a], F.lit(0.5))
+    shift = (
+        F.when(a.isin("rsa", "dh"), F.when(b < 2048, 0.1).when(b >= 4096, -0.1))
+        .when(a.isin("ecc", "ecdh"), F.when(b < 256, 0.1).when(b >= 384, -0.1))
+        .when((a == "aes") & (b < 256), 0.2)
+    )
+    threat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.coalesce(shift, F.lit(0.0))))
+    target = F.when(a == "aes", F.when(b < 256, "aes_256").otherwise("post_quantum_symmetric"))
+    for name, (high, other) in CRYPTO_TARGET.items():
+        target = target.when(a == name, F.when(c == "high", high).otherwise(other))
+    t = F.round(threat, 9)  # the bands are tenths
+    urgency = F.when((t > 0.8) & (y < 10), 3).when((t > 0.6) & (y < 15), 2).when((t > 0.4) & (y < 20), 1).otherwise(0)
+    # high criticality lifts what is below high, low criticality lowers what is above medium
+    urgency = F.when((c == "high") & (urgency < 2), urgency + 1).when((c == "low") & (urgency >= 2), urgency - 1).otherwise(urgency)
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), urgency + 1)
+    soon = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (30 - y) / 30))
+    return df.withColumns({
+        "threat": threat, "target": target.otherwise("hybrid_classical_post_quantum"), "urgency": pick("low", "medium", "high", "critical"),
+        "risk": threat * 0.4 + pick(0.2, 0.5, 0.8, 1.0) * 0.3 + soon * 0.3,
+    })
+
+
+# Advice by severity and by type of threat.
+ADVICE = {
+    "critical": ["block source now", "isolate systems", "start incident response"], "high": ["block source", "watch for more", "review policies"],
+    "medium": ["watch source", "log more", "review traffic"], "low": ["log", "watch trends"],
+    "ddos": ["limit rates", "enable ddos protection"], "malware": ["scan systems", "update signatures"],
+    "intrusion": ["check for privilege escalation", "review access logs"],
+}
+
+
+def build_alerts(threats: DataFrame, matches: DataFrame, intel: DataFrame, key: str = "request_id") -> DataFrame:
+    """One alert per threat: id, hash, evidence, signatures, place, intelligence, advice and status.
+
+    ``threats`` has key, threat_type, severity, confidence, ip, dest, country, region, city and behavior (null: none
+    seen); ``matches`` has (key, signature); ``intel`` is as for ``enrich_threat_intel``. The hash is of type, ends
+    and signatures, so that equal threats can be told.
+    """
+    from .enrich import enrich_threat_intel
+
+    signs = matches.groupBy(key).agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
+    t = enrich_threat_intel(threats.join(signs, key, "left"), intel).withColumn("signatures", F.coalesce("signatures", F.array().cast("array<string>")))
+    proof = lambda kind, confidence, detail: F.struct(F.lit(kind).alias("type"), confidence.alias("confidence"), detail.alias("detail"))
+    evidence = F.array_compact(F.array(
+        proof("packet_analysis", F.col("confidence").cast("double"), F.array_join("signatures", ",")),
+        F.when(F.col("behavior").isNotNull(), proof("behavior_analysis", F.col("behavior").cast("double"), F.lit("behavioral anomaly"))),
+    ))
+    advice = F.create_map(*[x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    content = F.sha2(F.concat_ws("-", "threat_type", "ip", "dest", F.array_join("signatures", ",")), 256)
+    return t.select(
+        key, F.substring(F.sha2(F.concat_ws("-", "threat_type", "ip", F.col(key).cast("string")), 256), 1, 16).alias("alert_id"),
+        content.alias("alert_hash"), "threat_type", "severity", "confidence", "ip", "dest", "signatures", evidence.alias("evidence"),
+        F.struct("country", "region", "city").alias("geo"), "intel_score", "reputation", "intel_tags",
+        F.concat(F.coalesce(advice[F.col("severity")], none), F.coalesce(advice[F.col("threat_type")], none)).alias("recommendations"),
+        F.lit("new").alias("status"),
+    )

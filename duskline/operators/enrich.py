@@ -97,13 +97,13 @@ def attach_baseline(points: DataFrame, baselines: DataFrame, key: str, ts: str,
 def match_policy(requests: DataFrame, policies: DataFrame, key: str = "request_id") -> DataFrame:
     """The enabled policy of highest priority whose endpoint pattern (``*`` ends it) and sets fit each request.
 
-    ``policies`` is a small rule table: it is joined by condition and must be far below the broadcast limit.
+    ``policies`` is a rule table; it is joined by condition.
     """
     prefix = F.regexp_replace("endpoint", r"\*$", "")
     wild = F.col("endpoint").endswith("*")
     fits = F.when(wild, F.col("path").startswith(prefix)).otherwise(F.col("path") == F.col("endpoint"))
     any_of = lambda col, arr: (F.size(arr) == 0) | F.array_contains(arr, F.col(col))
-    joined = requests.join(F.broadcast(policies.filter("enabled")), fits & any_of("method", F.col("methods")))
+    joined = requests.join(policies.filter("enabled"), fits & any_of("method", F.col("methods")))
     best = Window.partitionBy(key).orderBy(F.desc("priority"), "policy_id")
     return joined.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
@@ -147,3 +147,73 @@ def dedupe_alerts(df: DataFrame, keys: list[str], window: str, cap: int, least_r
     once = rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
     minute = Window.partitionBy(F.date_trunc("minute", "ts")).orderBy("ts", "request_id")
     return once.withColumn("_r", F.row_number().over(minute)).filter(F.col("_r") <= cap).drop("_r")
+
+
+# --- filters, listings and hits -----------------------------------------------------------------
+
+
+def filter_nodes(nodes: DataFrame, prop: str, text: str, order: str, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the nodes whose property holds ``text``."""
+    return page(nodes.filter(F.col(prop).contains(text)), [order], offset, limit)
+
+
+def list_edges(edges: DataFrame, kind: str, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the edges of one type."""
+    return page(edges.filter(F.col("type") == kind), ["src", "dst"], offset, limit)
+
+
+def suppress_whitelisted(alerts: DataFrame, rules: DataFrame, field: str = "ip", most_tune: float = 0.5) -> DataFrame:
+    """Alerts whose ``field`` no rule (value, tune) with a tune of at most ``most_tune`` names."""
+    return alerts.join(rules.filter(F.col("tune") <= most_tune), F.col(field) == F.col("value"), "left_anti")
+
+
+def deception_hits(requests: DataFrame, traps: DataFrame, path: str = "path") -> DataFrame:
+    """Requests for a decoy, with the kind of trap; ``traps`` has (trap_path, trap)."""
+    return requests.join(traps, F.col(path) == F.col("trap_path")).drop("trap_path")
+
+
+def session_chain(df: DataFrame) -> DataFrame:
+    """Per user and session: the distinct addresses and paths, sorted."""
+    sorted_set = lambda c: F.array_sort(F.collect_set(c))
+    return df.groupBy("user_id", "session_id").agg(sorted_set("ip").alias("ips"), sorted_set("path").alias("paths"))
+
+
+def access_path(df: DataFrame, key: str, value, k: int = 50, ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """The first ``k`` requests of one user or session in time order, with their position."""
+    first = df.filter(F.col(key) == F.lit(value)).orderBy(ts, tie).limit(k)
+    return first.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)))
+
+
+def threat_patterns(df: DataFrame, since: str, least_risk: float, k: int = 100, ts: str = "ts") -> DataFrame:
+    """Most frequent (type, path) of risky requests from a time on."""
+    hit = df.filter((F.col(ts) >= F.lit(since).cast(df.schema[ts].dataType)) & (F.col("risk_score") > least_risk))
+    return hit.groupBy("event_type", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type", "path").limit(k)
+
+
+def devices_by_pattern(df: DataFrame, text: str, since: str | None = None, k: int = 50, ts: str = "ts") -> DataFrame:
+    """Most frequent agents that hold ``text``, from a time on."""
+    hit = df.filter(F.col("user_agent").contains(text))
+    if since is not None:
+        hit = hit.filter(F.col(ts) >= F.lit(since).cast(df.schema[ts].dataType))
+    return hit.groupBy("user_agent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_agent").limit(k)
+
+
+def top_violators(df: DataFrame, bad: Column, key: str = "ip", k: int = 10, ts: str = "ts") -> DataFrame:
+    """Keys with most violations, and when they were last seen."""
+    g = df.filter(bad).groupBy(key).agg(F.count(F.lit(1)).alias("violations"), F.max(ts).alias("last_seen"))
+    return g.orderBy(F.desc("violations"), key).limit(k)
+
+
+def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def distinct_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key the sorted distinct values."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def new_items(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Distinct rows of ``current``, marked ``new`` or ``kept`` by whether ``previous`` has them."""
+    new = current.subtract(previous).withColumn("state", F.lit("new"))
+    return new.unionByName(current.intersect(previous).withColumn("state", F.lit("kept")))

@@ -69,3 +69,51 @@ def incident_score(events: DataFrame, case: str, host: str, criticality: str, ki
     out = g.withColumn("score", F.least(F.lit(1.0), s))
     c = F.col("score")
     return out.withColumn("severity", F.when(c >= 0.8, "critical").when(c >= 0.65, "high").when(c >= 0.45, "medium").otherwise("low"))
+
+
+def flow_anomalies(flows: DataFrame, least_z: float = 1.5) -> DataFrame:
+    """(kind, entity, value, z): sources by fan-out and volume, destinations by fan-in, beyond ``least_z`` deviations."""
+    measures = [
+        ("fan_out", "source", F.count_distinct("destination")), ("fan_in", "destination", F.count_distinct("source")),
+        ("volume", "source", F.sum("bytes")),
+    ]
+    out = None
+    for kind, by, measure in measures:
+        g = flows.groupBy(F.col(by).alias("entity")).agg(measure.cast("double").alias("value"))
+        stats = g.agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_d"))
+        z = F.abs(F.col("value") - F.col("_m")) / (F.col("_d") + 0.001)
+        odd = g.crossJoin(F.broadcast(stats)).select(F.lit(kind).alias("kind"), "entity", "value", z.alias("z"))  # one row
+        out = odd if out is None else out.unionByName(odd)
+    return out.filter(F.col("z") > least_z)
+
+
+def forensic_report(df: DataFrame, scan_ports: int = 100) -> DataFrame:
+    """The whole report as (section, metric, value): totals, protocols, times, ports, anomalies and topology."""
+    from duskline.functions.scalars import port_class
+
+    from .graph import topology
+    from .report import temporal_profile, traffic_basic
+    from .series import volume_anomalies
+
+    row = lambda d, section, metric, value: d.select(F.lit(section).alias("section"), metric.cast("string").alias("metric"), value.cast("double").alias("value"))
+    wide = lambda d, section: d.select(*[F.col(c).cast("double") for c in d.columns]).unpivot([], d.columns, "metric", "value").select(F.lit(section).alias("section"), "metric", "value")
+    n = F.count(F.lit(1))
+    basic = traffic_basic(df).drop("first", "last")
+    protocols = df.groupBy("protocol").agg(n.alias("n"), F.sum("bytes").alias("b"))
+    times = temporal_profile(df)
+    ports = df.groupBy(port_class("port").alias("c")).agg(n.alias("n"))
+    odd_hours = volume_anomalies(df.withColumn("_h", F.hour("ts")), F.col("_h"))
+    graph = topology(df.select(F.concat(F.lit("s"), F.col("source").cast("string")).alias("src"), F.concat(F.lit("d"), F.col("destination").cast("string")).alias("dst")))
+    parts = [
+        wide(basic, "basic"), row(protocols, "protocol", F.col("protocol"), F.col("n")), row(protocols, "protocol_bytes", F.col("protocol"), F.col("b")),
+        row(times, "time", F.concat_ws(":", "unit", F.col("slot").cast("string")), F.col("n")),
+        row(times.filter("peak"), "peak", F.col("unit"), F.col("slot")), row(ports, "port_class", F.col("c"), F.col("n")),
+        row(odd_hours.agg(n.alias("n")), "anomalies", F.lit("volume_hours"), F.col("n")),
+        row(port_scans(df, "source", "port", scan_ports).agg(n.alias("n")), "anomalies", F.lit("port_scan_sources"), F.col("n")),
+        row(rare_groups(df, "protocol").agg(n.alias("n")), "anomalies", F.lit("rare_protocols"), F.col("n")),
+        wide(graph, "topology"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir`` (one of our own only where it is unset)."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir`` (in local mode, where it is unset, in a new one)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct edges in both directions, without loops."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -99,44 +109,74 @@ def credential_stuffing(requests: DataFrame) -> DataFrame:
     return g.withColumn("ratio", r).withColumn("score", s)
 
 
-def botnets(edges: DataFrame, least: int = 5) -> DataFrame:
-    """Pairs of sources with over ``least`` targets each that share one, with the shared count.
+def botnets(links: DataFrame, as_of: str, hours: int, least: int = 5) -> DataFrame:
+    """(src, other, shared, targets, score): new devices with over ``least`` targets, and new devices that share one.
 
-    Targets are pre-filtered to those of qualifying sources, so the self-join meets only these.
+    ``links`` has (src, dst, first_ts). A device is new if first seen within ``hours`` before ``as_of``; only new
+    devices meet in the self-join, so its size depends on them, not on how common a target is among the old ones.
     """
-    d = edges.select("src", "dst").distinct()
-    many = d.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-    q = d.join(many, "src")
-    other = q.select(F.col("src").alias("other"), F.col("dst").alias("_d"))
-    pairs = q.join(other, (F.col("dst") == F.col("_d")) & (F.col("src") < F.col("other")))
-    return pairs.groupBy("src", "other").agg(F.count(F.lit(1)).alias("shared"))
+    end = F.lit(as_of).cast(links.schema["first_ts"].dataType)
+    first = links.groupBy("src").agg(F.min("first_ts").alias("_f")).filter((F.col("_f") > end - F.expr(f"INTERVAL {hours} HOUR")) & (F.col("_f") <= end))
+    d = links.join(first, "src", "left_semi").select("src", "dst").distinct()
+    many = d.groupBy("src").agg(F.count(F.lit(1)).alias("targets")).filter(F.col("targets") > least)
+    other = d.select(F.col("src").alias("other"), F.col("dst").alias("_d"))
+    pairs = d.join(many, "src").join(other, (F.col("dst") == F.col("_d")) & (F.col("src") != F.col("other")))
+    n = F.col("targets")
+    return pairs.groupBy("src", "other", "targets").agg(F.count(F.lit(1)).alias("shared")).withColumn(
+        "score", F.when(n > 20, 0.9).when(n > 10, 0.7).when(n > 5, 0.5).otherwise(0.3)
+    )
 
 
 def topology(edges: DataFrame) -> DataFrame:
-    """Nodes, edges, density and mean degree of the undirected graph."""
+    """One row: nodes, edges, greatest degree, density, mean clustering and components of the undirected graph."""
     u = undirected(edges)
     deg = u.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     out = deg.agg(F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.max("d").alias("max_degree"))
-    return out.withColumn("density", F.coalesce(F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)))
+    out = out.withColumn("density", F.coalesce(F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)))
+    mean = clustering(edges).agg(F.avg("clustering").alias("clustering"))
+    parts = components(edges).agg(F.count_distinct("component").alias("components"))
+    return out.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(parts))  # one row each
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Number of triangles; edges are turned from lower to higher degree first, which bounds the join."""
+def degree_centrality(edges: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` nodes of greatest degree, with it over the number of other nodes."""
+    deg = undirected(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    n = deg.agg((F.count(F.lit(1)) - 1).alias("_n"))
+    out = deg.crossJoin(F.broadcast(n)).withColumn("centrality", F.try_divide("degree", "_n")).drop("_n")  # one row
+    return out.orderBy(F.desc("degree"), "node").limit(k)
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """(node, clustering): triangles through a node over the pairs of its neighbours; 0 below two neighbours."""
+    u = undirected(edges)
+    deg = u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
+    through = triangle_list(edges).select(F.explode(F.array("a", "x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_t"))
+    share = F.coalesce(F.try_divide(2.0 * F.coalesce("_t", F.lit(0)), F.col("_d") * (F.col("_d") - 1)), F.lit(0.0))
+    return deg.join(through, "node", "left").select("node", share.alias("clustering"))
+
+
+def triangle_list(edges: DataFrame) -> DataFrame:
+    """(a, x, y): every triangle once; edges are turned from lower to higher degree first, which bounds the join."""
     u = undirected(edges)
     deg = u.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     e = u.join(deg.select("src", F.col("d").alias("da")), "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("db")), "dst")
     e = e.filter("da < db or (da = db and src < dst)").select("src", "dst")
     f = e.toDF("s2", "d2")
-    two = e.join(f, F.col("src") == F.col("s2")).filter("dst < d2").select(F.col("dst").alias("x"), F.col("d2").alias("y"))
+    two = e.join(f, F.col("src") == F.col("s2")).filter("dst < d2").select(F.col("src").alias("a"), F.col("dst").alias("x"), F.col("d2").alias("y"))
     closing = e.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
-    return two.join(closing, ["x", "y"]).agg(F.count(F.lit(1)).alias("triangles"))
+    return two.join(closing, ["x", "y"])
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable, by minimum propagation with pointer jumping."""
+def triangles(edges: DataFrame) -> DataFrame:
+    """Number of triangles."""
+    return triangle_list(edges).agg(F.count(F.lit(1)).alias("triangles"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable, by minimum propagation with pointer jumping until nothing changes."""
     links = _checkpoint(undirected(edges))
     labels = links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(most):
+    while True:
         near = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_m"))
         new = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("_j"))
@@ -148,15 +188,113 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     return labels
 
 
+# The columns and kinds of node that make the features, in their order.
+GNN_NUMBERS = ("risk_score", "score", "failed_logins", "action_count")
+GNN_FLAGS = ("proxy", "vpn", "tor")
+GNN_KINDS = ("Threat", "User", "Session", "IP", "Device", "Resource")
+
+
 def gnn_export(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(nodes with dense index and split, edge index). The index follows hash buckets, then ids within them."""
-    b = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(256)))
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    """(nodes with index, 13 features, label and split, edges by index).
+
+    ``nodes`` has (id, label) and any of the number and flag columns, missing ones being 0. The dense index follows
+    buckets of a hash of the id, then the id, so no task orders all nodes. The label numbers the kinds by name. The
+    split is about 70 : 15 : 15 by hash.
+    """
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in nodes.columns else F.lit(0.0)
+
+    features = F.array(*map(number, GNN_NUMBERS + GNN_FLAGS), *[(F.col("label") == k).cast("double") for k in GNN_KINDS])
+    kinds = nodes.select("label").distinct().withColumn("label_index", F.row_number().over(Window.orderBy("label")) - 1)  # one row a kind
+    b = nodes.withColumn("features", features).join(kinds, "label").withColumn("_b", F.substring(F.md5("id"), 1, 2))
+    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows
     start = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_b").orderBy("id")
+    w = Window.partitionBy("_b").orderBy("id", "label")
     idx = b.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(start), "_b").withColumn("index", F.col("_s") + F.col("_r"))
-    h = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(100))
-    out = idx.withColumn("split", F.when(h < 70, "train").when(h < 85, "val").otherwise("test")).drop("_b", "_n", "_s", "_r")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), 1, 8), 16, 10).cast("long") % 100
+    out = idx.select("id", "label", "index", "features", "label_index", F.when(h < 70, "train").when(h < 85, "val").otherwise("test").alias("split"))
     i = out.select(F.col("id").alias("src"), F.col("index").alias("src_index"))
     j = out.select(F.col("id").alias("dst"), F.col("index").alias("dst_index"))
     return out, edges.join(i, "src").join(j, "dst").select("src_index", "dst_index")
+
+
+def coordinated_attacks(edges: DataFrame, requests: DataFrame, least: int = 3, busy: int = 100, wide: int = 50) -> DataFrame:
+    """Addresses with at least ``least`` others within two hops that show an attack pattern together.
+
+    ``edges`` link addresses. ddos: over 5 related ones; brute_force: over ``busy`` requests from them; scanning: over
+    ``wide`` distinct paths among these. (ip, related, requests, paths, patterns, severity, confidence)
+    """
+    links = undirected(edges)
+    far = links.alias("l").join(links.alias("m"), F.col("l.dst") == F.col("m.src")).select(F.col("l.src").alias("src"), F.col("m.dst").alias("dst"))
+    related = links.unionByName(far).filter("src <> dst").distinct()
+    seen = requests.groupBy(F.col("ip").alias("dst"), "path").agg(F.count(F.lit(1)).alias("_n"))
+    g = related.groupBy("src").agg(F.count(F.lit(1)).alias("related")).filter(F.col("related") >= least)
+    acts = related.join(seen, "dst").groupBy("src").agg(F.sum("_n").alias("requests"), F.count_distinct("path").alias("paths"))
+    out = g.join(acts, "src", "left").select(F.col("src").alias("ip"), "related", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("paths", F.lit(0)).alias("paths"))
+    tests = {"ddos": F.col("related") > 5, "brute_force": F.col("requests") > busy, "port_scanning": F.col("paths") > wide}
+    out = out.withColumn("patterns", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))).filter(F.size("patterns") > 0)
+    severity = F.when(tests["ddos"], "critical").when(tests["brute_force"], "high").otherwise("medium")
+    sure = F.least(F.lit(1.0), F.least(F.col("related") / 10, F.lit(0.4)) + F.size("patterns") * 0.2)
+    return out.withColumn("severity", severity).withColumn("confidence", sure)
+
+
+def relation_risk(requests: DataFrame, attacks: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(ip, risk): by severity of its coordinated attack, mean strength of its relations, and threat of its place.
+
+    ``attacks`` is as ``coordinated_attacks`` gives it, ``pairs`` has (a_ip, b_ip, strength), ``clusters`` is as
+    ``geo_clusters`` gives it; only places with a risk above 0.5 count.
+    """
+    base = F.when(F.col("severity") == "critical", 0.8).when(F.col("severity") == "high", 0.6).when(F.col("severity") == "medium", 0.4).otherwise(0.2)
+    a = attacks.select("ip", base.alias("_a"))
+    both = pairs.select(F.explode(F.array("a_ip", "b_ip")).alias("ip"), "strength")
+    s = both.groupBy("ip").agg((F.avg("strength") * 0.3).alias("_s"))
+    hot = clusters.filter("risk > 0.5").select("country", "region", "city", F.col("risk").alias("_r"))
+    at = requests.select("ip", "country", "region", "city").distinct()
+    c = at.join(hot, ["country", "region", "city"]).groupBy("ip").agg((F.max("_r") * 0.2).alias("_c"))
+    out = at.select("ip").distinct().join(a, "ip", "left").join(s, "ip", "left").join(c, "ip", "left")
+    return out.select("ip", F.least(F.lit(1.0), sum((F.coalesce(x, F.lit(0.0)) for x in ("_a", "_s", "_c")), F.lit(0.0))).alias("risk"))
+
+
+def kill_chain_subgraph(edges: DataFrame, seeds: DataFrame, hours: int, as_of: str, depth: int = 5, limit: int = 100, ts: str = "last_ts") -> DataFrame:
+    """(seed, node, hops): the nearest ``limit`` nodes within 1 to 5 hops over edges of the window (or without a time)."""
+    start = F.lit(as_of).cast(edges.schema[ts].dataType) - F.expr(f"INTERVAL {hours} HOUR")
+    late = edges.filter(F.col(ts).isNull() | (F.col(ts) >= start))
+    return k_hop(late, seeds, max(1, min(depth, 5))).filter("hops > 0").orderBy("hops", "seed", "node").limit(limit)
+
+
+def admin_lateral(edges: DataFrame, resources: DataFrame) -> DataFrame:
+    """Users that access administrative and other resources: (user, admin_resources, resources, score).
+
+    ``edges`` has (src user, dst path), ``resources`` (path, type).
+    """
+    seen = edges.select("src", "dst").distinct().join(resources, F.col("dst") == F.col("path"))
+    admin = F.count_if(F.col("type") == "admin")
+    g = seen.groupBy(F.col("src").alias("user")).agg(admin.alias("admin_resources"), F.count(F.lit(1)).alias("resources"))
+    n = F.col("admin_resources")
+    g = g.filter((n > 0) & (F.col("resources") > n))
+    return g.withColumn("score", F.when(n > 5, 0.9).when(n > 3, 0.7).when(n > 1, 0.5).otherwise(0.2))
+
+
+def ioc_neighbors(edges: DataFrame, iocs: DataFrame) -> DataFrame:
+    """(ioc, neighbor, type): what the indicators are linked with, in either direction."""
+    back = edges.select(F.col("dst").alias("ioc"), F.col("src").alias("neighbor"), "type")
+    both = edges.select(F.col("src").alias("ioc"), F.col("dst").alias("neighbor"), "type").unionByName(back)
+    return both.join(iocs.select("ioc").distinct(), "ioc", "left_semi").distinct()
+
+
+def update_threat_graph(nodes: DataFrame, edges: DataFrame, iocs: DataFrame, relations: DataFrame, actors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with the indicators, relations and actors of new cases; what is there already is replaced by key.
+
+    ``nodes`` (id, type, score), ``edges`` (src, dst, type, confidence), ``iocs`` (case_id, ioc, score), ``relations``
+    (src, dst, type, confidence), ``actors`` (case_id, actor, confidence): an actor is linked to its case's indicators.
+    """
+    fresh = iocs.select(F.col("ioc").alias("id"), F.lit("ioc").alias("type"), "score").unionByName(
+        actors.select(F.col("actor").alias("id"), F.lit("threat_actor").alias("type"), F.col("confidence").alias("score"))
+    )
+    by_id = fresh.groupBy("id", "type").agg(F.max("score").alias("score"))
+    blame = actors.join(iocs, "case_id").select(F.col("actor").alias("src"), F.col("ioc").alias("dst"), F.lit("attributed_to").alias("type"), "confidence")
+    by_ends = relations.unionByName(blame).groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"))
+    return (
+        nodes.join(by_id, ["id", "type"], "left_anti").unionByName(by_id),
+        edges.join(by_ends, ["src", "dst", "type"], "left_anti").unionByName(by_ends),
+    )

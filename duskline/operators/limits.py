@@ -2,83 +2,74 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 FEEDBACK = {"true_positive": 0.30, "false_positive": -0.25, "user_satisfied": 0.15, "user_unsatisfied": -0.075, "cost_low": 0.10, "cost_high": -0.05, "threat_reduced": 0.20, "threat_persisted": -0.20}
 DECISION = "request_id long, key string, allowed boolean, remaining long"
 
 
-def _sliding(us, limit, window_us):
-    """Decisions of a sliding window in which only allowed requests count."""
-    out, kept, head = [], [], 0
-    for t in us:
-        while head < len(kept) and kept[head] < t - window_us:
-            head += 1
-        used = len(kept) - head
-        ok = used < limit
-        if ok:
-            kept.append(t)
-        out.append((ok, max(0, limit - used - ok)))
-    return out
-
-
-def _bucket(us, limit, rate):
-    """Decisions of a token bucket: whole tokens are refilled at each request, up to the limit."""
-    out, tokens, last = [], limit, us[0] if len(us) else 0
-    for t in us:
-        tokens = min(limit, tokens + int((t - last) * rate // 1_000_000))
-        last = t
-        ok = tokens >= 1
-        tokens -= ok
-        out.append((ok, tokens))
-    return out
-
-
-def _hybrid(us, limit, window_us, rate):
-    """Both must allow; both are charged when the request is allowed."""
-    out, kept, head, tokens, last = [], [], 0, limit, us[0] if len(us) else 0
-    for t in us:
-        while head < len(kept) and kept[head] < t - window_us:
-            head += 1
-        tokens = min(limit, tokens + int((t - last) * rate // 1_000_000))
-        last = t
-        used = len(kept) - head
-        ok = used < limit and tokens >= 1
+class _Limiter:
+    """The state of one key's limiter: times of allowed requests within the window, tokens, last request."""
+
+    def __init__(self, algorithm: str, limit: int, window_us: int, rate: float):
+        self.slides, self.fills = algorithm != "token_bucket", algorithm != "sliding"
+        self.limit, self.window_us, self.rate = limit, window_us, rate
+        self.kept: deque[int] = deque()
+        self.tokens, self.last = limit, None
+
+    def decide(self, t: int) -> tuple[bool, int]:
+        """Only allowed requests count in the window; whole tokens are refilled at each request, up to the limit."""
+        left = self.limit
+        if self.slides:
+            while self.kept and self.kept[0] < t - self.window_us:
+                self.kept.popleft()
+            left = self.limit - len(self.kept)
+        if self.fills:
+            if self.last is not None:
+                self.tokens = min(self.limit, self.tokens + int((t - self.last) * self.rate // 1_000_000))
+            self.last = t
+            left = min(left, self.tokens)
+        ok = left >= 1
         if ok:
-            kept.append(t)
-            tokens -= 1
-        out.append((ok, max(0, min(limit - used - ok, tokens))))
-    return out
+            if self.slides:
+                self.kept.append(t)
+            self.tokens -= 1
+        return ok, max(0, left - ok)
 
 
-def replay(df: DataFrame, key: str, algorithm: str, limit: int, window_seconds: int = 3600, rate: float = 0.001, ts: str = "ts", quiet_seconds: int | None = None):
-    """Replay a limiter over the requests of each key, in time order.
+def replay(df: DataFrame, key: str, algorithm: str, limit: int, window_seconds: int = 3600, rate: float = 0.001, ts: str = "ts") -> DataFrame:
+    """Replay a limiter (sliding, token_bucket or hybrid: both must allow) over the requests of each key, in time order.
 
-    Each decision depends on those before it, but only within a window: after ``quiet_seconds`` without a request
-    (the window, or the time to refill the bucket) a limiter is as new. So a key's requests are cut at such gaps
-    and the pieces replayed in parallel.
+    Each decision depends on those before it, so a key's requests follow one another: rows are dealt by key, sorted
+    inside the partitions, and streamed through a fold that holds one limiter at a time, of at most ``limit`` times.
+    However hot a key, no task holds its rows.
     """
-    from .sequence import sessionize
-
-    quiet = quiet_seconds or (window_seconds if algorithm == "sliding" else max(window_seconds, int(limit / rate) + 1))
-    rows = df.select(F.col("request_id").cast("long").alias("request_id"), F.col(key).cast("string").alias("key"), F.col(ts).alias("_ts"))
-    rows = sessionize(rows, "key", "_ts", "request_id", quiet).withColumn("us", F.unix_micros(F.col("_ts").cast("timestamp"))).drop("_ts")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "request_id"])
-        us = pdf["us"].tolist()
-        if algorithm == "sliding":
-            out = _sliding(us, limit, window_seconds * 1_000_000)
-        elif algorithm == "token_bucket":
-            out = _bucket(us, limit, rate)
-        else:
-            out = _hybrid(us, limit, window_seconds * 1_000_000, rate)
-        return pd.DataFrame({"request_id": pdf["request_id"].values, "key": pdf["key"].values, "allowed": [a for a, _ in out], "remaining": [r for _, r in out]})
-
-    return rows.groupBy("key", "session_no").applyInPandas(run, DECISION)
+    rows = df.select(
+        F.col("request_id").cast("long").alias("request_id"), F.col(key).cast("string").alias("key"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+    )
+    rows = rows.repartition("key").sortWithinPartitions("key", "us", "request_id")
+
+    def run(batches):
+        current, limiter = object(), None
+        for pdf in batches:
+            allowed, remaining = [], []
+            for k, t in zip(pdf["key"], pdf["us"].tolist()):
+                if k != current:
+                    current, limiter = k, _Limiter(algorithm, limit, window_seconds * 1_000_000, rate)
+                ok, left = limiter.decide(t)
+                allowed.append(ok)
+                remaining.append(left)
+            yield pd.DataFrame({"request_id": pdf["request_id"], "key": pdf["key"], "allowed": allowed, "remaining": remaining})
+
+    return rows.mapInPandas(run, DECISION)
 
 
 THREAT_FACTOR = {"low": 1.2, "medium": 0.8, "high": 0.5, "critical": 0.2}
@@ -89,7 +80,8 @@ def effective_limit(base: Column, threat: Column, trust: Column, zone: Column, p
     t = F.create_map(*[F.lit(x) for kv in THREAT_FACTOR.items() for x in kv])[threat]
     g = F.when(zone == "high_risk", 0.5).when(zone == "safe", 1.2).otherwise(1.0)
     p = F.when(pattern == "peak_hours", 0.9).when(pattern == "weekend", 1.1).otherwise(1.0)
-    return F.greatest(F.lit(1), F.floor(base * F.coalesce(t, F.lit(1.0)) * (0.5 + trust) * g * p))
+    # rounded first, so that a whole number is not missed by the last bit of a double
+    return F.greatest(F.lit(1), F.floor(F.round(base * F.coalesce(t, F.lit(1.0)) * (0.5 + trust) * g * p, 6)))
 
 
 def limit_metrics(df: DataFrame, by: str, ts: str = "ts") -> DataFrame:
@@ -151,3 +143,71 @@ def select_actions(decisions: DataFrame, posterior: DataFrame, context: str, act
     options = decisions.join(posterior, context)
     drawn = options.withColumn("draw", beta_draw(seed)("alpha", "beta", F.xxhash64(key, action)))
     return drawn.groupBy(key, context).agg(F.max_by(action, F.struct("draw", action)).alias("chosen"))
+
+
+def limit_advice(threat: Column, abnormal: Column, emergency: bool = False, block_from: float = 0.9, limit_from: float = 0.7) -> dict[str, Column]:
+    """Columns ``action`` (allow, monitor, limit, block), ``factor`` of the limit, and ``confidence``."""
+    band = lambda a, b, c, d, e: F.when(threat >= block_from, a).when(threat >= limit_from, b).when(threat >= 0.5, c).when(threat >= 0.3, d).otherwise(e)
+    action = band("block", "limit", "limit", "monitor", "allow")
+    factor = band(0.1, 0.3, 0.6, 0.8, 1.0)
+    sure = band(0.95, 0.9, 0.8, 0.7, 0.8)
+    if emergency:
+        action = F.when(threat > 0.5, "block").otherwise("limit")
+        factor, sure = F.least(factor, F.lit(0.2)), F.least(sure + 0.1, F.lit(1.0))
+    odd = F.coalesce(abnormal, F.lit(False))
+    return {"action": action, "factor": factor * F.when(odd, 0.5).otherwise(1.0), "confidence": F.when(odd, F.least(sure + 0.1, F.lit(1.0))).otherwise(sure)}
+
+
+def limit_violations(df: DataFrame, bad: Column, key: str = "ip", threat: str = "severity", ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """Violations with their running number per key and severity: by threat level or by number over 2, 5 and 10."""
+    out = running_sums(df.filter(bad), key, [ts, tie], {"nth": F.lit(1)}, F.date_trunc("day", ts))
+    n, t = F.col("nth"), F.col(threat)
+    level = F.when((t == "critical") | (n > 10), "critical").when((t == "high") | (n > 5), "high").when((t == "medium") | (n > 2), "medium")
+    return out.withColumn("violation_severity", level.otherwise("low"))
+
+
+def limit_trend(df: DataFrame, as_of: str, ts: str = "ts", hours: int = 6) -> DataFrame:
+    """Mean hourly effectiveness of the last hours against the ones before, and the trend (5 % either way is stable).
+
+    Effectiveness of an hour: 0.7 x twice the violation rate (1 at most) + 0.3 x (1 - latency / 50), the latter 0 at least.
+    """
+    end = F.lit(as_of).cast(df.schema[ts].dataType)
+    back = lambda h: end - F.expr(f"INTERVAL {h} HOUR")
+    late = df.filter((F.col(ts) >= back(2 * hours)) & (F.col(ts) < end))
+    g = late.groupBy(F.date_trunc("hour", ts).alias("_h")).agg(
+        F.avg((F.col("status_code") >= 400).cast("int")).alias("_v"), F.avg("duration_ms").alias("_l")
+    )
+    score = F.least(F.col("_v") * 2, F.lit(1.0)) * 0.7 + F.greatest(F.lit(0.0), 1 - F.col("_l") / 50) * 0.3
+    new = F.col("_h") >= back(hours)
+    out = g.agg(F.avg(F.when(new, score)).alias("recent"), F.avg(F.when(~new, score)).alias("before"))
+    change = F.try_divide(F.col("recent") - F.col("before"), F.col("before"))
+    return out.withColumn("trend", F.when(change > 0.05, "improving").when(change < -0.05, "degrading").otherwise("stable"))
+
+
+def decision_context(threat: Column, reputation: Column) -> Column:
+    """``low``, ``medium`` or ``high`` threat and ``suspicious``, ``unknown`` or ``trusted`` reputation as one key."""
+    a = F.when(threat <= 0.3, "low").when(threat <= 0.7, "medium").otherwise("high")
+    return F.concat_ws(":", a, F.when(reputation <= 0.4, "suspicious").when(reputation <= 0.7, "unknown").otherwise("trusted"))
+
+
+# Actions from mild to severe, and what each outcome is worth.
+BANDIT_ACTIONS = ("allow", "monitor", "challenge", "block", "isolate")
+IMMEDIATE = {"true_positive": 0.30, "user_satisfaction": 0.15, "resource_cost": 0.10, "threat_reduction": 0.20}
+
+
+def immediate_reward(action: Column, threat: Column, executed: Column) -> Column:
+    """Reward known at once: severe action on a threat, no action without one, cost, and what is left of the threat."""
+    place = F.create_map(*[F.lit(x) for i, a in enumerate(BANDIT_ACTIONS) for x in (a, i / (len(BANDIT_ACTIONS) - 1))])[action]
+    p = lambda c, n: F.when(c, IMMEDIATE[n]).otherwise(0.0)
+    total = (
+        p((threat > 0.7) & (place >= 0.5), "true_positive") + p((threat <= 0.3) & (action == "allow"), "user_satisfaction")
+        + p(action == "allow", "resource_cost") + IMMEDIATE["threat_reduction"] * (1 - place)
+    )
+    return F.when(executed, F.coalesce(total, F.lit(0.0))).otherwise(0.0)
+
+
+def bandit_history(df: DataFrame, context: str, reward: str, exploited: Column, best: Column, ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """Per decision: cumulative reward, exploitation rate and regret (against ``best``) of its context up to it."""
+    sums = {"cumulative": F.col(reward), "_exploited": exploited.cast("long"), "_decisions": F.lit(1), "regret": best - F.col(reward)}
+    out = running_sums(df, context, [ts, tie], sums, F.date_trunc("day", ts))
+    return out.withColumn("exploitation_rate", F.col("_exploited") / F.col("_decisions")).drop("_exploited", "_decisions")

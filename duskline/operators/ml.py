@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranges_of, running_sums
+
 
 def request_features(df: DataFrame) -> DataFrame:
     """Requests with their rate per address and minute, endpoints per session, latency and error rate per address."""
@@ -45,10 +47,13 @@ def impute(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFra
 
 
 def label_encode(df: DataFrame, col: str) -> DataFrame:
-    """Index values by their sort order, from 0."""
-    values = df.select(col).distinct()
-    order = values.withColumn(f"{col}_index", F.row_number().over(Window.orderBy(col)) - 1)
-    return df.join(order, col, "left")
+    """Index values by their sort order, from 0; null has none.
+
+    Distinct values are sorted by range over all tasks and numbered through the partitions' sizes.
+    """
+    values = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
+    order = df.sparkSession.createDataFrame(values.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"`{col}` {df.schema[col].dataType.simpleString()}, `{col}_index` long")
+    return df.join(order, col, "left").withColumn(f"{col}_index", F.col(f"{col}_index").cast("int"))
 
 
 def target_encode(df: DataFrame, col: str, label: str) -> DataFrame:
@@ -81,7 +86,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)  # as many rows as labels
+    return df.join(w, label)
 
 
 def train_forest(df: DataFrame, cols: list[str], label: str, trees: int = 20, seed: int = 42):
@@ -115,15 +120,20 @@ def _path(n: float) -> float:
 
 
 def train_isolation(df: DataFrame, cols: list[str], key: str, trees: int = 50, sample: int = 256, seed: int = 42):
-    """Isolation trees, each grown in its own task on a hash sample of about ``sample`` rows; a list of trees."""
+    """Isolation trees, each grown on its own hash sample; a list of trees.
+
+    A sample has about ``sample`` rows, or fewer if the table has fewer than ``trees * sample``. Of a hash group that
+    comes out larger, the ``4 * sample`` rows of least hash are taken, so that a fit can be repeated.
+    """
     n = df.count()
     parts = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(trees, -(-n // sample))))).filter(F.col("_h") < trees)
+    parts = parts.withColumn("_o", F.xxhash64(F.lit(seed + 1), key))
 
     def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
         rng = np.random.default_rng(seed + int(k[0]))
-        x = pdf[cols].to_numpy(float)[: 4 * sample]
+        x = pdf.sort_values("_o")[cols].to_numpy(float)[: 4 * sample]
         return pd.DataFrame({"tree": [pickle.dumps((_grow(x, int(np.ceil(np.log2(max(len(x), 2)))), rng), len(x)))]})
 
     import pickle
@@ -182,10 +192,14 @@ def reconstruction_anomalies(df: DataFrame, cols: list[str], k: int, pct: float
 
 
 def auc(df: DataFrame, prob: str, label: str) -> DataFrame:
-    """Area under the ROC curve by the rank-sum formula, ties at mean rank; from counts per distinct score."""
+    """Area under the ROC curve by the rank-sum formula, ties at mean rank; from counts per distinct score.
+
+    Scores are ranked inside ranges of them, and ranges by their totals, so that no task orders all scores.
+    """
     g = df.groupBy(prob).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("_w", F.col("p") * (below + F.col("q") / 2))
+    g = g.withColumn("_all", F.lit(0))
+    below = running_sums(g, "_all", [prob], {"_upto": F.col("q")}, ranges_of(df, prob))
+    r = below.withColumn("_w", F.col("p") * (F.col("_upto") - F.col("q") / 2))
     return r.agg((F.sum("_w") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 

@@ -233,3 +233,143 @@ def rollup_points(df: DataFrame, unit: str, keys: list[str], value: str, ts: str
         F.sum(s).alias("value_sum"), (F.count(F.lit(1)) if first else F.sum(n)).alias("value_count"),
         F.min(lo).alias("value_min"), F.max(hi).alias("value_max"),
     )
+
+
+# --- sessions, traffic and inventories ----------------------------------------------------------
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
+def session_table(df: DataFrame, kind: str, converted: Column, ts: str = "ts") -> DataFrame:
+    """(session_id, start, n, duration, converted, kind): one row per session; duration in seconds."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.groupBy("session_id").agg(
+        F.min(ts).alias("start"), _n().alias("n"), ((F.max(us) - F.min(us)) / 1e6).alias("duration"),
+        F.max(converted.cast("int")).alias("converted"), F.min(kind).alias("kind"),
+    )
+
+
+def session_metrics(sessions: DataFrame, every: str) -> DataFrame:
+    """Mean duration and total actions of the sessions that start in each bucket."""
+    g = sessions.groupBy(time_bucket("start", every).alias("bucket"))
+    return g.agg(F.avg("duration").alias("avg_duration"), F.sum("n").alias("total_views"))
+
+
+def conversion_trend(sessions: DataFrame, every: str) -> DataFrame:
+    """Share of converted sessions per bucket."""
+    return sessions.groupBy(time_bucket("start", every).alias("bucket")).agg(F.avg("converted").alias("avg_conversion_rate"))
+
+
+def user_type_mix(sessions: DataFrame) -> DataFrame:
+    """Sessions and mean duration per kind of user."""
+    return sessions.groupBy("kind").agg(_n().alias("user_count"), F.avg("duration").alias("avg_duration"))
+
+
+def geo_distribution(df: DataFrame, by: str = "country", k: int = 20) -> DataFrame:
+    return df.groupBy(by).agg(_n().alias("n"), F.avg("risk_score").alias("mean")).orderBy(F.desc("n"), by).limit(k)
+
+
+def traffic_basic(df: DataFrame) -> DataFrame:
+    """Connections, bytes, packets, distinct ends and the time range of a table of connections."""
+    return df.agg(
+        _n().alias("connections"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.avg("bytes").alias("mean_bytes"),
+        F.count_distinct("source").alias("sources"), F.count_distinct("destination").alias("destinations"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+
+
+def temporal_profile(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """(unit, slot, n, peak): rows by hour, weekday and day of the month; ``peak`` marks the busiest slot of a unit."""
+    slots = {"hour": F.hour(ts), "weekday": F.weekday(ts), "day": F.dayofmonth(ts)}
+    pairs = F.array(*[F.struct(F.lit(u).alias("unit"), c.cast("long").alias("slot")) for u, c in slots.items()])
+    counts = df.select(F.explode(pairs).alias("s")).groupBy("s.unit", "s.slot").agg(_n().alias("n"))
+    first = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("n"), "slot"))  # 24, 7 and 31 rows
+    return counts.withColumn("peak", first == 1)
+
+
+def flow_counts(df: DataFrame, keys=("protocol", "source", "destination")) -> DataFrame:
+    """Rows per value of each key; the other keys are null."""
+    return df.groupingSets([[k] for k in keys], *keys).agg(_n().alias("n"))
+
+
+def graph_stats(edges: DataFrame) -> DataFrame:
+    """Edges per type and in total (null)."""
+    return edges.rollup("type").agg(_n().alias("n"))
+
+
+def alert_summary(df: DataFrame, *by: str) -> DataFrame:
+    """Counts over all combinations of the columns ``by``."""
+    return df.cube(*by).agg(_n().alias("n"))
+
+
+def rolling_summary(df: DataFrame, minutes: int, as_of: str, key: str, value: str, ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """Per key over the last minutes: mean, extremes, and the relative change from the first value to the last."""
+    end = F.lit(as_of).cast(df.schema[ts].dataType)
+    late = df.filter((F.col(ts) <= end) & (F.col(ts) >= end - F.expr(f"INTERVAL {minutes} MINUTE")))
+    at = F.struct(ts, tie)
+    first, last = F.min_by(value, at), F.max_by(value, at)
+    return late.groupBy(key).agg(
+        F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.try_divide(last - first, first).alias("trend")
+    )
+
+
+def adaptation_stats(df: DataFrame, key: str, success: Column, confidence: str, order: str) -> DataFrame:
+    """Per key: adaptations, successful ones, mean confidence and the latest."""
+    return df.groupBy(key).agg(
+        _n().alias("total"), F.count_if(success).alias("successes"), F.avg(confidence).alias("mean_confidence"), F.max(order).alias("last_id")
+    )
+
+
+def detection_summary(df: DataFrame, kind: str = "event_type", severity: str = "severity", confidence: str = "risk_score") -> DataFrame:
+    """Detections and mean confidence by type, by severity, and in all."""
+    return df.groupingSets([[kind], [severity], []], kind, severity).agg(_n().alias("n"), F.avg(confidence).alias("confidence"))
+
+
+def deception_stats(requests: DataFrame, traps: DataFrame, path: str = "path", key: str = "request_id") -> DataFrame:
+    """Accesses per trap path, zero for those never touched."""
+    hits = requests.groupBy(F.col(path).alias("trap_path")).agg(F.count(key).alias("_n"))
+    return traps.join(hits, "trap_path", "left").withColumn("accesses", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def feedback_stats(df: DataFrame, signals: Column, action: str, actions: list[str]) -> DataFrame:
+    """Rows per signal (of an array) and action, one column per action."""
+    rows = df.select(action, F.explode(signals).alias("signal"))
+    return rows.groupBy("signal").agg(*[F.count_if(F.col(action) == a).alias(a) for a in actions])
+
+
+def rule_stats(rules: DataFrame, by: str, enabled: Column) -> DataFrame:
+    return rules.groupBy(by).agg(_n().alias("rules"), F.count_if(enabled).alias("enabled"))
+
+
+def crypto_inventory(df: DataFrame, *by: str) -> DataFrame:
+    """Entries per value of each property (algorithm, key size and the like)."""
+    return flow_counts(df, by)
+
+
+def table_usage(df: DataFrame, by: str, size: Column, budget: float) -> DataFrame:
+    """Rows, bytes and share of the budget per group."""
+    b = F.sum(size)
+    return df.groupBy(by).agg(_n().alias("n"), b.alias("bytes"), (b / budget).alias("share"))
+
+
+def score_history(df: DataFrame, score: str = "risk_score", ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """Per session: mean and last score, the change from first to last, and its class (0.1 either way is stable)."""
+    at = F.struct(ts, tie)
+    g = df.groupBy("session_id").agg(
+        F.avg(score).alias("mean"), F.max_by(score, at).alias("last"), (F.max_by(score, at) - F.min_by(score, at)).alias("change")
+    )
+    c = F.col("change")
+    return g.withColumn("trend", F.when(c > 0.1, "increasing").when(c < -0.1, "decreasing").otherwise("stable"))
+
+
+def traffic_distribution(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Requests, bytes and largest request by method, by status and by hour; ``level`` tells which."""
+    r = df.withColumn("hour", F.hour(ts))
+    g = r.groupingSets([["method"], ["status_code"], ["hour"]], "method", "status_code", "hour")
+    return g.agg(F.grouping_id().alias("level"), _n().alias("n"), F.sum("content_length").alias("bytes"), F.max("content_length").alias("peak"))
+
+
+def dns_stats(df: DataFrame, domain: Column, size: Column, answers: Column) -> DataFrame:
+    return df.groupBy(domain.alias("domain")).agg(_n().alias("queries"), F.avg(size).alias("mean_size"), F.sum(answers).alias("answers"))

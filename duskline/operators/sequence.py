@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,16 +69,84 @@ def discover_patterns(df: DataFrame, session: str, order: list[str], state: str,
     return g.filter(F.col("count") >= least)
 
 
-def journeys(df: DataFrame, session: str, order: list[str], state: str, most: int = 20) -> DataFrame:
-    """Per session: first and last state, steps, and the path of its first ``most`` states."""
+def sequence_scores(df: DataFrame, matrix: DataFrame, session: str, order: list[str], state: str) -> DataFrame:
+    """Per session: mean and greatest improbability (1 - probability, 1 if unseen) of its transitions."""
+    t = transitions(df, session, order, state).join(matrix.select("context", "next", "probability"), ["context", "next"], "left")
+    odd = 1 - F.coalesce("probability", F.lit(0.0))
+    return t.groupBy(session).agg(F.avg(odd).alias("score"), F.max(odd).alias("worst"))
+
+
+def user_journeys(df: DataFrame, session: str, order: list[str], state: str, seconds: Column, matrix: DataFrame, risky: float = 0.6) -> DataFrame:
+    """Per session: first and last state, steps, path, duration of each step, total duration, anomaly flag, risk.
+
+    ``seconds`` is the time of a row. A journey is anomalous if the mean improbability of its steps exceeds
+    ``risky``; its risk is that of its least probable step. A path is as long as its session.
+    """
     w = Window.partitionBy(session).orderBy(*order)
-    rows = df.withColumn("_i", F.row_number().over(w))
-    o = F.struct(*order)
-    g = rows.groupBy(session).agg(
-        F.min_by(state, o).alias("start"), F.max_by(state, o).alias("end"), F.count(F.lit(1)).alias("steps"),
-        F.array_sort(F.collect_list(F.when(F.col("_i") <= most, F.struct("_i", state)))).alias("_p"),
-    )
-    return g.withColumn("path", F.array_join(F.transform("_p", lambda x: x[state]), ">")).drop("_p")
+    rows = df.withColumn("_at", seconds).withColumn("_i", F.row_number().over(w)).withColumn("_d", F.lead("_at").over(w) - F.col("_at"))
+    step = F.array_sort(F.collect_list(F.struct("_i", F.col(state).alias("state"), F.coalesce("_d", F.lit(0.0)).alias("d"))))
+    g = rows.groupBy(session).agg(step.alias("_p"), (F.max("_at") - F.min("_at")).alias("duration"))
+    g = g.withColumns({
+        "start": F.col("_p")[0]["state"], "end": F.element_at("_p", -1)["state"], "steps": F.size("_p"),
+        "path": F.transform("_p", lambda x: x["state"]), "step_durations": F.transform("_p", lambda x: x["d"]),
+    }).drop("_p")
+    out = g.join(sequence_scores(df, matrix, session, order, state), session, "left")
+    out = out.withColumn("is_anomalous", F.coalesce(F.col("score") > risky, F.lit(False))).withColumn("risk", F.coalesce("worst", F.lit(0.0)))
+    return out.drop("score", "worst")
+
+
+def rate_patterns(patterns: DataFrame, odd: float = 0.005, risky: float = 0.001) -> DataFrame:
+    """Add to (pattern, count, support) the probability among all, whether it is anomalous, and the risk level."""
+    total = patterns.agg(F.sum("count").alias("_t"))
+    p = patterns.crossJoin(F.broadcast(total)).withColumn("probability", F.col("count") / F.col("_t")).drop("_t")  # one row
+    q = F.col("probability")
+    return p.withColumn("is_anomalous", q < odd).withColumn("risk_level", F.when(q < risky, "high").when(q < odd, "medium").otherwise("low"))
+
+
+def behavior_insights(patterns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(insight, item, impact, affected): three common and two anomalous patterns, abandonment over 30 %, rare patterns.
+
+    ``patterns`` is as ``rate_patterns`` gives it, ``sessions`` has (steps, is_complete).
+    """
+    most = [F.desc("count"), "pattern"]
+    row = lambda d, name, impact: d.select(F.lit(name).alias("insight"), F.col("pattern").alias("item"), impact.alias("impact"), F.col("support").alias("affected"))
+    common = row(patterns.filter("count > 10 AND NOT is_anomalous").orderBy(*most).limit(3), "common_pattern", F.lit("low"))
+    odd = row(patterns.filter("is_anomalous AND risk_level <> 'low'").orderBy(*most).limit(2), "anomalous_sequence", F.lit("high"))
+    left = sessions.agg(F.count_if((~F.col("is_complete")) & (F.col("steps") > 3)).alias("affected"), F.count(F.lit(1)).alias("_n"))
+    left = left.filter(F.col("affected") > 0.3 * F.col("_n")).select(
+        F.lit("journey_abandonment").alias("insight"), F.lit("sessions").alias("item"), F.lit("medium").alias("impact"), "affected"
+    )
+    rare = patterns.filter("count < 5 AND probability < 0.01").agg(F.min("pattern").alias("item"), F.sum("support").alias("affected"))
+    rare = rare.filter("item IS NOT NULL").select(F.lit("rare_behavior").alias("insight"), "item", F.lit("medium").alias("impact"), "affected")
+    return common.unionByName(odd).unionByName(left).unionByName(rare)
+
+
+def markov_report(df: DataFrame, session: str, order: list[str], state: str, as_of: str, hours: int = 24, ts: str = "ts", risky: float = 0.6) -> DataFrame:
+    """One row over a window: sequences, mean length, transitions, patterns, share of anomalous sequences."""
+    end = F.lit(as_of).cast(df.schema[ts].dataType)
+    late = df.filter((F.col(ts) > end - F.expr(f"INTERVAL {hours} HOUR")) & (F.col(ts) <= end))
+    matrix = learn_transitions(late, session, order, state)
+    lengths = late.groupBy(session).agg(F.count(F.lit(1)).alias("_n"))
+    scores = lengths.join(sequence_scores(late, matrix, session, order, state), session, "left")
+    a = scores.agg(
+        F.count(F.lit(1)).alias("sequences"), F.avg("_n").alias("mean_length"), F.avg(F.coalesce((F.col("score") > risky).cast("int"), F.lit(0))).alias("anomaly_rate")
+    )
+    b = matrix.agg(F.count(F.lit(1)).alias("patterns"), F.coalesce(F.sum("count"), F.lit(0)).alias("transitions"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+def behavior_trend(df: DataFrame, anomalous: Column, unit: str = "day", periods: int = 3, ts: str = "ts") -> DataFrame:
+    """Anomaly rate of the last and the first periods, and the trend: improving below 0.8 of it, degrading above 1.2."""
+    d = df.groupBy(F.date_trunc(unit, ts).alias("_d")).agg(F.avg(anomalous.cast("int")).alias("_r"))
+    pick = lambda order, name: d.orderBy(order).limit(periods).agg(F.avg("_r").alias(name))
+    out = pick(F.asc("_d"), "older").crossJoin(F.broadcast(pick(F.desc("_d"), "recent")))  # one row each
+    r, o = F.col("recent"), F.col("older")
+    return out.withColumn("trend", F.when(r < o * 0.8, "improving").when(r > o * 1.2, "degrading").otherwise("stable"))
+
+
+def sequence_risk(anomaly: Column, deviation: Column, transition: Column, context: Column) -> Column:
+    """Sequence anomaly .4, pattern deviation .3, transition risk .2, context violation .1; 1 at most."""
+    return F.least(F.lit(1.0), anomaly * 0.4 + deviation * 0.3 + transition * 0.2 + context * 0.1)
 
 
 def prediction_metrics(matrix: DataFrame, held: DataFrame) -> DataFrame:

@@ -266,3 +266,30 @@ def adapt_baselines(df, keys, order, value, alpha=0.1, tolerance=0.5):
     rows = df.withColumn("_v", F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-k, 0)))
     move = lambda b, x: F.when(F.abs(x - b) / (F.abs(b) + 0.001) > tolerance, b).otherwise(b + alpha * (x - b))
     return rows.withColumn("baseline", F.aggregate(F.slice("_v", 2, k), F.col("_v")[0], move)).drop("_v")
+
+
+def confidence_interval(df: DataFrame, keys, value: str, z: float = 1.96) -> DataFrame:
+    """Per key the mean less and plus ``z`` standard errors."""
+    half = z * F.sqrt(F.var_pop(value) / F.count(F.lit(1)))
+    return df.groupBy(*keys).agg((F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
+
+
+def volume_anomalies(df: DataFrame, slot: Column, least_z: float = 3.0) -> DataFrame:
+    """(slot, n, z): slots whose row count lies over ``least_z`` deviations from the mean of all slots."""
+    counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.agg(F.avg("n").alias("_m"), F.stddev_pop("n").alias("_s"))
+    z = F.try_divide(F.abs(F.col("n") - F.col("_m")), F.col("_s"))
+    return counts.crossJoin(F.broadcast(stats)).withColumn("z", z).filter(F.col("z") > least_z).drop("_m", "_s")  # one row
+
+
+def ew_fold(df: DataFrame, keys, order, value: str, alpha: float) -> DataFrame:
+    """(keys, value, n): the exponentially weighted fold of all of a key's values, its first one as the start.
+
+    The fold is a weighted sum: the k-th value from the end weighs alpha (1 - alpha)**k, the first of all
+    (1 - alpha)**(n - 1). Weights need only ranks, so partial sums are combined before anything is shuffled by key again.
+    """
+    w = _ordered(keys, order)
+    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    decay = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i"))
+    weight = F.when(F.col("_i") == 1, decay).otherwise(alpha * decay)
+    return rows.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("value"), F.count(F.lit(1)).alias("n"))

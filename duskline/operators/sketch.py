@@ -21,11 +21,10 @@ def _cells(item: Column, depth: int, width: int, seed: int) -> Column:
 
 
 def cms_build(df: DataFrame, item: str, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> DataFrame:
-    """The sketch as an open table (row, bucket, cnt). Items are counted before they are spread over the rows."""
+    """The sketch as an open table (row, bucket, cnt); its depth x width cells are all that is aggregated or shuffled."""
     depth, width = cms_shape(eps, confidence)
-    counts = df.groupBy(F.col(item).cast("string").alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
-    cells = counts.select(F.explode(_cells(F.col("_i"), depth, width, seed)).alias("x"), "_c")
-    return cells.groupBy("x.row", "x.bucket").agg(F.sum("_c").alias("cnt"))
+    cells = df.select(F.explode(_cells(F.col(item).cast("string"), depth, width, seed)).alias("x"))
+    return cells.groupBy("x.row", "x.bucket").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cms_merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -156,3 +155,59 @@ def compare_periods(df: DataFrame, periods: dict[str, tuple[str, str]], item: st
     aggs = [F.count_distinct(F.when((F.col(ts) >= at(a)) & (F.col(ts) < at(b)), F.col(item))).alias(n) for n, (a, b) in periods.items()]
     wide = df.agg(*aggs)
     return wide.unpivot([], list(periods), "period", "n")
+
+
+# Weights of the kinds of key, and what an anomaly of each severity adds.
+KEY_WEIGHTS = {"ip_address": 0.3, "user_agent": 0.2, "request_path": 0.3, "session_id": 0.2}
+SEVERITY_BOOST = {"critical": 0.3, "high": 0.2, "medium": 0.1}
+
+
+def key_risks(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
+    """(key, kind, risk): the frequency risk of each row's value in every column of ``kinds`` (kind -> column)."""
+    parts = []
+    for kind, col in kinds.items():
+        risk = frequency_risk(df, col).select("item", "risk")
+        parts.append(df.select(key, F.col(col).alias("item")).join(risk, "item").select(key, F.lit(kind).alias("kind"), "risk"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sketch_risk(analyses: DataFrame, anomalies: DataFrame, key: str) -> DataFrame:
+    """Per key: the weighted mean of its kinds' risks plus boosts for anomalies, 1 at most, and no less than the greatest risk.
+
+    ``analyses`` has (key, kind, risk), ``anomalies`` (key, severity). ``param_...`` kinds weigh 0.1, others unknown 1.
+    """
+    w = F.create_map(*[F.lit(x) for kv in KEY_WEIGHTS.items() for x in kv])[F.col("kind")]
+    w = F.coalesce(w, F.when(F.col("kind").startswith("param_"), 0.1).otherwise(1.0))
+    g = analyses.groupBy(key).agg((F.sum(F.col("risk") * w) / F.sum(w)).alias("_mean"), F.max("risk").alias("_max"))
+    boost = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_BOOST.items() for x in kv])[F.col("severity")], F.lit(0.0))
+    b = anomalies.groupBy(key).agg(F.sum(boost).alias("_boost"))
+    risk = F.greatest(F.least(F.col("_mean") + F.coalesce("_boost", F.lit(0.0)), F.lit(1.0)), "_max")
+    return g.join(b, key, "left").select(key, risk.alias("risk"))
+
+
+def visitor_pattern(df: DataFrame, every: str = "1d", points: int = 24, ts: str = "ts", item: str = "ip") -> DataFrame:
+    """One row: class of the last ``points`` periods, mean growth, forecast with its range, busiest and quietest hour.
+
+    steady below 2 % of mean growth either way, growing and declining beyond 10 %, else spiky above a coefficient of
+    variation of 0.5 and seasonal below; fewer than 3 periods are steady.
+    """
+    last = visitor_trend(df, every, ts, item).select("bucket", "n").orderBy(F.desc("bucket")).limit(points)
+    before = F.lag("n").over(Window.orderBy("bucket"))  # one row per period
+    g = last.withColumn("_g", F.try_divide((F.col("n") - before) * 100.0, before)).agg(
+        F.count(F.lit(1)).alias("periods"), F.coalesce(F.avg("_g"), F.lit(0.0)).alias("growth"), F.max_by("n", "bucket").alias("_last"),
+        F.try_divide(F.stddev_pop("n"), F.avg("n")).alias("_cv"),
+    )
+    m = F.col("growth")
+    kind = (
+        F.when((F.col("periods") < 3) | (F.abs(m) < 2), "steady").when(m > 10, "growing").when(m < -10, "declining")
+        .when(F.col("_cv") > 0.5, "spiky").otherwise("seasonal")
+    )
+    ahead = F.col("_last") * (1 + m / 100)
+    hours = df.groupBy(F.hour(ts).alias("_h")).agg(F.count_distinct(item).alias("_n")).agg(
+        F.max_by("_h", F.struct(F.col("_n"), -F.col("_h"))).alias("peak_hour"), F.min_by("_h", F.struct("_n", "_h")).alias("low_hour")
+    )
+    out = g.withColumns({"pattern": kind, "next": F.round(ahead), "low": F.round(ahead * 0.8), "high": F.round(ahead * 1.2)})
+    return out.drop("_last", "_cv").crossJoin(F.broadcast(hours))  # one row each

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskline.functions import scalars as S
+from duskline.operators import enrich as E
 from duskline.sources import tables as T
 
 from .registry import query, rnd
@@ -190,24 +191,24 @@ def _(t):
 
 @query("p16_filter_nodes", "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '7') ORDER BY c_custkey LIMIT 20 OFFSET 5")
 def _(t):
-    return t.customer.filter(F.col("c_name").contains("7")).orderBy("c_custkey").offset(5).limit(20).select("c_custkey", "c_name")
+    return E.filter_nodes(t.customer, "c_name", "7", "c_custkey", 5, 20).select("c_custkey", "c_name")
 
 
 @query("p17_list_edges", "SELECT src, dst FROM edges WHERE type = 'CONNECTED_TO' ORDER BY src, dst LIMIT 50 OFFSET 3", "edges")
 def _(t):
-    return t.edges.filter("type = 'CONNECTED_TO'").orderBy("src", "dst").offset(3).limit(50).select("src", "dst")
+    return E.list_edges(t.edges, "CONNECTED_TO", 3, 50).select("src", "dst")
 
 
 @query("p18_suppress_whitelisted", "SELECT request_id, ip FROM requests WHERE ip NOT IN (SELECT ip FROM assets WHERE criticality_score / 4 <= 0.5)", "requests", "assets")
 def _(t):
     rules = t.assets.select(F.col("ip").alias("value"), (F.col("criticality_score") / 4).alias("tune"))
-    return t.requests.join(rules.filter("tune <= 0.5"), F.col("ip") == F.col("value"), "left_anti").select("request_id", "ip")
+    return E.suppress_whitelisted(t.requests, rules).select("request_id", "ip")
 
 
 @query("p19_deception_hits", "SELECT request_id, path, 'honeypot' AS trap FROM requests WHERE path = '/admin/config?debug=1' OR path = '/api/items/7'", "requests")
 def _(t):
     traps = t.spark.createDataFrame([("/admin/config?debug=1", "honeypot"), ("/api/items/7", "honeypot")], "trap_path string, trap string")
-    return t.requests.join(F.broadcast(traps), F.col("path") == F.col("trap_path")).select("request_id", "path", "trap")
+    return E.deception_hits(t.requests, traps).select("request_id", "path", "trap")
 
 
 @query("p20_interpolate", "SELECT request_id, concat('block ', ip, ' for ', event_type, ' {{x}}') AS step FROM requests", "requests")
@@ -238,7 +239,8 @@ def _(t):
 
 @query("f04_content_hash", "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 16) AS short_id FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 16).alias("short_id"))
+    h = S.content_hash("text")
+    return t.documents.select("doc_id", h["sha256"].alias("sha"), h["short_id"].alias("short_id"))
 
 
 @query("f05_parse_time", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE (epoch_us(ts) // 1000000) END AS at FROM events")
@@ -264,7 +266,7 @@ def _(t):
     return t.events.select("event_id", rnd(S.recency("ts", "2024-02-01", 604800), 6).alias("weight"))
 
 
-@query("f09_time_correlation", "SELECT event_id, round(greatest(0, 1 - abs(epoch(ts) - epoch(date_trunc('hour', ts))) / 300.0), 6) AS corr FROM events")
+@query("f09_time_correlation", "SELECT event_id, round(greatest(0, 1 - abs(epoch_us(ts) - epoch_us(date_trunc('hour', ts))) / 300e6), 6) AS corr FROM events")
 def _(t):
     return t.events.select("event_id", rnd(S.time_correlation("ts", F.date_trunc("hour", "ts")), 6).alias("corr"))
 
@@ -276,7 +278,7 @@ def _(t):
 
 @query("f11_payload_keys", "SELECT event_id, array_to_string(json_keys(props), ',') AS keys FROM events")
 def _(t):
-    return t.events.select("event_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"))
+    return t.events.select("event_id", F.array_join(S.payload_keys("props"), ",").alias("keys"))
 
 
 @query(
@@ -297,10 +299,8 @@ def _(t):
     )
 
 
-@query("f14_hash_quality")
+@query("f14_hash_quality", "SELECT 0.0::double AS collision_rate, true AS even FROM (SELECT count(text) AS n FROM documents)")
 def _(t):
-    """Collision rate and bucket uniformity of xxhash64 over document texts."""
-    h = F.xxhash64("text")
-    buckets = t.documents.groupBy(F.pmod(h, F.lit(1024)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rate = t.documents.agg((1 - F.count_distinct(h) / F.count_distinct("text")).alias("collision_rate"))
-    return buckets.agg(F.var_pop("n").alias("bucket_variance"), F.avg("n").alias("bucket_mean")).crossJoin(rate)
+    """No collisions of xxhash64 over document texts, and buckets as even as chance lets them be (Poisson)."""
+    q = S.hash_quality(t.documents.dropDuplicates(["text"]), "text")
+    return q.select("collision_rate", (F.col("bucket_variance") < 2 * F.col("bucket_mean")).alias("even"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from duskline.functions import scalars as S
@@ -38,7 +40,7 @@ def _(t):
 
 @query("d04_payload_scan", f"SELECT request_id, regexp_matches(body, '{D.PAYLOAD}') AS matched FROM requests", "requests")
 def _(t):
-    return t.requests.select("request_id", F.col("body").rlike(D.PAYLOAD).alias("matched"))
+    return t.requests.select("request_id", D.payload_scan(F.col("body")).alias("matched"))
 
 
 SIGS = " UNION ALL ".join(f"SELECT '{n}' AS signature, '{c}' AS category, '{s}' AS severity, {1 - f}::double AS confidence, regexp_extract(body, '{p}', 0) AS matched, request_id, body FROM requests WHERE regexp_matches(body, '{p}')" for n, p, c, s, f in D.SIGNATURES)
@@ -52,8 +54,7 @@ def _(t):
 @query("d06_literal_match", "SELECT request_id, lit, instr(concat(path, ' ', user_agent, ' ', body), lit) AS position FROM requests, (SELECT unnest(['passwd', 'script', 'curl', 'powershell']) AS lit) WHERE contains(concat(path, ' ', user_agent, ' ', body), lit)", "requests")
 def _(t):
     lits = t.spark.createDataFrame([("passwd",), ("script",), ("curl",), ("powershell",)], "lit string")
-    text = F.concat_ws(" ", "path", "user_agent", "body")
-    return t.requests.withColumn("text", text).join(F.broadcast(lits), F.col("text").contains(F.col("lit"))).select("request_id", "lit", F.expr("instr(text, lit)").alias("position"))
+    return D.literal_match(t.requests, lits, "request_id")
 
 
 CATALOGUE = [("num", r"[0-9]{4,}", "data", "low", 0.5), ("word_ing", r"\b[a-z]{6,}ing\b", "text", "medium", 0.8), ("rare", r"zzzz", "none", "high", 0.1)]
@@ -72,8 +73,7 @@ VAL = lambda c: "least(1, " + " + ".join(f"CASE WHEN regexp_matches({c}, '{p}')
 
 @query("d08_validate_requests", f"SELECT request_id, round(least(1, {VAL('path')} * 0.3 + {VAL('user_agent')} * 0.2 + {VAL('body')} * 0.5), 5) AS score FROM requests", "requests")
 def _(t):
-    v = D.validation_score
-    return t.requests.select("request_id", rnd(F.least(F.lit(1.0), v(F.col("path")) * 0.3 + v(F.col("user_agent")) * 0.2 + v(F.col("body")) * 0.5)).alias("score"))
+    return t.requests.select("request_id", rnd(D.validate_requests(F.col("path"), F.col("user_agent"), F.col("body"))).alias("score"))
 
 
 @query("d10_extract_indicators", r"SELECT page_id, 'url' AS type, unnest(regexp_extract_all(url, 'https?://[^\s<>" + '"' + r"]+')) AS value FROM pages UNION ALL SELECT page_id, 'technique', unnest(regexp_extract_all(url, 'T[0-9]{4}(?:\.[0-9]{3})?')) FROM pages")
@@ -83,10 +83,7 @@ def _(t):
 
 @query("d11_shared_attack_patterns", "SELECT a.request_id AS a_id, b.request_id AS b_id FROM requests a JOIN requests b ON a.user_id = b.user_id AND a.request_id < b.request_id WHERE (contains(a.body, '1=1') AND contains(b.body, '1=1')) OR (contains(a.body, '<script') AND contains(b.body, '<script')) OR (contains(a.body, '../') AND contains(b.body, '../'))", "requests")
 def _(t):
-    r = t.requests.select("request_id", "user_id", "body")
-    a, b = r.toDF("a_id", "user_id", "x"), r.toDF("b_id", "user_id", "y")
-    both = lambda w: F.col("x").contains(w) & F.col("y").contains(w)
-    return a.join(b, "user_id").filter((F.col("a_id") < F.col("b_id")) & (both("1=1") | both("<script") | both("../"))).select("a_id", "b_id")
+    return D.shared_attack_patterns(t.requests, "request_id", "user_id", "body")
 
 
 @query("d12_request_anomalies", "SELECT request_id, concat_ws(',', CASE WHEN content_length * 1000 > 10485760 THEN 'large_request' END, CASE WHEN duration_ms / 10 > 10 THEN 'slow_response' END, CASE WHEN country IN ('CN','RU') THEN 'geographic_anomaly' END) AS types, round(CASE WHEN content_length * 1000 > 10485760 THEN 0.4 ELSE 0 END + CASE WHEN duration_ms / 10 > 10 THEN 0.3 ELSE 0 END + CASE WHEN country IN ('CN','RU') THEN 0.3 ELSE 0 END, 5) AS score FROM requests", "requests")
@@ -103,11 +100,12 @@ def _(t):
     return t.requests.select("user_agent").distinct().select("user_agent", rnd(D.user_agent_score("user_agent")).alias("score"))
 
 
-@query("d14_zscore_request", "WITH b AS (SELECT path, avg(duration_ms) AS m, stddev_pop(duration_ms) AS s FROM requests GROUP BY path) SELECT request_id, round((duration_ms - m) / s, 5) AS z, CASE WHEN abs((duration_ms - m) / s) > 2.5 THEN 0.2 ELSE 0 END::double AS score FROM requests JOIN b USING (path) WHERE s > 0", "requests")
+@query("d14_zscore_request", "WITH b AS (SELECT path, avg(content_length) AS sm, stddev_pop(content_length) AS ss, avg(duration_ms) AS lm, stddev_pop(duration_ms) AS ls FROM requests GROUP BY path), z AS (SELECT request_id, (content_length - sm) / nullif(ss, 0) AS sz, (duration_ms - lm) / nullif(ls, 0) AS lz FROM requests JOIN b USING (path)) SELECT request_id, round(sz, 5) AS size_z, round(lz, 5) AS latency_z, CASE WHEN abs(sz) > 3 THEN 0.3 ELSE 0 END::double + CASE WHEN abs(lz) > 2.5 THEN 0.2 ELSE 0 END::double AS score FROM z", "requests")
 def _(t):
-    b = t.requests.groupBy("path").agg(F.avg("duration_ms").alias("m"), F.stddev_pop("duration_ms").alias("s")).filter("s > 0")
-    r = t.requests.join(b, "path").withColumn("z", (F.col("duration_ms") - F.col("m")) / F.col("s"))
-    return r.select("request_id", rnd("z").alias("z"), F.when(F.abs("z") > 2.5, 0.2).otherwise(0.0).alias("score"))
+    mean = lambda c, n: [F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std")]
+    b = t.requests.groupBy("path").agg(*mean("content_length", "size"), *mean("duration_ms", "latency"))
+    z = D.zscore_request(t.requests, b, "path", "content_length", "duration_ms")
+    return z.select("request_id", rnd("size_z").alias("size_z"), rnd("latency_z").alias("latency_z"), F.col("zscore_risk").alias("score"))
 
 
 DEC = "CASE WHEN contains(lower(user_agent), 'bot') THEN 2 ELSE 0 END + CASE WHEN contains(lower(user_agent), 'curl') THEN 3 ELSE 0 END + CASE WHEN contains(lower(user_agent), 'python') THEN 3 ELSE 0 END + CASE WHEN method = 'POST' THEN 1 ELSE 0 END + CASE WHEN length(body) > 0 THEN 1 ELSE 0 END"
@@ -156,10 +154,19 @@ def _(t):
     return D.gas_price_outliers(t.orders, "o_custkey", "o_totalprice").withColumn("share", rnd("share"))
 
 
-@query("d21_crypto_risk", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 0.9 WHEN p_size < 30 THEN 0.6 ELSE 0.3 END * CASE WHEN p_retailprice > 1500 THEN 1.1 ELSE 1.0 END AS risk, CASE WHEN p_size < 10 THEN 'immediate' WHEN p_size < 30 THEN 'planned' ELSE 'monitor' END AS urgency FROM part")
+ALGORITHMS = "['rsa', 'ecc', 'dh', 'ecdh', 'aes', 'sha256', 'sha512', 'ecdsa', 'des']"
+CRYPTO = f"c AS (SELECT p_partkey, ({ALGORITHMS})[p_partkey % 9 + 1] AS a, p_size * 100 AS b, (['low', 'normal', 'high'])[p_partkey // 9 % 3 + 1] AS c, p_retailprice / 80 AS y FROM part), t AS (SELECT *, round(greatest(0, least(1, CASE WHEN a IN ('rsa', 'ecc', 'dh', 'ecdh') THEN 0.9 WHEN a = 'aes' THEN 0.5 WHEN a = 'sha256' THEN 0.3 WHEN a = 'sha512' THEN 0.2 ELSE 0.5 END + CASE WHEN a IN ('rsa', 'dh') AND b < 2048 OR a IN ('ecc', 'ecdh') AND b < 256 THEN 0.1 WHEN a IN ('rsa', 'dh') AND b >= 4096 OR a IN ('ecc', 'ecdh') AND b >= 384 THEN -0.1 WHEN a = 'aes' AND b < 256 THEN 0.2 ELSE 0 END)), 6) AS th FROM c), u AS (SELECT *, CASE WHEN th > 0.80001 AND y < 10 THEN 3 WHEN th > 0.60001 AND y < 15 THEN 2 WHEN th > 0.40001 AND y < 20 THEN 1 ELSE 0 END AS q FROM t), v AS (SELECT *, CASE WHEN c = 'high' AND q < 2 THEN q + 1 WHEN c = 'low' AND q >= 2 THEN q - 1 ELSE q END AS w FROM u)"
+
+
+@query("d21_crypto_risk", f"WITH {CRYPTO} SELECT p_partkey, round(th, 5)::double AS threat, CASE WHEN a = 'aes' THEN CASE WHEN b < 256 THEN 'aes_256' ELSE 'post_quantum_symmetric' END WHEN a IN ('rsa', 'dh') THEN CASE WHEN c = 'high' THEN 'lattice_based_kem' ELSE 'code_based_kem' END WHEN a IN ('ecc', 'ecdh') THEN CASE WHEN c = 'high' THEN 'lattice_based_kem' ELSE 'isogeny_based_kem' END WHEN a = 'ecdsa' THEN CASE WHEN c = 'high' THEN 'lattice_based_signatures' ELSE 'hash_based_signatures' END ELSE 'hybrid_classical_post_quantum' END AS target, (['low', 'medium', 'high', 'critical'])[w + 1] AS urgency, round(th * 0.4 + ([0.2, 0.5, 0.8, 1.0])[w + 1] * 0.3 + greatest(0, least(1, (30 - y) / 30)) * 0.3, 5)::double AS risk FROM v")
 def _(t):
-    base = F.when(F.col("p_size") < 10, 0.9).when(F.col("p_size") < 30, 0.6).otherwise(0.3)
-    return t.part.select("p_partkey", (base * F.when(F.col("p_retailprice") > 1500, 1.1).otherwise(1.0)).alias("risk"), F.when(F.col("p_size") < 10, "immediate").when(F.col("p_size") < 30, "planned").otherwise("monitor").alias("urgency"))
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i + 1)
+    key = F.col("p_partkey")
+    c = t.part.select(
+        "p_partkey", pick(re.findall(r"\w+", ALGORITHMS), (key % 9).cast("int")).alias("algorithm"), (F.col("p_size") * 100).alias("key_size"),
+        pick(["low", "normal", "high"], (F.floor(key / 9) % 3).cast("int")).alias("criticality"), (F.col("p_retailprice") / 80).alias("break_years"),
+    )
+    return D.crypto_risk(c).select("p_partkey", rnd("threat").alias("threat"), "target", "urgency", rnd("risk").alias("risk"))
 
 
 @query("d22_findings_risk", "WITH s AS (SELECT host, sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 4 ELSE 1 END)::bigint AS score FROM requests WHERE hour(ts) = 3 GROUP BY host) SELECT *, CASE WHEN score >= 20 THEN 'critical' WHEN score >= 10 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS level FROM s", "requests")
@@ -272,10 +279,22 @@ def _(t):
     return D.route_alerts(t.requests.select("request_id", "severity"), rules)
 
 
-@query("g16_build_alerts", "SELECT request_id, CASE WHEN severity = 'high' THEN 'block,notify' ELSE 'monitor' END AS recommendations, concat(country, '/', city) AS place FROM requests WHERE severity <> 'low'", "requests")
+ADVICE_SQL = "CASE severity WHEN 'critical' THEN 'block source now; isolate systems; start incident response' WHEN 'high' THEN 'block source; watch for more; review policies' WHEN 'medium' THEN 'watch source; log more; review traffic' ELSE 'log; watch trends' END"
+KIND_SQL = "CASE event_type WHEN 'error' THEN 'intrusion' WHEN 'click' THEN 'ddos' WHEN 'purchase' THEN 'malware' ELSE 'other' END"
+
+
+@query("g16_build_alerts", f"WITH m AS (SELECT request_id, list_sort(list(DISTINCT signature)) AS s FROM ({SIGS}) x GROUP BY request_id), t AS (SELECT r.*, coalesce(s, []) AS s, {KIND_SQL} AS kind, greatest(coalesce(virustotal_score, 0), coalesce(abuseipdb_score, 0)) AS sc FROM requests r LEFT JOIN m USING (request_id) LEFT JOIN intel USING (ip) WHERE severity <> 'low') SELECT request_id, substr(sha256(concat_ws('-', kind, ip, request_id::varchar)), 1, 16) AS alert_id, sha256(concat_ws('-', kind, ip, host, array_to_string(s, ','))) AS alert_hash, array_to_string(s, ',') AS signatures, CASE WHEN parity > 2 THEN 2 ELSE 1 END AS n_evidence, concat_ws('/', country, region, city) AS place, CASE WHEN sc >= 80 THEN 'malicious' WHEN sc >= 40 THEN 'suspicious' ELSE 'clean' END AS reputation, concat({ADVICE_SQL}, CASE kind WHEN 'intrusion' THEN '; check for privilege escalation; review access logs' WHEN 'ddos' THEN '; limit rates; enable ddos protection' WHEN 'malware' THEN '; scan systems; update signatures' ELSE '' END) AS recommendations FROM t", "requests", "intel")
 def _(t):
-    rec = F.when(F.col("severity") == "high", "block,notify").otherwise("monitor")
-    return t.requests.filter("severity <> 'low'").select("request_id", rec.alias("recommendations"), F.concat_ws("/", "country", "city").alias("place"))
+    kind = F.expr(KIND_SQL)
+    threats = t.requests.filter("severity <> 'low'").select(
+        "request_id", kind.alias("threat_type"), "severity", F.col("risk_score").alias("confidence"), "ip", F.col("host").alias("dest"), "country", "region", "city",
+        F.when(F.col("parity") > 2, F.col("risk_score")).alias("behavior"),
+    )
+    a = D.build_alerts(threats, D.signature_match(t.requests, "body", "request_id"), t.intel)
+    return a.select(
+        "request_id", "alert_id", "alert_hash", F.array_join("signatures", ",").alias("signatures"), F.size("evidence").alias("n_evidence"),
+        F.concat_ws("/", "geo.country", "geo.region", "geo.city").alias("place"), "reputation", F.array_join("recommendations", "; ").alias("recommendations"),
+    )
 
 
 @query("g17_indicator_risk", "SELECT host, round(avg(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 ELSE 0.2 END), 5) AS risk FROM requests GROUP BY host", "requests")

@@ -19,15 +19,24 @@ from .registry import query, rnd
 N = lambda: F.count(F.lit(1))
 
 
-@query("k02_cms_query")
+def within_bound(t, item, sketch):
+    """Estimates against the true counts: never below, and above by 0.1 % of all rows at most."""
+    truth = t.requests.groupBy(item).agg(N().alias("n"))
+    total = t.requests.agg(N().alias("total"))
+    e = F.col("estimate")
+    out = K.cms_query(sketch, t.requests, item).join(truth, item).crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("within", (e >= F.col("n")) & (e <= F.col("n") + F.ceil(0.001 * F.col("total"))))
+
+
+@query("k02_cms_query", "SELECT path, count(*) AS n, true AS within FROM requests GROUP BY path", "requests")
 def _(t):
-    """Estimates of request counts per path; tests hold them against the truth and the bound."""
-    return K.cms_query(K.cms_build(t.requests, "path"), t.requests, "path")
+    return within_bound(t, "path", K.cms_build(t.requests, "path")).select("path", "n", "within")
 
 
-@query("k03_cms_top_k")
+@query("k03_cms_top_k", "SELECT count(*) AS found, true AS within FROM (SELECT DISTINCT ip FROM requests LIMIT 10)", "requests")
 def _(t):
-    return K.cms_query(K.cms_build(t.requests, "ip"), t.requests, "ip").orderBy(F.desc("estimate"), "ip").limit(10)
+    top = within_bound(t, "ip", K.cms_build(t.requests, "ip")).orderBy(F.desc("estimate"), "ip").limit(10)
+    return top.agg(N().alias("found"), F.bool_and("within").alias("within"))
 
 
 @query("k04_cms_merge", "SELECT 'whole' AS part, sum(c)::bigint AS inserts FROM (SELECT count(*) AS c FROM requests)", "requests")
@@ -37,20 +46,28 @@ def _(t):
     return m.filter("row = 0").agg(F.lit("whole").alias("part"), F.sum("cnt").alias("inserts"))
 
 
-@query("k06_cms_metrics")
+@query("k06_cms_metrics", "SELECT count(*)::double AS inserts, true AS plausible, 8 * 5 * 2719 AS bytes FROM requests", "requests")
 def _(t):
-    return K.cms_metrics(K.cms_build(t.requests, "path"))
+    m = K.cms_metrics(K.cms_build(t.requests, "path"))
+    full = (F.col("filled") > 0) & (F.col("fill_ratio") <= 1) & (F.abs(F.col("fill_ratio") * F.col("bytes") / 8 - F.col("filled")) < 1e-6)
+    return m.select("inserts", full.alias("plausible"), F.col("bytes").cast("int").alias("bytes"))
 
 
-@query("k07_hll_estimate")
+@query("k07_hll_estimate", "SELECT country, true AS within FROM requests GROUP BY country", "requests")
 def _(t):
-    return K.hll_estimate(K.hll_build(t.requests, "country", "session_id"), "country")
+    """Estimates within 6 % (over three standard errors) of the distinct sessions."""
+    truth = t.requests.groupBy("country").agg(F.count_distinct("session_id").alias("n"))
+    e = K.hll_estimate(K.hll_build(t.requests, "country", "session_id"), "country").join(truth, "country")
+    return e.select("country", (F.abs(F.col("estimate") - F.col("n")) <= 0.06 * F.col("n") + 1).alias("within"))
 
 
-@query("k08_hll_merge")
+@query("k08_hll_merge", "SELECT host, true AS within FROM requests GROUP BY host", "requests")
 def _(t):
-    parts = K.hll_build(t.requests, "country", "session_id").withColumn("zone", S.geo_zone("country"))
-    return K.hll_estimate(K.hll_merge(parts, "zone"), "zone")
+    """Sketches of (host, country) merged by host, against the distinct sessions of the host."""
+    parts = t.requests.groupBy("host", "country").agg(F.hll_sketch_agg("session_id", 12).alias("sketch"))
+    truth = t.requests.groupBy("host").agg(F.count_distinct("session_id").alias("n"))
+    e = K.hll_estimate(K.hll_merge(parts, "host"), "host").join(truth, "host")
+    return e.select("host", (F.abs(F.col("estimate") - F.col("n")) <= 0.06 * F.col("n") + 1).alias("within"))
 
 
 VIS = "count(DISTINCT ip) AS ips, count(DISTINCT session_id) AS sessions, count(DISTINCT user_agent) AS agents, count(DISTINCT city) AS locations, count(DISTINCT path) AS paths"
@@ -89,9 +106,14 @@ def _(t):
     return K.frequency_anomalies(tagged, "tagged")
 
 
-@query("k15_sketch_risk", f"WITH {FR} SELECT round(greatest(max(risk), least(1, avg(risk) * 0.3 / 0.3)), 5) AS risk FROM r", "requests")
+RISK = "CASE WHEN {0} <= 5 THEN 0 WHEN {0} >= 40 THEN 1 ELSE ({0} - 5) / 35 END"
+
+
+@query("k15_sketch_risk", f"WITH {FR}, {FP}, c AS (SELECT request_id, ip, count(*) OVER (PARTITION BY ip) AS c1, count(*) OVER (PARTITION BY user_agent) AS c2, count(*) OVER (PARTITION BY path) AS c3, count(*) OVER (PARTITION BY session_id) AS c4 FROM requests), k AS (SELECT request_id, ip, {RISK.format('c1')} AS r1, {RISK.format('c2')} AS r2, {RISK.format('c3')} AS r3, {RISK.format('c4')} AS r4 FROM c), an AS (SELECT item, sum(b) AS b FROM (SELECT item, CASE WHEN d >= 50 THEN 0.3 WHEN d >= 20 THEN 0.2 WHEN d >= 10 THEN 0.1 ELSE 0 END AS b FROM r JOIN t USING (item) WHERE d >= 5 AND pattern IN ('increasing', 'burst') UNION ALL SELECT item, CASE WHEN 0.8 * risk >= 0.8 THEN 0.3 WHEN 0.8 * risk >= 0.6 THEN 0.2 WHEN 0.8 * risk >= 0.4 THEN 0.1 ELSE 0 END FROM r JOIN t USING (item) WHERE pattern = 'burst') GROUP BY item) SELECT request_id, round(greatest(least(0.3 * r1 + 0.2 * r2 + 0.3 * r3 + 0.2 * r4 + coalesce(b, 0), 1), r1, r2, r3, r4), 5)::double AS risk FROM k LEFT JOIN an ON an.item = k.ip", "requests")
 def _(t):
-    return K.frequency_risk(t.requests, "ip").agg(rnd(F.greatest(F.max("risk"), F.least(F.lit(1.0), F.sum(F.col("risk") * 0.3) / F.sum(F.lit(0.3))))).alias("risk"))
+    kinds = {"ip_address": "ip", "user_agent": "user_agent", "request_path": "path", "session_id": "session_id"}
+    odd = t.requests.select("request_id", F.col("ip").alias("item")).join(K.frequency_anomalies(t.requests, "ip"), "item")
+    return K.sketch_risk(K.key_risks(t.requests, "request_id", kinds), odd, "request_id").withColumn("risk", rnd("risk"))
 
 
 @query("k16_cardinality_risk", f"WITH v AS (SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) // 1000000 AS bucket, {VIS} FROM requests GROUP BY 1) SELECT bucket, round(least(1, CASE WHEN ips / sessions > 0.8 THEN 0.3 WHEN ips / sessions < 0.1 THEN 0.2 ELSE 0 END + CASE WHEN agents / ips < 0.1 THEN 0.4 WHEN agents / ips > 2 THEN 0.2 ELSE 0 END + CASE WHEN locations / ips > 0.5 THEN 0.2 ELSE 0 END + CASE WHEN paths / sessions > 10 THEN 0.3 ELSE 0 END), 5) AS risk FROM v", "requests")
@@ -107,12 +129,9 @@ def _(t):
     return K.visitor_trend(t.requests).select(F.unix_timestamp("bucket").alias("bucket"), "n", rnd("growth").alias("growth"), "trend", rnd("anomaly").alias("anomaly"))
 
 
-@query("k18_visitor_pattern", f"WITH {VT} SELECT CASE WHEN avg(growth) > 10 THEN 'growing' WHEN avg(growth) < -10 THEN 'declining' WHEN stddev_pop(n) / avg(n) > 0.5 THEN 'spiky' ELSE 'steady' END AS pattern, round(arg_max(n, b) * 0.8, 5) AS low, round(arg_max(n, b) * 1.2, 5) AS high FROM w", "requests")
+@query("k18_visitor_pattern", "WITH d AS (SELECT time_bucket(INTERVAL '1 day', ts) AS b, count(DISTINCT ip) AS n FROM requests GROUP BY 1 ORDER BY b DESC LIMIT 24), w AS (SELECT *, (n - lag(n) OVER (ORDER BY b)) * 100.0 / lag(n) OVER (ORDER BY b) AS g FROM d), a AS (SELECT count(*) AS periods, coalesce(avg(g), 0) AS m, arg_max(n, b) AS l, stddev_pop(n) / avg(n) AS cv FROM w), h AS (SELECT hour(ts)::int AS h, count(DISTINCT ip) AS n FROM requests GROUP BY 1) SELECT periods, round(m, 5) AS growth, CASE WHEN periods < 3 OR abs(m) < 2 THEN 'steady' WHEN m > 10 THEN 'growing' WHEN m < -10 THEN 'declining' WHEN cv > 0.5 THEN 'spiky' ELSE 'seasonal' END AS pattern, round(l * (1 + m / 100), 0)::double AS next, round(l * (1 + m / 100) * 0.8, 0)::double AS low, round(l * (1 + m / 100) * 1.2, 0)::double AS high, (SELECT h FROM h ORDER BY n DESC, h LIMIT 1) AS peak_hour, (SELECT h FROM h ORDER BY n, h LIMIT 1) AS low_hour FROM a", "requests")
 def _(t):
-    g = F.avg("growth")
-    last = F.max_by("n", "bucket")
-    p = F.when(g > 10, "growing").when(g < -10, "declining").when(F.stddev_pop("n") / F.avg("n") > 0.5, "spiky").otherwise("steady")
-    return K.visitor_trend(t.requests).agg(p.alias("pattern"), rnd(last * 0.8).alias("low"), rnd(last * 1.2).alias("high"))
+    return K.visitor_pattern(t.requests).withColumn("growth", rnd("growth"))
 
 
 @query("k19_visitor_insights", f"WITH {VT} SELECT epoch_us(b) // 1000000 AS bucket, 'growth' AS insight FROM w WHERE growth > 50 UNION ALL SELECT epoch_us(b) // 1000000, 'anomaly' FROM w WHERE z / 3 > 0.7 UNION ALL SELECT epoch_us(b) // 1000000, 'decline' FROM w WHERE growth < -30", "requests")
@@ -188,15 +207,26 @@ def _(t):
     return s.select("session", rnd("a").alias("score"), F.when(F.col("a") > 0.6, "high").when(F.col("a") > 0.4, "medium").otherwise("low").alias("severity"))
 
 
-@query("q10_user_journeys", "SELECT session, arg_min(state, step) AS start, arg_max(state, step) AS \"end\", count(*) AS steps, string_agg(state, '>' ORDER BY step) AS path FROM states GROUP BY session", "states")
+TQ = "l AS (SELECT session_id, ts, request_id, event_type, lag(event_type) OVER w AS context, event_type AS next, lead(epoch_us(ts)) OVER w AS nx FROM requests{0} WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id)), m AS (SELECT context, next, count(*) AS c FROM l WHERE context IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, (c + 1) / (sum(c) OVER (PARTITION BY context) + count(*) OVER (PARTITION BY context)) AS pr FROM m), sc AS (SELECT session_id, avg(1 - pr) AS a, max(1 - pr) AS worst FROM l JOIN p USING (context, next) GROUP BY 1)"
+RQ = ["ts", "request_id"]
+
+
+@query("q10_user_journeys", f"WITH {TQ.format('')} SELECT session_id, arg_min(event_type, struct_pack(a := ts, b := request_id)) AS start, arg_max(event_type, struct_pack(a := ts, b := request_id)) AS \"end\", count(*)::int AS steps, string_agg(event_type, '>' ORDER BY ts, request_id) AS path, round(sum(coalesce(nx - epoch_us(ts), 0)) / 1e6, 3) AS in_steps, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS duration, coalesce(any_value(a) > 0.6, false) AS is_anomalous, round(coalesce(any_value(worst), 0), 5) AS risk FROM l LEFT JOIN sc USING (session_id) GROUP BY session_id", "requests")
 def _(t):
-    return Q.journeys(t.states, "session", SQ, "state")
+    r = t.requests.select("session_id", "ts", "request_id", "event_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    j = Q.user_journeys(r, "session_id", RQ, "event_type", at, Q.learn_transitions(r, "session_id", RQ, "event_type"))
+    total = F.aggregate("step_durations", F.lit(0.0), lambda a, x: a + x)
+    return j.select("session_id", "start", "end", "steps", F.array_join("path", ">").alias("path"), rnd(total, 3).alias("in_steps"), rnd("duration", 3).alias("duration"), "is_anomalous", rnd("risk").alias("risk"))
 
 
-@query("q11_behavior_insights", "WITH s AS (SELECT session, count(*) AS n, arg_max(state, step) AS last FROM states GROUP BY session) SELECT 'abandoned' AS insight, count_if(n <= 2) AS sessions FROM s UNION ALL SELECT 'unanswered', count_if(last = 'user') FROM s", "states")
+GRAMS = "w AS (SELECT session, state AS a, lead(state, 1) OVER w AS b, lead(state, 2) OVER w AS c, lead(state, 3) OVER w AS d, lead(state, 4) OVER w AS e FROM states WINDOW w AS (PARTITION BY session ORDER BY step)), g AS (SELECT session, concat_ws('>', a, b) AS pattern FROM w WHERE b IS NOT NULL UNION ALL SELECT session, concat_ws('>', a, b, c) FROM w WHERE c IS NOT NULL UNION ALL SELECT session, concat_ws('>', a, b, c, d) FROM w WHERE d IS NOT NULL UNION ALL SELECT session, concat_ws('>', a, b, c, d, e) FROM w WHERE e IS NOT NULL), pt AS (SELECT pattern, count(*) AS c, count(DISTINCT session) AS s FROM g GROUP BY pattern HAVING count(*) >= 2), q AS (SELECT *, c / sum(c) OVER () AS pr FROM pt)"
+
+
+@query("q11_behavior_insights", f"WITH {GRAMS}, ss AS (SELECT session, count(*) AS n, arg_max(state, step) AS last FROM states GROUP BY session), ab AS (SELECT count_if(last <> 'assistant' AND n > 3) AS k, count(*) AS n FROM ss) SELECT 'common_pattern' AS insight, pattern AS item, 'low' AS impact, s AS affected FROM (SELECT * FROM q WHERE c > 10 AND pr >= 0.005 ORDER BY c DESC, pattern LIMIT 3) UNION ALL SELECT 'anomalous_sequence', pattern, 'high', s FROM (SELECT * FROM q WHERE pr < 0.005 ORDER BY c DESC, pattern LIMIT 2) UNION ALL SELECT 'journey_abandonment', 'sessions', 'medium', k FROM ab WHERE k > 0.3 * n UNION ALL SELECT 'rare_behavior', min(pattern), 'medium', sum(s)::bigint FROM q WHERE c < 5 AND pr < 0.01 HAVING count(*) > 0", "states")
 def _(t):
-    s = t.states.groupBy("session").agg(N().alias("n"), F.max_by("state", "step").alias("last"))
-    return s.agg(F.count_if(F.col("n") <= 2).alias("abandoned"), F.count_if(F.col("last") == "user").alias("unanswered")).unpivot([], ["abandoned", "unanswered"], "insight", "sessions")
+    s = t.states.groupBy("session").agg(N().alias("steps"), (F.max_by("state", "step") == "assistant").alias("is_complete"))
+    return Q.behavior_insights(Q.rate_patterns(Q.discover_patterns(t.states, "session", SQ, "state")), s)
 
 
 @query("q12_anomaly_clusters", f"WITH {TR}, s AS (SELECT session, avg(1 - pr) AS a FROM tr JOIN p USING (context, next) GROUP BY session) SELECT CASE WHEN a > 0.6 THEN 'high' WHEN a > 0.4 THEN 'medium' ELSE 'low' END AS cluster, count(*) AS sessions, round(avg(a), 5) AS mean FROM s GROUP BY 1", "states")
@@ -207,13 +237,16 @@ def _(t):
     return s.groupBy(c.alias("cluster")).agg(N().alias("sessions"), rnd(F.avg("a")).alias("mean"))
 
 
-@query("q13_behavior_trend", "WITH d AS (SELECT cast(ts AS date) AS d, count_if(event_type = 'error') * 1.0 / count(*) AS r FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY d) AS i, row_number() OVER (ORDER BY d DESC) AS j FROM d) SELECT round(avg(CASE WHEN i <= 3 THEN r END), 5) AS first, round(avg(CASE WHEN j <= 3 THEN r END), 5) AS last FROM k")
+@query("q13_behavior_trend", "WITH d AS (SELECT cast(ts AS date) AS d, count_if(event_type = 'error') * 1.0 / count(*) AS r FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY d) AS i, row_number() OVER (ORDER BY d DESC) AS j FROM d), x AS (SELECT avg(CASE WHEN i <= 3 THEN r END) AS o, avg(CASE WHEN j <= 3 THEN r END) AS n FROM k) SELECT round(o, 5) AS older, round(n, 5) AS recent, CASE WHEN n < o * 0.8 THEN 'improving' WHEN n > o * 1.2 THEN 'degrading' ELSE 'stable' END AS trend FROM x")
 def _(t):
-    from pyspark.sql import Window
+    b = Q.behavior_trend(t.events, F.col("event_type") == "error")
+    return b.select(rnd("older").alias("older"), rnd("recent").alias("recent"), "trend")
 
-    d = t.events.groupBy(F.to_date("ts").alias("d")).agg((F.count_if(F.col("event_type") == "error") / N()).alias("r"))
-    k = d.withColumn("i", F.row_number().over(Window.orderBy("d"))).withColumn("j", F.row_number().over(Window.orderBy(F.desc("d"))))
-    return k.agg(rnd(F.avg(F.when(F.col("i") <= 3, F.col("r")))).alias("first"), rnd(F.avg(F.when(F.col("j") <= 3, F.col("r")))).alias("last"))
+
+@query("q13_markov_report", "WITH " + TQ.format(" WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 168 HOUR AND ts <= TIMESTAMP '2024-01-20'") + ", n AS (SELECT session_id, count(*) AS n FROM l GROUP BY 1) SELECT count(*) AS sequences, round(avg(n), 5) AS mean_length, round(avg(coalesce((a > 0.6)::int, 0)), 5) AS anomaly_rate, (SELECT count(*) FROM m) AS patterns, (SELECT coalesce(sum(c), 0)::bigint FROM m) AS transitions FROM n LEFT JOIN sc USING (session_id)", "requests")
+def _(t):
+    m = Q.markov_report(t.requests.select("session_id", "ts", "request_id", "event_type"), "session_id", RQ, "event_type", "2024-01-20", 168)
+    return m.withColumn("mean_length", rnd("mean_length")).withColumn("anomaly_rate", rnd("anomaly_rate"))
 
 
 @query("q14_prediction_metrics", f"WITH {TR}, h AS (SELECT context, next FROM tr WHERE session % 5 = 0), mm AS (SELECT context, next, count(*) AS c FROM tr WHERE session % 5 <> 0 GROUP BY 1, 2), b AS (SELECT context, next AS best FROM mm QUALIFY row_number() OVER (PARTITION BY context ORDER BY c DESC, next) = 1) SELECT count(*) AS n, round(avg(coalesce((best = next)::int, 0)), 5) AS accuracy FROM h LEFT JOIN b USING (context)", "states")
@@ -228,19 +261,26 @@ def _(t):
     return Q.compress_sequences(t.events, "user_id", ["ts", "event_id"], "event_type", 0.7, 10).select("user_id", "event_id")
 
 
-@query("q16_sequence_risk", "SELECT session_id, round(avg(risk_score) * 0.4 + max(risk_score) * 0.3 + avg((status_code >= 400)::int) * 0.2 + least(1, count(*) / 10) * 0.1, 5) AS risk FROM requests GROUP BY session_id", "requests")
+@query("q16_sequence_risk", "SELECT session_id, round(least(1, avg(risk_score) * 0.4 + max(risk_score) * 0.3 + avg((status_code >= 400)::int) * 0.2 + least(1, count(*) / 10) * 0.1), 5) AS risk FROM requests GROUP BY session_id", "requests")
 def _(t):
-    s = F.avg("risk_score") * 0.4 + F.max("risk_score") * 0.3 + F.avg((F.col("status_code") >= 400).cast("int")) * 0.2 + F.least(F.lit(1.0), N() / 10) * 0.1
+    s = Q.sequence_risk(F.avg("risk_score"), F.max("risk_score"), F.avg((F.col("status_code") >= 400).cast("int")), F.least(F.lit(1.0), N() / 10))
     return t.requests.groupBy("session_id").agg(rnd(s).alias("risk"))
 
 
 # --- graphs -------------------------------------------------------------------------------------
 
 
-@query("r01_relation_strength", "WITH p AS (SELECT a.request_id AS a_id, b.request_id AS b_id, CASE WHEN a.user_agent = b.user_agent THEN 0.1 ELSE 0 END + 0.15 + 0.25 * greatest(0, 1 - abs(epoch_us(a.ts) - epoch_us(b.ts)) / 300e6) + 0.2 * CASE WHEN a.city = b.city AND a.country = b.country THEN 1.0 WHEN a.region = b.region AND a.country = b.country THEN 0.8 WHEN a.country = b.country THEN 0.6 ELSE 0.1 END + CASE WHEN a.event_type = b.event_type THEN 0.3 ELSE 0 END AS s FROM requests a JOIN requests b ON a.path = b.path AND a.ip < b.ip AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000) SELECT a_id, b_id, round(least(1, s), 4) AS strength FROM p WHERE least(1, s) > 0.3", "requests")
-def _(t):
+RP = "rp AS (SELECT a.request_id AS a_id, b.request_id AS b_id, a.ip AS a_ip, b.ip AS b_ip, least(1, CASE WHEN a.user_agent = b.user_agent THEN 0.1 ELSE 0 END + 0.15 + 0.25 * greatest(0, 1 - abs(epoch_us(a.ts) - epoch_us(b.ts)) / 300e6) + 0.2 * CASE WHEN a.city = b.city AND a.country = b.country THEN 1.0 WHEN a.region = b.region AND a.country = b.country THEN 0.8 WHEN a.country = b.country THEN 0.6 ELSE 0.1 END + CASE WHEN a.event_type = b.event_type THEN 0.3 ELSE 0 END) AS s FROM requests a JOIN requests b ON a.path = b.path AND a.ip < b.ip AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000), rs AS (SELECT * FROM rp WHERE s > 0.3)"
+
+
+def relations(t):
     p = G.relation_strength(E.pair_within(t.requests, "ip", "ts", 300, "path"))
-    return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"), rnd("strength", 4).alias("strength"))
+    return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"), F.col("a.ip").alias("a_ip"), F.col("b.ip").alias("b_ip"), "strength")
+
+
+@query("r01_relation_strength", f"WITH {RP} SELECT a_id, b_id, round(s, 4) AS strength FROM rs", "requests")
+def _(t):
+    return relations(t).select("a_id", "b_id", rnd("strength", 4).alias("strength"))
 
 
 @query("r03_geo_clusters", "SELECT country, region, city, count(*) AS requests, count(DISTINCT ip) AS ips, round(avg(risk_score), 5) AS risk, CASE WHEN avg(risk_score) > 0.7 THEN 'high' WHEN avg(risk_score) > 0.4 THEN 'medium' ELSE 'low' END AS threat FROM requests GROUP BY 1, 2, 3", "requests")
@@ -262,9 +302,9 @@ def _(t):
     return G.k_hop(t.edges, t.spark.createDataFrame([("s1",)], "id string"), 2)
 
 
-@query("r08_kill_chain_subgraph", f"WITH RECURSIVE {UND}, h AS (SELECT 's2' AS node, 0 AS d UNION SELECT u.dst, d + 1 FROM h JOIN u ON h.node = u.src WHERE d < 3) SELECT node, min(d)::int AS hops FROM h GROUP BY 1 ORDER BY hops, node LIMIT 100", "edges")
+@query("r08_kill_chain_subgraph", "WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links WHERE last_ts >= TIMESTAMP '2001-09-01' - INTERVAL 1440 HOUR), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT 's2' AS node, 0 AS d UNION SELECT u.dst, d + 1 FROM h JOIN u ON h.node = u.src WHERE d < 3) SELECT node, min(d)::int AS hops FROM h GROUP BY 1 HAVING min(d) > 0 ORDER BY hops, node LIMIT 100", "links")
 def _(t):
-    return G.k_hop(t.edges, t.spark.createDataFrame([("s2",)], "id string"), 3).select("node", "hops").orderBy("hops", "node").limit(100)
+    return G.kill_chain_subgraph(t.links, t.spark.createDataFrame([("s2",)], "id string"), 1440, "2001-09-01", 3).select("node", "hops")
 
 
 @query("r09_lateral_paths", "WITH e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT concat('s', substr(dst, 2)), concat('c', substr(src, 2)) FROM edges)) SELECT concat_ws('>', 'c1', e1.dst) AS path, 1 AS hops FROM e e1 WHERE src = 'c1' UNION ALL SELECT concat_ws('>', 'c1', e1.dst, e2.dst), 2 FROM e e1 JOIN e e2 ON e2.src = e1.dst WHERE e1.src = 'c1' AND e2.dst NOT IN ('c1', e1.dst)", "edges")
@@ -290,26 +330,22 @@ def _(t):
 
 @query("j10_session_chain", "SELECT user_id, session_id, string_agg(DISTINCT path, ' ' ORDER BY path) AS paths FROM requests GROUP BY 1, 2", "requests")
 def _(t):
-    return t.requests.groupBy("user_id", "session_id").agg(F.array_join(F.array_sort(F.collect_set("path")), " ").alias("paths"))
+    return E.session_chain(t.requests).select("user_id", "session_id", F.array_join("paths", " ").alias("paths"))
 
 
 @query("j11_access_path", "SELECT request_id, path, row_number() OVER (ORDER BY ts, request_id) AS position FROM requests WHERE user_id = 3 ORDER BY position LIMIT 50", "requests")
 def _(t):
-    from pyspark.sql import Window
-
-    one = t.requests.filter("user_id = 3")
-    return one.select("request_id", "path", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "request_id")).alias("position")).orderBy("position").limit(50)
+    return E.access_path(t.requests, "user_id", 3).select("request_id", "path", "position")
 
 
 @query("j12_threat_patterns", "SELECT event_type, path, count(*) AS n FROM requests WHERE ts >= TIMESTAMP '2024-01-10' AND risk_score > 0.2 GROUP BY 1, 2 ORDER BY n DESC, event_type, path LIMIT 100", "requests")
 def _(t):
-    r = t.requests.filter("ts >= TIMESTAMP_NTZ '2024-01-10' AND risk_score > 0.2")
-    return r.groupBy("event_type", "path").agg(N().alias("n")).orderBy(F.desc("n"), "event_type", "path").limit(100)
+    return E.threat_patterns(t.requests, "2024-01-10", 0.2)
 
 
 @query("j13_devices_by_pattern", "SELECT user_agent, count(*) AS n FROM requests WHERE contains(user_agent, 'Mozilla') GROUP BY 1 ORDER BY n DESC, user_agent LIMIT 50", "requests")
 def _(t):
-    return t.requests.filter(F.col("user_agent").contains("Mozilla")).groupBy("user_agent").agg(N().alias("n")).orderBy(F.desc("n"), "user_agent").limit(50)
+    return E.devices_by_pattern(t.requests, "Mozilla")
 
 
 @query("r02_user_relation", "SELECT a.user_id AS a, b.user_id AS b, count(*) AS meetings FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000 GROUP BY 1, 2", "requests")
@@ -318,16 +354,22 @@ def _(t):
     return p.groupBy(F.col("a.user_id").alias("a"), F.col("b.user_id").alias("b")).agg(N().alias("meetings"))
 
 
-@query("r04_coordinated_attacks", "SELECT path, epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS bucket, count(DISTINCT ip) AS ips, count(*) AS n, CASE WHEN count(*) >= 6 THEN 'ddos' WHEN count_if(status_code = 401) >= 2 THEN 'brute_force' ELSE 'scanning' END AS pattern FROM requests GROUP BY path, time_bucket(INTERVAL '1 hour', ts) HAVING count(DISTINCT ip) >= 3", "requests")
+CA = f"{RP}, ru AS (SELECT DISTINCT src, dst FROM (SELECT a_ip AS src, b_ip AS dst FROM rs UNION ALL SELECT b_ip, a_ip FROM rs)), rr AS (SELECT src, dst FROM ru UNION SELECT a.src, b.dst FROM ru a JOIN ru b ON a.dst = b.src WHERE a.src <> b.dst), rn AS (SELECT src, count(*) AS related FROM rr GROUP BY 1 HAVING count(*) >= 3), ra AS (SELECT src, count(*) AS requests, count(DISTINCT path) AS paths FROM rr JOIN requests q ON q.ip = rr.dst GROUP BY 1), ca AS (SELECT src AS ip, related, requests, paths, concat_ws(',', CASE WHEN related > 5 THEN 'ddos' END, CASE WHEN requests > 100 THEN 'brute_force' END, CASE WHEN paths > 20 THEN 'port_scanning' END) AS patterns, CASE WHEN related > 5 THEN 'critical' WHEN requests > 100 THEN 'high' ELSE 'medium' END AS severity, least(1, least(related / 10, 0.4) + 0.2 * ((related > 5)::int + (requests > 100)::int + (paths > 20)::int)) AS confidence FROM rn JOIN ra USING (src) WHERE related > 5 OR requests > 100 OR paths > 20)"
+
+
+def attacks(t):
+    edges = relations(t).select(F.col("a_ip").alias("src"), F.col("b_ip").alias("dst"))
+    return G.coordinated_attacks(edges, t.requests, wide=20)
+
+
+@query("r04_coordinated_attacks", f"WITH {CA} SELECT ip, related, requests, paths, patterns, severity, round(confidence, 5) AS confidence FROM ca", "requests")
 def _(t):
-    g = t.requests.groupBy("path", R.time_bucket("ts", "1h").alias("bucket")).agg(F.count_distinct("ip").alias("ips"), N().alias("n"), F.count_if(F.col("status_code") == 401).alias("k"))
-    p = F.when(F.col("n") >= 6, "ddos").when(F.col("k") >= 2, "brute_force").otherwise("scanning")
-    return g.filter("ips >= 3").select("path", F.unix_timestamp("bucket").alias("bucket"), "ips", "n", p.alias("pattern"))
+    return attacks(t).withColumn("patterns", F.array_join("patterns", ",")).withColumn("confidence", rnd("confidence"))
 
 
-@query("r05_relation_risk", "SELECT ip, round(least(1, avg(risk_score) * 0.5 + least(1, count(DISTINCT user_id) / 10) * 0.5), 5) AS risk FROM requests GROUP BY ip", "requests")
+@query("r05_relation_risk", f"WITH {CA}, st AS (SELECT ip, avg(s) * 0.3 AS s FROM (SELECT a_ip AS ip, s FROM rs UNION ALL SELECT b_ip, s FROM rs) GROUP BY ip), cl AS (SELECT country, region, city, avg(risk_score) AS r FROM requests GROUP BY 1, 2, 3 HAVING avg(risk_score) > 0.5), pl AS (SELECT ip, max(r) * 0.2 AS c FROM (SELECT DISTINCT ip, country, region, city FROM requests) JOIN cl USING (country, region, city) GROUP BY ip) SELECT ip, round(least(1, coalesce(CASE severity WHEN 'critical' THEN 0.8 WHEN 'high' THEN 0.6 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.2 END, 0) + coalesce(s, 0) + coalesce(c, 0)), 5)::double AS risk FROM (SELECT DISTINCT ip FROM requests) LEFT JOIN ca USING (ip) LEFT JOIN st USING (ip) LEFT JOIN pl USING (ip)", "requests")
 def _(t):
-    return t.requests.groupBy("ip").agg(rnd(F.least(F.lit(1.0), F.avg("risk_score") * 0.5 + F.least(F.lit(1.0), F.count_distinct("user_id") / 10) * 0.5)).alias("risk"))
+    return G.relation_risk(t.requests, attacks(t), relations(t), G.geo_clusters(t.requests)).withColumn("risk", rnd("risk"))
 
 
 @query("r10_ip_graph", f"WITH RECURSIVE {UND}, h AS (SELECT 'c1' AS node, 0 AS d UNION SELECT u.dst, d + 1 FROM h JOIN u ON h.node = u.src WHERE d < 1) SELECT count(DISTINCT node) - 1 AS related FROM h", "edges")
@@ -343,16 +385,16 @@ def _(t):
     return G.credential_stuffing(t.requests).select("user_id", "sessions", "failed", rnd("ratio").alias("ratio"), "score")
 
 
-@query("r12_botnets", "WITH d AS (SELECT DISTINCT src, dst FROM edges), m AS (SELECT src FROM d GROUP BY src HAVING count(*) > 2), q AS (SELECT d.* FROM d JOIN m USING (src)) SELECT a.src, b.src AS other, count(*) AS shared FROM q a JOIN q b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2", "edges")
+@query("r12_botnets", "WITH f AS (SELECT src FROM links GROUP BY 1 HAVING min(first_ts) > TIMESTAMP '1996-07-01' - INTERVAL 4380 HOUR AND min(first_ts) <= TIMESTAMP '1996-07-01'), d AS (SELECT DISTINCT src, dst FROM links SEMI JOIN f USING (src)), m AS (SELECT src, count(*) AS targets FROM d GROUP BY src HAVING count(*) > 5) SELECT a.src, b.src AS other, targets, count(*) AS shared, CASE WHEN targets > 20 THEN 0.9 WHEN targets > 10 THEN 0.7 WHEN targets > 5 THEN 0.5 ELSE 0.3 END::double AS score FROM d a JOIN m USING (src) JOIN d b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2, 3", "links")
 def _(t):
-    return G.botnets(t.edges, 2)
+    return G.botnets(t.links, "1996-07-01", 4380)
 
 
-@query("r13_admin_lateral", "SELECT user_id, count(DISTINCT CASE WHEN contains(path, '/admin') THEN request_id END) AS admin_hits, count(DISTINCT CASE WHEN NOT contains(path, '/admin') THEN path END) AS others FROM requests GROUP BY 1 HAVING count(DISTINCT CASE WHEN contains(path, '/admin') THEN request_id END) > 0 AND count(DISTINCT CASE WHEN NOT contains(path, '/admin') THEN path END) > 0", "requests")
+@query("r13_admin_lateral", "WITH g AS (SELECT user_id::varchar AS user, count(DISTINCT CASE WHEN contains(path, '/admin') THEN path END) AS a, count(DISTINCT path) AS r FROM requests GROUP BY 1) SELECT user, a AS admin_resources, r AS resources, CASE WHEN a > 5 THEN 0.9 WHEN a > 3 THEN 0.7 WHEN a > 1 THEN 0.5 ELSE 0.2 END::double AS score FROM g WHERE a > 0 AND r > a", "requests")
 def _(t):
-    admin = F.col("path").contains("/admin")
-    g = t.requests.groupBy("user_id").agg(F.count_distinct(F.when(admin, F.col("request_id"))).alias("admin_hits"), F.count_distinct(F.when(~admin, F.col("path"))).alias("others"))
-    return g.filter("admin_hits > 0 AND others > 0")
+    edges = t.requests.select(F.col("user_id").cast("string").alias("src"), F.col("path").alias("dst")).distinct()
+    kind = F.when(F.col("path").contains("/admin"), "admin").otherwise("page")
+    return G.admin_lateral(edges, t.requests.select("path", kind.alias("type")).distinct())
 
 
 @query("r14_graph_report", f"WITH {CS}, s AS (SELECT CASE WHEN sessions / ips > 5 AND failed > 5 THEN 0.9 WHEN sessions / ips > 3 AND failed > 3 THEN 0.7 WHEN sessions / ips > 2 AND failed > 1 THEN 0.5 ELSE 0.3 END AS score FROM g) SELECT count(*) AS threats, round(avg(score), 5) AS mean, count_if(score >= 0.7) AS high FROM s", "requests")
@@ -360,31 +402,70 @@ def _(t):
     return G.credential_stuffing(t.requests).agg(N().alias("threats"), rnd(F.avg("score")).alias("mean"), F.count_if(F.col("score") >= 0.7).alias("high"))
 
 
-@query("r15_gnn_export")
+@query("r15_gnn_export", "WITH n AS (SELECT DISTINCT user_id::varchar AS id, 'User' AS label FROM requests UNION ALL SELECT DISTINCT session_id, 'Session' FROM requests UNION ALL SELECT DISTINCT ip, 'IP' FROM requests UNION ALL SELECT DISTINCT path, 'Resource' FROM requests), a AS (SELECT user_id::varchar AS id, 'User' AS label, count(*) AS k FROM requests GROUP BY 1), h AS (SELECT *, ('0x' || substr(md5('42|' || id), 1, 8))::bigint % 100 AS h FROM n) SELECT id, label, row_number() OVER (ORDER BY substr(md5(id), 1, 2), id, label) - 1 AS index, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split, CASE label WHEN 'IP' THEN 0 WHEN 'Resource' THEN 1 WHEN 'Session' THEN 2 ELSE 3 END AS label_index, coalesce(k, 0)::double AS actions, CASE label WHEN 'User' THEN 9 WHEN 'Session' THEN 10 WHEN 'IP' THEN 11 ELSE 13 END AS kind_at, 13 AS features FROM h LEFT JOIN a USING (id, label)", "requests")
+def _(t):
+    nodes, edges = G.build_graph(t.requests)
+    acts = t.requests.groupBy(F.col("user_id").cast("string").alias("id")).agg(N().alias("action_count")).withColumn("label", F.lit("User"))
+    out, _ = G.gnn_export(nodes.join(acts, ["id", "label"], "left"), edges)
+    f = F.col("features")
+    return out.select("id", "label", "index", "split", "label_index", f[3].alias("actions"), (F.array_position(F.slice(f, 8, 6), 1.0) + 7).cast("int").alias("kind_at"), F.size(f).alias("features"))
+
+
+USERS = "xu AS (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000), u AS (SELECT x AS src, y AS dst FROM xu UNION ALL SELECT y, x FROM xu), d AS (SELECT src, count(*) AS d FROM u GROUP BY src)"
+
+
+def user_graph(t):
+    p = E.pair_within(t.requests.select("user_id", "ts", "country"), "user_id", "ts", 60, "country")
+    return p.select(F.col("a.user_id").alias("src"), F.col("b.user_id").alias("dst")).distinct()
+
+
+@query("r16_topology", f"WITH RECURSIVE {USERS}, h(node, root) AS (SELECT src, src FROM u UNION SELECT u.dst, h.root FROM h JOIN u ON h.node = u.src WHERE u.dst > h.root), cc AS (SELECT node, min(root) AS c FROM h GROUP BY node), tr AS (SELECT a.src, count(*) AS t FROM u a JOIN u b ON a.src = b.src AND a.dst <> b.dst JOIN u c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src), cl AS (SELECT coalesce(t, 0) / (d * (d - 1)) AS c FROM d LEFT JOIN tr USING (src) WHERE d > 1 UNION ALL SELECT 0 FROM d WHERE d < 2) SELECT count(*) AS nodes, (sum(d) / 2)::bigint AS edges, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 6) AS density, round((SELECT avg(c) FROM cl), 6) AS clustering, (SELECT count(DISTINCT c) FROM cc) AS components FROM d", "requests")
 def _(t):
-    ids = t.edges.select(F.col("src").alias("id")).union(t.edges.select("dst")).distinct()
-    return G.gnn_export(ids, t.edges)[0]
+    return G.topology(user_graph(t)).withColumn("density", rnd("density", 6)).withColumn("clustering", rnd("clustering", 6))
 
 
-@query("r16_topology", f"WITH {UND}, d AS (SELECT src, count(*) AS d FROM u GROUP BY src) SELECT count(*) AS nodes, (sum(d) / 2)::bigint AS edges, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 6) AS density FROM d", "edges")
+@query("r16_centrality", f"WITH {UND}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src) SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d ORDER BY degree DESC, node LIMIT 10", "edges")
 def _(t):
-    return G.topology(t.edges).withColumn("density", rnd("density", 6))
+    return G.degree_centrality(t.edges).withColumn("centrality", rnd("centrality", 6))
+
 
+def spread_labels(rounds: int = 8) -> str:
+    """Label propagation over u(src, dst) in SQL, as many rounds as the graph's diameter at least."""
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS l FROM u)"]
+    for i in range(1, rounds + 1):
+        near = f"SELECT u.src AS node, min(l) AS m FROM u JOIN l{i - 1} p ON u.dst = p.node GROUP BY u.src"
+        steps.append(f"l{i} AS MATERIALIZED (SELECT node, least(l, m) AS l FROM l{i - 1} JOIN ({near}) x USING (node))")
+    return ", ".join(steps)
 
-@query("r16_components", f"WITH RECURSIVE {UND}, h(node, root) AS (SELECT src, src FROM u UNION SELECT u.dst, h.root FROM h JOIN u ON h.node = u.src WHERE u.dst > h.root) SELECT node, min(root) AS component FROM h GROUP BY node", "edges")
+
+@query("r16_components", f"WITH {UND.replace('u AS', 'u AS MATERIALIZED')}, {spread_labels()} SELECT node, l AS component FROM l8", "edges")
 def _(t):
     return G.components(t.edges)
 
 
-@query("r16_triangles", "SELECT count(*) AS triangles FROM (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000) e JOIN (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000) f ON e.y = f.x JOIN (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000) g ON g.x = e.x AND g.y = f.y", "requests")
+@query("r16_triangles", f"WITH {USERS} SELECT count(*) AS triangles FROM xu e JOIN xu f ON e.y = f.x JOIN xu g ON g.x = e.x AND g.y = f.y", "requests")
 def _(t):
-    p = E.pair_within(t.requests.select("user_id", "ts", "country"), "user_id", "ts", 60, "country")
-    return G.triangles(p.select(F.col("a.user_id").alias("src"), F.col("b.user_id").alias("dst")).distinct())
+    return G.triangles(user_graph(t))
 
 
-@query("r17_ioc_neighbors", "SELECT dst AS ioc, string_agg(DISTINCT src, ',' ORDER BY src) AS neighbours FROM edges WHERE dst IN ('s1', 's2', 's3') GROUP BY dst", "edges")
+@query("r17_ioc_neighbors", "SELECT DISTINCT ioc, neighbor, type FROM (SELECT src AS ioc, dst AS neighbor, type FROM edges UNION ALL SELECT dst, src, type FROM edges) WHERE ioc IN ('s1', 's2', 'c3')", "edges")
 def _(t):
-    return t.edges.filter("dst IN ('s1', 's2', 's3')").groupBy(F.col("dst").alias("ioc")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("neighbours"))
+    return G.ioc_neighbors(t.edges, t.spark.createDataFrame([("s1",), ("s2",), ("c3",)], "ioc string"))
+
+
+IOCS = "SELECT s_nationkey % 5 AS case_id, s_name AS ioc, s_acctbal / 10000 AS score FROM {supplier}"
+ACTORS = "SELECT n_regionkey AS case_id, n_name AS actor, n_nationkey / 25.0D AS confidence FROM {nation}"
+GRAPH = "SELECT s_name AS id, 'ioc' AS type, 0.0D AS score FROM {supplier} UNION ALL SELECT c_name, 'host', 0.1D FROM {customer}"
+
+
+@query("r17_update_threat_graph", "WITH i AS (SELECT s_nationkey % 5 AS case_id, s_name AS ioc, s_acctbal / 10000 AS score FROM supplier), a AS (SELECT n_regionkey AS case_id, n_name AS actor, n_nationkey / 25.0 AS confidence FROM nation), n AS (SELECT 'ioc' AS type, score FROM (SELECT ioc, max(score) AS score FROM i GROUP BY ioc) UNION ALL SELECT 'host', 0.1 FROM customer UNION ALL SELECT 'threat_actor', confidence FROM a), e AS (SELECT actor AS src, ioc AS dst, max(confidence) AS confidence FROM a JOIN i USING (case_id) GROUP BY 1, 2), g AS (SELECT type, 0.5 AS c FROM edges) SELECT 'node ' || type AS kind, count(*) AS n, round(sum(score), 4)::double AS weight FROM n GROUP BY type UNION ALL SELECT 'edge attributed_to', count(*), round(sum(confidence), 4)::double FROM e UNION ALL SELECT 'edge ' || type, count(*), round(sum(c), 4)::double FROM g GROUP BY type", "edges")
+def _(t):
+    sql = lambda q, **k: t.spark.sql(q, **k)
+    iocs, actors = sql(IOCS, supplier=t.supplier), sql(ACTORS, nation=t.nation)
+    known = t.edges.withColumn("confidence", F.lit(0.1))
+    nodes, edges = G.update_threat_graph(sql(GRAPH, supplier=t.supplier, customer=t.customer), known, iocs, t.edges.withColumn("confidence", F.lit(0.5)), actors)
+    sums = lambda d, kind, w: d.groupBy(F.concat_ws(" ", F.lit(kind), "type").alias("kind")).agg(N().alias("n"), rnd(F.sum(w), 4).alias("weight"))
+    return sums(nodes, "node", "score").unionByName(sums(edges, "edge", "confidence"))
 
 
 # --- limits and feedback ------------------------------------------------------------------------
@@ -400,20 +481,25 @@ def _(t):
     return L.replay(t.requests, "ip", "token_bucket", 3, 86400, 1 / 43200).select("request_id", "allowed", "remaining")
 
 
-@query("l03_limit_hybrid")
+KEPT = "list_filter(r.kept, lambda x: x >= b.us - 86400000000)"
+LEFT = f"least(3 - len({KEPT}), least(3, r.tokens + (b.us - r.us) // 43200000000))"
+
+
+@query("l03_limit_hybrid", f"WITH RECURSIVE b AS (SELECT request_id, ip, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY epoch_us(ts), request_id) AS i FROM requests), r AS (SELECT request_id, ip, i, us, true AS allowed, 2::bigint AS remaining, [us] AS kept, 2::bigint AS tokens FROM b WHERE i = 1 UNION ALL SELECT b.request_id, b.ip, b.i, b.us, {LEFT} >= 1, greatest(0, {LEFT} - ({LEFT} >= 1)::int), CASE WHEN {LEFT} >= 1 THEN list_append({KEPT}, b.us) ELSE {KEPT} END, least(3, r.tokens + (b.us - r.us) // 43200000000) - ({LEFT} >= 1)::int FROM r JOIN b ON b.ip = r.ip AND b.i = r.i + 1) SELECT request_id, allowed, remaining FROM r", "requests")
 def _(t):
     return L.replay(t.requests, "ip", "hybrid", 3, 86400, 1 / 43200).select("request_id", "allowed", "remaining")
 
 
-@query("l04_effective_limit", "SELECT request_id, greatest(1, floor(100 * CASE severity WHEN 'low' THEN 1.2 WHEN 'medium' THEN 0.8 ELSE 0.5 END * (0.5 + parity / 8) * CASE WHEN country IN ('CN','RU','KP') THEN 0.5 ELSE 1.0 END * CASE WHEN hour(ts) BETWEEN 9 AND 17 AND isodow(ts) <= 5 THEN 0.9 WHEN isodow(ts) >= 6 THEN 1.1 ELSE 1.0 END + 1e-9))::bigint AS lim FROM requests", "requests")
+@query("l04_effective_limit", "SELECT request_id, greatest(1, floor(round(100 * CASE severity WHEN 'low' THEN 1.2 WHEN 'medium' THEN 0.8 ELSE 0.5 END * (0.5 + parity / 8) * CASE WHEN country IN ('CN','RU','KP') THEN 0.5 ELSE 1.0 END * CASE WHEN hour(ts) BETWEEN 9 AND 17 AND isodow(ts) <= 5 THEN 0.9 WHEN isodow(ts) >= 6 THEN 1.1 ELSE 1.0 END, 6)))::bigint AS lim FROM requests", "requests")
 def _(t):
-    lim = L.effective_limit(F.lit(100) * (1 + 1e-11), F.col("severity"), F.col("parity") / 8, S.geo_zone("country"), S.time_pattern("ts"))
+    lim = L.effective_limit(F.lit(100), F.col("severity"), F.col("parity") / 8, S.geo_zone("country"), S.time_pattern("ts"))
     return t.requests.select("request_id", lim.cast("long").alias("lim"))
 
 
-@query("l06_limit_advice", "SELECT request_id, CASE WHEN risk_score > 0.9 THEN 'block' WHEN risk_score > 0.6 THEN 'limit' WHEN status_code >= 400 THEN 'monitor' ELSE 'allow' END AS advice FROM requests", "requests")
+@query("l06_limit_advice", "WITH x AS (SELECT request_id, risk_score AS r, parity = 4 AS odd FROM requests) SELECT request_id, CASE WHEN r >= 0.9 THEN 'block' WHEN r >= 0.5 THEN 'limit' WHEN r >= 0.3 THEN 'monitor' ELSE 'allow' END AS action, round(CASE WHEN r >= 0.9 THEN 0.1 WHEN r >= 0.7 THEN 0.3 WHEN r >= 0.5 THEN 0.6 WHEN r >= 0.3 THEN 0.8 ELSE 1.0 END * CASE WHEN odd THEN 0.5 ELSE 1 END, 5)::double AS factor, round(least(1, CASE WHEN r >= 0.9 THEN 0.95 WHEN r >= 0.7 THEN 0.9 WHEN r >= 0.5 THEN 0.8 WHEN r >= 0.3 THEN 0.7 ELSE 0.8 END + CASE WHEN odd THEN 0.1 ELSE 0 END), 5)::double AS confidence FROM x", "requests")
 def _(t):
-    return t.requests.select("request_id", F.when(F.col("risk_score") > 0.9, "block").when(F.col("risk_score") > 0.6, "limit").when(F.col("status_code") >= 400, "monitor").otherwise("allow").alias("advice"))
+    a = L.limit_advice(F.col("risk_score"), F.col("parity") == 4)
+    return t.requests.select("request_id", a["action"].alias("action"), rnd(a["factor"]).alias("factor"), rnd(a["confidence"]).alias("confidence"))
 
 
 @query("l07_limit_metrics", "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS bucket, path, count(*) AS requests, count_if(status_code >= 400) AS violations, round(count_if(status_code >= 400) / count(*), 5) AS violation_rate, round(coalesce(count_if(status_code = 403) / nullif(count_if(status_code >= 400), 0), 1), 5) AS effectiveness FROM requests GROUP BY date_trunc('hour', ts), path", "requests")
@@ -422,18 +508,16 @@ def _(t):
     return m.select(F.unix_timestamp("bucket").alias("bucket"), "path", "requests", "violations", rnd("violation_rate").alias("violation_rate"), rnd("effectiveness").alias("effectiveness"))
 
 
-@query("l08_limit_violations", "SELECT request_id, count(*) OVER (PARTITION BY ip ORDER BY ts, request_id) AS nth FROM requests WHERE status_code >= 400", "requests")
+@query("l08_limit_violations", "WITH v AS (SELECT request_id, severity, count(*) OVER (PARTITION BY ip ORDER BY ts, request_id) AS nth FROM requests WHERE status_code >= 400) SELECT request_id, nth, CASE WHEN nth > 10 THEN 'critical' WHEN severity = 'high' OR nth > 5 THEN 'high' WHEN severity = 'medium' OR nth > 2 THEN 'medium' ELSE 'low' END AS level FROM v", "requests")
 def _(t):
-    from pyspark.sql import Window
-
-    v = t.requests.filter("status_code >= 400")
-    return v.select("request_id", N().over(Window.partitionBy("ip").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)).alias("nth"))
+    v = L.limit_violations(t.requests, F.col("status_code") >= 400)
+    return v.select("request_id", "nth", F.col("violation_severity").alias("level"))
 
 
-@query("l09_limit_trend", "SELECT round(avg(CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN (status_code = 403)::int END), 5) AS recent, round(avg(CASE WHEN ts < TIMESTAMP '2024-01-20' THEN (status_code = 403)::int END), 5) AS before FROM requests", "requests")
+@query("l09_limit_trend", "WITH h AS (SELECT date_trunc('hour', ts) AS h, avg((status_code >= 400)::int) AS v, avg(duration_ms) AS l FROM requests WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR AND ts < TIMESTAMP '2024-01-20' GROUP BY 1), s AS (SELECT h, least(v * 2, 1) * 0.7 + greatest(0, 1 - l / 50) * 0.3 AS s FROM h), x AS (SELECT avg(CASE WHEN h >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR THEN s END) AS r, avg(CASE WHEN h < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR THEN s END) AS b FROM s) SELECT round(r, 5) AS recent, round(b, 5) AS before, CASE WHEN (r - b) / b > 0.05 THEN 'improving' WHEN (r - b) / b < -0.05 THEN 'degrading' ELSE 'stable' END AS trend FROM x", "requests")
 def _(t):
-    b, late = (F.col("status_code") == 403).cast("int"), F.expr("ts >= TIMESTAMP_NTZ '2024-01-20'")
-    return t.requests.agg(rnd(F.avg(F.when(late, b))).alias("recent"), rnd(F.avg(F.when(~late, b))).alias("before"))
+    out = L.limit_trend(t.requests, "2024-01-20", hours=24)
+    return out.select(rnd("recent").alias("recent"), rnd("before").alias("before"), "trend")
 
 
 @query("l10_limit_insights", "SELECT path, CASE WHEN avg((status_code >= 400)::int) > 0.5 THEN 'tighten' WHEN avg((status_code >= 400)::int) = 0 THEN 'relax' ELSE 'keep' END AS advice FROM requests GROUP BY path", "requests")
@@ -467,19 +551,19 @@ def _(t):
     return t.requests.select("request_id", L.outcome_reward(F.col("status_code") == 403, F.col("parity") == 1, F.col("parity") == 0).alias("reward"))
 
 
-PO = f"f AS (SELECT country, {ACT} AS action, {REW} AS reward FROM requests), po AS (SELECT country, action, count_if(reward >= 0.45) + 1 AS a, count(*) - count_if(reward >= 0.45) + 1 AS b, count(*) AS n FROM f GROUP BY 1, 2)"
+PO = f"f AS (SELECT country, {ACT} AS action, {REW} AS reward FROM requests), po AS (SELECT country, action, count_if(reward >= 0.5) + 1 AS a, count(*) - count_if(reward >= 0.5) + 1 AS b, count(*) AS n FROM f GROUP BY 1, 2)"
 
 
 @query("b04_beta_posterior", f"WITH {PO} SELECT country, action, a::double AS alpha, b::double AS beta, n AS selections FROM po", "requests")
 def _(t):
-    f = feedback(t).withColumn("reward", F.col("reward") + 0.05)
+    f = feedback(t)
     p = L.beta_posterior(f, ["country", "action"])
     return p.select("country", "action", F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta"), "selections")
 
 
 @query("b05_bandit_stats", f"WITH {PO} SELECT country, arg_max(action, struct_pack(e := a / (a + b), x := action)) AS best, round(max(a / (a + b)), 5) AS expected, bool_and(n >= 10) AS enough FROM po GROUP BY country", "requests")
 def _(t):
-    f = feedback(t).withColumn("reward", F.col("reward") + 0.05)
+    f = feedback(t)
     return L.bandit_stats(L.beta_posterior(f, ["country", "action"]), "country", "action").withColumn("expected", rnd("expected"))
 
 
@@ -491,17 +575,18 @@ def _(t):
 
 @query("b07_decision_context", "SELECT request_id, concat(CASE WHEN risk_score <= 0.3 THEN 'low' WHEN risk_score <= 0.7 THEN 'medium' ELSE 'high' END, ':', CASE WHEN parity / 4 <= 0.4 THEN 'suspicious' WHEN parity / 4 <= 0.7 THEN 'unknown' ELSE 'trusted' END) AS context FROM requests", "requests")
 def _(t):
-    a = F.when(F.col("risk_score") <= 0.3, "low").when(F.col("risk_score") <= 0.7, "medium").otherwise("high")
-    b = F.when(F.col("parity") / 4 <= 0.4, "suspicious").when(F.col("parity") / 4 <= 0.7, "unknown").otherwise("trusted")
-    return t.requests.select("request_id", F.concat_ws(":", a, b).alias("context"))
+    return t.requests.select("request_id", L.decision_context(F.col("risk_score"), F.col("parity") / 4).alias("context"))
 
 
-@query("b08_bandit_history", "SELECT request_id, round(sum(risk_score) OVER (PARTITION BY country ORDER BY ts, request_id), 3) AS cumulative FROM requests", "requests")
+@query("b07_immediate_reward", f"WITH x AS (SELECT request_id, risk_score AS r, parity, {ACT} AS a FROM requests), y AS (SELECT *, CASE a WHEN 'allow' THEN 0 WHEN 'monitor' THEN 0.25 WHEN 'challenge' THEN 0.5 WHEN 'block' THEN 0.75 ELSE 1 END AS p FROM x) SELECT request_id, round(CASE WHEN parity = 0 THEN 0 ELSE CASE WHEN r > 0.7 AND p >= 0.5 THEN 0.3 ELSE 0 END + CASE WHEN r <= 0.3 AND a = 'allow' THEN 0.15 ELSE 0 END + CASE WHEN a = 'allow' THEN 0.1 ELSE 0 END + 0.2 * (1 - p) END, 5)::double AS reward FROM y", "requests")
 def _(t):
-    from pyspark.sql import Window
+    return t.requests.select("request_id", rnd(L.immediate_reward(F.expr(ACT), F.col("risk_score"), F.col("parity") != 0)).alias("reward"))
 
-    w = Window.partitionBy("country").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.requests.select("request_id", rnd(F.sum("risk_score").over(w), 3).alias("cumulative"))
+
+@query("b08_bandit_history", "SELECT request_id, round(sum(risk_score) OVER w, 3) AS cumulative, round(avg((parity > 0)::int) OVER w, 5) AS exploitation_rate, round(sum(1 - risk_score) OVER w, 3) AS regret FROM requests WINDOW w AS (PARTITION BY country ORDER BY ts, request_id)", "requests")
+def _(t):
+    h = L.bandit_history(t.requests, "country", "risk_score", F.col("parity") > 0, F.lit(1.0))
+    return h.select("request_id", rnd("cumulative", 3).alias("cumulative"), rnd("exploitation_rate").alias("exploitation_rate"), rnd("regret", 3).alias("regret"))
 
 
 # --- forensics ----------------------------------------------------------------------------------
@@ -544,12 +629,14 @@ def _(t):
     return a.unionByName(b).unionByName(H.port_scans(c, "source", "port").select(F.lit("scan").alias("hunt"), "source"))
 
 
-@query("h07_forensic_report", "SELECT 'protocol' AS section, protocol AS key, count(*)::double AS value FROM connections GROUP BY 2 UNION ALL SELECT 'month', cast(month(ts) AS varchar), count(*)::double FROM connections GROUP BY 2 UNION ALL SELECT 'totals', 'sources', count(DISTINCT source)::double FROM connections", "connections")
+@query("h07_forensic_report", f"WITH u AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT concat('s', source::varchar) AS src, concat('d', destination::varchar) AS dst FROM connections UNION ALL SELECT concat('d', destination::varchar), concat('s', source::varchar) FROM connections)), {spread_labels()}, d AS (SELECT src, count(*) AS d FROM u GROUP BY src), tm AS (SELECT 'hour' AS unit, hour(ts) AS slot, count(*) AS n FROM connections GROUP BY 2 UNION ALL SELECT 'weekday', isodow(ts) - 1, count(*) FROM connections GROUP BY 2 UNION ALL SELECT 'day', day(ts), count(*) FROM connections GROUP BY 2), pr AS (SELECT protocol, count(*) AS n, sum(bytes) AS b FROM connections GROUP BY 1), hv AS (SELECT n, abs(n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0) AS z FROM tm WHERE unit = 'hour'), al AS ("
+    "SELECT 'basic' AS section, 'connections' AS metric, count(*)::double AS value FROM connections UNION ALL SELECT 'basic', 'bytes', sum(bytes)::double FROM connections UNION ALL SELECT 'basic', 'packets', sum(packets)::double FROM connections UNION ALL SELECT 'basic', 'mean_bytes', avg(bytes)::double FROM connections UNION ALL SELECT 'basic', 'sources', count(DISTINCT source) FROM connections UNION ALL SELECT 'basic', 'destinations', count(DISTINCT destination) FROM connections "
+    "UNION ALL SELECT 'protocol', protocol, n FROM pr UNION ALL SELECT 'protocol_bytes', protocol, b FROM pr UNION ALL SELECT 'time', concat(unit, ':', slot::varchar), n FROM tm UNION ALL SELECT 'peak', unit, slot FROM tm QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, slot) = 1 "
+    "UNION ALL SELECT 'port_class', CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'dynamic' END, count(*) FROM connections GROUP BY 2 UNION ALL SELECT 'anomalies', 'volume_hours', count(*) FROM hv WHERE z > 3 UNION ALL SELECT 'anomalies', 'port_scan_sources', count(*) FROM (SELECT source FROM connections GROUP BY 1 HAVING count(DISTINCT port) > 100) UNION ALL SELECT 'anomalies', 'rare_protocols', count(*) FROM pr WHERE n < (SELECT quantile_cont(n, 0.05) FROM pr) "
+    "UNION ALL SELECT 'topology', 'nodes', count(*) FROM d UNION ALL SELECT 'topology', 'edges', sum(d) / 2 FROM d UNION ALL SELECT 'topology', 'max_degree', max(d) FROM d UNION ALL SELECT 'topology', 'density', sum(d) / (count(*) * (count(*) - 1)) FROM d UNION ALL SELECT 'topology', 'clustering', 0 UNION ALL SELECT 'topology', 'components', count(DISTINCT l) FROM l8) SELECT section, metric, round(value, 2) AS value FROM al", "connections")
 def _(t):
-    c = t.connections
-    part = lambda s, k: c.groupBy(k.cast("string").alias("key")).agg(N().cast("double").alias("value")).select(F.lit(s).alias("section"), "key", "value")
-    tot = c.agg(F.count_distinct("source").cast("double").alias("value")).select(F.lit("totals").alias("section"), F.lit("sources").alias("key"), "value")
-    return part("protocol", F.col("protocol")).unionByName(part("month", F.month("ts"))).unionByName(tot)
+    """Sources and destinations are two kinds of node, so there are no triangles."""
+    return H.forensic_report(t.connections).withColumn("value", rnd("value", 2))
 
 
 def cases(t):
@@ -586,11 +673,9 @@ def _(t):
     return s.join(systems, "case_id")
 
 
-@query("h12_flow_anomalies", "WITH g AS (SELECT source, count(DISTINCT destination) AS fan FROM connections GROUP BY 1), s AS (SELECT avg(fan) AS m, stddev_pop(fan) AS d FROM g) SELECT source, fan FROM g, s WHERE abs(fan - m) / (d + 0.001) > 1.5", "connections")
+@query("h12_flow_anomalies", "WITH g AS (SELECT 'fan_out' AS kind, source AS entity, count(DISTINCT destination)::double AS v FROM connections GROUP BY 2 UNION ALL SELECT 'fan_in', destination, count(DISTINCT source) FROM connections GROUP BY 2 UNION ALL SELECT 'volume', source, sum(bytes) FROM connections GROUP BY 2), z AS (SELECT *, abs(v - avg(v) OVER (PARTITION BY kind)) / (stddev_pop(v) OVER (PARTITION BY kind) + 0.001) AS z FROM g) SELECT kind, entity, round(v, 2) AS value, round(z, 4) AS z FROM z WHERE z > 1.5", "connections")
 def _(t):
-    g = t.connections.groupBy("source").agg(F.count_distinct("destination").alias("fan"))
-    s = g.agg(F.avg("fan").alias("m"), F.stddev_pop("fan").alias("d"))
-    return g.crossJoin(F.broadcast(s)).filter(F.abs(F.col("fan") - F.col("m")) / (F.col("d") + 0.001) > 1.5).select("source", "fan")
+    return H.flow_anomalies(t.connections).withColumn("value", rnd("value", 2)).withColumn("z", rnd("z", 4))
 
 
 # --- models -------------------------------------------------------------------------------------

@@ -116,13 +116,13 @@ def _(t):
 
 @query("t04_top_violators", "SELECT ip, count(*) AS violations, max(epoch_us(ts) // 1000000) AS last_seen FROM requests WHERE status_code >= 400 GROUP BY ip ORDER BY violations DESC, ip LIMIT 10", "requests")
 def _(t):
-    v = t.requests.filter("status_code >= 400").groupBy("ip").agg(F.count(F.lit(1)).alias("violations"), F.max(F.unix_timestamp("ts")).alias("last_seen"))
-    return v.orderBy(F.desc("violations"), "ip").limit(10)
+    v = E.top_violators(t.requests, F.col("status_code") >= 400)
+    return v.withColumn("last_seen", F.unix_timestamp("last_seen"))
 
 
 @query("t05_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def _(t):
-    return t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_totalprice")
+    return E.page(t.orders, [F.desc("o_totalprice"), "o_orderkey"], 50, 25).select("o_orderkey", "o_totalprice")
 
 
 @query("t06_keep_last", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
@@ -137,7 +137,7 @@ def _(t):
 
 @query("u02_distinct_values", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+    return E.distinct_values(t.events, "user_id", "event_type").select("user_id", F.array_join("values", ",").alias("types"))
 
 
 @query("u03_common_tokens", "SELECT request_id, array_to_string(list_sort(list_distinct(list_intersect(list_filter(regexp_split_to_array(lower(path), '[/ ]'), lambda y: length(y) > 0), list_filter(regexp_split_to_array(lower(concat('/api/items/', event_type)), '[/ ]'), lambda y: length(y) > 0)))), ',') AS common FROM requests", "requests")
@@ -147,9 +147,9 @@ def _(t):
 
 @query("u04_new_items", "SELECT user_id, CASE WHEN p THEN 'kept' ELSE 'new' END AS state FROM (SELECT user_id, bool_or(ts < TIMESTAMP '2024-01-02') AS p, bool_or(ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04') AS c FROM events GROUP BY user_id) WHERE c")
 def _(t):
-    prev = t.events.filter("ts < TIMESTAMP_NTZ '2024-01-02'").select("user_id")
-    cur = t.events.filter("ts >= TIMESTAMP_NTZ '2024-01-02' AND ts < TIMESTAMP_NTZ '2024-01-04'").select("user_id")
-    return cur.subtract(prev).withColumn("state", F.lit("new")).unionByName(cur.intersect(prev).withColumn("state", F.lit("kept")))
+    before = t.events.filter("ts < TIMESTAMP_NTZ '2024-01-02'").select("user_id")
+    now = t.events.filter("ts >= TIMESTAMP_NTZ '2024-01-02' AND ts < TIMESTAMP_NTZ '2024-01-04'").select("user_id")
+    return E.new_items(now, before)
 
 
 @query(

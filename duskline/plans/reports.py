@@ -114,14 +114,30 @@ def _(t):
 
 @query("a13_geo_distribution", "SELECT country, count(*) AS n, round(avg(risk_score), 5) AS mean FROM requests GROUP BY country ORDER BY n DESC, country LIMIT 20", "requests")
 def _(t):
-    return stamped(t.requests.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("mean")).orderBy(F.desc("n"), "country").limit(20), "mean")
+    return stamped(R.geo_distribution(t.requests), "mean")
 
 
-@query("a14_session_metrics", "SELECT country, count(*) AS sessions, round(avg(n), 5) AS actions, round(avg(span), 4) AS duration, round(avg(buys), 5) AS conversion FROM (SELECT session_id, min(country) AS country, count(*) AS n, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS span, max((event_type = 'purchase')::int) AS buys FROM requests GROUP BY session_id) GROUP BY country", "requests")
+SESS = "s AS (SELECT session_id, min(ts) AS start, count(*) AS n, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS duration, max((event_type = 'purchase')::int) AS converted, min(country) AS kind FROM requests GROUP BY session_id)"
+
+
+def sessions(t):
+    return R.session_table(t.requests, "country", F.col("event_type") == "purchase")
+
+
+@query("a14_session_metrics", f"WITH {SESS} SELECT epoch_us(time_bucket(INTERVAL '1 day', start)) // 1000000 AS bucket, round(avg(duration), 4) AS avg_duration, sum(n)::bigint AS total_views FROM s GROUP BY 1", "requests")
+def _(t):
+    m = R.session_metrics(sessions(t), "1d")
+    return m.select(F.unix_timestamp("bucket").alias("bucket"), rnd("avg_duration", 4).alias("avg_duration"), "total_views")
+
+
+@query("a14_conversion_trend", f"WITH {SESS} SELECT epoch_us(time_bucket(INTERVAL '1 day', start)) // 1000000 AS bucket, round(avg(converted), 5) AS rate FROM s GROUP BY 1", "requests")
+def _(t):
+    return R.conversion_trend(sessions(t), "1d").select(F.unix_timestamp("bucket").alias("bucket"), rnd("avg_conversion_rate").alias("rate"))
+
+
+@query("a14_user_type_mix", f"WITH {SESS} SELECT kind, count(*) AS user_count, round(avg(duration), 4) AS avg_duration FROM s GROUP BY kind", "requests")
 def _(t):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    s = t.requests.groupBy("session_id").agg(F.min("country").alias("country"), F.count(F.lit(1)).alias("n"), ((F.max(us) - F.min(us)) / 1e6).alias("span"), F.max((F.col("event_type") == "purchase").cast("int")).alias("buys"))
-    return s.groupBy("country").agg(F.count(F.lit(1)).alias("sessions"), rnd(F.avg("n"), 5).alias("actions"), rnd(F.avg("span"), 4).alias("duration"), rnd(F.avg("buys"), 5).alias("conversion"))
+    return R.user_type_mix(sessions(t)).withColumn("avg_duration", rnd("avg_duration", 4))
 
 
 @query("a15_last_by", "SELECT user_id, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id")
@@ -185,7 +201,8 @@ def _(t):
 
 @query("a24_traffic_basic", "SELECT count(*) AS connections, round(sum(bytes), 2) AS bytes, sum(packets)::bigint AS packets, round(avg(bytes), 5) AS mean_bytes, count(DISTINCT source) AS sources, count(DISTINCT destination) AS destinations FROM connections", "connections")
 def _(t):
-    return t.connections.agg(F.count(F.lit(1)).alias("connections"), rnd(F.sum("bytes"), 2).alias("bytes"), F.sum("packets").alias("packets"), rnd(F.avg("bytes"), 5).alias("mean_bytes"), F.count_distinct("source").alias("sources"), F.count_distinct("destination").alias("destinations"))
+    out = R.traffic_basic(t.connections).drop("first", "last")
+    return out.withColumn("bytes", rnd("bytes", 2)).withColumn("mean_bytes", rnd("mean_bytes", 5))
 
 
 @query("a25_protocol_stats", "SELECT protocol, count(*) AS n, round(sum(bytes), 2) AS bytes, round(count(*) * 100.0 / sum(count(*)) OVER (), 5)::double AS share FROM connections GROUP BY protocol ORDER BY n DESC LIMIT 10", "connections")
@@ -194,11 +211,9 @@ def _(t):
     return stamped(R.top_with_share(c, "protocol", 10), "share").join(c.groupBy("protocol").agg(rnd(F.sum("bytes"), 2).alias("bytes")), "protocol")
 
 
-@query("a26_temporal_profile", "SELECT 'hour' AS unit, hour(ts) AS slot, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'weekday', isodow(ts) - 1, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'day', day(ts), count(*) FROM events GROUP BY 2")
+@query("a26_temporal_profile", "WITH p AS (SELECT 'hour' AS unit, hour(ts) AS slot, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'weekday', isodow(ts) - 1, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'day', day(ts), count(*) FROM events GROUP BY 2) SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, slot) = 1 AS peak FROM p")
 def _(t):
-    slots = {"hour": F.hour("ts"), "weekday": F.weekday("ts"), "day": F.dayofmonth("ts")}
-    parts = [t.events.groupBy(F.lit(u).alias("unit"), c.cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("n")) for u, c in slots.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return R.temporal_profile(t.events)
 
 
 @query("a27_port_stats", "SELECT port, count(*) AS n, CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'dynamic' END AS class FROM connections GROUP BY port ORDER BY n DESC, port LIMIT 20", "connections")
@@ -210,7 +225,7 @@ def _(t):
 
 @query("a28_flow_counts", "SELECT protocol, source, destination, count(*) AS n FROM connections GROUP BY GROUPING SETS ((protocol), (source), (destination))", "connections")
 def _(t):
-    return t.connections.groupingSets([["protocol"], ["source"], ["destination"]], "protocol", "source", "destination").agg(F.count(F.lit(1)).alias("n"))
+    return R.flow_counts(t.connections)
 
 
 @query(
@@ -237,12 +252,12 @@ def _(t):
 
 @query("a32_graph_stats", "SELECT type, count(*) AS n FROM edges GROUP BY ROLLUP (type)", "edges")
 def _(t):
-    return t.edges.rollup("type").agg(F.count(F.lit(1)).alias("n"))
+    return R.graph_stats(t.edges)
 
 
 @query("a33_alert_summary", "SELECT severity, event_type, count(*) AS n FROM requests GROUP BY CUBE (severity, event_type)", "requests")
 def _(t):
-    return t.requests.cube("severity", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return R.alert_summary(t.requests, "severity", "event_type")
 
 
 @query("a34_dashboard_analytics", "SELECT span, name, n FROM (SELECT 'agent' AS span, user_agent AS name, count(*) AS n FROM requests GROUP BY 2 UNION ALL SELECT 'country', country, count(*) FROM requests GROUP BY 2 UNION ALL SELECT 'city', city, count(*) FROM requests GROUP BY 2 UNION ALL SELECT 'ip', ip, count(*) FROM requests GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY span ORDER BY n DESC, name) <= 5", "requests")
@@ -274,12 +289,9 @@ def _(t):
     return R.latency_percentiles(t.requests, "path", "duration_ms")
 
 
-@query("a38_rolling_summary", "SELECT host, round(avg(duration_ms), 5) AS mean, max(duration_ms) AS max, min(duration_ms) AS min, round((arg_max(duration_ms, struct_pack(a := ts, b := request_id)) - arg_min(duration_ms, struct_pack(a := ts, b := request_id))) / arg_min(duration_ms, struct_pack(a := ts, b := request_id)), 5) AS trend FROM requests WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY host", "requests")
+@query("a38_rolling_summary", "SELECT host, round(avg(duration_ms), 5) AS mean, max(duration_ms) AS max, min(duration_ms) AS min, round((arg_max(duration_ms, struct_pack(a := ts, b := request_id)) - arg_min(duration_ms, struct_pack(a := ts, b := request_id))) / arg_min(duration_ms, struct_pack(a := ts, b := request_id)), 5) AS trend FROM requests WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' GROUP BY host", "requests")
 def _(t):
-    o = F.struct("ts", "request_id")
-    first, last = F.min_by("duration_ms", o), F.max_by("duration_ms", o)
-    r = t.requests.filter("ts >= TIMESTAMP_NTZ '2024-01-10'")
-    return r.groupBy("host").agg(rnd(F.avg("duration_ms"), 5).alias("mean"), F.max("duration_ms").alias("max"), F.min("duration_ms").alias("min"), rnd((last - first) / first, 5).alias("trend"))
+    return stamped(R.rolling_summary(t.requests, 20 * 1440, "2024-01-25", "host", "duration_ms"), "mean", "trend")
 
 
 @query("a39_health_score", "SELECT host, (100 - CASE WHEN quantile_cont(content_length, 0.95) > 10000 OR quantile_cont(duration_ms, 0.95) > 5000 THEN 20 ELSE 0 END - CASE WHEN avg((status_code >= 500)::int) > 0.01 THEN 30 ELSE 0 END - CASE WHEN avg((risk_score < 0.5)::int) < 0.8 THEN 25 ELSE 0 END)::int AS score FROM requests GROUP BY host", "requests")
@@ -290,58 +302,54 @@ def _(t):
 
 @query("a40_adaptation_stats", "SELECT user_id, count(*) AS total, count_if(value > 350) AS successes, round(avg(value), 5) AS mean_confidence, max(event_id) AS last_id FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") > 350).alias("successes"), rnd(F.avg("value"), 5).alias("mean_confidence"), F.max("event_id").alias("last_id"))
+    return stamped(R.adaptation_stats(t.events, "user_id", F.col("value") > 350, "value", "event_id"), "mean_confidence")
 
 
 @query("a41_detection_summary", "SELECT event_type, severity, count(*) AS n, round(avg(risk_score), 5) AS confidence FROM requests GROUP BY GROUPING SETS ((event_type), (severity), ())", "requests")
 def _(t):
-    return stamped(t.requests.groupingSets([["event_type"], ["severity"], []], "event_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("confidence")), "confidence")
+    return stamped(R.detection_summary(t.requests), "confidence")
 
 
 @query("a42_deception_stats", "SELECT p AS trap_path, count(request_id) AS accesses FROM (SELECT unnest(['/admin/config?debug=1', '/api/items/7', '/never']) AS p) x LEFT JOIN requests ON path = p GROUP BY p", "requests")
 def _(t):
     traps = t.spark.createDataFrame([("/admin/config?debug=1",), ("/api/items/7",), ("/never",)], "trap_path string")
-    hits = t.requests.groupBy(F.col("path").alias("trap_path")).agg(F.count("request_id").alias("n"))
-    return traps.join(hits, "trap_path", "left").select("trap_path", F.coalesce("n", F.lit(0)).alias("accesses"))
+    return R.deception_stats(t.requests, traps)
 
 
 @query("a43_feedback_stats", "SELECT signal, count_if(event_type = 'click') AS click, count_if(event_type = 'error') AS error FROM (SELECT event_type, unnest(CASE WHEN value > 200 THEN ['fast', 'seen'] ELSE ['seen'] END) AS signal FROM events) GROUP BY signal")
 def _(t):
     s = F.when(F.col("value") > 200, F.array(F.lit("fast"), F.lit("seen"))).otherwise(F.array(F.lit("seen")))
-    return t.events.select("event_type", F.explode(s).alias("signal")).groupBy("signal").pivot("event_type", ["click", "error"]).count().fillna(0)
+    return R.feedback_stats(t.events, s, "event_type", ["click", "error"])
 
 
 @query("a44_rule_stats", "SELECT p_brand, count(*) AS rules, count_if(p_size > 25) AS enabled FROM part GROUP BY p_brand")
 def _(t):
-    return t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("p_size") > 25).alias("enabled"))
+    return R.rule_stats(t.part, "p_brand", F.col("p_size") > 25)
 
 
 @query("a45_crypto_inventory", "SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size))")
 def _(t):
-    return t.part.groupingSets([["p_brand"], ["p_type"], ["p_size"]], "p_brand", "p_type", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    return R.crypto_inventory(t.part, "p_brand", "p_type", "p_size")
 
 
 @query("a46_table_usage", "SELECT event_type, count(*) AS n, sum(length(props))::bigint AS bytes, round(sum(length(props)) / 100000.0, 5)::double AS share FROM events GROUP BY event_type")
 def _(t):
-    b = F.sum(F.length("props"))
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), b.alias("bytes"), rnd(b / 100000.0, 5).alias("share"))
+    return stamped(R.table_usage(t.events, "event_type", F.length("props"), 100000.0), "share")
 
 
-@query("a47_score_history", "SELECT session_id, round(avg(risk_score), 5) AS mean, arg_max(risk_score, struct_pack(a := ts, b := request_id)) AS last, round(arg_max(risk_score, struct_pack(a := ts, b := request_id)) - arg_min(risk_score, struct_pack(a := ts, b := request_id)), 5) AS trend FROM requests GROUP BY session_id", "requests")
+@query("a47_score_history", "WITH h AS (SELECT session_id, avg(risk_score) AS m, arg_max(risk_score, struct_pack(a := ts, b := request_id)) AS last, arg_max(risk_score, struct_pack(a := ts, b := request_id)) - arg_min(risk_score, struct_pack(a := ts, b := request_id)) AS c FROM requests GROUP BY session_id) SELECT session_id, round(m, 5) AS mean, last, round(c, 5) AS change, CASE WHEN c > 0.1 THEN 'increasing' WHEN c < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM h", "requests")
 def _(t):
-    o = F.struct("ts", "request_id")
-    return t.requests.groupBy("session_id").agg(rnd(F.avg("risk_score"), 5).alias("mean"), F.max_by("risk_score", o).alias("last"), rnd(F.max_by("risk_score", o) - F.min_by("risk_score", o), 5).alias("trend"))
+    return stamped(R.score_history(t.requests), "mean", "change")
 
 
 @query("a48_traffic_distribution", "SELECT method, status_code, hour(ts) AS hour, grouping_id(method, status_code, hour(ts)) AS level, count(*) AS n, sum(content_length)::bigint AS bytes, max(content_length) AS peak FROM requests GROUP BY GROUPING SETS ((method), (status_code), (hour(ts)))", "requests")
 def _(t):
-    r = t.requests.withColumn("hour", F.hour("ts"))
-    return r.groupingSets([["method"], ["status_code"], ["hour"]], "method", "status_code", "hour").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum("content_length").alias("bytes"), F.max("content_length").alias("peak"))
+    return R.traffic_distribution(t.requests)
 
 
 @query("a49_dns_stats", "SELECT regexp_extract(url, '//([^/?#]*)', 1) AS domain, count(*) AS queries, round(avg(length(html)), 5) AS mean_size, sum(len(string_split(url, '/')))::bigint AS answers FROM pages GROUP BY 1")
 def _(t):
-    return t.pages.groupBy(F.regexp_extract("url", "//([^/?#]*)", 1).alias("domain")).agg(F.count(F.lit(1)).alias("queries"), rnd(F.avg(F.length("html")), 5).alias("mean_size"), F.sum(F.size(F.split("url", "/"))).alias("answers"))
+    return stamped(R.dns_stats(t.pages, F.regexp_extract("url", "//([^/?#]*)", 1), F.length("html"), F.size(F.split("url", "/"))), "mean_size")
 
 
 @query("n01_apply_retention", "SELECT ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY AS kept, count(*) AS n FROM events GROUP BY 1")

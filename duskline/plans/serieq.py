@@ -155,8 +155,7 @@ def _(t):
 
 @query("w20_confidence_interval", "SELECT user_id, round(avg(value) - 1.96 * sqrt(var_pop(value) / count(*)), 4) AS low, round(avg(value) + 1.96 * sqrt(var_pop(value) / count(*)), 4) AS high FROM events GROUP BY user_id")
 def _(t):
-    half = 1.96 * F.sqrt(F.var_pop("value") / F.count(F.lit(1)))
-    return t.events.groupBy("user_id").agg(rnd(F.avg("value") - half, 4).alias("low"), rnd(F.avg("value") + half, 4).alias("high"))
+    return W.confidence_interval(t.events, K, V).select("user_id", rnd("low", 4).alias("low"), rnd("high", 4).alias("high"))
 
 
 @query("w21_baseline_ema", f"WITH RECURSIVE {BASE}, r AS (SELECT user_id, event_id, i, (0.1 * x + 0.9 * 100)::double AS s FROM b WHERE i = 1 UNION ALL SELECT b.user_id, b.event_id, b.i, (0.1 * x + 0.9 * s)::double FROM r JOIN b ON b.user_id = r.user_id AND b.i = r.i + 1) SELECT event_id, round(s, 4) AS baseline FROM r")
@@ -186,9 +185,7 @@ def _(t):
 
 @query("w25_volume_anomalies", "WITH h AS (SELECT hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1), z AS (SELECT *, abs(n - avg(n) OVER ()) / stddev_pop(n) OVER () AS z FROM h) SELECT hour, n, round(z, 5) AS z FROM z WHERE z > 1")
 def _(t):
-    h = t.events.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    stats = h.agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("s"))
-    return h.crossJoin(F.broadcast(stats)).withColumn("z", F.abs(F.col("n") - F.col("m")) / F.col("s")).filter("z > 1").select("hour", "n", rnd("z").alias("z"))
+    return W.volume_anomalies(t.events, F.hour("ts"), 1.0).select(F.col("slot").alias("hour"), "n", rnd("z").alias("z"))
 
 
 @query("w26_session_timing", "WITH g AS (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events) SELECT event_id, round(gap, 3) AS gap, coalesce(gap < 1, false) AS burst, coalesce(gap > 300, false) AS idle FROM g")
@@ -214,3 +211,8 @@ def _(t):
 def _(t):
     f = W.ewma_forecast(ev(t), K, O, V, 0.3).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("accuracy", "n").alias("a"))
     return f.select("user_id", (F.col("n") >= 10).alias("enough"), rnd("a").alias("accuracy"), ((F.col("n") >= 10) & (F.col("a") >= 0.7)).alias("valid"))
+
+
+@query("z04_ew_fold", f"WITH RECURSIVE {BASE}, r AS (SELECT user_id, i, x AS s FROM b WHERE i = 1 UNION ALL SELECT b.user_id, b.i, (0.2 * x + 0.8 * s)::double FROM r JOIN b ON b.user_id = r.user_id AND b.i = r.i + 1) SELECT user_id, max(i) AS n, round(arg_max(s, i), 5) AS value FROM r GROUP BY user_id")
+def _(t):
+    return W.ew_fold(ev(t), K, O, V, 0.2).select("user_id", "n", rnd("value").alias("value"))

@@ -7,28 +7,36 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskline.operators.graph import shared_folder
 from duskline.streaming import streams as X
 
 from .registry import query, rnd
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run(t, build, mode: str = "complete") -> DataFrame:
-    """Run ``build(stream)`` over the events table to its end; the result is a table in the shared folder."""
+    """Run ``build(stream)`` over the events table to its end; the result is a table in the shared folder.
+
+    Each batch has a folder of its own, so a batch that is tried again replaces what it wrote.
+    """
     spark = t.spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/duskline"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
-    out = build(stream)
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
-
-    writer = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/cp")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        out = build(stream)
+
+        def put(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/{batch_id}")
+
+        writer = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/cp")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
 
 @query("x01_tumbling_counts", "SELECT epoch_us(time_bucket(INTERVAL '1 minute', ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -44,13 +44,13 @@ ASSETS = """
 SELECT s_suppkey AS asset_id, concat('10.', cast(s_suppkey % 3 AS string), '.', cast(s_suppkey % 4 AS string), '.', cast(s_suppkey % 250 AS string)) AS ip,
   concat('host-', cast(s_suppkey % 9 AS string)) AS hostname, s_name AS owner,
   CASE WHEN s_acctbal > 5000 THEN 3.0 WHEN s_acctbal > 0 THEN 2.0 ELSE 1.0 END AS criticality_score
-FROM {supplier} WHERE s_suppkey <= 40
+FROM {supplier}
 """
 
 INTEL = """
 SELECT concat('10.', cast(c_custkey % 3 AS string), '.', cast(c_custkey % 4 AS string), '.', cast(c_custkey % 250 AS string)) AS ip,
   max(c_acctbal / 100.0) AS virustotal_score, min(c_acctbal / 120.0) AS abuseipdb_score
-FROM {customer} WHERE c_custkey % 3 = 1 AND c_custkey < 250
+FROM {customer}
 GROUP BY c_custkey % 3, c_custkey % 4, c_custkey % 250
 """
 
@@ -59,9 +59,11 @@ EDGES = """
 SELECT DISTINCT concat('c', cast(o_custkey AS string)) AS src, concat('s', cast(l_suppkey AS string)) AS dst,
   CASE l_returnflag WHEN 'A' THEN 'AUTHENTICATED_AS' WHEN 'N' THEN 'CONNECTED_TO' ELSE 'EXECUTED' END AS type
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_shipdate < TIMESTAMP '1997-01-01 00:00:00' AND l_quantity > 40
 """
 
+# the same with the times of the first and the last dealing
+LINKS = EDGES.replace("SELECT DISTINCT", "SELECT").replace(" AS type\n", " AS type, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts\n") + "GROUP BY 1, 2, 3\n"
+
 STATES = """
 SELECT conv_id AS session, turn AS step, role AS state, length(text) AS size FROM {conversations}
 """
@@ -78,6 +80,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "assets": ASSETS,
         "intel": INTEL,
         "edges": EDGES,
+        "links": LINKS,
         "states": STATES,
         "labelled": LABELLED,
     }.items()

@@ -36,12 +36,15 @@ def standardize(df: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
     return df.withColumnsRenamed(out)
 
 
-def read_connections(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
-    """Connections from csv, json or a JDBC table, with standard column names."""
+def read_connections(spark: SparkSession, path: str, fmt: str, schema: str = CONNECTION, **options) -> DataFrame:
+    """Connections from csv, json or a JDBC table, with standard column names; ``options`` are those of the reader.
+
+    A JDBC table is read in parallel if the options name a partitionColumn with its bounds and numPartitions.
+    """
     if fmt == "csv":
-        return standardize(spark.read.options(header=True, **options).schema(options.pop("schema", CONNECTION)).csv(path))
+        return standardize(spark.read.options(**({"header": True} | options)).schema(schema).csv(path))
     if fmt == "json":
-        return standardize(spark.read.schema(options.pop("schema", CONNECTION)).json(path))
+        return standardize(spark.read.options(**options).schema(schema).json(path))
     if fmt == "jdbc":
         return standardize(spark.read.format("jdbc").options(url=path, **options).load())
     raise ValueError(f"unknown format {fmt!r}")
