@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A job's shuffle files go when it ends, and a batch of long texts or word lists is no larger in a Python worker than this.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 _DATABASES: dict[str, str] = {}
 _STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _OPEN: list[Intermediates] = []
@@ -49,12 +53,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     table = f"{_database(spark)}.{re.sub(r'[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the job's shuffle files go when it ends
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.format("parquet").saveAsTable(table)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.table(table)
     _STORED[out] = table
     if _OPEN:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import materialize, mix64
 
 UND = "und"
 
@@ -109,6 +109,8 @@ def train(
     )
     # a row is in the sample if its hash is among the least of its language: a threshold per language from counts
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # stored, so that its size is known when the join is planned: few languages are broadcast and no text is shuffled
+    counts = materialize(counts, "langid-counts")
     share = F.least(F.lit(1.0), F.lit(float(sample_per_lang)) / F.col("_n"))
     chosen = keys.join(counts, "lang").filter(
         F.col("_h") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
