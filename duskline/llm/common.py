@@ -198,7 +198,7 @@ def utf8_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
+def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch holding about ``limit`` bytes of ``column`` each (one row at least)."""
     _, offsets = utf8_bytes(batch.column(column))
     start = 0

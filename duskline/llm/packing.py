@@ -23,6 +23,7 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass
@@ -69,11 +70,18 @@ def encoder(vocabulary: str):
         ).encode_ordinary
     if not vocabulary.endswith(".json"):
         return plain
-    from tokenizers import Tokenizer
+    with open(vocabulary, encoding="utf-8") as f:
+        head = f.read()
+    added, _ = json.JSONDecoder().raw_decode(head, head.index("[", head.index('"added_tokens"')))
+    added, tok = [a["content"] for a in added], []
+
+    def whole(text: str) -> list[int]:
+        if not tok:  # few texts hold an added token: the library's table is loaded for the first one
+            from tokenizers import Tokenizer
+
+            tok.append(Tokenizer.from_file(vocabulary))
+        return tok[0].encode(text, add_special_tokens=False).ids
 
-    tok = Tokenizer.from_file(vocabulary)
-    added = [t.content for t in tok.get_added_tokens_decoder().values()]
-    whole = lambda t: tok.encode(t, add_special_tokens=False).ids
     return whole if plain is None else lambda t: whole(t) if any(a in t for a in added) else plain(t)
 
 

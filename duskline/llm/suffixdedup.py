@@ -50,7 +50,7 @@ from .common import RollingHash, batches_of_bytes, discard, materialize, mix64,
 
 GRAM = 16
 WINDOW = 150
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 BLOCK = 25
 CODE = 6
 _WIDE_SPACES = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
