@@ -385,6 +385,12 @@ def possible_pairs(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
         meet = room >= 0
         found.append((x[meet], y[meet], apart[meet]))
     x, y, apart = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in range(3))
+    # a pair that shares several buckets is reported by the least of them alone
+    shared = pdf["buckets"].to_numpy()
+    sets: dict[int, set] = {}
+    of = lambda r: sets.get(r) or sets.setdefault(r, set(shared[r].tolist()))
+    mine = np.fromiter((min(of(p) & of(q)) == b for p, q, b in zip(x.tolist(), y.tolist(), bucket[x].tolist())), bool, len(x))
+    x, y, apart = x[mine], y[mine], apart[mine]
     out = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "apart": apart})
     return out.drop_duplicates(["a", "b"])
 
@@ -403,7 +409,8 @@ def residue(rows: DataFrame, words: DataFrame, similarity: float, block: int = 2
     load = met.agg(F.sum("slices"), F.sum(F.col("slices") * F.col("n_words"))).first()
     frames = max((load[0] or 0) // 4096, (load[1] or 0) // (4 << 20)) + 1
     met = met.select("bucket", "node", "n_words", "component", "slice", F.explode(blocks).alias("at"))
-    met = met.join(words, "node").select("*", "at.i", "at.j").drop("at")
+    buckets = rows.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one a table at most
+    met = met.join(words, "node").join(materialize(buckets, "omh-buckets"), "node").select("*", "at.i", "at.j").drop("at")
     frame = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(frames))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
