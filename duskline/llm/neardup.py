@@ -18,12 +18,12 @@ tables of three-word shingles find 99.1 % at 0.80, 99.9 % at 0.85 and all at 0.9
 Equal word sequences are one node, so exact copies cost nothing further. In a
 bucket links to its leader (of least hash) are verified first; documents already
 in the leader's component need no link of their own. Those that the leader
-doesn't match get new leaders in buckets split by longer samples of k-mers. That
-only orders the work: at the end every bucket that still holds several components
-is compared in full, slice against slice, across components. A pair is left out
-only if lengths or word counts (first of hash bins, then of the words themselves)
-show that it can't reach the similarity, so no
-candidate is dropped: the classes are the components of all pairs that share a
+doesn't match get new leaders in buckets split by longer samples of k-mers, as long
+as a tenth of them still find links. That only orders the work: at the end every
+bucket that still holds several components is compared in full, slice against
+slice, across components. A pair is left out only if lengths or word counts (first
+of hash bins, then of the words themselves) show that it can't reach the
+similarity, so no candidate is dropped: the classes are the components of all pairs that share a
 bucket and align. No group of documents is gathered in one task.
 
 Defined cases: a null text or one without any character is alone in its class;
@@ -490,16 +490,18 @@ def _classified(docs, id_col, text_col, tables, shingle, similarity, first_table
             return rows
         return _with_components(rows, labels, "node", "leader").filter("_ca <> _cb").drop("_ca", "_cb")
 
-    def link(rows: DataFrame) -> None:
+    def link(rows: DataFrame) -> int:
         nonlocal labels
         near = F.least("n_words", "leader_words") >= F.greatest("n_words", "leader_words") * F.lit(similarity) - 1e-9
         pairs = unresolved(rows.filter(near)).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
         )
         found = materialize(verify(pairs.distinct(), words, similarity), "omh-links")
-        if labels is None or not found.isEmpty():
+        links = found.count()
+        if labels is None or links:
             labels = _merge(labels, found)
         discard(found)
+        return links
 
     link(led.filter(F.col("table") < first_tables))
     link(led.filter(F.col("table") >= first_tables))
@@ -515,7 +517,9 @@ def _classified(docs, id_col, text_col, tables, shingle, similarity, first_table
             discard(before)
         if led.isEmpty():
             break
-        link(led)
+        # once few of them find a link, further rounds would take more jobs than they spare the full comparison
+        if link(led) * 10 < led.select("node").distinct().count():
+            break
         depth = min(2 * depth + 2, 62)
     # whatever still lies apart in a bucket meets in full, the closest pair of two components first
     mixed = materialize(unresolved(shared).select("bucket").distinct(), "omh-mixed")

@@ -223,9 +223,10 @@ def test_scattered_edits_become_candidates(similarity, least):
     assert (keys[0] == keys[1]).any(1).mean() >= least
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 3, 1 << 14])
+def test_components(spark, few):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
 
 
