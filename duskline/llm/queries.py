@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, htmltext, langid, lattice, neardup, packing, secrets, sharding, suffixdedup
+from . import bpe, hnsw, htmltext, langid, lattice, lexical, neardup, packing, pii, secrets, sharding, suffixdedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,7 +92,10 @@ QUERIES = {
         op8_hnsw_neighbours,
         op9_language_id,
         op10_consensus_html,
+        op11_whitening,
+        op12_lexical_search,
+        op13_personal_data,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_lexical_search": lexical.ORACLE}
