@@ -255,9 +255,14 @@ def recency(ts, as_of: str, tau_seconds: float) -> Column:
     return F.exp(-(age / 1e6) / tau_seconds)
 
 
+def time_gap(a, b) -> Column:
+    """Microseconds between two times."""
+    return F.abs(F.unix_micros(c(a).cast("timestamp")) - F.unix_micros(c(b).cast("timestamp")))
+
+
 def time_correlation(a, b, span_seconds: float = 300) -> Column:
-    gap = F.abs(F.unix_micros(c(a).cast("timestamp")) - F.unix_micros(c(b).cast("timestamp"))) / 1e6
-    return F.greatest(F.lit(0.0), 1 - gap / span_seconds)
+    """1 at the same time, falling to 0 at ``span_seconds``."""
+    return F.greatest(F.lit(0.0), 1 - time_gap(a, b) / F.lit(span_seconds * 1e6))
 
 
 def epoch_seconds(ts) -> Column:

@@ -266,9 +266,11 @@ def _(t):
     return t.events.select("event_id", rnd(S.recency("ts", "2024-02-01", 604800), 6).alias("weight"))
 
 
-@query("f09_time_correlation", "SELECT event_id, round(greatest(0, 1 - abs(epoch_us(ts) - epoch_us(date_trunc('hour', ts))) / 300e6), 6) AS corr FROM events")
+@query("f09_time_correlation", "WITH g AS (SELECT event_id, abs(epoch_us(ts) - epoch_us(date_trunc('hour', ts))) AS gap_us FROM events) SELECT event_id, gap_us, greatest(0.0::double, 1.0::double - gap_us / 300e6) AS corr FROM g")
 def _(t):
-    return t.events.select("event_id", rnd(S.time_correlation("ts", F.date_trunc("hour", "ts")), 6).alias("corr"))
+    """The gap in whole microseconds is divided once, so both sides have the same double and nothing is rounded."""
+    hour = F.date_trunc("hour", "ts")
+    return t.events.select("event_id", S.time_gap("ts", hour).alias("gap_us"), S.time_correlation("ts", hour).alias("corr"))
 
 
 @query("f10_json_blob", "SELECT request_id FROM requests WHERE contains(lower(body), 'powershell') OR contains(lower(path), 'powershell')", "requests")

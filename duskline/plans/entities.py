@@ -200,13 +200,6 @@ def _(t):
     return Q.discover_patterns(t.states, "session", SQ, "state")
 
 
-@query("q09_sequence_anomalies", f"WITH {TR}, s AS (SELECT session, avg(1 - pr) AS a FROM tr JOIN p USING (context, next) GROUP BY session) SELECT session, round(a, 5) AS score, CASE WHEN a > 0.6 THEN 'high' WHEN a > 0.4 THEN 'medium' ELSE 'low' END AS severity FROM s", "states")
-def _(t):
-    m = Q.learn_transitions(t.states, "session", SQ, "state").select("context", "next", "probability")
-    s = Q.transitions(t.states, "session", SQ, "state").join(m, ["context", "next"]).groupBy("session").agg(F.avg(1 - F.col("probability")).alias("a"))
-    return s.select("session", rnd("a").alias("score"), F.when(F.col("a") > 0.6, "high").when(F.col("a") > 0.4, "medium").otherwise("low").alias("severity"))
-
-
 TQ = "l AS (SELECT session_id, ts, request_id, event_type, lag(event_type) OVER w AS context, event_type AS next, lead(epoch_us(ts)) OVER w AS nx FROM requests{0} WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id)), m AS (SELECT context, next, count(*) AS c FROM l WHERE context IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, (c + 1) / (sum(c) OVER (PARTITION BY context) + count(*) OVER (PARTITION BY context)) AS pr FROM m), sc AS (SELECT session_id, avg(1 - pr) AS a, max(1 - pr) AS worst FROM l JOIN p USING (context, next) GROUP BY 1)"
 RQ = ["ts", "request_id"]
 
@@ -229,14 +222,6 @@ def _(t):
     return Q.behavior_insights(Q.rate_patterns(Q.discover_patterns(t.states, "session", SQ, "state")), s)
 
 
-@query("q12_anomaly_clusters", f"WITH {TR}, s AS (SELECT session, avg(1 - pr) AS a FROM tr JOIN p USING (context, next) GROUP BY session) SELECT CASE WHEN a > 0.6 THEN 'high' WHEN a > 0.4 THEN 'medium' ELSE 'low' END AS cluster, count(*) AS sessions, round(avg(a), 5) AS mean FROM s GROUP BY 1", "states")
-def _(t):
-    m = Q.learn_transitions(t.states, "session", SQ, "state").select("context", "next", "probability")
-    s = Q.transitions(t.states, "session", SQ, "state").join(m, ["context", "next"]).groupBy("session").agg(F.avg(1 - F.col("probability")).alias("a"))
-    c = F.when(F.col("a") > 0.6, "high").when(F.col("a") > 0.4, "medium").otherwise("low")
-    return s.groupBy(c.alias("cluster")).agg(N().alias("sessions"), rnd(F.avg("a")).alias("mean"))
-
-
 @query("q13_behavior_trend", "WITH d AS (SELECT cast(ts AS date) AS d, count_if(event_type = 'error') * 1.0 / count(*) AS r FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY d) AS i, row_number() OVER (ORDER BY d DESC) AS j FROM d), x AS (SELECT avg(CASE WHEN i <= 3 THEN r END) AS o, avg(CASE WHEN j <= 3 THEN r END) AS n FROM k) SELECT round(o, 5) AS older, round(n, 5) AS recent, CASE WHEN n < o * 0.8 THEN 'improving' WHEN n > o * 1.2 THEN 'degrading' ELSE 'stable' END AS trend FROM x")
 def _(t):
     b = Q.behavior_trend(t.events, F.col("event_type") == "error")
