@@ -59,20 +59,29 @@ def ioc_reputation(iocs: DataFrame, bad: DataFrame, good: DataFrame, ioc: str =
     return out.withColumn("reputation", score).drop("_bad", "_good")
 
 
-def pair_within(df: DataFrame, entity: str, ts: str, seconds: int, block: str) -> DataFrame:
-    """Pairs of rows of different entities (a < b) that share ``block`` and lie within ``seconds``.
+def pair_within(df: DataFrame, entity: str, ts: str, seconds: int, block: str | None = None, most: int = 4096) -> DataFrame:
+    """Pairs of rows of different entities (a < b) that share ``block`` (if any) and lie within ``seconds``.
 
     An equi-join on the block and a time bucket: the right side is put into its own bucket and the next two
-    around it, so no bucket meets more than its neighbours.
+    around it, so no bucket meets more than its neighbours. The buckets are counted first: one of more than ``most``
+    rows is dealt to so many parts that each holds about ``most`` rows of the left side, and what is to meet it goes
+    to every part, so no task holds a hot block. No pair is lost or made twice. Null entities and blocks pair with nothing.
     """
     bucket = F.floor(F.unix_timestamp(ts) / seconds).cast("bigint")
-    left = df.select(F.struct(*df.columns).alias("a"), F.col(block).alias("_k"), bucket.alias("_t"))
-    around = F.array(bucket - 1, bucket, bucket + 1)
-    right = df.select(F.struct(*df.columns).alias("b"), F.col(block).alias("_k2"), F.explode(around).alias("_t2"))
+    key = F.col(block) if block else F.lit(0)
+    rows = df.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull() & key.isNotNull())
+    sizes = rows.groupBy(key.alias("_h"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    parts = sizes.select("_h", "_b", F.ceil(F.col("_n") / most).cast("int").alias("_p"))
+    dealt = lambda d, k, t: d.join(parts, (F.col(k) == F.col("_h")) & (F.col(t) == F.col("_b")), "left").withColumn("_p", F.coalesce("_p", F.lit(1))).drop("_h", "_b")
+    left = dealt(rows.select(F.struct(*df.columns).alias("a"), key.alias("_k"), bucket.alias("_t")), "_k", "_t")
+    left = left.withColumn("_s", F.pmod(F.xxhash64("a"), F.col("_p")).cast("int")).drop("_p")
+    around = F.explode(F.array(bucket - 1, bucket, bucket + 1))
+    right = dealt(rows.select(F.struct(*df.columns).alias("b"), key.alias("_k2"), around.alias("_t2")), "_k2", "_t2")
+    right = right.withColumn("_s2", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p")
     gap = F.abs(F.unix_micros(F.col(f"a.{ts}").cast("timestamp")) - F.unix_micros(F.col(f"b.{ts}").cast("timestamp")))
-    pairs = left.join(right, (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")))
+    pairs = left.join(right, (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")) & (F.col("_s") == F.col("_s2")))
     near = (F.col(f"a.{entity}") < F.col(f"b.{entity}")) & (gap <= seconds * 1_000_000)
-    return pairs.filter(near).withColumn("gap_seconds", gap / 1e6).drop("_k", "_k2", "_t", "_t2")
+    return pairs.filter(near).withColumn("gap_seconds", gap / 1e6).drop("_k", "_k2", "_t", "_t2", "_s", "_s2")
 
 
 def attach_baseline(points: DataFrame, baselines: DataFrame, key: str, ts: str, value: str, within: str = "day") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,69 @@ def kill_chain(df: DataFrame, kind: str, text: str) -> DataFrame:
     return df.withColumn("stage", F.explode(stages))
 
 
+def kill_chain_timeline(events: DataFrame, case: str, ts: str, kind: str, text: str) -> DataFrame:
+    """(case, stage, n, first_seen, last_seen): how often and when each case shows a stage; an event may show several."""
+    g = kill_chain(events, kind, text).groupBy(case, "stage")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+
+
+def first_and_last(events: DataFrame, case: str, order: list[str], n: int) -> DataFrame:
+    """The first and the last ``n`` events of each case by ``order``, each event once (``order`` tells events apart).
+
+    Both cuts are limits of a group, which every task applies to its own rows before the shuffle, so a case of
+    millions of events sends 2 n of them from a task.
+    """
+    def cut(columns) -> DataFrame:
+        return events.withColumn("_r", F.row_number().over(Window.partitionBy(case).orderBy(*columns))).filter(F.col("_r") <= n).drop("_r")
+
+    return cut(order).union(cut([F.desc(c) for c in order])).dropDuplicates([case, *order])
+
+
+# The steps a report recommends.
+REMEDIATION = (
+    "Isolate affected endpoints", "Reset impacted credentials", "Block malicious indicators at edge/firewall", "Hunt for related IOCs in last 72h",
+)
+
+
+def incident_report(events: DataFrame, case: str, ts: str, tie: str, host: str, criticality: str, kind: str, text: str, n: int = 5) -> DataFrame:
+    """A row per case: score, severity, systems, techniques, stages with first and last sight, timeline, summary, remedies.
+
+    The timeline has the first and last ``n`` events; all else is from all events. Systems are the case's distinct hosts,
+    techniques those that a text hints at, both sorted; stages follow the kill chain.
+    """
+    from .detect import ttps_of_text
+
+    score = incident_score(events, case, host, criticality, kind, text).select(case, "events", "score", "severity")
+    seen = events.groupBy(case).agg(F.array_sort(F.collect_set(host)).alias("systems"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+    hints = events.select(case, F.explode(ttps_of_text(F.col(text))).alias("_t")).groupBy(case).agg(F.array_sort(F.collect_set("_t")).alias("techniques"))
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    stages = kill_chain_timeline(events, case, ts, kind, text).groupBy(case).agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "stage", "n", "first_seen", "last_seen"))).alias("stages")
+    )
+    ends = first_and_last(events.select(case, ts, tie, kind), case, [ts, tie], n)
+    timeline = ends.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("id"), F.col(kind).alias("kind")))).alias("timeline"))
+    out = score.join(seen, case).join(hints, case, "left").join(stages, case, "left").join(timeline, case)
+    return out.withColumns({
+        "systems": F.coalesce("systems", F.array().cast("array<string>")), "techniques": F.coalesce("techniques", F.array().cast("array<string>")),
+        "confidence": F.least(F.lit(1.0), 0.4 + 0.1 * F.size(F.coalesce("techniques", F.array().cast("array<string>")))),
+        "summary": F.concat(F.lit("Incident around "), F.col(case).cast("string"), F.lit(" classified as "), F.col("severity"), F.lit(".")),
+        "remediation": F.array(*map(F.lit, REMEDIATION)),
+    })
+
+
+def hunt_all(df: DataFrame, source: str = "source", destination: str = "destination", port: str = "port", volume: str = "bytes") -> DataFrame:
+    """(hunt, source, value, severity): what each hunt found, high; a hunt that found nothing has one row, low."""
+    rows = [
+        hunt_above(df, source, F.sum(volume), 0.95).select(F.lit("exfiltration").alias("hunt"), F.col(source).alias("source"), F.col("value").cast("double").alias("value")),
+        hunt_above(df, source, F.count_distinct(destination), 0.9).select(F.lit("fanout").alias("hunt"), F.col(source).alias("source"), F.col("value").cast("double").alias("value")),
+        port_scans(df, source, port).select(F.lit("scan").alias("hunt"), F.col(source).alias("source"), F.col("ports").cast("double").alias("value")),
+    ]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    names = df.sparkSession.createDataFrame([("exfiltration",), ("fanout",), ("scan",)], "hunt string")
+    severity = F.when(F.col("source").isNull(), "low").otherwise("high")
+    return F.broadcast(names).join(found, "hunt", "left").select("hunt", "source", "value", severity.alias("severity"))  # three rows
+
+
 def investigation_context(events: DataFrame, entities: DataFrame, as_of: str, hours: int = 72, ts: str = "ts") -> DataFrame:
     """Events of the last hours of every entity (case_id, ip) that has any."""
     end = F.lit(as_of).cast("timestamp_ntz")

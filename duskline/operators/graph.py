@@ -53,6 +53,48 @@ def relation_score(hops: DataFrame) -> DataFrame:
     return g.withColumn("risk", F.least(F.lit(1.0), F.col("related") / 100))
 
 
+def path_counts(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, paths1, paths2, paths3, paths): undirected paths of one to three distinct edges from every node.
+
+    Edges are the rows of ``edges``: parallel ones are different, loops are left out. No path is listed. With m the
+    edges between two nodes and d the edges of one, a path of two edges is a first edge and one of the d - 1 others of
+    its end. For three, the same count of each neighbour is shared by all nodes beside it; what went back over the first
+    edge is taken off, and returns by a parallel edge go on over one of the d - 2 others of the start. All nodes
+    together cost two joins of the edges; ``nodes`` (id) keeps some.
+    """
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
+    links = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    degree = links.groupBy("src").agg(F.sum("m").alias("d"))
+    m, d = F.col("m"), F.col("d")
+    two = links.join(degree.select(F.col("src").alias("dst"), "d"), "dst").groupBy("src").agg(F.sum(m * (d - 1)).alias("two"))
+    per_node = degree.join(two, "src")
+    near = links if nodes is None else links.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    near = near.join(two.select(F.col("src").alias("dst"), F.col("two").alias("_t")), "dst").join(degree, "src")
+    three = near.groupBy("src").agg(F.sum(m * (F.col("_t") - m * (d - 1)) + m * (m - 1) * (d - 2)).alias("paths3"))
+    out = three.join(per_node, "src").select(F.col("src").alias("node"), d.alias("paths1"), F.col("two").alias("paths2"), "paths3")
+    return out.withColumn("paths", F.col("paths1") + F.col("paths2") + F.col("paths3"))
+
+
+def relation_analysis(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, related, paths, risk) for every seed (id): other nodes within three hops, paths to them, relation score.
+
+    A seed is related to itself if a path comes back to it: by a parallel edge, or round a triangle. Seeds without
+    edges have none. The frontiers of all seeds grow together and are deduplicated at each hop.
+    """
+    hops = _checkpoint(k_hop(edges, seeds, 3).filter("hops > 0"))
+    near = hops.filter("hops = 1").select("seed", "node")
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
+    twice = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("src").alias("seed"), F.col("dst").alias("node"))
+    links = undirected(edges)
+    beside = near.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
+    round_trip = near.join(twice, ["seed", "node"], "left_semi").select("seed").union(near.join(beside, ["seed", "node"], "left_semi").select("seed")).distinct()
+    related = hops.select("seed", "node").union(round_trip.select("seed", F.col("seed").alias("node"))).groupBy("seed").agg(F.count(F.lit(1)).alias("related"))
+    paths = path_counts(edges, seeds).select(F.col("node").alias("seed"), "paths")
+    out = seeds.select(F.col("id").alias("seed")).distinct().join(related, "seed", "left").join(paths, "seed", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("related", "paths")})
+    return out.withColumn("risk", F.least(F.lit(1.0), F.col("related") * 0.02 + F.col("paths") * 0.01))
+
+
 def lateral_paths(edges: DataFrame, start: DataFrame, depth: int = 4, types=("CONNECTED_TO", "AUTHENTICATED_AS", "EXECUTED")) -> DataFrame:
     """(path array, hops): simple directed paths from the start nodes over some edge types."""
     e = edges.filter(F.col("type").isin(*types)).select("src", "dst").distinct()
@@ -83,6 +125,38 @@ def relation_strength(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("strength", F.least(F.lit(1.0), s)).filter(F.col("strength") > 0.3)
 
 
+def geo_proximity(a: Column, b: Column) -> Column:
+    """Nearness of two places (structs of country, region, city): 1 same city, .8 region, .6 country, .1 none; 0 if unknown."""
+    same = lambda c: a[c] == b[c]
+    near = F.when(same("country") & same("region") & same("city"), 1.0).when(same("country") & same("region"), 0.8).when(same("country"), 0.6)
+    return F.when(a["country"].isNull() | b["country"].isNull(), 0.0).otherwise(F.coalesce(near, F.lit(0.1)))
+
+
+def behavior_similarity(a: Column, b: Column) -> Column:
+    """.2 for the same method, .3 for the same agent, .3 within a second or .1 within ten, .2 if one path holds the other."""
+    when = lambda c, v: F.when(c, v).otherwise(0.0)
+    gap = F.abs(F.unix_micros(a["ts"].cast("timestamp")) - F.unix_micros(b["ts"].cast("timestamp")))
+    near = F.when(gap < 1_000_000, 0.3).when(gap < 10_000_000, 0.1).otherwise(0.0)
+    holds = a["path"].contains(b["path"]) | b["path"].contains(a["path"])
+    return F.least(F.lit(1.0), when(a["method"] == b["method"], 0.2) + when(a["user_agent"] == b["user_agent"], 0.3) + near + when(holds, 0.2))
+
+
+def user_relations(pairs: DataFrame) -> DataFrame:
+    """(a, b, meetings, kind, strength): how the users of request pairs (structs a and b) are related, by their strongest pair.
+
+    A pair within a minute shares a session (time .6, behaviour .4); else behaviour over .7 (.7, place .3), else place
+    (.8, behaviour .2). Equal strengths take the first kind by name.
+    """
+    a, b = F.col("a"), F.col("b")
+    time = F.greatest(F.lit(0.0), 1 - F.col("gap_seconds") / 300)
+    like, place = behavior_similarity(a, b), geo_proximity(a, b)
+    kind = F.when(time > 0.8, "session_sharing").when(like > 0.7, "behavior_similarity").otherwise("geographic_proximity")
+    strength = F.when(time > 0.8, time * 0.6 + like * 0.4).when(like > 0.7, like * 0.7 + place * 0.3).otherwise(place * 0.8 + like * 0.2)
+    rows = pairs.select(a["user_id"].alias("a"), b["user_id"].alias("b"), kind.alias("kind"), strength.alias("strength"))
+    best = F.min(F.struct((-F.col("strength")).alias("o"), "kind", "strength"))
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("meetings"), best.alias("_m")).select("a", "b", "meetings", "_m.kind", "_m.strength")
+
+
 def geo_clusters(df: DataFrame) -> DataFrame:
     g = df.groupBy("country", "region", "city").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("ip").alias("ips"), F.avg("risk_score").alias("risk"))
     return g.withColumn("threat", F.when(F.col("risk") > 0.7, "high").when(F.col("risk") > 0.4, "medium").otherwise("low"))

@@ -211,7 +211,7 @@ def change_points(df, keys, order, value, size=5):
     before, after = w.rowsBetween(-size, -1), w.rowsBetween(0, size - 1)
     rows = df.withColumn("_full", (F.count(value).over(before) == size) & (F.count(value).over(after) == size))
     gap = F.abs(F.avg(value).over(after) - F.avg(value).over(before))
-    rows = rows.withColumn("magnitude", gap / (sd * 1.5))
+    rows = rows.withColumn("magnitude", F.try_divide(gap, sd * 1.5))
     return rows.filter(F.col("_full") & (F.col("magnitude") > 1)).drop("_full")
 
 
@@ -293,3 +293,57 @@ def ew_fold(df: DataFrame, keys, order, value: str, alpha: float) -> DataFrame:
     decay = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i"))
     weight = F.when(F.col("_i") == 1, decay).otherwise(alpha * decay)
     return rows.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def trend_segments(df, keys, order, value, seconds: Column, size=5):
+    """(keys, segment, n, seconds, slope, trend, change_points): a series cut where its level changes.
+
+    A segment begins at the first of consecutive change points (see ``change_points``). ``seconds`` is the time of a row.
+    The slope is per row; it is stable under a tenth of the segment's deviation, as is a segment of one row.
+    """
+    w = _ordered(keys, order)
+    every = Window.partitionBy(*keys)
+    before, after = w.rowsBetween(-size, -1), w.rowsBetween(0, size - 1)
+    full = (F.count(value).over(before) == size) & (F.count(value).over(after) == size)
+    gap = F.abs(F.avg(value).over(after) - F.avg(value).over(before))
+    rows = df.withColumn("_flag", F.coalesce(full & (F.try_divide(gap, F.stddev_pop(value).over(every) * 1.5) > 1), F.lit(False)))
+    rows = rows.withColumns({"_new": F.col("_flag") & ~F.coalesce(F.lag("_flag").over(w), F.lit(False)), "_i": F.row_number().over(w).cast("double"), "_at": seconds})
+    rows = rows.withColumn("segment", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    y = F.col(value).cast("double")
+    g = rows.groupBy(*keys, "segment").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("_at") - F.min("_at")).alias("seconds"), F.coalesce(F.regr_slope(y, F.col("_i")), F.lit(0.0)).alias("slope"),
+        F.stddev_pop(value).alias("_d"), F.count_if("_flag").alias("change_points"),
+    )
+    still = (F.col("n") < 2) | (F.col("_d") == 0)
+    return g.withColumn("trend", F.when(still, "stable").otherwise(direction(F.col("slope"), F.col("_d")))).drop("_d")
+
+
+# The name of the pattern of each direction.
+TREND_PATTERNS = {"increasing": "increasing_trend", "decreasing": "decreasing_trend", "stable": "stable_pattern"}
+
+
+def trend_patterns(df, keys, order, value, ts, seconds: Column, size=5):
+    """Per key: the dominant pattern with its share, segments, change points, and stability (1 less a tenth of the change points).
+
+    The direction that holds for most of the time dominates (ties by name; a series without duration goes by rows),
+    unless the hours of the day explain a larger share (see ``seasonality``).
+    """
+    parts = trend_segments(df, keys, order, value, seconds, size)
+    names = F.create_map(*[F.lit(x) for kv in TREND_PATTERNS.items() for x in kv])
+    g = parts.groupBy(*keys, names[F.col("trend")].alias("pattern")).agg(
+        F.sum("seconds").alias("_s"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"), F.sum("change_points").alias("_c")
+    )
+    all_of = Window.partitionBy(*keys)
+    s, n = F.sum("_s").over(all_of), F.sum("_n").over(all_of)
+    g = g.withColumn("share", F.when(s > 0, F.try_divide(F.col("_s"), s)).otherwise(F.col("_n") / n))
+    best = g.groupBy(*keys).agg(
+        F.min(F.struct((-F.round("share", 9)).alias("o"), "pattern", "share")).alias("_b"), F.sum("_k").alias("segments"), F.sum("_c").alias("change_points")
+    )
+    season = seasonality(df, keys, ts, value).select(*keys, F.when(F.col("detected"), F.col("strength")).alias("_season"))
+    out = best.join(season, keys, "left")
+    by_hour = F.coalesce(F.col("_season") > F.col("_b.share"), F.lit(False))
+    return out.select(
+        *keys, F.when(by_hour, "seasonal_pattern").otherwise(F.col("_b.pattern")).alias("pattern"),
+        F.when(by_hour, F.col("_season")).otherwise(F.col("_b.share")).alias("share"), "segments", "change_points",
+        F.greatest(F.lit(0.0), 1 - F.col("change_points") / 10).alias("stability"),
+    )

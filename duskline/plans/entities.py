@@ -333,10 +333,33 @@ def _(t):
     return E.devices_by_pattern(t.requests, "Mozilla")
 
 
-@query("r02_user_relation", "SELECT a.user_id AS a, b.user_id AS b, count(*) AS meetings FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000 GROUP BY 1, 2", "requests")
+SIMILAR = "CASE WHEN a.method = b.method THEN 0.2 ELSE 0 END + CASE WHEN a.user_agent = b.user_agent THEN 0.3 ELSE 0 END + CASE WHEN gap < 1000000 THEN 0.3 WHEN gap < 10000000 THEN 0.1 ELSE 0 END + CASE WHEN contains(a.path, b.path) OR contains(b.path, a.path) THEN 0.2 ELSE 0 END"
+PLACE = "CASE WHEN a.country = b.country AND a.region = b.region AND a.city = b.city THEN 1.0 WHEN a.country = b.country AND a.region = b.region THEN 0.8 WHEN a.country = b.country THEN 0.6 ELSE 0.1 END"
+
+
+@query(
+    "r02_user_relation",
+    f"WITH q AS (SELECT a, b, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS gap FROM requests a JOIN requests b ON a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000), "
+    f"w AS (SELECT a.user_id AS a, b.user_id AS b, 1 - gap / 300e6 AS tc, ({SIMILAR})::double AS bs, ({PLACE})::double AS gp FROM q), "
+    "x AS (SELECT a, b, CASE WHEN tc > 0.8 THEN 'session_sharing' WHEN bs > 0.7 THEN 'behavior_similarity' ELSE 'geographic_proximity' END AS kind, CASE WHEN tc > 0.8 THEN tc * 0.6 + bs * 0.4 WHEN bs > 0.7 THEN bs * 0.7 + gp * 0.3 ELSE gp * 0.8 + bs * 0.2 END AS st FROM w) "
+    "SELECT a, b, count(*) AS meetings, arg_max(kind, st) AS kind, round(max(st), 4) AS strength FROM x GROUP BY 1, 2",
+    "requests",
+)
 def _(t):
-    p = E.pair_within(t.requests.select("user_id", "ts", "country"), "user_id", "ts", 60, "country")
-    return p.groupBy(F.col("a.user_id").alias("a"), F.col("b.user_id").alias("b")).agg(N().alias("meetings"))
+    r = t.requests.select("user_id", "ts", "method", "user_agent", "path", "country", "region", "city")
+    return G.user_relations(E.pair_within(r, "user_id", "ts", 300)).withColumn("strength", rnd("strength", 4))
+
+
+@query("r07_path_counts", "WITH e AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), l AS (SELECT a, b, count(*) AS m FROM e GROUP BY 1, 2), d AS (SELECT a, sum(m) AS d FROM l GROUP BY 1), two AS (SELECT x.a AS s, y.b AS w, sum(x.m * CASE WHEN y.b = x.a THEN y.m - 1 ELSE y.m END) AS n, sum(CASE WHEN y.b = x.a THEN x.m * (x.m - 1) ELSE 0 END) AS back FROM l x JOIN l y ON y.a = x.b GROUP BY 1, 2) SELECT s AS node, max(ds.d)::bigint AS paths1, sum(n)::bigint AS paths2, sum(CASE WHEN w = s THEN back * (dw.d - 2) ELSE n * (dw.d - 1) END)::bigint AS paths3 FROM two JOIN d dw ON dw.a = w JOIN d ds ON ds.a = s GROUP BY s", "edges")
+def _(t):
+    """All nodes at once; the oracle multiplies out the two-step pairs that the operator never makes."""
+    return G.path_counts(t.edges).drop("paths")
+
+
+@query("r07_relation_analysis", "WITH e AS (SELECT row_number() OVER () AS id, src, dst FROM edges), h AS (SELECT id, src AS a, dst AS b FROM e UNION ALL SELECT id, dst, src FROM e), s AS (SELECT unnest(['c1', 'c4', 's9', 'none']) AS seed), p1 AS (SELECT seed, id AS e1, b FROM s JOIN h ON h.a = seed), p2 AS (SELECT seed, e1, h.id AS e2, h.b FROM p1 JOIN h ON h.a = p1.b AND h.id <> e1), p3 AS (SELECT seed, h.b FROM p2 JOIN h ON h.a = p2.b AND h.id NOT IN (e1, e2)), u AS (SELECT seed, b FROM p1 UNION ALL SELECT seed, b FROM p2 UNION ALL SELECT seed, b FROM p3) SELECT seed, count(DISTINCT b) AS related, count(b) AS paths, least(1, count(DISTINCT b) * 0.02 + count(b) * 0.01)::double AS risk FROM s LEFT JOIN u USING (seed) GROUP BY 1", "edges")
+def _(t):
+    seeds = t.spark.createDataFrame([("c1",), ("c4",), ("s9",), ("none",)], "id string")
+    return G.relation_analysis(t.edges, seeds)
 
 
 CA = f"{RP}, ru AS (SELECT DISTINCT src, dst FROM (SELECT a_ip AS src, b_ip AS dst FROM rs UNION ALL SELECT b_ip, a_ip FROM rs)), rr AS (SELECT src, dst FROM ru UNION SELECT a.src, b.dst FROM ru a JOIN ru b ON a.dst = b.src WHERE a.src <> b.dst), rn AS (SELECT src, count(*) AS related FROM rr GROUP BY 1 HAVING count(*) >= 3), ra AS (SELECT src, count(*) AS requests, count(DISTINCT path) AS paths FROM rr JOIN requests q ON q.ip = rr.dst GROUP BY 1), ca AS (SELECT src AS ip, related, requests, paths, concat_ws(',', CASE WHEN related > 5 THEN 'ddos' END, CASE WHEN requests > 100 THEN 'brute_force' END, CASE WHEN paths > 20 THEN 'port_scanning' END) AS patterns, CASE WHEN related > 5 THEN 'critical' WHEN requests > 100 THEN 'high' ELSE 'medium' END AS severity, least(1, least(related / 10, 0.4) + 0.2 * ((related > 5)::int + (requests > 100)::int + (paths > 20)::int)) AS confidence FROM rn JOIN ra USING (src) WHERE related > 5 OR requests > 100 OR paths > 20)"
@@ -606,12 +629,9 @@ def _(t):
     return H.hunt_dns(p, "url", "src", ["track", "ads"]).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("h06_hunt", f"SELECT 'exfiltration' AS hunt, source FROM ({ABOVE.format(m='sum(bytes)', p=0.95)}) a UNION ALL SELECT 'fanout', source FROM ({ABOVE.format(m='count(DISTINCT destination)', p=0.9)}) b UNION ALL SELECT 'scan', source FROM (SELECT source FROM connections GROUP BY 1 HAVING count(DISTINCT port) > 100)", "connections")
+@query("h06_hunt", f"WITH f AS (SELECT 'exfiltration' AS hunt, source, value::double AS value FROM ({ABOVE.format(m='sum(bytes)', p=0.95)}) a UNION ALL SELECT 'fanout', source, value FROM ({ABOVE.format(m='count(DISTINCT destination)', p=0.9)}) b UNION ALL SELECT 'scan', source, ports FROM (SELECT source, count(DISTINCT port) AS ports FROM connections GROUP BY 1 HAVING count(DISTINCT port) > 100)) SELECT hunt, source, round(value, 2) AS value, CASE WHEN source IS NULL THEN 'low' ELSE 'high' END AS severity FROM (SELECT unnest(['exfiltration', 'fanout', 'scan']) AS hunt) LEFT JOIN f USING (hunt)", "connections")
 def _(t):
-    c = t.connections
-    a = H.hunt_above(c, "source", F.sum("bytes"), 0.95).select(F.lit("exfiltration").alias("hunt"), "source")
-    b = H.hunt_above(c, "source", F.count_distinct("destination"), 0.9).select(F.lit("fanout").alias("hunt"), "source")
-    return a.unionByName(b).unionByName(H.port_scans(c, "source", "port").select(F.lit("scan").alias("hunt"), "source"))
+    return H.hunt_all(t.connections).withColumn("value", rnd("value", 2))
 
 
 @query("h07_forensic_report", f"WITH u AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT concat('s', source::varchar) AS src, concat('d', destination::varchar) AS dst FROM connections UNION ALL SELECT concat('d', destination::varchar), concat('s', source::varchar) FROM connections)), {spread_labels()}, d AS (SELECT src, count(*) AS d FROM u GROUP BY src), tm AS (SELECT 'hour' AS unit, hour(ts) AS slot, count(*) AS n FROM connections GROUP BY 2 UNION ALL SELECT 'weekday', isodow(ts) - 1, count(*) FROM connections GROUP BY 2 UNION ALL SELECT 'day', day(ts), count(*) FROM connections GROUP BY 2), pr AS (SELECT protocol, count(*) AS n, sum(bytes) AS b FROM connections GROUP BY 1), hv AS (SELECT n, abs(n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0) AS z FROM tm WHERE unit = 'hour'), al AS ("
@@ -637,9 +657,21 @@ def _(t):
     return cases(t).select("case_id", "request_id")
 
 
-@query("h09_kill_chain_timeline", f"WITH {CASES} SELECT case_id, 'execution' AS stage, count(*) AS n FROM c WHERE contains(lower(body), 'powershell') GROUP BY 1", "requests", "assets")
+KC = "k AS (SELECT case_id, ts, unnest([CASE WHEN contains(lower(event_type), 'login') OR contains(lower(event_type), 'auth') THEN 'initial_access' END, CASE WHEN contains(lower(event_type), 'exec') OR contains(lower(body), 'powershell') OR contains(lower(body), 'cmd') THEN 'execution' END, CASE WHEN contains(lower(body), 'registry') OR contains(lower(body), 'startup') OR contains(lower(body), 'scheduled task') THEN 'persistence' END, CASE WHEN contains(lower(body), 'remote') OR contains(lower(body), 'psexec') OR contains(lower(body), 'lateral') THEN 'lateral_movement' END, CASE WHEN contains(lower(event_type), 'exfil') OR contains(lower(event_type), 'large_upload') OR contains(lower(body), 'transfer') THEN 'exfiltration' END]) AS stage FROM x), kc AS (SELECT case_id, stage, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM k WHERE stage IS NOT NULL GROUP BY 1, 2)"
+STAGED = "x AS (SELECT * REPLACE (CASE event_type WHEN 'signup' THEN 'login_failed' WHEN 'purchase' THEN 'large_upload' ELSE event_type END AS event_type, CASE request_id % 10 WHEN 5 THEN 'psexec remote' WHEN 6 THEN 'registry startup' ELSE body END AS body) FROM c)"
+
+
+def staged(t):
+    """The cases with events and bodies that show every stage."""
+    k = F.when(F.col("event_type") == "signup", "login_failed").when(F.col("event_type") == "purchase", "large_upload").otherwise(F.col("event_type"))
+    b = F.when(F.col("request_id") % 10 == 5, "psexec remote").when(F.col("request_id") % 10 == 6, "registry startup").otherwise(F.col("body"))
+    return cases(t).withColumns({"event_type": k, "body": b})
+
+
+@query("h09_kill_chain_timeline", f"WITH {CASES}, {STAGED}, {KC} SELECT case_id, stage, n, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen FROM kc", "requests", "assets")
 def _(t):
-    return H.kill_chain(cases(t), "event_type", "body").groupBy("case_id", "stage").agg(N().alias("n"))
+    k = H.kill_chain_timeline(staged(t), "case_id", "ts", "event_type", "body")
+    return k.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_seen", "last_seen")})
 
 
 INC = f"{CASES}, g AS (SELECT case_id, count(*) AS events, count(DISTINCT host) AS hosts, max(crit) AS cr FROM c GROUP BY 1), s AS (SELECT *, least(1, 0.2 + least(0.2, events * 0.03) + least(0.3, hosts * 0.05) + least(0.3, cr / 10)) AS sc FROM g)"
@@ -650,12 +682,24 @@ def _(t):
     return H.incident_score(cases(t), "case_id", "host", "criticality", "event_type", "body").select("case_id", "events", "hosts", rnd("score", 4).alias("score"), "severity")
 
 
-@query("h11_incident_report", f"WITH {INC} SELECT case_id, round(sc, 4) AS score, (SELECT string_agg(DISTINCT host, ',' ORDER BY host) FROM c WHERE c.case_id = s.case_id) AS systems FROM s", "requests", "assets")
-def _(t):
-    c = cases(t)
-    systems = c.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("host")), ",").alias("systems"))
-    s = H.incident_score(c, "case_id", "host", "criticality", "event_type", "body").select("case_id", rnd("score", 4).alias("score"))
-    return s.join(systems, "case_id")
+@query(
+    "h11_incident_report",
+    f"WITH {CASES}, {STAGED}, {KC}, g AS (SELECT case_id, count(*) AS events, count(DISTINCT host) AS hosts, max(crit) AS cr, max((contains(lower(event_type), 'exfil') OR contains(lower(event_type), 'large_upload') OR contains(lower(body), 'transfer'))::int) AS ex, max((contains(lower(body), 'remote') OR contains(lower(body), 'psexec') OR contains(lower(body), 'lateral'))::int) AS la, "
+    "string_agg(DISTINCT host, ',' ORDER BY host) AS systems, concat_ws(',', CASE WHEN bool_or(contains(lower(body), 'powershell')) THEN 'T1059.001' END, CASE WHEN bool_or(contains(lower(body), 'psexec')) THEN 'T1569.002' END) AS techniques FROM x GROUP BY 1), "
+    "s AS (SELECT *, least(1, 0.2 + least(0.2, events * 0.03) + least(0.3, hosts * 0.05) + least(0.3, cr / 10) + 0.2 * ex + 0.15 * la) AS sc FROM g), "
+    "o AS (SELECT case_id, string_agg(concat(stage, ':', n), ',' ORDER BY list_position(['initial_access', 'execution', 'persistence', 'lateral_movement', 'exfiltration'], stage)) AS stages FROM kc GROUP BY 1), "
+    "r AS (SELECT case_id, ts, request_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, request_id) AS a, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, request_id DESC) AS b FROM x), tl AS (SELECT case_id, string_agg(request_id::varchar, ',' ORDER BY ts, request_id) AS timeline FROM r WHERE a <= 3 OR b <= 3 GROUP BY 1) "
+    "SELECT case_id, round(sc, 4) AS score, CASE WHEN sc >= 0.8 THEN 'critical' WHEN sc >= 0.65 THEN 'high' WHEN sc >= 0.45 THEN 'medium' ELSE 'low' END AS severity, systems, techniques, stages, timeline FROM s LEFT JOIN o USING (case_id) JOIN tl USING (case_id)",
+    "requests", "assets",
+)
+def _(t):
+    r = H.incident_report(staged(t), "case_id", "ts", "request_id", "host", "criticality", "event_type", "body", 3)
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return r.select(
+        "case_id", rnd("score", 4).alias("score"), "severity", F.array_join("systems", ",").alias("systems"), F.array_join("techniques", ",").alias("techniques"),
+        text("stages", lambda s: F.concat(s["stage"], F.lit(":"), s["n"].cast("string"))).alias("stages"),
+        text("timeline", lambda e: e["id"].cast("string")).alias("timeline"),
+    )
 
 
 @query("h12_flow_anomalies", "WITH g AS (SELECT 'fan_out' AS kind, source AS entity, count(DISTINCT destination)::double AS v FROM connections GROUP BY 2 UNION ALL SELECT 'fan_in', destination, count(DISTINCT source) FROM connections GROUP BY 2 UNION ALL SELECT 'volume', source, sum(bytes) FROM connections GROUP BY 2), z AS (SELECT *, abs(v - avg(v) OVER (PARTITION BY kind)) / (stddev_pop(v) OVER (PARTITION BY kind) + 0.001) AS z FROM g) SELECT kind, entity, round(v, 2) AS value, round(z, 4) AS z FROM z WHERE z > 1.5", "connections")

@@ -62,9 +62,9 @@ def _(t):
     return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"), rnd("gap_seconds", 3).alias("gap"))
 
 
-@query("j07_pair_users", "SELECT a.request_id AS a_id, b.request_id AS b_id FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000", "requests")
+@query("j07_pair_users", "SELECT a.request_id AS a_id, b.request_id AS b_id FROM requests a JOIN requests b ON a.country = b.country AND a.user_id < b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000", "requests")
 def _(t):
-    p = E.pair_within(t.requests.select("request_id", "user_id", "ts", "country"), "user_id", "ts", 60, "country")
+    p = E.pair_within(t.requests.select("request_id", "user_id", "ts", "country"), "user_id", "ts", 300, "country")
     return p.select(F.col("a.request_id").alias("a_id"), F.col("b.request_id").alias("b_id"))
 
 

@@ -200,11 +200,19 @@ def _(t):
     return g.agg((share(F.col("long_slope") > 0) > 0.7).alias("mostly_rising"), (share(F.col("std") > 50) > 0.5).alias("mostly_volatile"), F.count(F.lit(1)).alias("series"))
 
 
-@query("w28_trend_patterns", f"WITH {CP}, c AS (SELECT user_id, count_if(i > 5 AND i <= n - 4 AND m > 1) AS k FROM q GROUP BY user_id) SELECT user_id, k AS change_points, round(greatest(0, 1 - k / 10), 5) AS stability FROM c")
+@query(
+    "w28_trend_patterns",
+    f"WITH {CP}, f AS (SELECT *, i > 5 AND i <= n - 4 AND m > 1 AS flag FROM q), g AS (SELECT *, (flag AND NOT coalesce(lag(flag) OVER (PARTITION BY user_id ORDER BY i), false))::int AS nw FROM f), "
+    "h AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY i) AS seg FROM g), s AS (SELECT user_id, seg, count(*) AS k, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS sec, coalesce(regr_slope(x, i), 0) AS sl, stddev_pop(x) AS sd, count_if(flag) AS c FROM h GROUP BY 1, 2), "
+    "t AS (SELECT *, CASE WHEN k < 2 OR sd = 0 OR abs(sl) < sd * 0.1 THEN 'stable_pattern' WHEN sl > 0 THEN 'increasing_trend' ELSE 'decreasing_trend' END AS pattern FROM s), "
+    "p AS (SELECT user_id, pattern, sum(sec) AS sec, sum(k) AS k, count(*) AS segs, sum(c) AS c FROM t GROUP BY 1, 2), w AS (SELECT *, CASE WHEN sum(sec) OVER u > 0 THEN sec / sum(sec) OVER u ELSE k / sum(k) OVER u END AS share FROM p WINDOW u AS (PARTITION BY user_id)), "
+    "bb AS (SELECT user_id, arg_min(pattern, struct_pack(o := -round(share, 9), p := pattern)) AS pattern, arg_min(share, struct_pack(o := -round(share, 9), p := pattern)) AS share, sum(segs)::bigint AS segments, sum(c)::bigint AS change_points FROM w GROUP BY 1), "
+    "hr AS (SELECT user_id, hour(ts) AS h, avg(x) AS a FROM b0 GROUP BY 1, 2), sn AS (SELECT user_id, CASE WHEN any_value(n) < 60 THEN 0 ELSE least(1, (sum(a * a) / 24 - pow(sum(a) / 24, 2)) / (any_value(v) + 0.001)) END AS st FROM hr JOIN (SELECT user_id, count(*) AS n, var_pop(x) AS v FROM b0 GROUP BY 1) USING (user_id) GROUP BY 1) "
+    "SELECT user_id, CASE WHEN st > 0.3 AND st > share THEN 'seasonal_pattern' ELSE pattern END AS pattern, round(CASE WHEN st > 0.3 AND st > share THEN st ELSE share END, 4) AS share, segments, change_points, round(greatest(0, 1 - change_points / 10), 4)::double AS stability FROM bb JOIN sn USING (user_id)".replace("b0", "(SELECT user_id, ts, value AS x FROM events)"),
+)
 def _(t):
-    cp = W.change_points(ev(t), K, O, V).groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
-    users = t.events.select("user_id").distinct().join(cp, "user_id", "left").withColumn("change_points", F.coalesce("k", F.lit(0)))
-    return users.select("user_id", "change_points", rnd(F.greatest(F.lit(0.0), 1 - F.col("change_points") / 10)).alias("stability"))
+    p = W.trend_patterns(ev(t), K, O, V, "ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return p.withColumn("share", rnd("share", 4)).withColumn("stability", rnd("stability", 4))
 
 
 @query("w29_validate_series", fold(0.3) + ", d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY i)) AS st FROM r), l AS (SELECT *, list(st) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS near FROM d), a AS (SELECT user_id, i, CASE WHEN i < 10 THEN 0.5 ELSE len(list_filter(near, lambda q: q <= sqrt(v))) / 9 END AS acc FROM l) SELECT user_id, max(i) >= 10 AS enough, round(arg_max(acc, i), 5) AS accuracy, max(i) >= 10 AND arg_max(acc, i) >= 0.7 AS valid FROM a GROUP BY user_id")

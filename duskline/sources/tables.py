@@ -186,9 +186,9 @@ def write_event_stream(df: DataFrame, key: str, fmt: str, path: str, checkpoint:
 
 
 def write_points(stream: DataFrame, path: str, checkpoint: str):
-    """Batches of points to Parquet partitioned by day."""
+    """Batches of points to Parquet partitioned by batch and day; a batch that is tried again replaces itself."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
