@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskline.operators.rules import TextRule, match_rules
+
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -39,6 +41,10 @@ class RuleSet:
         rows = [(k, p, s) for k, (p, s, on) in self.rules.items() if on]
         return spark.createDataFrame(rows, "rule_id string, pattern string, severity string")
 
+    def match(self, df: DataFrame, text: str) -> DataFrame:
+        """The other columns with (rule_id, position, matched): the first match of every enabled rule in a row's text."""
+        return match_rules(df, text, [TextRule(k, p) for k, (p, _, on) in self.rules.items() if on])
+
 
 def match_table(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """(key, type, value): all matches of named patterns."""

@@ -15,6 +15,8 @@ from duskline.functions.scalars import (
     shannon_entropy,
 )
 
+from .rules import TextRule, match_rules
+
 # Patterns, weights and bands that results depend on.
 HEURISTICS = [
     ("sql_injection", r"(?i)(\bunion\b.*\bselect\b|\bor\s+1=1\b|--|/\*|\bdrop\b|\binsert\b|\bdelete\b)", 0.35),
@@ -52,6 +54,7 @@ BANDS_RS = [(0.9, "critical"), (0.7, "high"), (0.5, "medium"), (0.3, "low")]
 BANDS_HEURISTIC = [(0.85, "critical"), (0.65, "high"), (0.4, "medium")]
 ACTIONS = {"critical": "quarantine", "high": "block", "medium": "challenge", "low": "monitor", "minimal": "allow"}
 TIERS = [("monitor", 0.0, 0.3, 60), ("warn", 0.3, 0.5, 120), ("restrict", 0.5, 0.7, 300), ("block", 0.7, 0.85, 600), ("isolate", 0.85, 1.0, 900)]
+# The pattern families of a source scan with their severities, and what to do about each.
 SOURCE_PATTERNS = [
     ("reentrancy", r"\.call\s*\(|\.send\s*\(|\.transfer\s*\(|external\s+.*\s+payable", "critical"),
     ("integer_overflow", r"\+\s*=|-\s*=|\*\s*=|unchecked\s*\{", "high"),
@@ -62,6 +65,24 @@ SOURCE_PATTERNS = [
     ("suicide_function", r"selfdestruct\s*\(|suicide\s*\(", "critical"),
     ("random_generation", r"blockhash\s*\(|block\.difficulty|keccak256\s*\(\s*abi\.encodePacked\s*\(\s*block\.", "high"),
 ]
+RECOMMENDATIONS = {
+    "reentrancy": "Use checks-effects-interactions pattern and reentrancy guards",
+    "integer_overflow": "Use SafeMath library or Solidity 0.8+ built-in overflow checks",
+    "timestamp_dependence": "Avoid using block.timestamp for critical logic",
+    "tx_origin": "Use msg.sender instead of tx.origin for authorization",
+    "unchecked_call": "Check return values of external calls",
+    "access_control": "Implement proper access control mechanisms",
+    "suicide_function": "Carefully review selfdestruct usage and access controls",
+    "random_generation": "Use secure randomness sources like Chainlink VRF",
+}
+# What costs gas, and what to do about it.
+GAS_PATTERNS = [
+    ("array_length", r"(?i)for\s*\([^)]*;\s*\w+\s*<\s*\w+\.length", "Cache array length in for loops"),
+    ("storage_array", r"(?i)storage\s+\w+\[\]\s+memory", "Use memory instead of storage for temporary arrays"),
+    ("string_memory", r"(?i)string\s+memory", "Consider using bytes32 for short strings"),
+    ("long_message", r'(?i)require\s*\([^,)]*,\s*"[^"]{50,}"', "Long error messages consume gas"),
+    ("array_push", r"(?i)\.push\s*\([^)]*\)", "Array push operations can be expensive"),
+]
 
 
 def sigma_match(events: DataFrame, rules: DataFrame, text: str = "blob") -> DataFrame:
@@ -97,28 +118,29 @@ def payload_heuristics(df: DataFrame, sample: Column) -> DataFrame:
 
 def signature_match(df: DataFrame, text: str, key: str, signatures=SIGNATURES) -> DataFrame:
     """Rows (key, signature, category, severity, confidence, position, matched) of requests that match."""
-    spark = df.sparkSession
-    s = spark.createDataFrame(signatures, "signature string, pattern string, category string, severity string, fpr double")
-    hit = df.select(key, text).join(s, F.expr(f"{text} RLIKE pattern"))
-    found = F.regexp_substr(F.col(text), F.col("pattern"))
-    return hit.select(
-        key, "signature", "category", "severity", (1 - F.col("fpr")).alias("confidence"),
-        F.instr(F.col(text), found).alias("position"), found.alias("matched"),
-    )
+    about = {n: F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(1 - float(f)).alias("confidence")) for n, _, c, s, f in signatures}
+    hit = match_rules(df.select(key, text), text, [TextRule(n, p) for n, p, *_ in signatures])
+    return _described(hit.withColumnRenamed("rule_id", "signature"), "signature", about).select(
+        key, "signature", "category", "severity", "confidence", "position", "matched"
+    )
 
 
-def pattern_match(df: DataFrame, text: str, key: str, patterns, least_confidence: float = 0.0) -> DataFrame:
-    """One row per match of a pattern catalogue (id, pattern, category, severity, confidence).
+def _described(hits: DataFrame, rule: str, about: dict[str, Column]) -> DataFrame:
+    """The fields of each rule's struct, by a map of the rules (which people write) in the plan."""
+    if not about:
+        return hits
+    table = F.create_map(*[x for k, v in about.items() for x in (F.lit(k), v)])
+    return hits.withColumn("_about", table[F.col(rule)]).select("*", "_about.*").drop("_about")
 
-    Equal texts are matched once and joined back.
-    """
-    spark = df.sparkSession
-    p = spark.createDataFrame(patterns, "pattern_id string, pattern string, category string, severity string, confidence double")
-    p = p.filter(F.col("confidence") >= least_confidence)
-    distinct = df.select(text).distinct()
-    hits = distinct.join(p, F.expr(f"{text} RLIKE pattern"))
-    hits = hits.withColumn("matched", F.explode(F.expr(f"regexp_extract_all({text}, pattern, 0)")))
-    return df.select(key, text).join(hits, text).select(key, "pattern_id", "category", "severity", "confidence", "matched")
+
+def pattern_match(df: DataFrame, text: str, key: str, patterns, least_confidence: float = 0.0) -> DataFrame:
+    """One row per match of a pattern catalogue (id, pattern, category, severity, confidence)."""
+    good = [p for p in patterns if p[4] >= least_confidence]
+    about = {n: F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(float(f)).alias("confidence")) for n, _, c, s, f in good}
+    hit = match_rules(df.select(key, text), text, [TextRule(n, p) for n, p, *_ in good], every=True)
+    return _described(hit.withColumnRenamed("rule_id", "pattern_id"), "pattern_id", about).select(
+        key, "pattern_id", *[F.col(c) for c in (("category", "severity", "confidence") if about else ())], "matched"
+    )
 
 
 def validation_score(col: Column) -> Column:
@@ -164,11 +186,11 @@ def deception_level(agent: str, ip: str, method: str, body: str) -> Column:
 
 
 def scan_sources(df: DataFrame, key: str, source: str) -> DataFrame:
-    """Findings per line of source text: (key, line, family, severity)."""
-    spark = df.sparkSession
-    p = spark.createDataFrame(SOURCE_PATTERNS, "family string, pattern string, severity string")
-    lines = df.select(key, F.posexplode(F.split(source, "\n")).alias("line", "code"))
-    return lines.join(p, F.expr("code RLIKE pattern")).select(key, (F.col("line") + 1).alias("line"), "family", "severity")
+    """Findings per line of source text: (key, line, family, severity, recommendation)."""
+    lines = df.select(key, F.posexplode(F.split(source, "\n")).alias("line", "code")).withColumn("line", F.col("line") + 1)
+    about = {n: F.struct(F.lit(s).alias("severity"), F.lit(RECOMMENDATIONS[n]).alias("recommendation")) for n, _, s in SOURCE_PATTERNS}
+    hit = match_rules(lines, "code", [TextRule(n, p) for n, p, _ in SOURCE_PATTERNS])
+    return _described(hit.withColumnRenamed("rule_id", "family"), "family", about).select(key, "line", "family", "severity", "recommendation")
 
 
 def scan_source_rules(df: DataFrame, key: str, source: str) -> DataFrame:
@@ -196,6 +218,51 @@ def source_score(findings: DataFrame, key: str) -> DataFrame:
     return findings.groupBy(key).agg(F.greatest(F.lit(0), 100 - F.sum(w)).alias("score"))
 
 
+def gas_findings(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, line, pattern, matched, recommendation): every place of a source that costs gas."""
+    about = {n: F.struct(F.lit(r).alias("recommendation")) for n, _, r in GAS_PATTERNS}
+    hit = match_rules(df.select(key, F.col(source).alias("_source"), F.col(source).alias("_again")), "_source", [TextRule(n, p) for n, p, _ in GAS_PATTERNS], every=True)
+    line = F.size(F.split(F.substring(F.col("_again"), F.lit(1), F.col("position") - 1), "\n"))
+    return _described(hit.withColumn("line", line).withColumnRenamed("rule_id", "pattern"), "pattern", about).select(key, "line", "pattern", "matched", "recommendation")
+
+
+def source_quality(df: DataFrame, key: str, source: str) -> DataFrame:
+    """A row per source: lines, comment and empty lines, functions, complexity, documentation, names and their violations.
+
+    Complexity is 1 and the branches (if, else, for, while, case, catch, && and ||), over the functions (1 at least).
+    Documentation is the share of functions after a /** comment, in percent. Functions are to be in camel case,
+    contracts in Pascal case. A null source is one empty line.
+    """
+    code = F.coalesce(F.col(source), F.lit(""))
+    lines = F.split(code, "\n", -1)
+    n = lambda pattern: F.regexp_count(code, F.lit(pattern))
+    functions = F.regexp_extract_all(code, F.lit(r"function\s+(\w+)"), F.lit(1))
+    contracts = F.regexp_extract_all(code, F.lit(r"contract\s+(\w+)"), F.lit(1))
+    camel, pascal = (lambda x: x.rlike(r"^[a-z][a-zA-Z0-9]*$")), (lambda x: x.rlike(r"^[A-Z][a-zA-Z0-9]*$"))
+    count = lambda xs, test: F.size(F.filter(xs, test))
+    wrong = F.concat(
+        F.transform(F.filter(functions, lambda x: ~camel(x)), lambda x: F.concat(F.lit("Function '"), x, F.lit("' doesn't follow camelCase"))),
+        F.transform(F.filter(contracts, lambda x: ~pascal(x)), lambda x: F.concat(F.lit("Contract '"), x, F.lit("' doesn't follow PascalCase"))),
+    )
+    total, comments = F.size(lines), count(lines, lambda x: F.trim(x).startswith("//"))
+    branches = n(r"(?i)\b(if|else|for|while|case|catch)\b|&&|\|\|")
+    k = F.size(functions)
+    return df.select(
+        key, total.alias("total_lines"), comments.alias("comment_lines"), count(lines, lambda x: F.trim(x) == "").alias("empty_lines"),
+        k.alias("functions"), ((branches + 1) / F.greatest(k, F.lit(1))).alias("complexity"),
+        F.when(k > 0, n(r"/\*\*[\s\S]*?\*/\s*function") / k * 100).otherwise(0.0).alias("documentation"),
+        count(functions, camel).alias("camel_case_functions"), count(contracts, pascal).alias("pascal_case_contracts"), wrong.alias("violations"),
+        (comments / total * 100).alias("comment_ratio"),
+    )
+
+
+def corpus_score(findings: DataFrame, quality: DataFrame, key: str) -> DataFrame:
+    """(key, score) of every source: ``source_score`` (100 without findings), less 5 for few comments, less 10 for complexity."""
+    out = quality.join(source_score(findings, key).withColumnRenamed("score", "_s"), key, "left")
+    less = F.when(F.col("comment_ratio") < 10, 5).otherwise(0) + F.when(F.col("complexity") > 10, 10).otherwise(0)
+    return out.select(key, F.greatest(F.lit(0), F.coalesce("_s", F.lit(100)) - less).cast("long").alias("score"))
+
+
 def gas_price_outliers(df: DataFrame, key: str, price: str) -> DataFrame:
     """Keys where over 10 % of the rows lie above twice the mean price."""
     mean = df.groupBy(key).agg(F.avg(price).alias("_m"))
@@ -331,10 +398,13 @@ def payload_scan(col: Column) -> Column:
 
 
 def literal_match(df: DataFrame, literals: DataFrame, key: str, columns=("path", "user_agent", "body")) -> DataFrame:
-    """(key, lit, position): the literals that occur in the joined columns, and where first."""
+    """(key, lit, position): the literals that occur in the joined columns, and where first.
+
+    The literals are signatures that people write; they are read to the driver and go to the tasks in blocks.
+    """
     text = df.select(key, F.concat_ws(" ", *columns).alias("_text"))
-    hit = text.join(literals, F.col("_text").contains(F.col("lit")))
-    return hit.select(key, "lit", F.expr("instr(_text, lit)").alias("position"))
+    rules = (TextRule(r.lit, r.lit, literal=True) for r in literals.select("lit").distinct().toLocalIterator() if r.lit)
+    return match_rules(text, "_text", rules).select(key, F.col("rule_id").alias("lit"), "position")
 
 
 def validate_requests(path: Column, headers: Column, body: Column) -> Column:

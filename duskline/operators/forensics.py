@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _checkpoint
+from .quantiles import exact_quantiles
+
 
 def port_scans(df: DataFrame, source: str, port: str, least: int = 100) -> DataFrame:
     return df.groupBy(source).agg(F.count_distinct(port).alias("ports")).filter(F.col("ports") > least)
@@ -12,15 +15,17 @@ def port_scans(df: DataFrame, source: str, port: str, least: int = 100) -> DataF
 
 def rare_groups(df: DataFrame, by: str, pct: float = 0.05) -> DataFrame:
     """Groups whose row count lies below the percentile of all groups' counts."""
-    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    return g.crossJoin(F.broadcast(g.agg(F.percentile("n", pct).alias("_p")))).filter(F.col("n") < F.col("_p")).drop("_p")
+    g = _checkpoint(df.groupBy(by).agg(F.count(F.lit(1)).alias("n")))
+    (limit,) = exact_quantiles(g, "n", [pct])
+    return g.filter(F.col("n") < F.lit(limit))
 
 
 def hunt_above(df: DataFrame, by: str, measure: Column, pct: float) -> DataFrame:
     """Groups whose measure exceeds the percentile of all groups, with the ratio (10 at most)."""
-    g = df.groupBy(by).agg(measure.alias("value"))
-    out = g.crossJoin(F.broadcast(g.agg(F.percentile("value", pct).alias("_p")))).filter(F.col("value") > F.col("_p"))
-    return out.withColumn("risk", F.least(F.lit(10.0), F.col("value") / F.col("_p"))).drop("_p")
+    g = _checkpoint(df.groupBy(by).agg(measure.alias("value")))
+    (limit,) = exact_quantiles(g, "value", [pct])
+    risk = F.least(F.lit(10.0), F.try_divide(F.col("value").cast("double"), F.lit(limit)))
+    return g.filter(F.col("value") > F.lit(limit)).withColumn("risk", F.coalesce(risk, F.lit(10.0)))
 
 
 def hunt_dns(df: DataFrame, query: str, source: str, words: list[str]) -> DataFrame:

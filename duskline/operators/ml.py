@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _checkpoint
+from .quantiles import exact_quantiles
 from .running import ranges_of, running_sums
 
 
@@ -187,8 +189,9 @@ def reconstruction_anomalies(df: DataFrame, cols: list[str], k: int, pct: float
         back = sum((F.col("_z")[j] * float(pc[i, j]) for j in range(k)), F.lit(0.0))
         error = error + (F.col(x) - back) * (F.col(x) - back)
     rows = rows.withColumn("error", error).drop("_z", "_pc", "features")
-    limit = rows.agg(F.percentile("error", pct).alias("_limit"))
-    return rows.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.col("error") > F.col("_limit")).drop("_limit")
+    rows = _checkpoint(rows)
+    (limit,) = exact_quantiles(rows, "error", [pct])
+    return rows.withColumn("is_anomaly", F.col("error") > F.lit(limit))
 
 
 def auc(df: DataFrame, prob: str, label: str) -> DataFrame:

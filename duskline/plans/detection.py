@@ -130,7 +130,10 @@ FAM = " UNION ALL ".join(f"SELECT id, i AS line, '{n}' AS family, '{s}' AS sever
 LINES = f"l AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS c FROM (SELECT id, string_split(code, chr(10)) AS a FROM ({CODE_D}) z) y)"
 
 
-@query("d17_scan_sources", f"WITH {LINES} SELECT id, line::int AS line, family, severity FROM ({FAM}) f")
+ADVICE = "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.RECOMMENDATIONS.items()) + " END"
+
+
+@query("d17_scan_sources", f"WITH {LINES} SELECT id, line::int AS line, family, severity, {ADVICE} AS recommendation FROM ({FAM}) f")
 def _(t):
     return D.scan_sources(t.spark.sql(CODE, part=t.part), "id", "code")
 
@@ -149,6 +152,38 @@ def _(t):
     return D.source_score(D.scan_sources(t.spark.sql(CODE, part=t.part), "id", "code"), "id")
 
 
+# the sources with a loop and comments, some with bad names
+GAS_CODE = f"SELECT id, CASE id % 4 WHEN 0 THEN concat(code, chr(10), 'for (uint i = 0; i < xs.length; i++) ', chr(123), ' xs.push(i); ', chr(125), chr(10), '// a note') WHEN 1 THEN concat(code, chr(10), '  /** doc */ function Bad_name(string memory s) if (a && b) else c') WHEN 2 THEN concat('contract lower', chr(10), chr(10), code) ELSE code END AS code FROM ({CODE})"
+GAS_D = GAS_CODE.replace("{part}", "part")
+
+
+@query(
+    "d19_gas_findings",
+    f"WITH g AS ({GAS_D}), m AS ({{}})".format(" UNION ALL ".join(f"SELECT id, code, '{n}' AS pattern, unnest(regexp_extract_all(code, '{p}')) AS matched FROM g" for n, p, _ in D.GAS_PATTERNS))
+    + " SELECT id, (length(code[:strpos(code, matched) - 1]) - length(replace(code[:strpos(code, matched) - 1], chr(10), '')) + 1)::int AS line, pattern, matched, CASE pattern " + " ".join(f"WHEN '{n}' THEN '{r}'" for n, _, r in D.GAS_PATTERNS) + " END AS recommendation FROM m",
+)
+def _(t):
+    return D.gas_findings(t.spark.sql(GAS_CODE, part=t.part), "id", "code")
+
+
+QUALITY = rf"q AS (SELECT id, string_split(code, chr(10)) AS l, regexp_extract_all(code, 'function\s+(\w+)', 1) AS f, regexp_extract_all(code, 'contract\s+(\w+)', 1) AS k, len(regexp_extract_all(code, '(?i)\b(if|else|for|while|case|catch)\b|&&|\|\|')) AS b, len(regexp_extract_all(code, '/\*\*[\s\S]*?\*/\s*function')) AS d FROM ({GAS_D})), n AS (SELECT id, len(l)::int AS total_lines, len(list_filter(l, lambda x: starts_with(trim(x), '//')))::int AS comment_lines, len(list_filter(l, lambda x: trim(x) = ''))::int AS empty_lines, len(f)::int AS functions, (b + 1) / greatest(len(f), 1) AS complexity, CASE WHEN len(f) > 0 THEN d / len(f) * 100 ELSE 0 END AS documentation, len(list_filter(f, lambda x: regexp_matches(x, '^[a-z][a-zA-Z0-9]*$')))::int AS camel, len(list_filter(k, lambda x: regexp_matches(x, '^[A-Z][a-zA-Z0-9]*$')))::int AS pascal, len(f) + len(k) AS names FROM q)"
+
+
+@query("d19_source_quality", f"WITH {QUALITY} SELECT id, total_lines, comment_lines, empty_lines, functions, round(complexity, 4) AS complexity, round(documentation, 2) AS documentation, camel AS camel_case_functions, pascal AS pascal_case_contracts, (names - camel - pascal)::int AS violations, round(comment_lines / total_lines * 100, 2) AS comment_ratio FROM n")
+def _(t):
+    q = D.source_quality(t.spark.sql(GAS_CODE, part=t.part), "id", "code").withColumn("violations", F.size("violations"))
+    return q.withColumns({"complexity": rnd("complexity", 4), "documentation": rnd("documentation", 2), "comment_ratio": rnd("comment_ratio", 2)})
+
+
+GAS_LINES = f"l AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS c FROM (SELECT id, string_split(code, chr(10)) AS a FROM ({GAS_D}) z) y)"
+
+
+@query("d19_corpus_score", f"WITH {QUALITY}, {GAS_LINES}, v AS (SELECT id, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END) AS w FROM ({FAM}) f GROUP BY id) SELECT id, greatest(0, greatest(0, 100 - coalesce(w, 0)) - CASE WHEN comment_lines / total_lines * 100 < 10 THEN 5 ELSE 0 END - CASE WHEN complexity > 10 THEN 10 ELSE 0 END)::bigint AS score FROM n LEFT JOIN v USING (id)")
+def _(t):
+    code = t.spark.sql(GAS_CODE, part=t.part)
+    return D.corpus_score(D.scan_sources(code, "id", "code"), D.source_quality(code, "id", "code"), "id")
+
+
 @query("d20_gas_price_outliers", "WITH m AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o_custkey, round(avg(CASE WHEN o_totalprice > 2 * m THEN 1.0 ELSE 0 END), 5) AS share, avg(CASE WHEN o_totalprice > 2 * m THEN 1.0 ELSE 0 END) > 0.1 AS suspicious FROM orders JOIN m USING (o_custkey) GROUP BY 1")
 def _(t):
     return D.gas_price_outliers(t.orders, "o_custkey", "o_totalprice").withColumn("share", rnd("share"))

@@ -13,6 +13,7 @@ from duskline.operators import ml as M
 from duskline.operators import report as R
 from duskline.operators import sequence as Q
 from duskline.operators import sketch as K
+from duskline.operators import summary as Y
 
 from .registry import query, rnd
 
@@ -528,10 +529,32 @@ def _(t):
     return out.select(rnd("recent").alias("recent"), rnd("before").alias("before"), "trend")
 
 
-@query("l10_limit_insights", "SELECT path, CASE WHEN avg((status_code >= 400)::int) > 0.5 THEN 'tighten' WHEN avg((status_code >= 400)::int) = 0 THEN 'relax' ELSE 'keep' END AS advice FROM requests GROUP BY path", "requests")
+def outliers(name: str, rel: str) -> str:
+    m = f"SELECT *, quantile_cont(v::double, 0.5) OVER () AS md FROM ({rel})"
+    d = f"SELECT *, quantile_cont(abs(v - md), 0.5) OVER () AS mad FROM ({m})"
+    z = f"SELECT item, v, CASE WHEN mad > 0 THEN 0.6745 * (v - md) / mad END AS z FROM ({d})"
+    return f"SELECT '{name}' AS insight, item::varchar AS item, v::double AS value, z, CASE WHEN z > 10 THEN 'critical' WHEN z > 6 THEN 'high' ELSE 'medium' END AS severity FROM ({z}) WHERE z > 3.5"
+
+
+@query(
+    "l10_limit_insights",
+    "WITH al AS (" + " UNION ALL ".join([
+        outliers("abuse_pattern", "SELECT ip AS item, count_if(status_code >= 400) AS v FROM requests GROUP BY 1"),
+        outliers("performance_issue", "SELECT path AS item, avg(duration_ms) AS v FROM requests GROUP BY 1"),
+        outliers("geographic_threat", "SELECT country AS item, avg((status_code >= 400)::int) AS v FROM requests GROUP BY 1"),
+        outliers("temporal_anomaly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS item, count(*) AS v FROM requests GROUP BY 1"),
+        "SELECT 'policy_optimization', path, count(*)::double, NULL::double, 'low' FROM requests GROUP BY path HAVING avg((status_code >= 400)::int) = 0",
+    ]) + ") SELECT insight, item, round(value, 4) AS value, round(z, 4) AS z, severity, CASE insight " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Y.ADVICE.items()) + " END AS recommendation FROM al",
+    "requests",
+)
+def _(t):
+    return Y.limit_insights(t.requests).withColumn("value", rnd("value", 4)).withColumn("z", rnd("z", 4))
+
+
+@query("l10_limit_optimizations", "WITH m AS (SELECT count_if(status_code = 403 AND risk_score < 0.3) / nullif(count_if(status_code = 403), 0) AS f, count_if(status_code = 403) / nullif(count_if(status_code >= 400), 0) AS e, avg(duration_ms) AS l FROM requests), al AS (SELECT 'threshold_tuning' AS type, f AS value, 0.15 AS expected_improvement, 0.8 AS confidence, 'medium' AS difficulty, 'medium' AS risk_level FROM m WHERE f > 0.1 UNION ALL SELECT 'policy_adjustment', e, 0.25, 0.7, 'easy', 'low' FROM m WHERE e < 0.8 UNION ALL SELECT 'algorithm_change', l, 0.1, 0.9, 'hard', 'medium' FROM m WHERE l > 10) SELECT type, round(value, 4) AS value, expected_improvement::double AS expected_improvement, confidence::double AS confidence, difficulty, risk_level FROM al", "requests")
 def _(t):
-    r = F.avg((F.col("status_code") >= 400).cast("int"))
-    return t.requests.groupBy("path").agg(F.when(r > 0.5, "tighten").when(r == 0, "relax").otherwise("keep").alias("advice"))
+    o = Y.limit_optimizations(t.requests, F.col("status_code") == 403, F.col("status_code") >= 400, F.col("risk_score") < 0.3)
+    return o.withColumn("value", rnd("value", 4))
 
 
 ACT = "CASE event_type WHEN 'error' THEN 'block' WHEN 'click' THEN 'monitor' WHEN 'view' THEN 'allow' WHEN 'signup' THEN 'challenge' ELSE 'isolate' END"
@@ -787,7 +810,7 @@ def _(t):
     from duskline.functions.plugins import RuleSet
 
     rules = RuleSet().add("a", "(?i)passwd").add("b", "hello").disable("b")
-    return t.requests.join(F.broadcast(rules.to_df(t.spark)), F.expr("body RLIKE pattern")).select("request_id")
+    return rules.match(t.requests.select("request_id", "body"), "body").select("request_id")
 
 
 @query("z02_detector", "SELECT request_id FROM requests WHERE duration_ms > 200", "requests")

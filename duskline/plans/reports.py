@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskline.operators import report as R
+from duskline.operators import summary as Y
 from duskline.sources.tables import parse_logs
 
 from .basics import LOG_LINE
@@ -94,7 +95,7 @@ def _(t):
 
 @query("a09_threat_counts", f"SELECT {HOUR} AS bucket, event_type, count(*) AS n FROM requests WHERE risk_score > 0.5 GROUP BY 1, 2", "requests")
 def _(t):
-    return stamped(t.requests.filter("risk_score > 0.5").groupBy(R.time_bucket("ts", "1h").alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n")))
+    return stamped(Y.threat_counts(t.requests.filter("risk_score > 0.5"), "event_type"))
 
 
 @query("a10_risk_trend", f"SELECT {HOUR} AS bucket, round(avg(risk_score), 5) AS value FROM requests GROUP BY 1", "requests")
@@ -104,7 +105,7 @@ def _(t):
 
 @query("a11_blocked_counts", f"SELECT {HOUR} AS bucket, count_if(status_code = 403) AS blocked FROM requests GROUP BY 1", "requests")
 def _(t):
-    return stamped(t.requests.groupBy(R.time_bucket("ts", "1h").alias("bucket")).agg(F.count_if(F.col("status_code") == 403).alias("blocked")))
+    return stamped(Y.blocked_counts(t.requests, F.col("status_code") == 403))
 
 
 @query("a12_top_threat_types", "SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 5)::double AS share FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
@@ -147,13 +148,12 @@ def _(t):
 
 @query("a16_resource_usage", f"SELECT {HOUR} AS bucket, host, round(avg(content_length), 4) AS usage, round(avg((status_code >= 400)::int) * 100, 5) AS error_rate FROM requests GROUP BY 1, 2", "requests")
 def _(t):
-    return stamped(t.requests.groupBy(R.time_bucket("ts", "1h").alias("bucket"), "host").agg(rnd(F.avg("content_length"), 4).alias("usage"), (F.avg((F.col("status_code") >= 400).cast("int")) * 100).alias("error_rate")), "error_rate")
+    return stamped(Y.resource_usage(t.requests, "host", "content_length", F.col("status_code") >= 400).withColumn("usage", rnd("usage", 4)), "error_rate")
 
 
 @query("a17_limit_effectiveness", f"SELECT {HOUR} AS bucket, path, count(*) AS requests, sum((status_code = 403)::int)::bigint AS blocked, sum((status_code >= 400)::int)::bigint AS violations, round(avg(1 - (status_code = 403)::int), 5) AS effectiveness FROM requests GROUP BY 1, 2", "requests")
 def _(t):
-    b = (F.col("status_code") == 403).cast("int")
-    return stamped(t.requests.groupBy(R.time_bucket("ts", "1h").alias("bucket"), "path").agg(F.count(F.lit(1)).alias("requests"), F.sum(b).alias("blocked"), F.sum((F.col("status_code") >= 400).cast("int")).alias("violations"), F.avg(1 - b).alias("effectiveness")), "effectiveness")
+    return stamped(Y.limit_effectiveness(t.requests, "path", F.col("status_code") == 403, F.col("status_code") >= 400), "effectiveness")
 
 
 @query("a18_recent", "SELECT request_id FROM requests WHERE ts BETWEEN TIMESTAMP '2024-01-14 12:00:00' AND TIMESTAMP '2024-01-15 12:00:00' ORDER BY ts DESC, request_id LIMIT 1000", "requests")
@@ -172,16 +172,6 @@ def _(t):
     return stamped(R.series_trend(t.events, ["user_id"], "value", ["ts", "event_id"]), "average", "median", "min", "max", "p95", "change_rate")
 
 
-@query("a20_performance_report", TREND_SQL.format(k="path", v="duration_ms", o="ts, request_id", f="requests"), "requests")
-def _(t):
-    return stamped(R.series_trend(t.requests.select("path", "duration_ms", "ts", "request_id"), ["path"], "duration_ms", ["ts", "request_id"]), "average", "median", "min", "max", "p95", "change_rate")
-
-
-@query("a21_threat_report", "SELECT country, event_type, count(*) AS n, round(avg(risk_score), 5) AS mean_risk, count_if(status_code = 403) AS blocked FROM requests WHERE risk_score > 0.3 GROUP BY GROUPING SETS ((country), (event_type), ())", "requests")
-def _(t):
-    return stamped(t.requests.filter("risk_score > 0.3").groupingSets([["country"], ["event_type"], []], "country", "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("mean_risk"), F.count_if(F.col("status_code") == 403).alias("blocked")), "mean_risk")
-
-
 for every, (interval, minutes) in {"1m": ("1 minute", 1), "5m": ("5 minutes", 5), "15m": ("15 minutes", 15), "1h": ("1 hour", 60)}.items():
 
     @query(f"a22_traffic_stats_{every}", f"SELECT epoch_us(time_bucket(INTERVAL '{interval}', ts)) // 1000000 AS bucket, count(*) AS requests, round(count(*) / {minutes}, 5) AS requests_per_minute, count(DISTINCT ip) AS unique_ips, count(DISTINCT user_agent) AS unique_agents, round(avg(duration_ms), 5) AS mean_latency, round(avg((status_code >= 400)::int), 5) AS error_rate, sum(content_length)::bigint AS bytes FROM requests GROUP BY 1", "requests")
@@ -189,40 +179,17 @@ for every, (interval, minutes) in {"1m": ("1 minute", 1), "5m": ("5 minutes", 5)
         return stamped(R.traffic_stats(t.requests, every), "requests_per_minute", "mean_latency", "error_rate")
 
 
-@query(
-    "a23_log_report",
-    "WITH p AS (SELECT string_split(value, ' ') AS w FROM (" + LOG_LINE.replace("{events}", "events") + ") l), q AS (SELECT w[2] AS level, w[3] AS source, array_to_string(w[4:], ' ') AS m FROM p WHERE len(w) >= 4) "
-    "SELECT source, count(*) AS entries, count_if(regexp_matches(m, '(?i)failed.+login') AND regexp_matches(m, '(?i)brute.?force') OR regexp_matches(m, '(?i)malware') AND regexp_matches(m, '(?i)suspicious')) AS threats, count_if(level = 'ERROR') AS errors FROM q GROUP BY source",
-)
-def _(t):
-    logs = parse_logs(t.spark.sql(LOG_LINE, events=t.events))
-    return logs.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("threat_score") > 0.5).alias("threats"), F.count_if(F.col("level") == "ERROR").alias("errors"))
-
-
 @query("a24_traffic_basic", "SELECT count(*) AS connections, round(sum(bytes), 2) AS bytes, sum(packets)::bigint AS packets, round(avg(bytes), 5) AS mean_bytes, count(DISTINCT source) AS sources, count(DISTINCT destination) AS destinations FROM connections", "connections")
 def _(t):
     out = R.traffic_basic(t.connections).drop("first", "last")
     return out.withColumn("bytes", rnd("bytes", 2)).withColumn("mean_bytes", rnd("mean_bytes", 5))
 
 
-@query("a25_protocol_stats", "SELECT protocol, count(*) AS n, round(sum(bytes), 2) AS bytes, round(count(*) * 100.0 / sum(count(*)) OVER (), 5)::double AS share FROM connections GROUP BY protocol ORDER BY n DESC LIMIT 10", "connections")
-def _(t):
-    c = t.connections
-    return stamped(R.top_with_share(c, "protocol", 10), "share").join(c.groupBy("protocol").agg(rnd(F.sum("bytes"), 2).alias("bytes")), "protocol")
-
-
 @query("a26_temporal_profile", "WITH p AS (SELECT 'hour' AS unit, hour(ts) AS slot, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'weekday', isodow(ts) - 1, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'day', day(ts), count(*) FROM events GROUP BY 2) SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, slot) = 1 AS peak FROM p")
 def _(t):
     return R.temporal_profile(t.events)
 
 
-@query("a27_port_stats", "SELECT port, count(*) AS n, CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'dynamic' END AS class FROM connections GROUP BY port ORDER BY n DESC, port LIMIT 20", "connections")
-def _(t):
-    from duskline.functions.scalars import port_class
-
-    return t.connections.groupBy("port").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "port").limit(20).withColumn("class", port_class("port"))
-
-
 @query("a28_flow_counts", "SELECT protocol, source, destination, count(*) AS n FROM connections GROUP BY GROUPING SETS ((protocol), (source), (destination))", "connections")
 def _(t):
     return R.flow_counts(t.connections)
@@ -260,15 +227,6 @@ def _(t):
     return R.alert_summary(t.requests, "severity", "event_type")
 
 
-@query("a34_dashboard_analytics", "SELECT span, name, n FROM (SELECT 'agent' AS span, user_agent AS name, count(*) AS n FROM requests GROUP BY 2 UNION ALL SELECT 'country', country, count(*) FROM requests GROUP BY 2 UNION ALL SELECT 'city', city, count(*) FROM requests GROUP BY 2 UNION ALL SELECT 'ip', ip, count(*) FROM requests GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY span ORDER BY n DESC, name) <= 5", "requests")
-def _(t):
-    from duskline.operators.enrich import top_k_per_group
-
-    r = t.requests
-    named = r.select(F.expr("stack(4, 'agent', user_agent, 'country', country, 'city', city, 'ip', ip) AS (span, name)"))
-    return top_k_per_group(named.groupBy("span", "name").agg(F.count(F.lit(1)).alias("n")), ["span"], [F.desc("n"), F.col("name")], 5).drop("rank")
-
-
 @query("a35_request_features", "WITH e AS (SELECT session_id, count(DISTINCT path) AS endpoints FROM requests GROUP BY session_id) SELECT request_id, count(*) OVER (PARTITION BY ip, date_trunc('minute', ts)) AS per_minute, endpoints, round(avg(duration_ms) OVER (PARTITION BY ip), 5) AS mean_latency, round(avg((status_code >= 400)::int) OVER (PARTITION BY ip), 5) AS error_rate FROM requests JOIN e USING (session_id)", "requests")
 def _(t):
     from duskline.operators.ml import request_features
@@ -369,3 +327,102 @@ def _(t):
     hourly = R.rollup_points(t.events, "hour", ["event_type"], "value")
     monthly = R.rollup_points(R.rollup_points(hourly, "day", ["event_type"], "value"), "month", ["event_type"], "value")
     return monthly.withColumn("ts", F.unix_timestamp("ts")).withColumn("value_sum", rnd("value_sum", 4))
+
+
+# --- reports of several sections ----------------------------------------------------------------
+
+
+def listed(sql: str, section: str, name: str, **metrics: str) -> str:
+    """Rows (section, name, metric, value) of a SQL relation."""
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, ({name})::varchar AS name, '{m}' AS metric, ({v})::double AS value FROM ({sql})" for m, v in metrics.items())
+
+
+def trended(rel: str, name: str, value: str, order: str) -> str:
+    t = TREND_SQL.format(k="grp", v=value, o=order, f=f"(SELECT 1 AS grp, * FROM {rel})").replace("round(", "exact(")
+    t = t.replace("exact(average, 5)", "average").replace("exact(median, 5)", "median").replace("exact(min, 5)", "min").replace("exact(max, 5)", "max").replace("exact(p95, 5)", "p95").replace("exact(rate, 5)", "rate")
+    stats = listed(t, "trend", f"'{name}'", average="average", median="median", min="min", max="max", p95="p95", points="points")
+    return f"{stats} UNION ALL SELECT 'trend', '{name}', concat('change:', trend), change_rate FROM ({t})"
+
+
+def valued(df):
+    return df.withColumn("value", rnd("value", 4))
+
+
+BY_HOUR = "time_bucket(INTERVAL '1 hour', ts)"
+
+
+@query(
+    "a20_performance_report",
+    f"WITH tm AS (SELECT {BY_HOUR} AS bucket, path, avg(duration_ms) AS mean FROM requests GROUP BY 1, 2), ld AS (SELECT {BY_HOUR} AS bucket, count(*) AS requests, sum((status_code >= 400)::int) / count(*) * 100 AS error_rate FROM requests GROUP BY 1), "
+    "tp AS (SELECT path, count(*) AS n, avg(duration_ms) AS mean FROM requests GROUP BY path ORDER BY n DESC, path LIMIT 10), al AS ("
+    + " UNION ALL ".join([
+        listed("SELECT avg(mean) AS m FROM tm", "summary", "'response_time'", average="m"),
+        listed("SELECT sum(requests) AS n, avg(error_rate) AS e FROM ld", "summary", "'load'", throughput="n", error_rate="e", uptime="100 - e"),
+        trended("tm", "response_time", "mean", "bucket, path"), trended("ld", "throughput", "requests::double", "bucket"), trended("ld", "error_rate", "error_rate", "bucket"),
+        listed("SELECT * FROM tp", "top_endpoints", "path", requests="n", mean="mean"),
+    ]) + ") SELECT section, name, metric, round(value, 4) AS value FROM al",
+    "requests",
+)
+def _(t):
+    return valued(Y.performance_report(t.requests))
+
+
+@query(
+    "a21_threat_report",
+    f"WITH th AS (SELECT * FROM requests WHERE risk_score > 0.3), hr AS (SELECT {BY_HOUR} AS bucket, count(*) AS n, avg(risk_score) AS risk, count_if(status_code = 403) AS blocked FROM th GROUP BY 1), "
+    "ty AS (SELECT event_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM th GROUP BY 1), pl AS (SELECT country, count(*) AS n, avg(risk_score) AS mean FROM th GROUP BY 1 ORDER BY n DESC, country LIMIT 20), al AS ("
+    + " UNION ALL ".join([
+        listed("SELECT sum(n) AS n, sum(blocked) AS b, avg(risk) AS r FROM hr", "summary", "'threats'", total="n", blocked="b", false_positives="floor(n * 0.05 + 0.5)", average_risk="r"),
+        trended("hr", "threat_count", "n::double", "bucket"), trended("hr", "risk_score", "risk", "bucket"), trended("hr", "blocked", "blocked::double", "bucket"),
+        listed("SELECT * FROM ty", "types", "event_type", threats="n", percentage="share"), listed("SELECT * FROM pl", "places", "country", threats="n", mean_risk="mean"),
+    ]) + ") SELECT section, name, metric, round(value, 4) AS value FROM al",
+    "requests",
+)
+def _(t):
+    return valued(Y.threat_report(t.requests.filter("risk_score > 0.3"), "event_type", "risk_score", F.col("status_code") == 403, "country"))
+
+
+LOGGED = "lg AS (SELECT w[1] AS stamp, w[2] AS level, w[3] AS source, array_to_string(w[4:], ' ') AS m FROM (SELECT string_split(value, ' ') AS w FROM (" + LOG_LINE.replace("{events}", "events") + ") l) WHERE len(w) >= 4), lm AS (SELECT *, regexp_matches(m, '(?i)failed.+login') AND regexp_matches(m, '(?i)brute.?force') OR regexp_matches(m, '(?i)malware') AND regexp_matches(m, '(?i)suspicious') AS bad FROM lg)"
+LOG_COUNTS = "count(*) AS entries, count_if(bad) AS threats, count_if(level = 'ERROR') AS errors, count_if(level = 'WARN') AS warnings"
+LOG_NAMES = {c: c for c in ("entries", "threats", "errors", "warnings")}
+
+
+@query(
+    "a23_log_report",
+    f"WITH {LOGGED}, al AS (" + listed(f"SELECT {LOG_COUNTS}, min(epoch(stamp::timestamp)) AS start, max(epoch(stamp::timestamp)) AS fin FROM lm", "total", "'all'", **LOG_NAMES, start="start", end="fin")
+    + " UNION ALL " + listed(f"SELECT source, {LOG_COUNTS} FROM lm GROUP BY 1", "source", "source", **LOG_NAMES) + ") SELECT section, name, metric, floor(value)::double AS value FROM al",
+)
+def _(t):
+    return Y.log_report(parse_logs(t.spark.sql(LOG_LINE, events=t.events)))
+
+
+NAMES = {"agent": "user_agent", "country": "country", "city": "city", "ip": "ip"}
+
+
+@query(
+    "a34_dashboard_analytics",
+    "WITH th AS (SELECT * FROM requests WHERE risk_score > 0.3), sp AS (SELECT unit, cast(d AS date) AS d, count(*) AS n FROM (SELECT unnest(['day', 'week', 'month']) AS unit, unnest([date_trunc('day', ts), date_trunc('week', ts), date_trunc('month', ts)]) AS d FROM th) GROUP BY 1, 2), "
+    "ls AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY unit ORDER BY d DESC) <= CASE WHEN unit = 'month' THEN 6 ELSE 7 END), ty AS (SELECT event_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM th GROUP BY 1), "
+    "nm AS (" + " UNION ALL ".join(f"SELECT '{k}' AS span, {c}::varchar AS name, count(*) AS n FROM requests GROUP BY 2" for k, c in NAMES.items()) + "), tp AS (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY span ORDER BY n DESC, name) <= 5), "
+    "al AS (SELECT concat('trend:', unit) AS section, d::varchar AS name, 'threats' AS metric, n::double AS value FROM ls UNION ALL " + listed("SELECT * FROM ty", "types", "event_type", threats="n", percentage="share")
+    + " UNION ALL SELECT concat('top:', span), name, 'rows', n FROM tp) SELECT section, name, metric, round(value, 4) AS value FROM al",
+    "requests",
+)
+def _(t):
+    return valued(Y.dashboard_analytics(t.requests, F.col("risk_score") > 0.3, "event_type", NAMES))
+
+
+def diverse(rel: str, key: str, section: str, more: str = "") -> str:
+    p = f"SELECT {key} AS k, n, {more or '0'} AS b, n / sum(n) OVER () AS p FROM {rel}"
+    each = listed(p, section, "k", n="n", share="p * 100", **({"bytes": "b"} if more else {}))
+    return each + " UNION ALL " + listed(f"SELECT count(*) AS k, sum(-p * log2(p)) AS h FROM ({p})", "diversity", f"'{section}'", distinct="k", entropy="h")
+
+
+@query("a25_protocol_stats", "WITH g AS (SELECT protocol, count(*) AS n, sum(bytes) AS vol FROM connections GROUP BY 1), al AS (" + diverse("g", "protocol", "protocol", "vol") + ") SELECT section, name, metric, round(value, 4) AS value FROM al", "connections")
+def _(t):
+    return valued(Y.protocol_report(t.connections))
+
+
+@query("a27_port_stats", "WITH g AS (SELECT port, count(*) AS n FROM connections GROUP BY 1), c AS (SELECT CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'dynamic' END AS cl, sum(n) AS n FROM g GROUP BY 1), al AS (SELECT 'port' AS section, port::varchar AS name, 'n' AS metric, n::double AS value FROM (SELECT * FROM g ORDER BY n DESC, port LIMIT 20) UNION ALL (SELECT * FROM (" + diverse("g", "port", "port") + ") WHERE section = 'diversity') UNION ALL (SELECT * FROM (" + diverse("c", "cl", "class") + ") WHERE section = 'class')) SELECT section, name, metric, round(value, 4) AS value FROM al", "connections")
+def _(t):
+    return valued(Y.port_report(t.connections))
