@@ -14,6 +14,15 @@ of ``beam``; shard results are merged, with Euclidean distances in double
 precision from the original vectors, ties to the smaller id. Queries meet
 shards in blocks, so a task holds one shard and one block of queries.
 
+Graphs are over 32-bit vectors: those of a shard are centred and scaled to its own
+size first, so neither an offset nor very small or large components cost
+precision, and distances are taken from differences. Vectors that are equal in 32
+bits are one node with the list of its members; members are told apart by exact
+distances (of members equal in 64 bits only the k smallest ids are read). A query
+that lies farther from a shard than ``FAR`` times its size, or for which the graph
+leaves fewer than k candidates though the shard has more, is compared with the
+whole shard, so every query gets its k rows.
+
 Vectors that are null, zero, or hold null or non-finite components take no part;
 vectors of different length never meet. A query's own row is no candidate.
 Repeated ids and vectors are separate candidates (not for a query of that id).
@@ -30,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64
 from .lattice import valid
 
-INDEX = "dim int, shard int, ids binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"
+INDEX = "dim int, shard int, ids binary, vectors binary, node binary, levels array<struct<nodes:binary,links:binary>>"
+#: Bytes of the vectors of a shard, and how far outside a shard its graph still tells its vectors apart.
+SHARD_BYTES, FAR = 1 << 27, 1e5
 
 
 class Level:
@@ -57,7 +68,6 @@ def beam_search(x: np.ndarray, level: Level, q: np.ndarray, entry: np.ndarray, b
     seen[np.arange(b), entry] = True
     seen[:, n] = True
     active = np.arange(b)
-    norm = (vec**2).sum(axis=1)
     while len(active):
         open_d = np.where(done[active], np.inf, best_d[active])
         take = min(at_once, beam)
@@ -79,8 +89,8 @@ def beam_search(x: np.ndarray, level: Level, q: np.ndarray, entry: np.ndarray, b
         r, c = np.nonzero(fresh)
         d = np.full(near.shape, np.inf, np.float32)
         v = near[r, c]
-        qa = q[active]
-        d[r, c] = norm[v] + (qa**2).sum(axis=1)[r] - 2 * np.einsum("ij,ij->i", vec[v], qa[r])
+        gap = vec[v] - q[active][r]
+        d[r, c] = np.einsum("ij,ij->i", gap, gap)
         all_d = np.concatenate((best_d[active], d), axis=1)
         all_i = np.concatenate((best_i[active], near), axis=1)
         all_done = np.concatenate((done[active], np.zeros(d.shape, bool)), axis=1)
@@ -88,6 +98,7 @@ def beam_search(x: np.ndarray, level: Level, q: np.ndarray, entry: np.ndarray, b
         best_d[active] = np.take_along_axis(all_d, keep, axis=1)
         best_i[active] = np.take_along_axis(all_i, keep, axis=1)
         done[active] = np.take_along_axis(all_done, keep, axis=1) | ~np.isfinite(best_d[active])
+    best_i[~np.isfinite(best_d)] = -1  # places that stand for no node
     order = np.argsort(best_d, axis=1, kind="stable")
     return np.take_along_axis(best_d, order, axis=1), np.take_along_axis(best_i, order, axis=1)
 
@@ -205,6 +216,75 @@ def search(x: np.ndarray, levels: list[Level], q: np.ndarray, beam: int):
     return d, np.where(i < 0, -1, levels[0].nodes[np.where(i < 0, 0, i)])
 
 
+def frame_of(exact: np.ndarray):
+    """A function that maps vectors to the 32-bit frame of a shard: centred on it, its farthest component at 1.
+
+    Vectors far outside the shard are cut there; the function tells which.
+    """
+    size = np.abs(exact).max()
+    middle = (exact / size).mean(axis=0)
+    reach = np.abs(exact / size - middle).max() or 1.0
+
+    def apply(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            y = (v / size - middle) / reach
+        far = ~(np.abs(y).max(axis=1) <= FAR)
+        return np.clip(np.nan_to_num(y, posinf=FAR, neginf=-FAR), -FAR, FAR).astype(np.float32), far
+
+    return apply
+
+
+def distances(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where their squares are out of range."""
+    with np.errstate(over="ignore"):
+        gap = np.abs(rows - v)
+        top = gap.max(axis=1, initial=0.0)
+        plain = np.sqrt((gap**2).sum(axis=1))
+    odd = np.flatnonzero((top > 0) & ((top < 1e-140) | (top > 1e140)) & np.isfinite(top))
+    if len(odd):
+        plain[odd] = top[odd] * np.sqrt(((gap[odd] / top[odd, None]) ** 2).sum(axis=1))
+    return plain
+
+
+class Shard:
+    """A shard's rows by id, its nodes of rows that are equal in 32 bits, and their graph."""
+
+    def __init__(self, ids: np.ndarray, exact: np.ndarray, node: np.ndarray | None = None, levels: list[Level] | None = None, m: int = 16, beam: int = 64):
+        self.ids, self.exact = ids, exact
+        self.frame = frame_of(exact)
+        x = self.frame(exact)[0] + np.float32(0)  # no negative zeros
+        if node is None:
+            _, node = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+        self.node = node.astype(np.int64)
+        self.members = np.argsort(self.node, kind="stable")  # rows of a node lie together, by id
+        sizes = np.bincount(self.node)
+        self.first = np.cumsum(sizes) - sizes
+        self.end = self.first + sizes
+        heads = self.members[self.first]
+        self.x = x[heads]
+        alike = (exact[self.members] == exact[np.repeat(heads, sizes)]).all(axis=1)
+        self.alike = np.logical_and.reduceat(alike, self.first)
+        self.levels = build(self.x, ids[heads], m, beam) if levels is None else levels
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows of its k nearest found (not of its own id) and their distances."""
+        q, far = self.frame(queries)
+        _, found = search(self.x, self.levels, q, beam)
+        out = []
+        for qid, vec, nodes, away in zip(query_ids, queries, found, far):
+            rows = np.zeros(0, np.int64)
+            if not away:
+                parts = [self.members[self.first[n] : min(self.end[n], self.first[n] + k + 1) if self.alike[n] else self.end[n]] for n in nodes[nodes >= 0]]
+                rows = np.concatenate(parts)
+                rows = rows[self.ids[rows] != qid]
+            if len(rows) < k and len(rows) < len(self.ids):
+                rows = np.flatnonzero(self.ids != qid)
+            d = distances(self.exact[rows], vec)
+            best = np.lexsort((self.ids[rows], d))[:k]
+            out.append((rows[best], d[best]))
+        return out
+
+
 def build_index(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -215,24 +295,24 @@ def build_index(
 ) -> DataFrame:
     """The index table of all valid vectors, a row per shard, written to the shared folder.
 
-    By default a shard has 4096 rows, or a 64th of a larger table, but 65536 at most.
+    By default a shard has 4096 rows, or a 64th of a larger table, but 65536 rows and ``SHARD_BYTES`` at most.
     """
     rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim")
     )
-    n = rows.count()
-    shards = -(-n // (shard_rows or min(65536, max(4096, n // 64)))) or 1
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = -(-n // (shard_rows or max(1, min(65536, max(4096, n // 64), SHARD_BYTES // (8 * dim))))) or 1
 
     def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ids = pdf["id"].to_numpy(np.int64)
         original = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]])
-        levels = build(original.astype(np.float32), ids, m, beam)
+        shard = Shard(ids, original, m=m, beam=beam)
         packed = [
-            {"nodes": v.nodes.astype("<i4").tobytes(), "links": v.links.astype("<i4").tobytes()} for v in levels
+            {"nodes": v.nodes.astype("<i4").tobytes(), "links": v.links.astype("<i4").tobytes()} for v in shard.levels
         ]
-        row = (int(key[0]), int(key[1]), ids.astype("<i8").tobytes(), original.astype("<f8").tobytes(), packed)
-        return pd.DataFrame([row], columns=["dim", "shard", "ids", "vectors", "levels"])
+        row = (int(key[0]), int(key[1]), ids.astype("<i8").tobytes(), original.astype("<f8").tobytes(), shard.node.astype("<i4").tobytes(), packed)
+        return pd.DataFrame([row], columns=["dim", "shard", "ids", "vectors", "node", "levels"])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"))
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(make, INDEX), "hnsw-index")
@@ -272,18 +352,13 @@ def nearest(
                 Level(np.frombuffer(v["nodes"], "<i4").astype(np.int64), 2 * m if h == 0 else m,
                       np.frombuffer(v["links"], "<i4"))
             )
-        x = exact.astype(np.float32)
+        have = Shard(ids, exact, np.frombuffer(s["node"], "<i4"), levels)
         out = []
         for lo in range(0, len(ask), 256):
             part = ask.iloc[lo : lo + 256]
             want = np.stack([np.asarray(v, np.float64) for v in part["vector"]])
-            _, rows = search(x, levels, want.astype(np.float32), beam)
-            for qid, vec, found in zip(part["query_id"], want, rows):
-                found = found[found >= 0]
-                found = found[ids[found] != qid]
-                d = np.sqrt(((exact[found] - vec) ** 2).sum(axis=1))
-                best = np.lexsort((ids[found], d))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[found[best]], "score": d[best]}))
+            for qid, (rows, d) in zip(part["query_id"], have.nearest(part["query_id"].to_numpy(), want, k, beam)):
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows], "score": d}))
         return pd.concat(out, ignore_index=True)
 
     blocks_of = asked.groupBy("at_dim", "at_shard", "block")
