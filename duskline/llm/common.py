@@ -45,6 +45,11 @@ def _database(spark: SparkSession) -> str:
     return name
 
 
+def database_dir(spark: SparkSession) -> str:
+    """The folder of that database, for further files that ``release`` is to delete with it."""
+    return f"{shared_dir(spark)}/{_database(spark)}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -110,6 +115,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without columns of these names: they get new names, and the dict leads back to the old ones.
+
+    For operators that need the names for themselves: ``out.withColumnsRenamed(back)`` ends their work.
+    """
+    new = {c: f"{c}_{uuid.uuid4().hex}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(new), {v: k for k, v in new.items()}
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFrame:
     """Add the 0-based position of each row in the global sort by ``order``.
 

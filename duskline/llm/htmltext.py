@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_aside
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
@@ -290,7 +290,10 @@ def vote(pages: DataFrame, min_share: float = 0.05) -> DataFrame:
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """All columns of ``pages`` but the html, with the main text."""
+    """All columns of ``pages`` but the html, with the main text, which replaces a column of its name."""
+    extra = [c for c in pages.columns if c not in (html_col, text_col)]
+    pages, back = set_aside(pages, "_host", "_paths")
+    away = {old: new for new, old in back.items()}
     hosted = pages.withColumn("_host", host_of(F.col(url_col)))
     winners = vote(hosted.select(F.col("_host").alias("host"), F.col(html_col).alias("html")))
     # stored first, so that its size is known: a small table is broadcast and no page is shuffled, in the join with a
@@ -313,5 +316,5 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
                 out.append(page.text_of({page.best()[0]}))
         return pd.Series(out, dtype=object)
 
-    extra = [c for c in pages.columns if c not in (html_col, text_col)]
-    return joined.select(*extra, main_text(F.col(html_col), F.col("_paths")).alias(text_col))
+    text = main_text(F.col(html_col), F.col("_paths")).alias(text_col)
+    return joined.select(*[F.col(away.get(c, c)).alias(c) for c in extra], text)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, set_aside
 
 UND = "und"
 
@@ -143,12 +143,10 @@ def predict(docs: DataFrame, model: BitmaskFilter, text_col: str = "text") -> Da
     def decide(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.decide(t) for t in texts], columns=["lang", "score"])
 
+    docs, back = set_aside(docs, "_decided")
     found = docs.withColumn("_decided", decide(F.col(text_col)))
-    return (
-        found.withColumn("lang_pred", F.col("_decided.lang"))
-        .withColumn("score", F.col("_decided.score"))
-        .drop("_decided")
-    )
+    found = found.withColumn("lang_pred", F.col("_decided.lang")).withColumn("score", F.col("_decided.score"))
+    return found.drop("_decided").withColumnsRenamed(back)
 
 
 def held_out(id_col: str = "doc_id"):

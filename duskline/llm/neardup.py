@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Intermediates, RollingHash, batches_of_bytes, discard, materialize, mix64, utf8_bytes
+from .common import Intermediates, RollingHash, batches_of_bytes, discard, materialize, mix64, set_aside, utf8_bytes
 from .components import connected_components
 
 TABLES = 40
@@ -565,9 +565,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         kept = found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).count()
         kept = materialize(kept, "omh-kept")
         made.keep(kept)
+    docs, back = set_aside(docs, "_h", "_id", "_th")
     hashed = docs.withColumn("_h", F.xxhash64(text_col))
     same = hashed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
     out = hashed.join(kept, same, "left_semi")
     if not kept.filter("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, "_h"])
-    return out.drop("_h")
+    return out.drop("_h").withColumnsRenamed(back)

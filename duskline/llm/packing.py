@@ -146,7 +146,7 @@ def plan_bins(lengths: np.ndarray, counts: np.ndarray, cap: Capacity, rule: str)
                 if rule == "norm":
                     score = -((((free[at] - need) / full) ** 2) * weight).sum(axis=1)
                 else:
-                    score = -((free[at] / full) * (need / full) * weight).sum(axis=1)
+                    score = ((free[at] / full) * (need / full) * weight).sum(axis=1)
                 c = at[np.argmax(score)]
             else:  # open as many empty bins as the rest may need
                 if n_classes == len(size):

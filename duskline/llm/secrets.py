@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import database_dir, materialize, set_aside
 
 FINDING = "struct<start:long,rank:int,end:long,kind:string,rule:string>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -105,11 +105,11 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 class BlobLedger:
-    """The table of past scans at ``path`` (a new one in the shared folder by default)."""
+    """The table of past scans at ``path``; by default a new one beside the intermediate tables, which ``release`` deletes."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/duskline/ledger-{uuid.uuid4().hex}"
+        self.path = path or f"{database_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def read(self) -> DataFrame | None:
         """All scans so far; None before the first."""
@@ -151,10 +151,10 @@ class BlobLedger:
 def scan_versions(
     versions: DataFrame, text_col: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
-    """All columns of ``versions`` but the text, with ``blob`` and its ``findings``."""
+    """All columns of ``versions`` but the text, with ``blob`` and its ``findings`` (which replace columns of these names)."""
     ledger = ledger or BlobLedger(versions.sparkSession)
     ledger.update(versions, text_col, rules)
-    paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop(text_col)
+    paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop(text_col, "findings")
     # a table of its own, so that the join with a blob of very many paths can be split
     return paths.join(materialize(ledger.findings(rules), "secret-findings"), "blob", "left")
 
@@ -181,6 +181,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", ledger: BlobLedger | None = None) -> DataFrame:
     """Replace every found span by ``[kind]``, overlapping spans as one; all other columns stay as they are."""
     columns = docs.columns
+    docs, back = set_aside(docs, "_blob", "_found")
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs, text_col)
     hit = materialize(ledger.findings().filter(F.size("findings") > 0), "secret-findings")
@@ -203,4 +204,4 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: BlobLedger | None =
         return pd.Series(out, dtype=object)
 
     covered = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(cover(F.col(text_col), F.col("_found")))
-    return joined.withColumn(text_col, covered).select(*columns)
+    return joined.withColumn(text_col, covered).drop("_blob", "_found").withColumnsRenamed(back).select(*columns)

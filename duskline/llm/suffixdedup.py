@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batches_of_bytes, discard, materialize, mix64, shuffle_partitions, utf8_bytes
+from .common import RollingHash, batches_of_bytes, discard, materialize, mix64, set_aside, shuffle_partitions, utf8_bytes
 
 GRAM = 16
 WINDOW = 150
@@ -93,6 +93,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, windo
     return text[at], where[at], where[end], t[at], rolling
 
 
+#: Names of columns that the operators need for themselves; those of a table are set aside meanwhile.
+OWN = ("_key", "_spans", "_at", "_text")
+
+
 def with_text_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Equal rows (id and text) share a key; their marks are the same."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -394,9 +398,11 @@ def remove_repeats(
             out.append("".join(k.decode("utf-8", "ignore") for k in kept))
         return pd.Series(out, dtype=object)
 
+    columns = docs.columns
+    docs, back = set_aside(docs, *OWN)
     marked = mark_repeats(docs, id_col, text_col, length, window=window)
     fresh = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return marked.withColumn(text_col, fresh).select(*docs.columns)
+    return marked.withColumn(text_col, fresh).drop(*OWN).withColumnsRenamed(back).select(*columns)
 
 
 def remove_repeated_passages(
@@ -428,6 +434,8 @@ def remove_repeated_passages(
         return pd.Series(out, dtype=object)
 
     length = words * CODE
+    columns = docs.columns
+    docs, back = set_aside(docs, *OWN)
     marked = mark_repeats(docs, id_col, text_col, length, window=length * 3 // 8, by_words=True)
     fresh = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return marked.withColumn(text_col, fresh).select(*docs.columns)
+    return marked.withColumn(text_col, fresh).drop(*OWN).withColumnsRenamed(back).select(*columns)
