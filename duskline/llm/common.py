@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -149,6 +150,35 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
     )
 
 
+# --- memory of Python workers -----------------------------------------------------------------
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and would hold its peak."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """The generator ``run`` of a task, which gives freed memory back at its end."""
+
+    def lean_run(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return lean_run
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: it decides by itself
+    _LIBC = None
+
+
 # --- byte-level helpers for numpy code inside tasks -------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -221,3 +251,4 @@ def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    give_back()

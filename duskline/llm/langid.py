@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, set_aside
+from .common import discard, give_back, lean, materialize, mix64, set_aside
 
 UND = "und"
 
@@ -122,12 +122,15 @@ def train(
                 grams = np.unique(ngrams(text))
                 yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64)})
 
-    grams = chosen.select("lang", "text").mapInPandas(count, "lang string, gram long")
+    grams = chosen.select("lang", "text").mapInPandas(lean(count), "lang string, gram long")
     grams = grams.groupBy("lang", "gram").count()
     top = grams.withColumn(
         "_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))
     ).filter(F.col("_r") <= top_k)
-    rows = top.select("lang", "gram").toPandas()
+    # written first, so that texts reach Python workers in small batches
+    top = materialize(top.select("lang", "gram"), "langid-top")
+    rows = top.toPandas()
+    discard(counts, top)
     langs = sorted(rows["lang"].unique())
     model = BitmaskFilter(langs, 16 * top_k)
     for i, lang in enumerate(langs):
@@ -141,7 +144,9 @@ def predict(docs: DataFrame, model: BitmaskFilter, text_col: str = "text") -> Da
 
     @F.pandas_udf("lang string, score double")
     def decide(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.decide(t) for t in texts], columns=["lang", "score"])
+        out = pd.DataFrame([shared.value.decide(t) for t in texts], columns=["lang", "score"])
+        give_back()
+        return out
 
     docs, back = set_aside(docs, "_decided")
     found = docs.withColumn("_decided", decide(F.col(text_col)))

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Intermediates, RollingHash, batches_of_bytes, discard, materialize, mix64, set_aside, utf8_bytes
+from .common import Intermediates, RollingHash, batches_of_bytes, discard, lean, materialize, mix64, set_aside, utf8_bytes
 from .components import connected_components
 
 TABLES = 40
@@ -176,7 +176,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, tables: int, k: int) ->
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
     )
-    return source.mapInArrow(run, "doc_id long, text_hash long, node long, n_words int, keys array<long>")
+    return source.mapInArrow(lean(run), "doc_id long, text_hash long, node long, n_words int, keys array<long>")
 
 
 def words_of(docs: DataFrame, text_col: str) -> DataFrame:
@@ -192,7 +192,7 @@ def words_of(docs: DataFrame, text_col: str) -> DataFrame:
                 out = [node_hashes(text, words, starts), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["node", "words"]).filter(pa.array(np.diff(starts) > 0))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, words binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, words binary")
 
 
 # --- alignment ---------------------------------------------------------------------------------
@@ -303,7 +303,7 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(lean(run), "a long, b long")
 
 
 def deeper_keys(words: DataFrame, tables: int, k: int, depth: int) -> DataFrame:
@@ -326,7 +326,7 @@ def deeper_keys(words: DataFrame, tables: int, k: int, depth: int) -> DataFrame:
                 ["node", "table", "deeper"],
             )
 
-    return words.select("node", "words").mapInArrow(run, "node long, table int, deeper long")
+    return words.select("node", "words").mapInArrow(lean(run), "node long, table int, deeper long")
 
 
 def profiles(words: list[bytes], bins: int) -> np.ndarray:

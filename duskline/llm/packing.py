@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, materialize
+from .common import batches_of_bytes, lean, materialize
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -120,7 +120,7 @@ def tokenize_pieces(
                 yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, PIECE + (", ids array<int>" if keep_ids else ""))
+    return source.mapInArrow(lean(run), PIECE + (", ids array<int>" if keep_ids else ""))
 
 
 def plan_bins(lengths: np.ndarray, counts: np.ndarray, cap: Capacity, rule: str):

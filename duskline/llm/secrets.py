@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import database_dir, materialize, set_aside
+from .common import database_dir, lean, materialize, set_aside
 
 FINDING = "struct<start:long,rank:int,end:long,kind:string,rule:string>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -101,7 +101,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             found = [[dict(zip(("start", "rank", "end", "kind", "rule"), f)) for f in fs] for fs in found]
             yield pd.DataFrame({"blob": pdf["blob"], "rules": pdf["due"], "findings": found})
 
-    return blobs.select("blob", "text", "due").mapInPandas(run, LEDGER)
+    return blobs.select("blob", "text", "due").mapInPandas(lean(run), LEDGER)
 
 
 class BlobLedger:

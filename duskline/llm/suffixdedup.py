@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batches_of_bytes, discard, materialize, mix64, set_aside, shuffle_partitions, utf8_bytes
+from .common import RollingHash, batches_of_bytes, discard, lean, materialize, mix64, set_aside, shuffle_partitions, utf8_bytes
 
 GRAM = 16
 WINDOW = 150
@@ -140,7 +140,7 @@ def parse(keyed: DataFrame, text_col: str, length: int, gram: int, window: int)
                         break
 
     source = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return source.mapInArrow(run, "context long, entry long, _key long, place long")
+    return source.mapInArrow(lean(run), "context long, entry long, _key long, place long")
 
 
 def repeated_spans(keyed: DataFrame, text_col: str, length: int, gram: int, window: int) -> DataFrame:
@@ -222,7 +222,7 @@ def repeats_in_order(suffixes: DataFrame, order: list[str]) -> DataFrame:
 
     parts = shuffle_partitions(suffixes.sparkSession)
     ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(run, "_key long, start int")
+    return ordered.mapInArrow(lean(run), "_key long, start int")
 
 
 def border_blocks(texts: DataFrame, text_col: str, length: int) -> DataFrame:
@@ -277,7 +277,7 @@ def border_blocks(texts: DataFrame, text_col: str, length: int) -> DataFrame:
                 )
 
     source = texts.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_at")
-    return source.mapInArrow(run, "context long, core long, n long, _key long, start int, lead int, outer binary")
+    return source.mapInArrow(lean(run), "context long, core long, n long, _key long, start int, lead int, outer binary")
 
 
 def _merge(spans, size: int) -> list[tuple[int, int]]:
