@@ -226,3 +226,15 @@ def new_items(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Distinct rows of ``current``, marked ``new`` or ``kept`` by whether ``previous`` has them."""
     new = current.subtract(previous).withColumn("state", F.lit("new"))
     return new.unionByName(current.intersect(previous).withColumn("state", F.lit("kept")))
+
+
+def kept_items(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Distinct rows of ``current`` that ``previous`` has too; null equals null."""
+    return current.intersect(previous)
+
+
+def user_session_ip(edges: DataFrame) -> DataFrame:
+    """(user_id, session_id, ip): the chains of USED and CONNECTED_TO edges (src, dst, type) through a session."""
+    used = edges.filter("type = 'USED'").select(F.col("src").alias("user_id"), F.col("dst").alias("session_id"))
+    met = edges.filter("type = 'CONNECTED_TO'").select(F.col("src").alias("session_id"), F.col("dst").alias("ip"))
+    return used.join(met, "session_id").select("user_id", "session_id", "ip").distinct()

@@ -201,6 +201,20 @@ def botnets(links: DataFrame, as_of: str, hours: int, least: int = 5) -> DataFra
     )
 
 
+def botnet_devices(links: DataFrame, as_of: str, hours: int, least: int = 5) -> DataFrame:
+    """(src, targets, shared_targets, score): the devices of ``botnets``, each once, without meeting any in pairs.
+
+    A target is shared if two new devices or more have it; who shares it is a group-by away, linear in the links.
+    """
+    end = F.lit(as_of).cast(links.schema["first_ts"].dataType)
+    first = links.groupBy("src").agg(F.min("first_ts").alias("_f")).filter((F.col("_f") > end - F.expr(f"INTERVAL {hours} HOUR")) & (F.col("_f") <= end))
+    d = links.join(first, "src", "left_semi").select("src", "dst").distinct()
+    met = d.groupBy("dst").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    g = d.join(met, "dst", "left").groupBy("src").agg(F.count(F.lit(1)).alias("targets"), F.count("_k").alias("shared_targets"))
+    n = F.col("targets")
+    return g.filter((n > least) & (F.col("shared_targets") > 0)).withColumn("score", F.when(n > 20, 0.9).when(n > 10, 0.7).when(n > 5, 0.5).otherwise(0.3))
+
+
 def topology(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, greatest degree, density, mean clustering and components of the undirected graph."""
     u = undirected(edges)
@@ -372,3 +386,19 @@ def update_threat_graph(nodes: DataFrame, edges: DataFrame, iocs: DataFrame, rel
         nodes.join(by_id, ["id", "type"], "left_anti").unionByName(by_id),
         edges.join(by_ends, ["src", "dst", "type"], "left_anti").unionByName(by_ends),
     )
+
+
+def ip_graph(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, hops) of all nodes but the seed around each seed (id), the depth clamped to 1..5."""
+    return k_hop(edges, seeds, max(1, min(5, depth))).filter("hops > 0")
+
+
+def graph_report(*threats: DataFrame, score: str = "score") -> DataFrame:
+    """One row over tables of threats: total, mean (2 digits, 0 if none), critical (.85 and more), high (.7 to .85)."""
+    rows = None
+    for t in threats:
+        part = t.select(F.col(score).cast("double").alias("s"))
+        rows = part if rows is None else rows.unionByName(part)
+    s = F.col("s")
+    mean = F.coalesce(F.round(F.avg(s), 2), F.lit(0.0))
+    return rows.agg(F.count(F.lit(1)).alias("threats"), mean.alias("mean"), F.count_if(s >= 0.85).alias("critical"), F.count_if((s >= 0.7) & (s < 0.85)).alias("high"))

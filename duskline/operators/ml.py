@@ -212,3 +212,54 @@ def needs_retrain(df: DataFrame, as_of: str, ts: str = "ts", least: int = 1000,
     fresh = df.filter((F.col(ts) > now - F.expr("INTERVAL 7 DAY")) & (F.col(ts) <= now))
     out = fresh.agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("newest"))
     return out.withColumn("retrain", (F.col("n") >= least) | (F.col("newest") < now - F.expr(f"INTERVAL {max_age_hours} HOUR")))
+
+
+def encode(df: DataFrame, cols: list[str], label: str | None = None, most: int = 10) -> DataFrame:
+    """``df`` with ``{col}_encoded``: the mean label of a value where a column has more than ``most`` values, else its index.
+
+    Without a label every column is indexed. At most ``most + 1`` values of a column are looked for to decide. Null is
+    no value and is encoded as null.
+    """
+    out = df
+    for c in cols:
+        many = label is not None and df.select(c).filter(F.col(c).isNotNull()).distinct().limit(most + 1).count() > most
+        if many:
+            means = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.avg(label).alias(f"{c}_encoded"))
+            out = out.join(means, c, "left")
+        else:
+            out = label_encode(out, c).withColumnRenamed(f"{c}_index", f"{c}_encoded").withColumn(f"{c}_encoded", F.col(f"{c}_encoded").cast("double"))
+    return out.select(*df.columns, *[f"{c}_encoded" for c in cols])
+
+
+def confusion_matrix(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """(label, predicted, n) for every pair of classes that occur on either side, 0 included; rows with a null are left out."""
+    counts = df.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    classes = counts.select(F.explode(F.array("label", "predicted")).alias("c")).distinct()
+    grid = classes.select(F.col("c").alias("label")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))  # classes, not rows
+    return grid.join(counts, ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def evaluation_report(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """(class, precision, recall, f1, support) of each class, and of ``accuracy``, ``macro avg`` and ``weighted avg``.
+
+    Everything follows from the confusion counts, one row per pair of classes; undefined ratios are 0. The accuracy
+    stands in all three measures of its row.
+    """
+    m = confusion_matrix(df, pred, label)
+    hit = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit")
+    rows = m.groupBy(F.col("label").cast("string").alias("class")).agg(hit, F.sum("n").alias("support"))
+    cols = m.groupBy(F.col("predicted").cast("string").alias("class")).agg(F.sum("n").alias("_p"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    c = rows.join(cols, "class").withColumn("precision", ratio(F.col("hit"), F.col("_p"))).withColumn("recall", ratio(F.col("hit"), F.col("support")))
+    c = c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    measures = ["precision", "recall", "f1"]
+    n = F.sum("support")
+    accuracy = ratio(F.sum("hit"), n)
+    total = c.agg(
+        F.array(
+            F.struct(F.lit("accuracy").alias("class"), *[accuracy.alias(x) for x in measures], n.alias("support")),
+            F.struct(F.lit("macro avg").alias("class"), *[F.avg(x).alias(x) for x in measures], n.alias("support")),
+            F.struct(F.lit("weighted avg").alias("class"), *[ratio(F.sum(F.col(x) * F.col("support")), n).alias(x) for x in measures], n.alias("support")),
+        ).alias("t")
+    )
+    return c.select("class", *measures, "support").unionByName(total.select(F.explode("t").alias("x")).select("x.*"))

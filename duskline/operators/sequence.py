@@ -162,3 +162,31 @@ def compress_sequences(df: DataFrame, session: str, order: list[str], state: str
     rank = F.row_number().over(Window.partitionBy(session).orderBy(F.desc("_f"), *order))
     keep = (F.col("_n") <= least) | (F.col("_r") <= F.floor(F.col("_n") * ratio))
     return rows.withColumn("_r", rank).filter(keep).drop("_f", "_n", "_r")
+
+
+def transition_probs(df: DataFrame, session: str, order: list[str], state: str, ts: str, as_of: str, n: int = 1, lam: float = 1.0) -> DataFrame:
+    """``learn_transitions`` with last_seen and confidence: count / 100 times the recency, at most 0.95.
+
+    The recency is exp(-hours / 168) of the hours from the last sight to ``as_of``; later sights count as now.
+    """
+    t = transitions(df, session, order, state, n).groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"), F.max(ts).alias("last_seen"))
+    w = Window.partitionBy("context")
+    p = (F.col("count") + lam) / (F.sum("count").over(w) + lam * F.count(F.lit(1)).over(w))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    hours = F.greatest((micros(F.lit(as_of)) - micros(F.col("last_seen"))) / 3.6e9, F.lit(0.0))
+    return t.withColumn("probability", p).withColumn("confidence", F.least(F.lit(0.95), F.col("count") / 100 * F.exp(-hours / 168)))
+
+
+def matrix_stats(matrix: DataFrame) -> DataFrame:
+    """One row: states, contexts, transitions, observations, transitions per state (0 if none), last_seen if the matrix has it."""
+    pairs = matrix.select(F.explode(F.array("context", "next")).alias("s")).agg(F.count_distinct("s").alias("states"))
+    last = [F.max("last_seen").alias("last_seen")] if "last_seen" in matrix.columns else []
+    g = matrix.agg(F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("transitions"), F.coalesce(F.sum("count"), F.lit(0)).alias("observations"), *last)
+    out = g.crossJoin(F.broadcast(pairs))  # one row each
+    return out.withColumn("per_state", F.coalesce(F.try_divide("transitions", "states"), F.lit(0.0)))
+
+
+def transition_prob(matrix: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (context, next and more) with the probability of each transition, 0 if it was never seen."""
+    out = asked.join(matrix.select("context", "next", "probability"), ["context", "next"], "left")
+    return out.withColumn("probability", F.coalesce("probability", F.lit(0.0)))

@@ -73,12 +73,18 @@ def direction(slope_col: Column, deviation: Column) -> Column:
     return F.when(F.abs(slope_col) < deviation * 0.1, "stable").when(slope_col > 0, "increasing").otherwise("decreasing")
 
 
-def ewma_trend(df, keys, order, value, alpha):
-    """Trend of the last 10 values: direction against a tenth of the deviation, strength, from 5 values on."""
+def ewma_trend(df, keys, order, value, alpha, volatility: float | None = None):
+    """Trend of the last 10 values: direction against a tenth of the deviation, strength, from 5 values on.
+
+    With ``volatility`` given, a deviation of the last 10 values above twice that makes the direction ``volatile``.
+    """
     rows = slope(ewma_state(df, keys, order, value, alpha), keys, order, value, 10)
-    n = F.row_number().over(_ordered(keys, order))
+    w = _ordered(keys, order)
     sd = F.sqrt("variance")
-    rows = rows.withColumn("n", n).withColumn("direction", F.when(F.col("n") < 5, "stable").otherwise(direction(F.col("slope"), sd)))
+    found = direction(F.col("slope"), sd)
+    if volatility is not None:
+        found = F.when(F.stddev_pop(value).over(w.rowsBetween(-9, 0)) > 2 * volatility, "volatile").otherwise(found)
+    rows = rows.withColumn("n", F.row_number().over(w)).withColumn("direction", F.when(F.col("n") < 5, "stable").otherwise(found))
     return rows.withColumn("strength", F.when(F.col("n") < 5, 0.0).otherwise(F.least(F.lit(1.0), F.abs("slope") / (sd + 0.001))))
 
 
@@ -104,15 +110,20 @@ def ewma_anomaly(df, keys, order, value, alpha):
 
 
 def volatility_analysis(df, keys, order, value):
-    """Deviation of the last 10 and of the 5 before each value, spikes over twice the mean, regime."""
+    """Deviation of the last 10 and of the 5 before each value, spikes over twice its mean, regime.
+
+    The mean is that of the history within the last 20 values, so that no row needs the whole series. The regime is the
+    deviation against it: low below half, medium below 1.5, high below 3 times, else extreme; low without history.
+    """
     w = _ordered(keys, order)
     rows = df.withColumn("volatility", F.coalesce(F.stddev_pop(value).over(w.rowsBetween(-9, 0)), F.lit(0.0)))
     before = F.when(F.row_number().over(w) > 5, F.stddev_pop(value).over(w.rowsBetween(-5, -1)))
     rows = rows.withColumn("history", before)
-    mean = F.avg("history").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("spike", F.coalesce(F.col("history") > mean * 2, F.lit(False)))
-    ratio = F.try_divide("volatility", mean)
-    return rows.withColumn("regime", F.when(ratio > 2, "extreme").when(ratio > 1.5, "high").when(ratio > 0.5, "medium").otherwise("low"))
+    rows = rows.withColumn("_mean", F.avg("history").over(w.rowsBetween(-14, 0)))
+    v, m = F.col("volatility"), F.col("_mean")
+    rows = rows.withColumn("spike", F.coalesce(F.col("history") > m * 2, F.lit(False)))
+    regime = F.when(m.isNull() | (v < m * 0.5), "low").when(v < m * 1.5, "medium").when(v < m * 3, "high").otherwise("extreme")
+    return rows.withColumn("regime", regime).drop("_mean")
 
 
 def change_flag(df, keys, order, value, alpha, k: float = 2.0):
@@ -347,3 +358,50 @@ def trend_patterns(df, keys, order, value, ts, seconds: Column, size=5):
         F.when(by_hour, F.col("_season")).otherwise(F.col("_b.share")).alias("share"), "segments", "change_points",
         F.greatest(F.lit(0.0), 1 - F.col("change_points") / 10).alias("stability"),
     )
+
+
+def temporal_features(df: DataFrame, keys, ts: str) -> DataFrame:
+    """Per key the mean, deviation and distinct number of the hours and of the weekdays (Monday is 0) of its times."""
+    h, d = F.hour(ts), F.weekday(ts)
+    stats = lambda c, n, many: [F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std"), F.count_distinct(c).alias(many)]
+    return df.groupBy(*keys).agg(*stats(h, "hour", "hours"), *stats(d, "day", "days"))
+
+
+def baseline_ema(df: DataFrame, keys, order, seeds: dict[str, float], alpha: float = 0.1) -> DataFrame:
+    """``df`` with ``{column}_baseline`` for each column of ``seeds``: its average smoothed on from the seed given there."""
+    out = df
+    for column, seed in seeds.items():
+        out = ewma(out, keys, order, column, alpha, seed=F.lit(float(seed)), out=f"{column}_baseline")
+    return out
+
+
+def series_insights(df: DataFrame, keys, order, value: str, alpha: float = 0.3, volatility: float = 0.15) -> DataFrame:
+    """(insight, severity, series, share, confidence) over all series: what holds for a large part of them now.
+
+    ``trend_change`` (medium): over 70 % end rising. ``volatility_spike`` (high): over 50 % end volatile, see
+    ``ewma_trend``. ``volatility_regime`` (high): over 30 % end in a high or extreme regime. Series are reduced to their
+    last row before any is compared; no series gives no insight.
+    """
+    rows = volatility_analysis(ewma_trend(df, keys, order, value, alpha, volatility), keys, order, value)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("direction", "regime"), "n").alias("x")).select("x.*")
+    held = {"trend_change": F.col("direction") == "increasing", "volatility_spike": F.col("direction") == "volatile", "volatility_regime": F.col("regime").isin("high", "extreme")}
+    g = last.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(n) for n, c in held.items()])
+    rules = [("trend_change", "medium", 0.7, 0.8), ("volatility_spike", "high", 0.5, 0.9), ("volatility_regime", "high", 0.3, 0.85)]
+    each = [F.struct(F.lit(n).alias("insight"), F.lit(s).alias("severity"), F.col(n).alias("series"), F.try_divide(F.col(n), F.col("_n")).alias("share"), F.lit(c).alias("confidence"), F.lit(m).alias("_least")) for n, s, m, c in rules]
+    return g.select(F.explode(F.array(*each)).alias("i")).select("i.*").filter("share > _least").drop("_least")
+
+
+def validate_series(df: DataFrame, keys, order, value: str, alpha: float, window: int, least: float = 0.7) -> DataFrame:
+    """(keys, points, accuracy, issues, is_valid): checks of a smoothing's parameters and of its forecasts per series.
+
+    Issues: ``alpha_range`` (not between 0 and 1, both left out; there is no accuracy then), ``window_size`` (below 10),
+    ``low_accuracy`` (of the last forecast, below ``least``).
+    """
+    sound = 0 < alpha < 1
+    if sound:
+        g = ewma_forecast(df, keys, order, value, alpha).groupBy(*keys).agg(F.max("n").alias("points"), F.max_by("accuracy", "n").alias("accuracy"))
+    else:
+        g = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("points")).withColumn("accuracy", F.lit(None).cast("double"))
+    found = [F.when(F.lit(not sound), F.lit("alpha_range")), F.when(F.lit(window < 10), F.lit("window_size")), F.when(F.col("accuracy") < least, F.lit("low_accuracy"))]
+    out = g.withColumn("issues", F.array_compact(F.array(*found)))
+    return out.withColumn("is_valid", F.size("issues") == 0)

@@ -7,7 +7,7 @@ from math import ceil, e, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskline.functions.scalars import is_suspicious_item
+from duskline.functions.scalars import is_bot, is_suspicious_item
 
 
 def cms_shape(eps: float, confidence: float) -> tuple[int, int]:
@@ -35,10 +35,16 @@ def cms_query(sketch: DataFrame, items: DataFrame, item: str, eps: float = 0.001
     """Estimate per item: the least of its cells."""
     depth, width = cms_shape(eps, confidence)
     asked = items.select(F.col(item).cast("string").alias(item)).distinct()
-    cells = asked.select(item, F.explode(_cells(F.col(item), depth, width, seed)).alias("x")).select(item, "x.row", "x.bucket")
+    cells = asked.select(item, F.explode(_cells(F.col(item), depth, width, seed)).alias("_cell")).select(item, "_cell.row", "_cell.bucket")
     return cells.join(sketch, ["row", "bucket"], "left").groupBy(item).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
 
 
+def cms_top_k(sketch: DataFrame, candidates: DataFrame, item: str, k: int = 10, **shape) -> DataFrame:
+    """(item, estimate, rank): the ``k`` candidates of highest estimate, ties by item. Null is no candidate."""
+    top = cms_query(sketch, candidates.filter(F.col(item).isNotNull()), item, **shape).orderBy(F.desc("estimate"), item).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("estimate"), item)))  # k rows
+
+
 def cms_metrics(sketch: DataFrame, eps: float = 0.001, confidence: float = 0.99) -> DataFrame:
     depth, width = cms_shape(eps, confidence)
     out = sketch.agg(F.count(F.lit(1)).alias("filled"), (F.sum("cnt") / depth).alias("inserts"))
@@ -211,3 +217,28 @@ def visitor_pattern(df: DataFrame, every: str = "1d", points: int = 24, ts: str
     )
     out = g.withColumns({"pattern": kind, "next": F.round(ahead), "low": F.round(ahead * 0.8), "high": F.round(ahead * 1.2)})
     return out.drop("_last", "_cv").crossJoin(F.broadcast(hours))  # one row each
+
+
+def _shares(df: DataFrame, group: Column, name: str, item: str) -> DataFrame:
+    """Distinct items per group, with its percentage of the sum over all groups."""
+    g = df.groupBy(group.alias(name)).agg(F.count_distinct(item).alias("visitors"))
+    total = g.agg(F.sum("visitors").alias("_n"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(name, "visitors", (F.col("visitors") * 100.0 / F.col("_n")).alias("percentage"))
+
+
+def visitors_by_geo(df: DataFrame, item: str = "ip", country: str = "country") -> DataFrame:
+    """(country, visitors, percentage)."""
+    return _shares(df, F.col(country), "country", item)
+
+
+def visitors_by_agent(df: DataFrame, item: str = "ip", agent: str = "user_agent") -> DataFrame:
+    """(kind, visitors, percentage) by bot, browser and tool."""
+    kind = F.when(is_bot(agent), "bot").when(F.col(agent).startswith("Mozilla"), "browser").otherwise("tool")
+    return _shares(df, kind, "kind", item)
+
+
+def visitor_insights(trend: DataFrame) -> DataFrame:
+    """(bucket, insight) from ``visitor_trend``: growth over 50 %, anomaly over 0.7, decline below -30 %; one row each."""
+    rules = [("growth", F.col("growth") > 50), ("anomaly", F.col("anomaly") > 0.7), ("decline", F.col("growth") < -30)]
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
+    return trend.select("bucket", F.explode(found).alias("insight"))

@@ -294,11 +294,10 @@ def _(t):
 
 @query("f13_temporal_features", "SELECT user_id, round(avg(hour(ts)), 6) AS hour_mean, round(stddev_pop(hour(ts)), 6) AS hour_std, count(DISTINCT hour(ts)) AS hours, round(avg(isodow(ts) - 1), 6) AS day_mean, round(stddev_pop(isodow(ts) - 1), 6) AS day_std, count(DISTINCT isodow(ts)) AS days FROM events GROUP BY user_id")
 def _(t):
-    h, d = F.hour("ts"), F.weekday("ts")
-    return t.events.groupBy("user_id").agg(
-        rnd(F.avg(h), 6).alias("hour_mean"), rnd(F.stddev_pop(h), 6).alias("hour_std"), F.count_distinct(h).alias("hours"),
-        rnd(F.avg(d), 6).alias("day_mean"), rnd(F.stddev_pop(d), 6).alias("day_std"), F.count_distinct(d).alias("days"),
-    )
+    from duskline.operators.series import temporal_features
+
+    f = temporal_features(t.events, ["user_id"], "ts")
+    return f.withColumns({c: rnd(c, 6) for c in ("hour_mean", "hour_std", "day_mean", "day_std")})
 
 
 @query("f14_hash_quality", "SELECT 0.0::double AS collision_rate, true AS even FROM (SELECT count(text) AS n FROM documents)")

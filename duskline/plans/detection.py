@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duskline.functions import scalars as S
 from duskline.operators import detect as D
+from duskline.operators import explain as X
 
 from .registry import query, rnd
 
@@ -117,11 +118,10 @@ def _(t):
     return t.requests.select("request_id", D.deception_level("user_agent", "ip", "method", "body").alias("level"))
 
 
-@query("d16_deception_events", f"SELECT request_id, {LEVEL} AS level, CASE {LEVEL} WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 ELSE 0.2 END::double AS threat FROM requests WHERE path = '/admin/config?debug=1'", "requests")
+@query("d16_deception_events", f"SELECT request_id, {LEVEL} AS level, CASE {LEVEL} WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END::double AS threat FROM requests WHERE path = '/admin/config?debug=1'", "requests")
 def _(t):
-    r = t.requests.filter("path = '/admin/config?debug=1'").withColumn("level", D.deception_level("user_agent", "ip", "method", "body"))
-    threat = F.when(F.col("level") == "critical", 1.0).when(F.col("level") == "high", 0.8).when(F.col("level") == "medium", 0.5).otherwise(0.2)
-    return r.select("request_id", "level", threat.alias("threat"))
+    traps = t.spark.createDataFrame([("honeypot_access", "/admin/config?debug=1")], "type string, trap string")
+    return X.deception_events(t.requests, traps, "request_id", {"honeypot_access": "path"}).select("request_id", "level", F.col("threat_level").alias("threat"))
 
 
 CODE = "SELECT p_partkey AS id, concat(concat('contract C ', chr(123)), chr(10), concat('function f() public ', chr(123)), chr(10), CASE p_partkey % 3 WHEN 0 THEN 'x.call(1);' WHEN 1 THEN 'require(tx.origin == a);' ELSE 'y.send(2);' END, chr(10), CASE p_partkey % 2 WHEN 0 THEN 'total = total - 1;' ELSE 'emit Done(price);' END, chr(10), chr(125), chr(10), CASE p_partkey % 5 WHEN 0 THEN concat('function kill() ', chr(123), ' selfdestruct(o); ', chr(125)) ELSE concat('function g() ', chr(123), ' require(ok); ', chr(125)) END, chr(10), chr(125)) AS code FROM {part}"
@@ -219,17 +219,14 @@ def _(t):
 
 @query("g02_session_patterns", "WITH r AS (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, request_id DESC) AS k, ts, request_id FROM requests) SELECT session_id, string_agg(path, ' ' ORDER BY ts, request_id) AS pages FROM r WHERE k <= 20 GROUP BY session_id", "requests")
 def _(t):
-    from duskline.operators.enrich import top_k_per_group
-
-    last = top_k_per_group(t.requests.select("session_id", "path", "ts", "request_id"), ["session_id"], [F.desc("ts"), F.desc("request_id")], 20)
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("ts", "request_id", "path"))), lambda x: x["path"])
-    return last.groupBy("session_id").agg(F.array_join(pages, " ").alias("pages"))
+    p = X.page_sequence(t.requests, "session_id", "path", ["ts", "request_id"])
+    return p.select("session_id", F.array_join("pages", " ").alias("pages"))
 
 
 @query("g03_base_score", "SELECT request_id, round(risk_score * 0.4 + duration_ms / 600 * 0.3 + parity / 5 * 0.3, 5) AS base, round(risk_score * 0.4 + duration_ms / 600 * 0.35 + parity / 5 * 0.25, 5) AS average FROM requests", "requests")
 def _(t):
-    a, b, c = F.col("risk_score"), F.col("duration_ms") / 600, F.col("parity") / 5
-    return t.requests.select("request_id", rnd(a * 0.4 + b * 0.3 + c * 0.3).alias("base"), rnd(a * 0.4 + b * 0.35 + c * 0.25).alias("average"))
+    parts = F.col("risk_score"), F.col("duration_ms") / 600, F.col("parity") / 5
+    return t.requests.select("request_id", rnd(X.base_score(*parts)).alias("base"), rnd(X.average_score(*parts)).alias("average"))
 
 
 def factors():
@@ -299,7 +296,7 @@ def _(t):
 
 @query("g13_response_metrics", "SELECT CASE WHEN risk_score BETWEEN 0 AND 0.3 THEN 'monitor' WHEN risk_score BETWEEN 0.3 AND 0.5 THEN 'warn' WHEN risk_score BETWEEN 0.5 AND 0.7 THEN 'restrict' WHEN risk_score BETWEEN 0.7 AND 0.85 THEN 'block' WHEN risk_score BETWEEN 0.85 AND 1 THEN 'isolate' END AS tier, count(*) AS n, round(avg(duration_ms), 5) AS latency FROM requests GROUP BY 1", "requests")
 def _(t):
-    return D.response_tier(t.requests, "risk_score", "ip", "ts", "request_id").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("duration_ms")).alias("latency"))
+    return D.response_tier(t.requests, "risk_score", "ip", "ts", "request_id").transform(X.response_metrics, "tier", "duration_ms").select("tier", "n", rnd("mean_latency").alias("latency"))
 
 
 @query("g14_plan_playbooks", "SELECT request_id, p.id AS playbook_id, p.pos AS position, p.step FROM requests JOIN (SELECT 'brute_force' AS id, 'error' AS et, 0.1 AS mr, unnest([0, 1]) AS pos, unnest(['block_ip', 'notify']) AS step UNION ALL SELECT 'fraud', 'purchase', 0.2, 0, 'hold') p ON p.et = event_type AND risk_score >= p.mr AND parity / 4 >= 0.5", "requests")

@@ -138,8 +138,7 @@ def _(t):
 @query("k19_visitor_insights", f"WITH {VT} SELECT epoch_us(b) // 1000000 AS bucket, 'growth' AS insight FROM w WHERE growth > 50 UNION ALL SELECT epoch_us(b) // 1000000, 'anomaly' FROM w WHERE z / 3 > 0.7 UNION ALL SELECT epoch_us(b) // 1000000, 'decline' FROM w WHERE growth < -30", "requests")
 def _(t):
     v = K.visitor_trend(t.requests).withColumn("bucket", F.unix_timestamp("bucket"))
-    part = lambda c, n: v.filter(c).select("bucket", F.lit(n).alias("insight"))
-    return part("growth > 50", "growth").unionByName(part("anomaly > 0.7", "anomaly")).unionByName(part("growth < -30", "decline"))
+    return K.visitor_insights(v)
 
 
 @query("k20_compare_periods", "SELECT 'first' AS period, count(DISTINCT ip) AS n FROM requests WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' UNION ALL SELECT 'second', count(DISTINCT ip) FROM requests WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'", "requests")
@@ -308,10 +307,8 @@ def _(t):
 @query("j08_user_session_ip", "SELECT r.user_id, r.session_id, r.ip, count(*) AS requests, count_if(risk_score > 0.5) AS threats FROM requests r GROUP BY 1, 2, 3", "requests")
 def _(t):
     _, e = G.build_graph(t.requests)
-    a = e.filter("type = 'USED'").select(F.col("src").alias("user_id"), F.col("dst").alias("session_id"))
-    b = e.filter("type = 'CONNECTED_TO'").select(F.col("src").alias("session_id"), F.col("dst").alias("ip"))
     k = t.requests.groupBy("session_id", "ip").agg(N().alias("requests"), F.count_if(F.col("risk_score") > 0.5).alias("threats"))
-    return a.join(b, "session_id").join(k, ["session_id", "ip"]).select(F.col("user_id").cast("long").alias("user_id"), "session_id", "ip", "requests", "threats")
+    return E.user_session_ip(e).join(k, ["session_id", "ip"]).select(F.col("user_id").cast("long").alias("user_id"), "session_id", "ip", "requests", "threats")
 
 
 @query("j10_session_chain", "SELECT user_id, session_id, string_agg(DISTINCT path, ' ' ORDER BY path) AS paths FROM requests GROUP BY 1, 2", "requests")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskline.functions import scalars as S
 from duskline.operators import enrich as E
+from duskline.operators import explain as X
 
 from .registry import query, rnd
 
@@ -111,7 +112,7 @@ def _(t):
 
 @query("t03_rank_matches", "SELECT request_id, severity FROM requests ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, risk_score DESC, request_id LIMIT 100", "requests")
 def _(t):
-    return t.requests.orderBy(S.severity_rank("severity").desc(), F.desc("risk_score"), "request_id").limit(100).select("request_id", "severity")
+    return X.rank_matches(t.requests, "severity", "risk_score", "request_id").limit(100).select("request_id", "severity")
 
 
 @query("t04_top_violators", "SELECT ip, count(*) AS violations, max(epoch_us(ts) // 1000000) AS last_seen FROM requests WHERE status_code >= 400 GROUP BY ip ORDER BY violations DESC, ip LIMIT 10", "requests")

@@ -69,7 +69,7 @@ def _(t):
 @query(
     "w08_volatility_analysis",
     f"WITH {BASE}, h AS (SELECT *, coalesce(stddev_pop(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) AS vol, CASE WHEN i > 5 THEN stddev_pop(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS hist FROM b), "
-    "m AS (SELECT *, avg(hist) OVER (PARTITION BY user_id) AS mean FROM h) SELECT event_id, round(vol, 5) AS volatility, coalesce(hist > mean * 2, false) AS spike, CASE WHEN vol / mean > 2 THEN 'extreme' WHEN vol / mean > 1.5 THEN 'high' WHEN vol / mean > 0.5 THEN 'medium' ELSE 'low' END AS regime FROM m",
+    "m AS (SELECT *, avg(hist) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS mean FROM h) SELECT event_id, round(vol, 5) AS volatility, coalesce(hist > mean * 2, false) AS spike, CASE WHEN mean IS NULL OR vol < mean * 0.5 THEN 'low' WHEN vol < mean * 1.5 THEN 'medium' WHEN vol < mean * 3 THEN 'high' ELSE 'extreme' END AS regime FROM m",
 )
 def _(t):
     return W.volatility_analysis(ev(t), K, O, V).select("event_id", rnd("volatility").alias("volatility"), "spike", "regime")
