@@ -10,8 +10,11 @@ occurs on it, or by its own best container if none does.
 Blocks are the text runs between block-level tags. Character references are
 decoded, white space inside a block becomes one space, and blocks are joined in
 page order by a line feed; nothing is capped. A class or id marks furniture only if
-all its words do (``cookie-notice``, not ``notice-period``), inside an article only on
-grouping elements. Left out: menus, page headers,
+all its words do (``cookie-notice``, not ``notice-period``; words of several
+languages), inside an article only on grouping elements and not by a word that is
+a topic as well (``promotion``). A header outside an article is the page's, unless
+it is right inside a part named as content (``div.main``) and holds a first
+heading that is no link. Left out: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
 
 A null or empty page gives an empty text; a page without a container gives what
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -39,6 +43,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([a-zA-Z-]+)""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+MARKS = re.compile(r"[\u0300-\u036f]")
 
 # Element names of the HTML standard by role here, and usual names of page furniture.
 RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes", "template", "svg"}
@@ -57,7 +62,15 @@ FURNITURE = {
     "disqus", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "share",
     "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "login", "masthead",
     "topbar", "alert", "gdpr", "respond", "replies",
+    "werbung", "anzeige", "anzeigen", "reklame", "kommentar", "kommentare", "seitenleiste", "fusszeile", "kopfzeile",
+    "publicite", "annonce", "annonces", "commentaire", "commentaires", "publicidad", "anuncio", "anuncios",
+    "comentario", "comentarios", "publicidade", "pubblicita", "annuncio", "annunci", "commento", "commenti", "reclame",
+    "advertentie", "advertenties", "reacties",
 }
+# Words of the list above that articles are about as well; inside an article they don't mark furniture.
+TOPICS = {"promotion", "sponsor", "consent", "annonce", "anzeige"}
+# Words by which pages name the part that holds the article.
+CONTENT = {"main", "content", "article", "post", "entry", "story"}
 # Words that add nothing to the ones above in the name of a class or an id.
 NEUTRAL = {
     "main", "site", "page", "global", "post", "posts", "article", "articles", "entry", "blog", "top", "bottom", "left",
@@ -74,11 +87,29 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LISTS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "select"}
 
 
+def words_of(label: str) -> set[str]:
+    """The lower-cased words of a class or id, without accents and numbers."""
+    if not label.isascii():
+        label = MARKS.sub("", unicodedata.normalize("NFD", label)).replace("ß", "ss")
+    return {w.lower() for w in WORD.findall(label) if not w.isdigit()}
+
+
 @lru_cache(maxsize=4096)
-def is_furniture(label: str) -> bool:
-    """Whether a class or id names page furniture: with all its words, not with one among others."""
-    words = {w.lower() for w in WORD.findall(label) if not w.isdigit()}
-    return not FURNITURE.isdisjoint(words) and words <= FURNITURE | NEUTRAL
+def is_furniture(label: str, inside: bool = False) -> bool:
+    """Whether a class or id names page furniture: with all its words, not with one among others.
+
+    ``inside`` an article, words that are also topics don't count.
+    """
+    words = words_of(label)
+    named = FURNITURE - TOPICS if inside else FURNITURE
+    return not named.isdisjoint(words) and words <= FURNITURE | NEUTRAL
+
+
+@lru_cache(maxsize=4096)
+def is_content(label: str) -> bool:
+    """Whether a class or id names the part of the page that holds the article."""
+    words = words_of(label)
+    return not CONTENT.isdisjoint(words) and words <= CONTENT | NEUTRAL
 
 
 class Page:
@@ -90,7 +121,10 @@ class Page:
         self.path: list[str] = [""]
         self.skip: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
+        self.content: set[int] = set()  # elements named as the part that holds the article
+        self.headers: list[int] = []  # headers right inside those, kept if they hold the title
         self._parse(source)
+        self._drop_headers()
 
     def _attributes(self, text: str) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -103,7 +137,10 @@ class Page:
         skip = name in SKIP
         inside = self._inside
         if name == "header" and not inside:
-            skip = True
+            if parent in self.content:
+                self.headers.append(len(self.name))
+            else:
+                skip = True
         step = name
         if "=" in text or "hidden" in text:
             a = self._attributes(text)
@@ -111,8 +148,11 @@ class Page:
             if classes:
                 step += "." + ".".join(sorted(re.sub(r"\d+", "#", c) for c in classes))
             if name not in ("html", "body"):
+                labels = (*classes, a.get("id", ""))
                 if not inside or name in GROUPS:
-                    skip = skip or any(map(is_furniture, (*classes, a.get("id", ""))))
+                    skip = skip or any(is_furniture(x, inside > 0) for x in labels)
+                if name in CONTAINER and any(map(is_content, labels)):
+                    self.content.add(len(self.name))
                 if not inside and name != "article" and "header" in a.get("id", "").lower().split():
                     skip = True
                 skip = skip or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
@@ -216,6 +256,24 @@ class Page:
                 stack.pop()
         flush()
 
+    def _drop_headers(self) -> None:
+        """Drop the headers of content parts that hold no first heading, or mostly links."""
+        if not self.headers:
+            return
+        under = [0] * len(self.name)  # the outermost such header around an element
+        heads = set(self.headers)
+        for e in range(1, len(self.name)):
+            under[e] = under[self.parent[e]] or (e if e in heads else 0)
+        size, links, titled = dict.fromkeys(heads, 0), dict.fromkeys(heads, 0), set()
+        for e, text, linked in self.blocks:
+            if h := under[e]:
+                size[h] += len(text)
+                links[h] += linked
+                if self.name[e] == "h1":
+                    titled.add(h)
+        kept = {h for h in titled if 2 * links[h] <= size[h]} | {0}
+        self.blocks = [b for b in self.blocks if under[b[0]] in kept]
+
     def best(self) -> tuple[int, float]:
         """The best container and its score; the root if there is none."""
         score = [0.0] * len(self.name)
