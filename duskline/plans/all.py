@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import basics, behaviorq, details, detection, entities, joins, reports, serieq, streamq  # noqa: F401
+from . import basics, behaviorq, bounds, details, detection, entities, joins, reports, serieq, streamq  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -136,3 +136,24 @@ def test_evaluation_of_missing_classes(spark):
     assert rows(M.confusion_matrix(df, "p", "y"), "label", "predicted") == [(0, 0, 1), (0, 1, 1), (0, 2, 0), (1, 0, 0), (1, 1, 1), (1, 2, 0), (2, 0, 1), (2, 1, 0), (2, 2, 0)]
     r = {x["class"]: x for x in M.evaluation_report(df, "p", "y").collect()}
     assert r["2"].precision == 0.0 and r["2"].support == 1 and r["accuracy"].f1 == 0.5 and r["weighted avg"].recall == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize(("a", "b"), [(1.0, 1.0), (0.4, 0.7), (30.0, 5.0), (2.0, 400.0), (1e6, 3e6)])
+def test_beta_draws_have_the_right_moments(spark, a, b):
+    from duskline.operators.limits import beta_draw
+
+    n = 40000
+    draws = spark.range(n, numPartitions=4).select("id", beta_draw(3)(F.lit(a), F.lit(b), F.xxhash64("id")).alias("x"))
+    m, v, low, high, kinds = draws.agg(F.avg("x"), F.var_pop("x"), F.min("x"), F.max("x"), F.count_distinct("x")).first()
+    mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+    assert abs(m - mean) < 5 * (var / n) ** 0.5 and abs(v / var - 1) < 0.06
+    assert 0 <= low and high <= 1 and kinds > 0.99 * n
+
+
+def test_beta_draws_repeat_and_pass_nulls(spark):
+    from duskline.operators.limits import beta_draw
+
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 1.0), (3, 0.0, 1.0), (None, 1.0, 1.0), (5, 2.0, 3.0)], "k long, a double, b double")
+    one = rows(df.coalesce(1).select("k", beta_draw()("a", "b", "k").alias("x")), "k")
+    assert one == rows(df.repartition(5).select("k", beta_draw()("a", "b", "k").alias("x")), "k")
+    assert [k for k, x in one if x is None] == [None, 2, 3] and one[1][1] != one[-1][1]
