@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,11 +158,14 @@ def prediction_metrics(matrix: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def compress_sequences(df: DataFrame, session: str, order: list[str], state: str, ratio: float = 0.7, least: int = 100) -> DataFrame:
-    """Sessions over ``least`` states keep the share ``ratio`` of rows with the most frequent states, in time order."""
+    """Sessions over ``least`` states keep the share ``ratio`` of rows with the most frequent states, in time order.
+
+    The share is taken as the decimal it is written as: 0.7 of 90 rows is 63, where doubles give 62.99.
+    """
     freq = Window.partitionBy(session, state)
     rows = df.withColumn("_f", F.count(F.lit(1)).over(freq)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(session)))
     rank = F.row_number().over(Window.partitionBy(session).orderBy(F.desc("_f"), *order))
-    keep = (F.col("_n") <= least) | (F.col("_r") <= F.floor(F.col("_n") * ratio))
+    keep = (F.col("_n") <= least) | (F.col("_r") <= F.floor(F.col("_n") * F.lit(Decimal(str(ratio)))))
     return rows.withColumn("_r", rank).filter(keep).drop("_f", "_n", "_r")
 
 
