@@ -310,11 +310,12 @@ def coordinated_attacks(edges: DataFrame, requests: DataFrame, least: int = 3, b
     """Addresses with at least ``least`` others within two hops that show an attack pattern together.
 
     ``edges`` link addresses. ddos: over 5 related ones; brute_force: over ``busy`` requests from them; scanning: over
-    ``wide`` distinct paths among these. (ip, related, requests, paths, patterns, severity, confidence)
+    ``wide`` distinct paths among these. (ip, related, requests, paths, patterns, severity, confidence) Links and related
+    addresses are stored, so what made the edges runs once.
     """
-    links = undirected(edges)
+    links = _checkpoint(undirected(edges))
     far = links.alias("l").join(links.alias("m"), F.col("l.dst") == F.col("m.src")).select(F.col("l.src").alias("src"), F.col("m.dst").alias("dst"))
-    related = links.unionByName(far).filter("src <> dst").distinct()
+    related = _checkpoint(links.unionByName(far).filter("src <> dst").distinct())
     seen = requests.groupBy(F.col("ip").alias("dst"), "path").agg(F.count(F.lit(1)).alias("_n"))
     g = related.groupBy("src").agg(F.count(F.lit(1)).alias("related")).filter(F.col("related") >= least)
     acts = related.join(seen, "dst").groupBy("src").agg(F.sum("_n").alias("requests"), F.count_distinct("path").alias("paths"))
@@ -326,16 +327,23 @@ def coordinated_attacks(edges: DataFrame, requests: DataFrame, least: int = 3, b
     return out.withColumn("severity", severity).withColumn("confidence", sure)
 
 
+def address_pairs(pairs: DataFrame) -> DataFrame:
+    """(a_ip, b_ip, n, strength): how often two addresses are related, and the mean strength; stored, a row per two addresses."""
+    return _checkpoint(pairs.groupBy("a_ip", "b_ip").agg(F.count(F.lit(1)).alias("n"), F.avg("strength").alias("strength")))
+
+
 def relation_risk(requests: DataFrame, attacks: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(ip, risk): by severity of its coordinated attack, mean strength of its relations, and threat of its place.
 
-    ``attacks`` is as ``coordinated_attacks`` gives it, ``pairs`` has (a_ip, b_ip, strength), ``clusters`` is as
-    ``geo_clusters`` gives it; only places with a risk above 0.5 count.
+    ``attacks`` is as ``coordinated_attacks`` gives it, ``pairs`` has (a_ip, b_ip, strength) or, as ``address_pairs``
+    gives them, their means and numbers (n); ``clusters`` is as ``geo_clusters`` gives it; only places with a risk above
+    0.5 count.
     """
     base = F.when(F.col("severity") == "critical", 0.8).when(F.col("severity") == "high", 0.6).when(F.col("severity") == "medium", 0.4).otherwise(0.2)
     a = attacks.select("ip", base.alias("_a"))
-    both = pairs.select(F.explode(F.array("a_ip", "b_ip")).alias("ip"), "strength")
-    s = both.groupBy("ip").agg((F.avg("strength") * 0.3).alias("_s"))
+    n = F.col("n") if "n" in pairs.columns else F.lit(1)
+    both = pairs.select(F.explode(F.array("a_ip", "b_ip")).alias("ip"), "strength", n.alias("n"))
+    s = both.groupBy("ip").agg((F.sum(F.col("strength") * F.col("n")) / F.sum("n") * 0.3).alias("_s"))
     hot = clusters.filter("risk > 0.5").select("country", "region", "city", F.col("risk").alias("_r"))
     at = requests.select("ip", "country", "region", "city").distinct()
     c = at.join(hot, ["country", "region", "city"]).groupBy("ip").agg((F.max("_r") * 0.2).alias("_c"))
