@@ -96,7 +96,7 @@ def incident_report(events: DataFrame, case: str, ts: str, tie: str, host: str,
     return out.withColumns({
         "systems": F.coalesce("systems", F.array().cast("array<string>")), "techniques": F.coalesce("techniques", F.array().cast("array<string>")),
         "confidence": F.least(F.lit(1.0), 0.4 + 0.1 * F.size(F.coalesce("techniques", F.array().cast("array<string>")))),
-        "summary": F.concat(F.lit("Incident around "), F.col(case).cast("string"), F.lit(" classified as "), F.col("severity"), F.lit(".")),
+        "summary": incident_summary(F.col(case), F.col("severity")),
         "remediation": F.array(*map(F.lit, REMEDIATION)),
     })
 
@@ -121,6 +121,28 @@ def investigation_context(events: DataFrame, entities: DataFrame, as_of: str, ho
     return recent.join(entities.select("case_id", F.col("ip").alias("_ip")), F.col("ip") == F.col("_ip")).drop("_ip")
 
 
+def shared_cases(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((case_id, ip) of one case for each set of addresses, (case_id, like)): the cases with the addresses of case ``like``.
+
+    Cases of the same addresses have the same events. So events meet one of them only, and what is found of it holds for
+    the others (``for_all_cases``): the work grows with the events, not with events times cases.
+    """
+    sets = entities.groupBy("case_id").agg(F.sort_array(F.collect_list("ip")).alias("_ips"))
+    likes = sets.groupBy("_ips").agg(F.min("case_id").alias("like"))
+    members = sets.join(likes, "_ips").select("case_id", "like")
+    return likes.select(F.col("like").alias("case_id"), F.explode("_ips").alias("ip")), members
+
+
+def for_all_cases(found: DataFrame, members: DataFrame, case: str = "case_id") -> DataFrame:
+    """What was found of the cases that stand for others, for every case."""
+    out = found.withColumnRenamed(case, "like").join(members.withColumnRenamed("case_id", case), "like").select(*found.columns)
+    return out.withColumn("summary", incident_summary(F.col(case), F.col("severity"))) if "summary" in found.columns else out
+
+
+def incident_summary(case: Column, severity: Column) -> Column:
+    return F.concat(F.lit("Incident around "), case.cast("string"), F.lit(" classified as "), severity, F.lit("."))
+
+
 def incident_score(events: DataFrame, case: str, host: str, criticality: str, kind: str, text: str) -> DataFrame:
     """Severity of each case from its events, hosts, asset criticality, exfiltration and lateral movement."""
     k, t = F.lower(F.col(kind)), F.lower(F.col(text))

@@ -684,16 +684,23 @@ KC = "k AS (SELECT case_id, ts, unnest([CASE WHEN contains(lower(event_type), 'l
 STAGED = "x AS (SELECT * REPLACE (CASE event_type WHEN 'signup' THEN 'login_failed' WHEN 'purchase' THEN 'large_upload' ELSE event_type END AS event_type, CASE request_id % 10 WHEN 5 THEN 'psexec remote' WHEN 6 THEN 'registry startup' ELSE body END AS body) FROM c)"
 
 
-def staged(t):
-    """The cases with events and bodies that show every stage."""
+def shared(t):
+    """The events of one case for each address, and the cases that share them."""
+    ents, members = H.shared_cases(t.assets.select(F.col("asset_id").alias("case_id"), "ip"))
+    return H.investigation_context(E.enrich_assets(t.requests, t.assets), ents, "2024-01-15"), members
+
+
+def staged(events):
+    """Events of cases with types and bodies that show every stage."""
     k = F.when(F.col("event_type") == "signup", "login_failed").when(F.col("event_type") == "purchase", "large_upload").otherwise(F.col("event_type"))
     b = F.when(F.col("request_id") % 10 == 5, "psexec remote").when(F.col("request_id") % 10 == 6, "registry startup").otherwise(F.col("body"))
-    return cases(t).withColumns({"event_type": k, "body": b})
+    return events.withColumns({"event_type": k, "body": b})
 
 
 @query("h09_kill_chain_timeline", f"WITH {CASES}, {STAGED}, {KC} SELECT case_id, stage, n, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen FROM kc", "requests", "assets")
 def _(t):
-    k = H.kill_chain_timeline(staged(t), "case_id", "ts", "event_type", "body")
+    events, members = shared(t)
+    k = H.for_all_cases(H.kill_chain_timeline(staged(events), "case_id", "ts", "event_type", "body"), members)
     return k.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_seen", "last_seen")})
 
 
@@ -702,7 +709,9 @@ INC = f"{CASES}, g AS (SELECT case_id, count(*) AS events, count(DISTINCT host)
 
 @query("h10_incident_score", f"WITH {INC} SELECT case_id, events, hosts, round(sc, 4) AS score, CASE WHEN sc >= 0.8 THEN 'critical' WHEN sc >= 0.65 THEN 'high' WHEN sc >= 0.45 THEN 'medium' ELSE 'low' END AS severity FROM s", "requests", "assets")
 def _(t):
-    return H.incident_score(cases(t), "case_id", "host", "criticality", "event_type", "body").select("case_id", "events", "hosts", rnd("score", 4).alias("score"), "severity")
+    events, members = shared(t)
+    s = H.for_all_cases(H.incident_score(events, "case_id", "host", "criticality", "event_type", "body"), members)
+    return s.select("case_id", "events", "hosts", rnd("score", 4).alias("score"), "severity")
 
 
 @query(
@@ -716,7 +725,9 @@ def _(t):
     "requests", "assets",
 )
 def _(t):
-    r = H.incident_report(staged(t), "case_id", "ts", "request_id", "host", "criticality", "event_type", "body", 3)
+    events, members = shared(t)
+    r = H.incident_report(staged(events), "case_id", "ts", "request_id", "host", "criticality", "event_type", "body", 3)
+    r = H.for_all_cases(r, members)
     text = lambda c, f: F.array_join(F.transform(c, f), ",")
     return r.select(
         "case_id", rnd("score", 4).alias("score"), "severity", F.array_join("systems", ",").alias("systems"), F.array_join("techniques", ",").alias("techniques"),
