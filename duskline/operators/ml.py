@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,10 +73,18 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``is_train``: the first share of each label's rows in hash order of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("is_train", F.row_number().over(order) <= F.floor(n * share))
+    """Add ``is_train``: the first share of each label's rows in hash order of the key.
+
+    Rows are numbered inside 4096 ranges of the hash, and ranges by their counts, so that no task orders a whole label.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_c", F.shiftright("_h", 52))
+    sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_c").alias("_c2")).agg(F.count(F.lit(1)).alias("_k"))
+    earlier = Window.partitionBy("_l").orderBy("_c2").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumns({"_b": F.coalesce(F.sum("_k").over(earlier), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy("_l"))})
+    joined = rows.join(before, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_c") == F.col("_c2")))
+    r = F.col("_b") + F.row_number().over(Window.partitionBy(label, "_c").orderBy("_h", key))
+    out = joined.withColumn("_r", r).withColumn("is_train", F.col("_r") <= F.floor(F.col("_n") * F.lit(Decimal(str(share)))))
+    return out.select(*df.columns, "is_train")
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -88,7 +98,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)  # one row a label, which a shuffle would put into one task each
 
 
 def train_forest(df: DataFrame, cols: list[str], label: str, trees: int = 20, seed: int = 42):
