@@ -33,8 +33,15 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, hops): nodes within ``depth`` hops of each seed, by frontier expansion."""
-    links = undirected(edges)
+    """(seed, node, hops): nodes within ``depth`` hops of each seed, by frontier expansion.
+
+    ``edges`` are stored once and met as they are: only what a frontier reaches is made distinct, not all edges.
+    """
+    return _expand(_checkpoint(edges.select("src", "dst")), seeds, depth)
+
+
+def _expand(stored: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    links = stored.union(stored.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
     reached = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hops"))
     frontier = reached
     for h in range(1, depth + 1):
@@ -81,7 +88,8 @@ def relation_analysis(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     A seed is related to itself if a path comes back to it: by a parallel edge, or round a triangle. Seeds without
     edges have none. The frontiers of all seeds grow together and are deduplicated at each hop.
     """
-    hops = _checkpoint(k_hop(edges, seeds, 3).filter("hops > 0"))
+    edges = _checkpoint(edges.select("src", "dst"))
+    hops = _checkpoint(_expand(edges, seeds, 3).filter("hops > 0"))
     near = hops.filter("hops = 1").select("seed", "node")
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
     twice = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("src").alias("seed"), F.col("dst").alias("node"))
@@ -261,19 +269,34 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by minimum propagation with pointer jumping until nothing changes."""
+    """(node, component): smallest node reachable, by contraction.
+
+    Each node points to the least of itself and its neighbours; pointer jumping makes that the least node of its tree.
+    Then the trees are the nodes and what links two of them the edges, until no edge is left. Edges are read three times
+    a round, and soon there are few.
+    """
     links = _checkpoint(undirected(edges))
-    labels = links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    labels = None
     while True:
-        near = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_m"))
-        new = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("_j"))
-        new = _checkpoint(new.join(jump, "component").select("node", F.least("component", "_j").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "_o"), "node").filter("component <> _o")
-        labels = new
-        if changed.isEmpty():
-            break
-    return labels
+        hook = links.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component"))
+        hook = _checkpoint(hook)
+        while True:
+            up = hook.select(F.col("node").alias("component"), F.col("component").alias("_j"))
+            jumped = _checkpoint(hook.join(up, "component").select("node", F.col("_j").alias("component"), (F.col("_j") < F.col("component")).alias("_moved")))
+            hook = jumped.drop("_moved")
+            if jumped.filter("_moved").isEmpty():
+                break
+        if labels is None:
+            labels = hook
+        else:
+            root = hook.select(F.col("node").alias("component"), F.col("component").alias("_r"))
+            labels = _checkpoint(labels.join(root, "component", "left").select("node", F.coalesce("_r", "component").alias("component")))
+        a = hook.select(F.col("node").alias("src"), F.col("component").alias("_a"))
+        b = hook.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+        cross = links.join(a, "src").join(b, "dst").filter("_a <> _b")
+        links = _checkpoint(cross.select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
+        if links.isEmpty():
+            return labels
 
 
 # The columns and kinds of node that make the features, in their order.
