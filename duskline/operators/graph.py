@@ -140,11 +140,12 @@ def geo_proximity(a: Column, b: Column) -> Column:
     return F.when(a["country"].isNull() | b["country"].isNull(), 0.0).otherwise(F.coalesce(near, F.lit(0.1)))
 
 
-def behavior_similarity(a: Column, b: Column) -> Column:
+def behavior_similarity(a: Column, b: Column, gap: Column | None = None) -> Column:
     """.2 for the same method, .3 for the same agent, .3 within a second or .1 within ten, .2 if one path holds the other."""
     when = lambda c, v: F.when(c, v).otherwise(0.0)
-    gap = F.abs(F.unix_micros(a["ts"].cast("timestamp")) - F.unix_micros(b["ts"].cast("timestamp")))
-    near = F.when(gap < 1_000_000, 0.3).when(gap < 10_000_000, 0.1).otherwise(0.0)
+    if gap is None:
+        gap = F.abs(F.unix_micros(a["ts"].cast("timestamp")) - F.unix_micros(b["ts"].cast("timestamp"))) / 1e6
+    near = F.when(gap < 1, 0.3).when(gap < 10, 0.1).otherwise(0.0)
     holds = a["path"].contains(b["path"]) | b["path"].contains(a["path"])
     return F.least(F.lit(1.0), when(a["method"] == b["method"], 0.2) + when(a["user_agent"] == b["user_agent"], 0.3) + near + when(holds, 0.2))
 
@@ -156,13 +157,20 @@ def user_relations(pairs: DataFrame) -> DataFrame:
     (.8, behaviour .2). Equal strengths take the first kind by name.
     """
     a, b = F.col("a"), F.col("b")
-    time = F.greatest(F.lit(0.0), 1 - F.col("gap_seconds") / 300)
-    like, place = behavior_similarity(a, b), geo_proximity(a, b)
-    kind = F.when(time > 0.8, "session_sharing").when(like > 0.7, "behavior_similarity").otherwise("geographic_proximity")
-    strength = F.when(time > 0.8, time * 0.6 + like * 0.4).when(like > 0.7, like * 0.7 + place * 0.3).otherwise(place * 0.8 + like * 0.2)
-    rows = pairs.select(a["user_id"].alias("a"), b["user_id"].alias("b"), kind.alias("kind"), strength.alias("strength"))
-    best = F.min(F.struct((-F.col("strength")).alias("o"), "kind", "strength"))
-    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("meetings"), best.alias("_m")).select("a", "b", "meetings", "_m.kind", "_m.strength")
+    deal = [c for c in pairs.columns if c == "_deal"]  # pairs that are dealt by their users are grouped where they are
+    time, like, place = F.greatest(F.lit(0.0), 1 - F.col("gap_seconds") / 300), behavior_similarity(a, b, F.col("gap_seconds")), geo_proximity(a, b)
+    rows = pairs.select(*deal, a["user_id"].alias("a"), b["user_id"].alias("b"), time.alias("time"), like.alias("like"), place.alias("place"))
+    time, like, place = map(F.col, ("time", "like", "place"))
+    # a number for each kind, in the order of their names: numbers are updated in place, while a struct would have all pairs sorted
+    strengths = {
+        "behavior_similarity": F.when((time <= 0.8) & (like > 0.7), like * 0.7 + place * 0.3),
+        "geographic_proximity": F.when((time <= 0.8) & (like <= 0.7), place * 0.8 + like * 0.2),
+        "session_sharing": F.when(time > 0.8, time * 0.6 + like * 0.4),
+    }
+    most = F.greatest(*strengths)
+    kind = F.coalesce(*[F.when(F.col(k) == most, F.lit(k)) for k in strengths])
+    grouped = rows.groupBy(*deal, "a", "b").agg(F.count(F.lit(1)).alias("meetings"), *[F.max(s).alias(k) for k, s in strengths.items()])
+    return grouped.select("a", "b", "meetings", kind.alias("kind"), most.alias("strength"))
 
 
 def geo_clusters(df: DataFrame) -> DataFrame:
