@@ -84,6 +84,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, windo
     sizes = np.diff(offsets)
     starts = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(sizes)), starts)
+    if not len(text):  # texts enough, but each too short
+        return empty, empty, empty, empty, None
     where = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(offsets[:-1], starts)
     t = trigger[where]
     new = np.ones(len(t), bool)
@@ -292,6 +294,24 @@ def _merge(spans, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
+def _passages(data: bytes, spans, words: int) -> list[tuple[int, int]]:
+    """Maximal byte runs of the strings of ``words`` words whose codes start in ``spans``, first word to last."""
+    if spans is None or not len(spans):
+        return []
+    first, end = word_places(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    runs: list[list[int]] = []
+    for s in spans:
+        # a start within a code is no start of a word
+        a, b = -(-s["a"] // CODE), (s["b"] - words * CODE) // CODE + words
+        if b - a < words:
+            continue
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return [(int(first[a]), int(end[b - 1])) for a, b in runs]
+
+
 def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word of UTF-8 texts: the runs between white space, as ``str.split`` has them."""
     n = len(data)
@@ -338,29 +358,44 @@ def mark_repeats(
     gram: int = GRAM,
     window: int = WINDOW,
     by_words: bool = False,
+    words: int | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` with ``_spans``: the byte ranges that repeat (null if none).
 
     ``by_words``: the ranges are those of the text's word codes, and so is ``length``.
+    ``words``: strings of so many words are looked for as well; ``_coded`` has the ranges of their codes.
     """
     if not (0 < gram < window <= min(length - gram, 65535) and length > BLOCK):
         raise ValueError("need gram < window <= length - gram")
     keyed = with_text_key(docs, id_col, text_col)
-    coded = keyed.withColumn(text_col, word_codes()(F.col(text_col))) if by_words else keyed
-    spans = repeated_spans(coded, text_col, length, gram, window)
-    return keyed.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left").drop("_key")
-
-
-def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """Per document: bytes, removed bytes, removed runs, the hash of what is left, and that as text.
+    coded = keyed.withColumn(text_col, word_codes()(F.col(text_col)))
+    spans = repeated_spans(coded if by_words else keyed, text_col, length, gram, window)
+    marked = keyed.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left")
+    if words:
+        size = words * CODE
+        spans = repeated_spans(coded, text_col, size, gram, size * 3 // 8)
+        marked = marked.join(spans.withColumnRenamed("spans", "_coded"), "_key", "left")
+    return marked.drop("_key")
+
+
+def removal_digest(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 51
+) -> DataFrame:
+    """Per document: bytes, removed bytes, removed runs, the hash of what is left, that as text, and its passages.
 
-    In ``text`` a code point that is cut in part goes whole; the hash is of the bytes as they are.
+    In ``text`` a code point that is cut in part goes whole; the hash is of the bytes as they are. Many passages of
+    over 50 words are shorter than ``length`` bytes and so are not removed. They are returned beside: each string of
+    ``words`` words that also starts anywhere else lies in one of ``n_passages`` runs of ``n_passage_bytes`` bytes in
+    all; ``passages`` has them as start:end in bytes, end exclusive, joined by commas.
     """
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string,"
+        " n_passages long, n_passage_bytes long, passages string"
+    )
+    def cut(text: pd.Series, spans: pd.Series, coded: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, s in zip(text, spans):
+        for t, s, c in zip(text, spans, coded):
             data = (t or "").encode("utf-8", "surrogatepass")
             runs = _merge(s, len(data))
             kept, at = [], 0
@@ -370,11 +405,15 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(data[at:])
             digest = hashlib.sha256(b"".join(kept)).hexdigest()
             left = "".join(k.decode("utf-8", "ignore") for k in kept)
-            rows.append((len(data), sum(b - a for a, b in runs), len(runs), digest, left))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
-
-    marked = mark_repeats(docs.select(id_col, text_col), id_col, text_col, length)
-    return marked.select(F.col(id_col).alias("doc_id"), cut(text_col, "_spans").alias("_d")).select("doc_id", "_d.*")
+            found = _passages(data, c, words)
+            size, listed = sum(b - a for a, b in found), ",".join(f"{a}:{b}" for a, b in found)
+            rows.append((len(data), sum(b - a for a, b in runs), len(runs), digest, left, len(found), size, listed))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "n_passage_bytes", "passages"]
+        return pd.DataFrame(rows, columns=names)
+
+    marked = mark_repeats(docs.select(id_col, text_col), id_col, text_col, length, words=words)
+    digest = cut(text_col, "_spans", "_coded")
+    return marked.select(F.col(id_col).alias("doc_id"), digest.alias("_d")).select("doc_id", "_d.*")
 
 
 def remove_repeats(
