@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .links import linked, within_two
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of ``spark.checkpoint.dir`` (in local mode, where it is unset, in a new one)."""
@@ -133,6 +135,20 @@ def relation_strength(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("strength", F.least(F.lit(1.0), s)).filter(F.col("strength") > 0.3)
 
 
+def address_links(requests: DataFrame, seconds: int = 300, least: float = 0.3, same: tuple[str, ...] = ()) -> DataFrame:
+    """(a_ip, b_ip), a_ip < b_ip: addresses with two requests within ``seconds`` that ``relation_strength`` keeps, each two once.
+
+    ``same``: columns that the two requests must share.
+    """
+    def strength(equal: dict[str, bool], gap: float, near: float) -> float:  # term by term as in ``relation_strength``
+        agent, path, kind = 0.1 * equal["user_agent"], 0.15 * equal["path"], 0.3 * equal["event_type"]
+        return agent + path + 0.25 * max(0.0, 1 - gap / 300) + 0.2 * near + kind
+
+    attributes = {c: (c,) for c in ("user_agent", "path", "event_type")}
+    places = {1.0: ("city", "country"), 0.8: ("region", "country"), 0.6: ("country",), 0.1: ()}
+    return linked(requests, "ip", "ts", seconds, strength, attributes, places, least, same).toDF("a_ip", "b_ip")
+
+
 def geo_proximity(a: Column, b: Column) -> Column:
     """Nearness of two places (structs of country, region, city): 1 same city, .8 region, .6 country, .1 none; 0 if unknown."""
     same = lambda c: a[c] == b[c]
@@ -349,8 +365,7 @@ def coordinated_attacks(edges: DataFrame, requests: DataFrame, least: int = 3, b
     addresses are stored, so what made the edges runs once.
     """
     links = _checkpoint(undirected(edges))
-    far = links.alias("l").join(links.alias("m"), F.col("l.dst") == F.col("m.src")).select(F.col("l.src").alias("src"), F.col("m.dst").alias("dst"))
-    related = _checkpoint(links.unionByName(far).filter("src <> dst").distinct())
+    related = _checkpoint(within_two(links))
     seen = requests.groupBy(F.col("ip").alias("dst"), "path").agg(F.count(F.lit(1)).alias("_n"))
     g = related.groupBy("src").agg(F.count(F.lit(1)).alias("related")).filter(F.col("related") >= least)
     acts = related.join(seen, "dst").groupBy("src").agg(F.sum("_n").alias("requests"), F.count_distinct("path").alias("paths"))

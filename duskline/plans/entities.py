@@ -364,15 +364,18 @@ def _(t):
 CA = f"{RP}, ru AS (SELECT DISTINCT src, dst FROM (SELECT a_ip AS src, b_ip AS dst FROM rs UNION ALL SELECT b_ip, a_ip FROM rs)), rr AS (SELECT src, dst FROM ru UNION SELECT a.src, b.dst FROM ru a JOIN ru b ON a.dst = b.src WHERE a.src <> b.dst), rn AS (SELECT src, count(*) AS related FROM rr GROUP BY 1 HAVING count(*) >= 3), ra AS (SELECT src, count(*) AS requests, count(DISTINCT path) AS paths FROM rr JOIN requests q ON q.ip = rr.dst GROUP BY 1), ca AS (SELECT src AS ip, related, requests, paths, concat_ws(',', CASE WHEN related > 5 THEN 'ddos' END, CASE WHEN requests > 100 THEN 'brute_force' END, CASE WHEN paths > 20 THEN 'port_scanning' END) AS patterns, CASE WHEN related > 5 THEN 'critical' WHEN requests > 100 THEN 'high' ELSE 'medium' END AS severity, least(1, least(related / 10, 0.4) + 0.2 * ((related > 5)::int + (requests > 100)::int + (paths > 20)::int)) AS confidence FROM rn JOIN ra USING (src) WHERE related > 5 OR requests > 100 OR paths > 20)"
 
 
+#: Requests of any path; the path only adds to the strength.
+RP_ANY = RP.replace("+ 0.15 +", "+ CASE WHEN a.path = b.path THEN 0.15 ELSE 0 END +").replace("a.path = b.path AND a.ip", "a.ip")
+
+
 def attacks(t, pairs):
     edges = pairs.select(F.col("a_ip").alias("src"), F.col("b_ip").alias("dst"))
     return G.coordinated_attacks(edges, t.requests, wide=20)
 
 
-@query("r04_coordinated_attacks", f"WITH {CA} SELECT ip, related, requests, paths, patterns, severity, round(confidence, 5) AS confidence FROM ca", "requests")
+@query("r04_coordinated_attacks", f"WITH {CA.replace(RP, RP_ANY)} SELECT ip, related, requests, paths, patterns, severity, round(confidence, 5) AS confidence FROM ca", "requests")
 def _(t):
-    pairs = relations(t).select("a_ip", "b_ip").distinct()
-    return attacks(t, pairs).withColumn("patterns", F.array_join("patterns", ",")).withColumn("confidence", rnd("confidence"))
+    return attacks(t, G.address_links(t.requests)).withColumn("patterns", F.array_join("patterns", ",")).withColumn("confidence", rnd("confidence"))
 
 
 @query("r05_relation_risk", f"WITH {CA}, st AS (SELECT ip, avg(s) * 0.3 AS s FROM (SELECT a_ip AS ip, s FROM rs UNION ALL SELECT b_ip, s FROM rs) GROUP BY ip), cl AS (SELECT country, region, city, avg(risk_score) AS r FROM requests GROUP BY 1, 2, 3 HAVING avg(risk_score) > 0.5), pl AS (SELECT ip, max(r) * 0.2 AS c FROM (SELECT DISTINCT ip, country, region, city FROM requests) JOIN cl USING (country, region, city) GROUP BY ip) SELECT ip, round(least(1, coalesce(CASE severity WHEN 'critical' THEN 0.8 WHEN 'high' THEN 0.6 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.2 END, 0) + coalesce(s, 0) + coalesce(c, 0)), 5)::double AS risk FROM (SELECT DISTINCT ip FROM requests) LEFT JOIN ca USING (ip) LEFT JOIN st USING (ip) LEFT JOIN pl USING (ip)", "requests")
