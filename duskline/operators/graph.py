@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .links import linked, within_two
+from .links import PairTable, by_entities, classes, linked, within_two
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -189,6 +191,69 @@ def user_relations(pairs: DataFrame) -> DataFrame:
     return grouped.select("a", "b", "meetings", kind.alias("kind"), most.alias("strength"))
 
 
+# The kinds of user relation by name, and nearness of places.
+KINDS = ("behavior_similarity", "geographic_proximity", "session_sharing")
+NEARNESS = (0.0, 0.1, 0.6, 0.8, 1.0)
+
+
+def related_users(requests: DataFrame, seconds: int = 300) -> DataFrame:
+    """``user_relations`` of the requests of different users within ``seconds``, pairs being made and grouped in arrays.
+
+    All but the time is the same for all pairs of two kinds of request: behaviour and place are looked up in tables.
+    """
+    like = np.array([min(1.0, (x & 1) * 0.2 + (x >> 1 & 1) * 0.3 + (0.0, 0.1, 0.3)[x >> 3] + (x >> 2 & 1) * 0.2) for x in range(24)])
+    place = np.array(NEARNESS)[:, None]
+    early = np.where(like > 0.7, like * 0.7 + place * 0.3, place * 0.8 + like * 0.2).ravel()
+    early_kind = np.broadcast_to(np.where(like > 0.7, 0, 1), (5, 24)).ravel().astype(np.int8)
+
+    def prepare(rows: pd.DataFrame):
+        method, agent, path, country, region, city = (pd.factorize(rows[c])[0] for c in ("method", "user_agent", "path", "country", "region", "city"))
+        paths = rows["path"].to_numpy()
+
+        def holds(i, j):
+            code = path[i] * (path.max() + 1) + path[j]
+            known = (path[i] >= 0) & (path[j] >= 0)
+            met, first, at = np.unique(np.where(known, code, -1), return_index=True, return_inverse=True)
+            return np.array([c >= 0 and (paths[j[f]] in paths[i[f]] or paths[i[f]] in paths[j[f]]) for c, f in zip(met, first)], bool)[at]
+
+        def acts(i, j):
+            return ((method[i] >= 0) & (method[i] == method[j])) + 4 * holds(i, j).astype(np.uint8)
+
+        def where(i, j):
+            land, part, town = ((x[i] >= 0) & (x[i] == x[j]) for x in (country, region, city))
+            near = np.where(land & part & town, 4, np.where(land & part, 3, np.where(land, 2, 1)))
+            near[(country[i] < 0) | (country[j] < 0)] = 0
+            return (2 * ((agent[i] >= 0) & (agent[i] == agent[j])) + 24 * near).astype(np.uint8)
+
+        acts_of, where_of = PairTable(*classes(rows["method"], rows["path"]), acts), PairTable(*classes(*(rows[c] for c in ("user_agent", "country", "region", "city"))), where)
+
+        def make(i, j, gap):
+            seen = acts_of(i, j) + where_of(i, j) + np.uint8(8) * ((gap < 10_000_000).view(np.uint8) + (gap < 1_000_000))
+            time = np.maximum(0.0, 1 - gap / 1e6 / 300)
+            value, kind = early[seen], early_kind[seen]
+            soon = np.flatnonzero(time > 0.8)
+            value[soon], kind[soon] = time[soon] * 0.6 + like[seen[soon] % 24] * 0.4, 2
+            return [np.ones(len(i), np.int64), kind, value]
+
+        def group(start, columns):
+            n, kind, value = columns
+            most = np.maximum.reduceat(value, start)
+            least = np.minimum.reduceat(np.where(value == np.repeat(most, np.diff(np.r_[start, len(value)])), kind, 9), start)
+            return [np.add.reduceat(n, start), least.astype(np.int8), most]
+
+        return make, group
+
+    made = by_entities(requests, "user_id", "ts", seconds, prepare, "meetings bigint, kind tinyint, strength double")
+    kind = F.when(F.col("kind") == 0, KINDS[0]).when(F.col("kind") == 1, KINDS[1]).otherwise(KINDS[2])
+    return made.withColumn("kind", kind)
+
+
+def met_within(df: DataFrame, entity: str, ts: str, seconds: int, block: str | None = None) -> DataFrame:
+    """(src, dst), src < dst: entities with two rows within ``seconds`` under an equal ``block``, each two once."""
+    nothing = lambda rows: (lambda i, j, gap: [], lambda start, columns: [])
+    return by_entities(df, entity, ts, seconds, nothing, "", block).toDF("src", "dst")
+
+
 def geo_clusters(df: DataFrame) -> DataFrame:
     g = df.groupBy("country", "region", "city").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("ip").alias("ips"), F.avg("risk_score").alias("risk"))
     return g.withColumn("threat", F.when(F.col("risk") > 0.7, "high").when(F.col("risk") > 0.4, "medium").otherwise("low"))

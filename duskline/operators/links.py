@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a chunk of time, pairs that a task holds at once, and entities whose links fit a square of bits.
-ROWS, BATCH, SQUARE = 400_000, 2_000_000, 8192
+#: Rows of a chunk of time, pairs that a task holds at once, entities whose links fit a square, and pairs of two blocks.
+ROWS, BATCH, SQUARE, MADE = 400_000, 2_000_000, 8192, 16_000_000
 
 
 def codes(*columns: pd.Series) -> np.ndarray:
@@ -153,6 +154,120 @@ def linked(df: DataFrame, entity: str, ts: str, seconds: int, strength, attribut
     return by_group(kept, "_c", link, f"a {kind}, b {kind}").distinct()
 
 
+def windows(key: np.ndarray, at: np.ndarray, to_key: np.ndarray, to: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each (key, at): start and end of the rows (to_key, to), which are in order, of that key within ``reach``."""
+    low = min((int(x.min()) for x in (at, to) if len(x)), default=0)
+    span = max((int(x.max()) for x in (at, to) if len(x)), default=0) - low + 2 * reach + 2
+    if int(max(key.max(initial=0), to_key.max(initial=0)) + 1) * span < 2**62:
+        place, to_place = key * span + (at - low) + reach, to_key * span + (to - low) + reach
+        return np.searchsorted(to_place, place - reach), np.searchsorted(to_place, place + reach, "right")
+    start, end = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    for k in np.unique(key):
+        of, s, e = key == k, *np.searchsorted(to_key, [k, k + 1])
+        start[of], end[of] = s + np.searchsorted(to[s:e], at[of] - reach), s + np.searchsorted(to[s:e], at[of] + reach, "right")
+    return start, end
+
+
+def by_entities(df: DataFrame, entity: str, ts: str, seconds: int, prepare, schema: str, block: str | None = None) -> DataFrame:
+    """What is made of the pairs of rows of each two entities (equal ``block``, if any, within ``seconds``), pairs being no rows.
+
+    Entities are dealt to blocks and a task has the rows of two blocks, so all pairs of two entities are in one task.
+    The task goes through them in batches in the order of an entity. ``prepare(rows)`` (pandas) gives two functions:
+    ``make(i, j, gap)`` gives the columns that are kept of pairs (row numbers, microseconds), and ``group(start,
+    columns)`` those of a group for the columns in order of the groups that begin at ``start``. It must be right to
+    group what was grouped. The result has the entities a < b and these columns. Null entities and blocks pair with nothing.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull() & (F.col(block).isNotNull() if block else F.lit(True)))
+    bucket = F.floor(F.unix_timestamp(ts) * 2 / seconds)
+    n = F.col("_n").cast("double")
+    squares = rows.groupBy(*([block] if block else []), bucket.alias("_t")).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(n * n)).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = math.ceil(math.sqrt(max(4 * cores, 4 * squares / MADE)))
+    x, y = F.pmod(F.xxhash64(entity), F.lit(blocks)).cast("int"), F.col("_y")
+    every = rows.select("*", micros.alias("_m"), x.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_y"))
+    x = F.col("_x")
+    dealt = every.withColumn("_g", F.least(x, y) * blocks + F.greatest(x, y)).withColumn("_left", x <= y).drop("_x", "_y")
+    dealt = dealt.repartition(blocks * (blocks + 1), "_g")  # twice the tasks that have rows: few share a partition
+    reach = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        g = table.column("_g")[0].as_py()
+        pdf = table.drop_columns(["_g"]).to_pandas()
+        e, names = pd.factorize(pdf[entity], sort=True)
+        names = np.asarray(names)
+        k = codes(pdf[block]) if block else np.zeros(len(pdf), np.int64)
+        m, of = pdf["_m"].to_numpy(), pdf["_left"].to_numpy(bool)
+        make, group = prepare(pdf)
+        same = g % (blocks + 1) == 0  # a block with itself
+        left, right = (np.flatnonzero(of), np.flatnonzero(of | same & of if same else ~of))
+        left, right = left[np.argsort(e[left], kind="stable")], right[np.lexsort((m[right], k[right]))]
+        first, end = windows(k[left], m[left], k[right], m[right], reach)
+        held: list = []
+
+        def grouped(parts):
+            code, columns = np.concatenate([c for c, _ in parts]), [np.concatenate(x) for x in zip(*(c for _, c in parts))]
+            order = np.argsort(code)
+            code = code[order]
+            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            return code[start], group(start, [c[order] for c in columns])
+
+        def batch(code, columns):
+            a, b = np.divmod(code, len(names))
+            ends_ = [pa.array(names[x]) for x in (np.minimum(a, b), np.maximum(a, b))]
+            return pa.RecordBatch.from_arrays([*ends_, *map(pa.array, columns)], ["a", "b", *(f"c{i}" for i in range(len(columns)))])
+
+        for i, j in pairs(end, first):
+            last = i[-1] + 1 == len(left) or e[left[i[-1]]] != e[left[i[-1] + 1]] or None
+            i, j = left[i], right[j]
+            ok = e[i] < e[j] if same else e[i] != e[j]
+            if not ok.all():
+                i, j = i[ok], j[ok]
+            if len(i):
+                held.append(grouped([(e[i] * len(names) + e[j], make(i, j, np.abs(m[i] - m[j])))]))
+            if len(held) > 1:
+                held = [grouped(held)]
+            if held and len(held[0][0]):
+                # the groups of the entity at the end may go on in the next batch
+                code, columns = held[0]
+                cut = len(code) if last else int(np.searchsorted(code, (code[-1] // len(names)) * len(names)))
+                if cut:
+                    yield batch(code[:cut], [c[:cut] for c in columns])
+                held = [(code[cut:], [c[cut:] for c in columns])] if cut < len(code) else []
+        if held:
+            yield batch(*held[0])
+
+    columns = [c.split() for c in schema.split(", ") if c]
+    kind = df.schema[entity].dataType.simpleString()
+    made = dealt.groupBy("_g").applyInArrow(run, ", ".join([f"a {kind}, b {kind}", *(f"c{i} {c}" for i, (_, c) in enumerate(columns))]))
+    return made.toDF("a", "b", *[name for name, _ in columns])
+
+
+def classes(*columns: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct row of the columns, nulls being values, and the first row of each."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        k, values = pd.factorize(c)
+        out = np.unique(out * (len(values) + 1) + k + 1, return_inverse=True)[1]
+    return out, np.unique(out, return_index=True)[1]
+
+
+class PairTable:
+    """``of(i, j)`` of two rows that depends on their classes alone: worked out once for each two classes that meet."""
+
+    def __init__(self, number: np.ndarray, first: np.ndarray, of, most: int = 2_000_000):
+        self.number, self.first, self.of, k = number.astype(np.int32), first, of, len(first)
+        self.table = of(np.repeat(first, k), np.tile(first, k)) if k * k <= most else None
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        code = self.number[i].astype(np.int64) * len(self.first) + self.number[j]
+        if self.table is not None:
+            return self.table[code]
+        met, at = np.unique(code, return_inverse=True)
+        return self.of(self.first[met // len(self.first)], self.first[met % len(self.first)])[at]
+
+
 def within_two(links: DataFrame) -> DataFrame:
     """(src, dst): nodes at one or two steps of each other, without loops; each two once in each direction.
 

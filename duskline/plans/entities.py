@@ -15,7 +15,7 @@ from duskline.operators import sequence as Q
 from duskline.operators import sketch as K
 from duskline.operators import summary as Y
 
-from .registry import query, rnd
+from .registry import query, rnd, rnd_many
 
 N = lambda: F.count(F.lit(1))
 
@@ -346,7 +346,7 @@ PLACE = "CASE WHEN a.country = b.country AND a.region = b.region AND a.city = b.
 )
 def _(t):
     r = t.requests.select("user_id", "ts", "method", "user_agent", "path", "country", "region", "city")
-    return G.user_relations(E.pair_within(r, "user_id", "ts", 300, together=E.HELD)).withColumn("strength", rnd("strength", 4))
+    return G.related_users(r).withColumn("strength", rnd_many("strength", 4))
 
 
 @query("r07_path_counts", "WITH e AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), l AS (SELECT a, b, count(*) AS m FROM e GROUP BY 1, 2), d AS (SELECT a, sum(m) AS d FROM l GROUP BY 1), two AS (SELECT x.a AS s, y.b AS w, sum(x.m * CASE WHEN y.b = x.a THEN y.m - 1 ELSE y.m END) AS n, sum(CASE WHEN y.b = x.a THEN x.m * (x.m - 1) ELSE 0 END) AS back FROM l x JOIN l y ON y.a = x.b GROUP BY 1, 2) SELECT s AS node, max(ds.d)::bigint AS paths1, sum(n)::bigint AS paths2, sum(CASE WHEN w = s THEN back * (dw.d - 2) ELSE n * (dw.d - 1) END)::bigint AS paths3 FROM two JOIN d dw ON dw.a = w JOIN d ds ON ds.a = s GROUP BY s", "edges")
