@@ -193,7 +193,7 @@ def forensic_report(df: DataFrame, scan_ports: int = 100) -> DataFrame:
     times = temporal_profile(df)
     ports = df.groupBy(port_class("port").alias("c")).agg(n.alias("n"))
     odd_hours = volume_anomalies(df.withColumn("_h", F.hour("ts")), F.col("_h"))
-    graph = topology(df.select(F.concat(F.lit("s"), F.col("source").cast("string")).alias("src"), F.concat(F.lit("d"), F.col("destination").cast("string")).alias("dst")))
+    graph = topology(df.select(F.concat(F.lit("s"), F.col("source").cast("string")).alias("src"), F.concat(F.lit("d"), F.col("destination").cast("string")).alias("dst")), two_kinds=True)
     parts = [
         wide(basic, "basic"), row(protocols, "protocol", F.col("protocol"), F.col("n")), row(protocols, "protocol_bytes", F.col("protocol"), F.col("b")),
         row(times, "time", F.concat_ws(":", "unit", F.col("slot").cast("string")), F.col("n")),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .links import PairTable, by_entities, classes, linked, within_two
+from .links import PairTable, by_entities, classes, common_neighbours, forest, linked, neighbour_bytes, within_two
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -312,21 +312,33 @@ def botnet_devices(links: DataFrame, as_of: str, hours: int, least: int = 5) ->
     return g.filter((n > least) & (F.col("shared_targets") > 0)).withColumn("score", F.when(n > 20, 0.9).when(n > 10, 0.7).when(n > 5, 0.5).otherwise(0.3))
 
 
-def topology(edges: DataFrame) -> DataFrame:
+def topology(edges: DataFrame, once: bool = False, two_kinds: bool = False) -> DataFrame:
     """One row: nodes, edges, greatest degree, density, mean clustering and components of the undirected graph.
 
-    The distinct edges are stored, so what made them runs once.
+    The distinct edges are stored, so what made them runs once. ``once``: each edge is there once, with src < dst.
+    ``two_kinds``: no edge links two nodes of one kind, so there is no triangle and the clustering is 0.
     """
-    edges = _checkpoint(undirected(edges).filter("src < dst"))
-    u = undirected(edges)
-    deg = u.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    edges = _checkpoint(edges.select("src", "dst") if once else _single(edges))
+    deg = both_ways(edges).groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     out = deg.agg(F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.max("d").alias("max_degree"))
     out = out.withColumn("density", F.coalesce(F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)))
-    mean = clustering(edges).agg(F.avg("clustering").alias("clustering"))
     parts = components(edges).agg(F.count_distinct("component").alias("components"))
+    if two_kinds:
+        mean = parts.select(F.when(F.col("components") > 0, 0.0).alias("clustering"))
+    else:
+        mean = clustering(edges, once=True).agg(F.avg("clustering").alias("clustering"))
     return out.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(parts))  # one row each
 
 
+def _single(edges: DataFrame) -> DataFrame:
+    """Distinct edges without loops, once each: (src, dst) with src < dst."""
+    return edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def degree_centrality(edges: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nodes of greatest degree, with it over the number of other nodes."""
     deg = undirected(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
@@ -335,13 +347,27 @@ def degree_centrality(edges: DataFrame, k: int = 10) -> DataFrame:
     return out.orderBy(F.desc("degree"), "node").limit(k)
 
 
-def clustering(edges: DataFrame) -> DataFrame:
+def clustering(edges: DataFrame, once: bool = False) -> DataFrame:
     """(node, clustering): triangles through a node over the pairs of its neighbours; 0 below two neighbours."""
-    u = undirected(edges)
-    deg = u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
-    through = triangle_list(edges).select(F.explode(F.array("a", "x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_t"))
+    edges = edges if once else _checkpoint(_single(edges))
+    deg = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
     share = F.coalesce(F.try_divide(2.0 * F.coalesce("_t", F.lit(0)), F.col("_d") * (F.col("_d") - 1)), F.lit(0.0))
-    return deg.join(through, "node", "left").select("node", share.alias("clustering"))
+    return deg.join(triangles_through(edges), "node", "left").select("node", share.alias("clustering"))
+
+
+def triangles_through(edges: DataFrame) -> DataFrame:
+    """(node, _t): triangles through each node that has any; ``edges`` are there once each.
+
+    Paths of two edges are listed and closed by a join where they take less than the neighbours of all nodes as bits,
+    sent to the blocks; else blocks of nodes meet and count the common neighbours of each edge.
+    """
+    degree = both_ways(edges).groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
+    d = F.col("_d").cast("double")
+    nodes, squares = degree.agg(F.count(F.lit(1)), F.coalesce(F.sum(d * d), F.lit(0.0))).first()
+    if 24 * squares / 6 <= neighbour_bytes(nodes):
+        listed = triangle_list(edges).select(F.explode(F.array("a", "x", "y")).alias("node"))
+        return listed.groupBy("node").agg(F.count(F.lit(1)).alias("_t"))
+    return common_neighbours(edges, nodes)
 
 
 def triangle_list(edges: DataFrame) -> DataFrame:
@@ -356,9 +382,10 @@ def triangle_list(edges: DataFrame) -> DataFrame:
     return two.join(closing, ["x", "y"])
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Number of triangles; the distinct edges are stored, so what made them runs once."""
-    return triangle_list(_checkpoint(undirected(edges).filter("src < dst"))).agg(F.count(F.lit(1)).alias("triangles"))
+def triangles(edges: DataFrame, once: bool = False) -> DataFrame:
+    """Number of triangles; the distinct edges are stored, so what made them runs once (``once`` as in ``topology``)."""
+    through = triangles_through(_checkpoint(edges.select("src", "dst") if once else _single(edges)))
+    return through.agg((F.coalesce(F.sum("_t"), F.lit(0)) / 3).cast("long").alias("triangles"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,9 +393,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each node points to the least of itself and its neighbours; pointer jumping makes that the least node of its tree.
     Then the trees are the nodes and what links two of them the edges, until no edge is left. Edges are read three times
-    a round, and soon there are few.
+    a round, and soon there are few. First each task leaves of its edges only what joins the same nodes (``forest``).
     """
-    links = _checkpoint(undirected(edges))
+    thin = forest(edges)
+    links = _checkpoint(undirected(thin))
     labels = None
     while True:
         hook = links.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a chunk of time, pairs that a task holds at once, entities whose links fit a square, and pairs of two blocks.
@@ -322,6 +322,138 @@ def within_two(links: DataFrame) -> DataFrame:
     return by_group(dealt, "_g", reach, f"src {kind}, dst {kind}")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """(src, dst): edges that join the same nodes as ``edges`` do, about one a node of each task."""
+
+    def least(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """The least node that each is joined with."""
+        label = np.arange(size)
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                return label
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def joined() -> pd.DataFrame:
+            every = pd.concat(held, ignore_index=True)
+            node, names = pd.factorize(pd.concat([every["src"], every["dst"]], ignore_index=True))
+            label = least(node[: len(every)], node[len(every) :], len(names))
+            few, names = np.flatnonzero(label < np.arange(len(names))), np.asarray(names)
+            return pd.DataFrame({"src": names[few], "dst": names[label[few]]})
+
+        for b in batches:
+            held.append(b.to_pandas())
+            n += b.num_rows
+            if n > BATCH:
+                held = [joined()]
+                n = len(held[0])
+                if n > BATCH // 2:
+                    yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
+                    n = 0
+        if held:
+            yield pa.RecordBatch.from_pandas(joined(), preserve_index=False)
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.filter("src <> dst").select("src", "dst").mapInArrow(thin, f"src {kind}, dst {kind}")
+
+
+def node_blocks(nodes: int) -> int:
+    """Blocks such that the neighbours of the nodes of two of them, as bits, take about 256 MB."""
+    return max(4, math.ceil(2 * nodes * (nodes / 8) / 256e6))
+
+
+def neighbour_bytes(nodes: int) -> float:
+    return nodes / 8 * nodes * node_blocks(nodes)
+
+
+def common_neighbours(edges: DataFrame, nodes: int) -> DataFrame:
+    """(node, _t): triangles through each node that has any, ``edges`` being there once each.
+
+    Nodes are numbered and dealt to blocks. The neighbours of a node are bits, and a task has those of two blocks: for
+    each edge between them it counts the bits that both ends share. So paths of two edges are counted, never listed.
+    """
+    blocks = node_blocks(nodes)
+    both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = both(edges).groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("_l"))
+    # nodes of one least neighbour stand near each other, so blocks that share no neighbours are seldom met
+    hashed = least.withColumn("_b", F.pmod(F.xxhash64("_l"), F.lit(16)) * 16 + F.pmod(F.xxhash64("node"), F.lit(16)))
+    sizes = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows
+    start = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_l", "node")) - 1).join(F.broadcast(start), "_b")
+    number = ranked.select("node", (F.col("_s") + F.col("_r")).cast("int").alias("i"))
+    if nodes <= 1_000_000:
+        number = F.broadcast(number)  # two numbers a node
+    ends = edges.join(number.toDF("src", "_i"), "src").join(number.toDF("dst", "_j"), "dst").select(F.col("_i").alias("src"), F.col("_j").alias("dst"))
+    width = -(-nodes // 64) * 8
+    strips = 4 * blocks
+    tall = -(-nodes // strips)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            i, j = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for strip in np.unique(i // tall).tolist():
+                of = i // tall == strip
+                one = bits.setdefault(strip, np.zeros(tall * width, np.uint8))
+                np.bitwise_or.at(one, (i[of] - strip * tall).astype(np.int64) * width + (j[of] >> 3), np.uint8(1) << (j[of] & 7).astype(np.uint8))
+        for strip in list(bits):
+            rows = bits.pop(strip).reshape(tall, width)
+            seen = np.flatnonzero(rows.any(axis=1))
+            for at in range(0, len(seen), 512):
+                few = seen[at : at + 512]
+                yield pa.RecordBatch.from_arrays([pa.array((few + strip * tall).astype(np.int32)), pa.array([rows[k].tobytes() for k in few], pa.binary())], ["i", "bits"])
+
+    packed = both(ends).repartition(2 * strips, F.floor(F.col("src") / tall)).mapInArrow(pack, "i int, bits binary")
+    size = -(-nodes // blocks)
+    x, y = F.floor(F.col("i") / size).cast("int"), F.col("_y")
+    dealt = packed.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_g", F.least(x, y) * blocks + F.greatest(x, y)).drop("_y")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, g = [], [], 0
+        for b in batches:
+            at.append(b.column("i").to_numpy())
+            rows.append(np.stack([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column("bits")]))
+            g = b.column("_g")[0].as_py()
+        i, bits = np.concatenate(at), np.concatenate(rows)
+        del rows
+        left, right = (np.flatnonzero(i // size == k) for k in divmod(g, blocks))
+        if not len(left) or not len(right):
+            return
+        order = right[np.argsort(i[right])]
+        a, b, near = i[left], i[order], bits[order]
+        own = bits[left]
+        use = own.any(axis=0) & near.any(axis=0)
+        narrow, narrow_own = np.ascontiguousarray(near[:, use]), np.ascontiguousarray(own[:, use])
+        del bits, near
+        own = own.view(np.uint8)
+        place, bit = b >> 3, np.uint8(1) << (b & 7).astype(np.uint8)
+        through = np.zeros(nodes, np.int64)
+        for k in range(len(left)):
+            v = np.flatnonzero((own[k][place] & bit > 0) & ((b > a[k]) if g % (blocks + 1) == 0 else True))
+            for lo in range(0, len(v), 256):
+                some = v[lo : lo + 256]
+                shared = np.bitwise_count(narrow[some] & narrow_own[k]).sum(axis=1, dtype=np.int64)
+                through[b[some]] += shared
+                through[a[k]] += shared.sum()
+        found = np.flatnonzero(through)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(through[found])], ["i", "n"])
+
+    counted = dealt.repartition(blocks * (blocks + 1), "_g").groupBy("_g").applyInArrow(meet, "i int, n bigint")
+    # each triangle of a node is met at both of its edges there
+    total = counted.groupBy("i").agg((F.sum("n") / 2).cast("long").alias("_t"))
+    return number.join(total, "i").select("node", "_t")
+
+
 def by_group(df: DataFrame, key: str, work, schema: str) -> DataFrame:
     """``work(frame)`` for all rows of each key; it may yield several frames."""
 

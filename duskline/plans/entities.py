@@ -427,13 +427,12 @@ USERS = "xu AS (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM requests a J
 
 
 def user_graph(t):
-    p = E.pair_within(t.requests.select("user_id", "ts", "country"), "user_id", "ts", 60, "country")
-    return p.select(F.col("a.user_id").alias("src"), F.col("b.user_id").alias("dst")).distinct()
+    return G.met_within(t.requests.select("user_id", "ts", "country"), "user_id", "ts", 60, "country")
 
 
 @query("r16_topology", f"WITH RECURSIVE {USERS}, h(node, root) AS (SELECT src, src FROM u UNION SELECT u.dst, h.root FROM h JOIN u ON h.node = u.src WHERE u.dst > h.root), cc AS (SELECT node, min(root) AS c FROM h GROUP BY node), tr AS (SELECT a.src, count(*) AS t FROM u a JOIN u b ON a.src = b.src AND a.dst <> b.dst JOIN u c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src), cl AS (SELECT coalesce(t, 0) / (d * (d - 1)) AS c FROM d LEFT JOIN tr USING (src) WHERE d > 1 UNION ALL SELECT 0 FROM d WHERE d < 2) SELECT count(*) AS nodes, (sum(d) / 2)::bigint AS edges, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 6) AS density, round((SELECT avg(c) FROM cl), 6) AS clustering, (SELECT count(DISTINCT c) FROM cc) AS components FROM d", "requests")
 def _(t):
-    return G.topology(user_graph(t)).withColumn("density", rnd("density", 6)).withColumn("clustering", rnd("clustering", 6))
+    return G.topology(user_graph(t), once=True).withColumn("density", rnd("density", 6)).withColumn("clustering", rnd("clustering", 6))
 
 
 @query("r16_centrality", f"WITH {UND}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src) SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d ORDER BY degree DESC, node LIMIT 10", "edges")
@@ -457,7 +456,7 @@ def _(t):
 
 @query("r16_triangles", f"WITH {USERS} SELECT count(*) AS triangles FROM xu e JOIN xu f ON e.y = f.x JOIN xu g ON g.x = e.x AND g.y = f.y", "requests")
 def _(t):
-    return G.triangles(user_graph(t))
+    return G.triangles(user_graph(t), once=True)
 
 
 @query("r17_ioc_neighbors", "SELECT DISTINCT ioc, neighbor, type FROM (SELECT src AS ioc, dst AS neighbor, type FROM edges UNION ALL SELECT dst, src, type FROM edges) WHERE ioc IN ('s1', 's2', 'c3')", "edges")
