@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .links import PairTable, by_entities, classes, common_neighbours, forest, linked, neighbour_bytes, within_two
+from .links import PairTable, by_entities, classes, common_neighbours, forest, linked, neighbour_bytes, pair_means, within_two
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -151,6 +151,29 @@ def address_links(requests: DataFrame, seconds: int = 300, least: float = 0.3, s
     return linked(requests, "ip", "ts", seconds, strength, attributes, places, least, same).toDF("a_ip", "b_ip")
 
 
+def address_strengths(requests: DataFrame, seconds: int = 300, least: float = 0.3) -> DataFrame:
+    """(ip, n, mean): how many request pairs of one path relate an address to others, and their mean strength; stored."""
+
+    def prepare(rows: pd.DataFrame):
+        agent, kind, country, region, city = (pd.factorize(rows[c])[0] for c in ("user_agent", "event_type", "country", "region", "city"))
+        same = lambda x, i, j: (x[i] >= 0) & (x[i] == x[j])
+
+        def place(i, j):
+            land = same(country, i, j)
+            return np.where(land & same(city, i, j), 1.0, np.where(land & same(region, i, j), 0.8, np.where(land, 0.6, 0.1)))
+
+        near = PairTable(*classes(rows["country"], rows["region"], rows["city"]), place)
+
+        def value(i, j, gap):  # term by term as in ``relation_strength``
+            s = 0.1 * same(agent, i, j) + 0.15 + 0.25 * np.maximum(0.0, 1 - gap / 1e6 / 300) + 0.2 * near(i, j) + 0.3 * same(kind, i, j)
+            return np.where(s > least, np.minimum(1.0, s), np.nan)
+
+        return value
+
+    r = requests.select("ip", "ts", "path", "user_agent", "country", "region", "city", "event_type")
+    return _checkpoint(pair_means(r, "ip", "ts", seconds, "path", prepare))
+
+
 def geo_proximity(a: Column, b: Column) -> Column:
     """Nearness of two places (structs of country, region, city): 1 same city, .8 region, .6 country, .1 none; 0 if unknown."""
     same = lambda c: a[c] == b[c]
@@ -479,14 +502,17 @@ def relation_risk(requests: DataFrame, attacks: DataFrame, pairs: DataFrame, clu
     """(ip, risk): by severity of its coordinated attack, mean strength of its relations, and threat of its place.
 
     ``attacks`` is as ``coordinated_attacks`` gives it, ``pairs`` has (a_ip, b_ip, strength) or, as ``address_pairs``
-    gives them, their means and numbers (n); ``clusters`` is as ``geo_clusters`` gives it; only places with a risk above
+    gives them, their means and numbers (n), or are by address (``address_strengths``); ``clusters`` is as ``geo_clusters`` gives it; only places with a risk above
     0.5 count.
     """
     base = F.when(F.col("severity") == "critical", 0.8).when(F.col("severity") == "high", 0.6).when(F.col("severity") == "medium", 0.4).otherwise(0.2)
     a = attacks.select("ip", base.alias("_a"))
-    n = F.col("n") if "n" in pairs.columns else F.lit(1)
-    both = pairs.select(F.explode(F.array("a_ip", "b_ip")).alias("ip"), "strength", n.alias("n"))
-    s = both.groupBy("ip").agg((F.sum(F.col("strength") * F.col("n")) / F.sum("n") * 0.3).alias("_s"))
+    if "mean" in pairs.columns:
+        s = pairs.select("ip", (F.col("mean") * 0.3).alias("_s"))
+    else:
+        n = F.col("n") if "n" in pairs.columns else F.lit(1)
+        both = pairs.select(F.explode(F.array("a_ip", "b_ip")).alias("ip"), "strength", n.alias("n"))
+        s = both.groupBy("ip").agg((F.sum(F.col("strength") * F.col("n")) / F.sum("n") * 0.3).alias("_s"))
     hot = clusters.filter("risk > 0.5").select("country", "region", "city", F.col("risk").alias("_r"))
     at = requests.select("ip", "country", "region", "city").distinct()
     c = at.join(hot, ["country", "region", "city"]).groupBy("ip").agg((F.max("_r") * 0.2).alias("_c"))

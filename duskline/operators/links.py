@@ -73,6 +73,51 @@ def _patterns(strength, attributes: dict[str, tuple[str, ...]], geo: dict[float,
     return [(tuple(sorted(k)), g) for k, g in found.items() if not any(o < k and found[o] >= g for o in found)]
 
 
+def in_chunks(rows: DataFrame, seconds: int) -> DataFrame:
+    """Rows (microseconds ``_m``) dealt to chunks of time ``_c``, a task each; a chunk has the ``seconds`` before it too, not its own."""
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("_m"), F.max("_m")).first()
+    chunks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS))
+    width = max(seconds * 1_000_000, ((hi or 0) - (lo or 0)) // chunks + 1)
+    since = F.col("_m") - F.lit(lo or 0)
+    chunk = F.floor(since / width).cast("long")
+    late = since >= (chunk + 1) * F.lit(width) - seconds * 1_000_000  # rows that the next chunk needs
+    to = F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    return rows.select("*", F.posexplode(to).alias("_p", "_c")).withColumn("_own", F.col("_p") == 0).drop("_p").repartition(chunks, "_c")
+
+
+def pair_means(df: DataFrame, entity: str, ts: str, seconds: int, block: str, prepare) -> DataFrame:
+    """(entity, n, mean): for each entity, of its pairs with rows of others (``block``, ``seconds``), the number and the mean value.
+
+    ``prepare(rows)`` gives a function of the pairs (i, j, microseconds) that gives their values, or NaN for those that do
+    not count. A task has a chunk of time and adds up its pairs in batches, so no pair is ever a row: what is shuffled are
+    the rows, and a sum for each entity of a chunk. Null entities and blocks pair with nothing.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull() & F.col(block).isNotNull()).withColumn("_m", micros)
+
+    def add(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf["_k"] = codes(pdf[block])
+        pdf = pdf.sort_values(["_k", "_m"], ignore_index=True)
+        e, names = pd.factorize(pdf[entity])
+        m, own = pdf["_m"].to_numpy(), pdf["_own"].to_numpy(bool)
+        value = prepare(pdf)
+        n, total = np.zeros(len(names), np.int64), np.zeros(len(names))
+        for i, j in pairs(ends(pdf["_k"].to_numpy(), m, seconds * 1_000_000)):
+            ok = own[j] & (e[i] != e[j])
+            i, j = i[ok], j[ok]
+            v = value(i, j, m[j] - m[i])
+            ok = ~np.isnan(v)
+            for x in (e[i[ok]], e[j[ok]]):
+                n += np.bincount(x, minlength=len(names))
+                total += np.bincount(x, v[ok], len(names))
+        met = np.flatnonzero(n)
+        yield pd.DataFrame({"e": np.asarray(names, dtype=object)[met], "n": n[met], "total": total[met]})
+
+    kind = df.schema[entity].dataType.simpleString()
+    sums = by_group(in_chunks(rows, seconds), "_c", add, f"e {kind}, n bigint, total double")
+    return sums.groupBy(F.col("e").alias(entity)).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def linked(df: DataFrame, entity: str, ts: str, seconds: int, strength, attributes: dict, geo: dict, least: float, same: tuple[str, ...] = ()) -> DataFrame:
     """(a, b), a < b: entities with two rows within ``seconds`` whose strength is above ``least``; each two once.
 
@@ -89,13 +134,7 @@ def linked(df: DataFrame, entity: str, ts: str, seconds: int, strength, attribut
     slot = max(1, min((g for _, g in patterns), default=0))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), *columns, micros.alias("_m"))
-    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("_m"), F.max("_m")).first()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    chunks = max(2 * cores, math.ceil(n / ROWS))
-    width = max(seconds * 1_000_000, ((hi or 0) - (lo or 0)) // chunks + 1)
-    chunk = F.floor((F.col("_m") - F.lit(lo or 0)) / width).cast("long")
-    late = F.col("_m") - F.lit(lo or 0) >= (chunk + 1) * F.lit(width) - seconds * 1_000_000  # rows that the next chunk needs
-    dealt = rows.withColumn("_c", F.explode(F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))).repartition(chunks, "_c")
+    dealt = in_chunks(rows, seconds)
     kept = dealt.groupBy("_c", "_e", *columns, F.floor(F.col("_m") / slot).alias("_s")).agg(F.min("_m").alias("_first"), F.max("_m").alias("_last"))
 
     def link(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:

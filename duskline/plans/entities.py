@@ -380,8 +380,8 @@ def _(t):
 
 @query("r05_relation_risk", f"WITH {CA}, st AS (SELECT ip, avg(s) * 0.3 AS s FROM (SELECT a_ip AS ip, s FROM rs UNION ALL SELECT b_ip, s FROM rs) GROUP BY ip), cl AS (SELECT country, region, city, avg(risk_score) AS r FROM requests GROUP BY 1, 2, 3 HAVING avg(risk_score) > 0.5), pl AS (SELECT ip, max(r) * 0.2 AS c FROM (SELECT DISTINCT ip, country, region, city FROM requests) JOIN cl USING (country, region, city) GROUP BY ip) SELECT ip, round(least(1, coalesce(CASE severity WHEN 'critical' THEN 0.8 WHEN 'high' THEN 0.6 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.2 END, 0) + coalesce(s, 0) + coalesce(c, 0)), 5)::double AS risk FROM (SELECT DISTINCT ip FROM requests) LEFT JOIN ca USING (ip) LEFT JOIN st USING (ip) LEFT JOIN pl USING (ip)", "requests")
 def _(t):
-    pairs = G.address_pairs(relations(t))
-    return G.relation_risk(t.requests, attacks(t, pairs), pairs, G.geo_clusters(t.requests)).withColumn("risk", rnd("risk"))
+    found = attacks(t, G.address_links(t.requests, same=("path",)))
+    return G.relation_risk(t.requests, found, G.address_strengths(t.requests), G.geo_clusters(t.requests)).withColumn("risk", rnd("risk"))
 
 
 @query("r10_ip_graph", f"WITH RECURSIVE {UND}, h AS (SELECT 'c1' AS node, 0 AS d UNION SELECT u.dst, d + 1 FROM h JOIN u ON h.node = u.src WHERE d < 1) SELECT count(DISTINCT node) - 1 AS related FROM h", "edges")
